@@ -4,18 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm.chosen_path import near_duplicates
+from loamgrid.llm.int8_join import embedding_links
+from loamgrid.llm.licenses import scan_licenses
 from loamgrid.llm.line_dedup import dedup_lines
+from loamgrid.llm.packing import pack_documents
+from loamgrid.llm.quality import in_training as quality_training
+from loamgrid.llm.quality import score_quality
 from loamgrid.llm.sharding import shard_documents
+from loamgrid.llm.toxicity import in_training, score_toxicity, train_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    model = train_toxicity(docs, _labels(spark, sf_dir))
+    scored = score_toxicity(docs, model, score_col="score").drop("text")
+    return scored.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    scored = score_quality(docs, _labels(spark, sf_dir)).withColumnRenamed("quality_score", "score")
+    made = ("evidence", "host_posterior", "path_posterior", "score")
+    return scored.select("doc_id", (~quality_training(F.col("doc_id"))).alias("held_out"), *made, (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=4, percent=80)
 
@@ -27,20 +52,46 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", dropped.alias("n_dropped"), F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digest=True)
+
+
+def op8_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir)).drop("spans", "expressions")
+
+
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(_documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nnpu_toxicity": op1_nnpu_toxicity,
+    "op3_bayes_quality": op3_bayes_quality,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_line_dedup": op5_line_dedup,
+    "op6_cost_balanced_packing": op6_cost_balanced_packing,
+    "op8_embedding_links": op8_embedding_links,
+    "op9_license_scan": op9_license_scan,
     "op10_virtual_slots": op10_virtual_slots,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_COSINE = "list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 
 SQL: dict[str, str] = {
+    "op8_embedding_links": f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE {_COSINE} >= 0.9),
+r(vec_id, to_id) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, e.y FROM r JOIN e ON e.x = r.to_id),
+c AS (SELECT vec_id, min(to_id) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT x, count(*) AS k FROM e GROUP BY x)
+SELECT c.vec_id, coalesce(n.k, 0) AS n_links, component_id, c.vec_id = component_id AS kept FROM c LEFT JOIN n ON n.x = c.vec_id""",
     "op4_near_duplicates": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[k:k+3], ' ') END AS sh
