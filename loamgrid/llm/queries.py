@@ -12,9 +12,11 @@ from loamgrid.llm.chosen_path import near_duplicates
 from loamgrid.llm.int8_join import embedding_links
 from loamgrid.llm.licenses import scan_licenses
 from loamgrid.llm.line_dedup import dedup_lines
+from loamgrid.llm.media import media_digests
 from loamgrid.llm.packing import pack_documents
 from loamgrid.llm.quality import in_training as quality_training
 from loamgrid.llm.quality import score_quality
+from loamgrid.llm.sentencepieces import encode_documents
 from loamgrid.llm.sharding import shard_documents
 from loamgrid.llm.toxicity import in_training, score_toxicity, train_toxicity
 
@@ -34,6 +36,10 @@ def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_webp_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
     scored = score_quality(docs, _labels(spark, sf_dir)).withColumnRenamed("quality_score", "score")
@@ -56,6 +62,10 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), digest=True)
 
 
+def op7_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
 def op8_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.9)
 
@@ -71,10 +81,12 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
+    "op2_webp_payloads": op2_webp_payloads,
     "op3_bayes_quality": op3_bayes_quality,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_line_dedup": op5_line_dedup,
     "op6_cost_balanced_packing": op6_cost_balanced_packing,
+    "op7_sentencepieces": op7_sentencepieces,
     "op8_embedding_links": op8_embedding_links,
     "op9_license_scan": op9_license_scan,
     "op10_virtual_slots": op10_virtual_slots,
