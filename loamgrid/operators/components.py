@@ -32,9 +32,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     shortest path. Every round is checkpointed; only one count and one hash reach the driver.
     Self loops keep their node as a component of one; null ends are ignored; repeated edges count once.
     """
-    clean = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    loops = clean.where("a = b").select(F.col("a").alias("node")).distinct()
-    stars = durable(clean.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    clean = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+    once = durable(clean.select(F.greatest(src, dst).alias("hi"), F.least(src, dst).alias("lo")).distinct())
+    loops, stars = once.where("hi = lo").select(F.col("hi").alias("node")), once.where("hi <> lo")
     before = _state(stars)
     for _ in range(max_rounds):
         if not before[0]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("spatial", "tables")
+MODULES: tuple[str, ...] = ("spatial", "tables", "retrieval", "logs")
 
 
 def _gathered(name: str) -> dict:
