@@ -28,7 +28,7 @@ def a21(spark, d):
     priced = L.price_lookup(_calls(spark, d), _prices(spark), "model")
     cost = L.call_cost(F.col("input_tokens"), F.col("output_tokens"), F.col("cached"), F.col("rate"), F.col("rate") * 4, F.col("rate") / 10)
     rows = priced.withColumn("cost", cost)
-    out = rows.rollup("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input"), F.sum("output_tokens").alias("output"), F.round(F.sum("cost"), 6).alias("cost"), F.count_if(F.col("rate").isNull()).alias("unpriced"))
+    out = rows.rollup("model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input"), F.sum("output_tokens").alias("output"), F.round(F.sum("cost"), 3).alias("cost"), F.count_if(F.col("rate").isNull()).alias("unpriced"))
     return out.withColumn("model", F.coalesce("model", F.lit("(total)")))
 
 
@@ -268,7 +268,7 @@ _RATE = "CASE model WHEN 'click' THEN 1.5 WHEN 'acme/click' THEN 1.5 WHEN 'acme/
 
 SQL = {
     "j30_price_lookup": f"WITH {_CALLS} SELECT event_id, model, {_RATE} AS rate FROM c",
-    "a21_usage_by_model": f"WITH {_CALLS}, p AS (SELECT *, {_RATE} AS rate FROM c), q AS (SELECT *, (k * 75 * rate + k * 25 * (rate / 10) + k * 10 * (rate * 4)) / 1e6 AS cost FROM p) SELECT coalesce(model, '(total)') AS model, count(*) AS calls, sum(k * 100)::BIGINT AS input, sum(k * 10)::BIGINT AS output, round(sum(cost), 6) AS cost, count(*) FILTER (rate IS NULL) AS unpriced FROM q GROUP BY ROLLUP (model)",
+    "a21_usage_by_model": f"WITH {_CALLS}, p AS (SELECT *, {_RATE} AS rate FROM c), q AS (SELECT *, (k * 75 * rate + k * 25 * (rate / 10) + k * 10 * (rate * 4)) / 1e6 AS cost FROM p) SELECT coalesce(model, '(total)') AS model, count(*) AS calls, sum(k * 100)::BIGINT AS input, sum(k * 10)::BIGINT AS output, round(sum(cost), 3) AS cost, count(*) FILTER (rate IS NULL) AS unpriced FROM q GROUP BY ROLLUP (model)",
     "a22_usage_by_day": f"WITH {_CALLS} SELECT user_id, ts::DATE AS day, count(*) AS turns, round(sum(value), 6) AS usd, round(sum(k * 0.01::DOUBLE), 6) AS coins, round(sum(value) + sum(k * 0.01::DOUBLE), 6) AS credits FROM c GROUP BY 1, 2",
     "a23_trace_summary": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in ("error", "click", "view", "purchase", "signup")) + ", arg_min(props, event_id) FILTER (event_type = 'click') AS first_route, arg_max(props, event_id) FILTER (event_type = 'view') AS last_answer FROM events GROUP BY 1",
     "a24_scorecard": f"WITH {_CALLS} SELECT event_type, count(*) AS tasks, count(*) FILTER (event_id % 4 <> 0) AS solvable, count(*) FILTER (event_id % 4 <> 0 AND k > 40) AS correct, count(*) FILTER (event_id % 4 = 0 AND k < 20) AS refused, round(avg((CASE WHEN event_id % 4 <> 0 THEN k > 40 ELSE k < 20 END)::INT), 6) AS strict FROM c GROUP BY 1",
