@@ -7,6 +7,7 @@ go in descending order to the sequence with the lowest cost that still has room.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,32 +26,71 @@ POOL = 1_500_000
 LINEAR, QUADRATIC = 1.0, 1 / 4096
 
 
-class WordIds(dict):
-    """Token ids of pieces between white space, as little-endian 32-bit bytes; misses are encoded in batches.
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: printable Latin-1 as it is, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+class WordIds:
+    """Token ids of pieces between white space, as little-endian 32-bit bytes.
 
     The vocabulary drops white space and never merges over it, so a text's ids are those of its pieces in a
     row. Only ASCII blanks part pieces here: what else Unicode calls white space is left to the tokenizer.
-    Forgets all once it holds ``limit`` pieces, so its memory is bounded.
+    A piece of Latin-1 letters and then signs without an apostrophe has two words by the tokenizer's rules,
+    which go straight to its merges; any other piece goes through the whole tokenizer.
+
+    Pieces are remembered in two generations: the older one is forgotten when the younger is full, and what
+    is met again moves to the younger, so frequent pieces stay and memory is bounded.
     """
 
-    BLANKS = str.maketrans("\t\n\r", "   ")
+    SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, generation: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.limit = limit
+        self.letters = _byte_letters()
+        self.generation = generation
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+
+    def _merged(self, word: str) -> bytes:
+        letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        other = []
+        for piece in pieces:
+            simple = self.SIMPLE.fullmatch(piece)
+            if not simple:
+                other.append(piece)
+                continue
+            word, signs = simple.groups()
+            if signs not in self.signs:
+                if len(self.signs) > 50_000:
+                    self.signs = {"": b""}
+                self.signs[signs] = self._merged(signs)
+            self.young[piece] = (self._merged(word.lower()) if word else b"") + self.signs[signs]
+        for piece, got in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
+            self.young[piece] = np.asarray(got.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null counts as empty."""
-        split = [(t or "").translate(self.BLANKS).split(" ") for t in texts]
-        if len(self) > self.limit:
-            self.clear()
-        new = list({w for words in split for w in words}.difference(self.keys()))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for word, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self[word] = np.asarray(got.ids, "<u4").tobytes()
-        return [b"".join(map(self.__getitem__, words)) for words in split]
+        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.young) > self.generation:
+            self.old, self.young = self.young, {"": b""}
+        young, old = self.young, self.old
+        new = []
+        for piece in set().union(*split):
+            if piece not in young:
+                if (ids := old.get(piece)) is None:
+                    new.append(piece)
+                else:
+                    young[piece] = ids
+        self._learn(new)
+        return [b"".join(map(young.__getitem__, pieces)) for pieces in split]
 
 
 def cost(tokens: int) -> float:
