@@ -20,9 +20,11 @@ from loamgrid.operators.components import connected_components
 from loamgrid.plans.durable import durable
 
 #: Minwise coordinates a document; trees; documents that a node may hold to be compared exhaustively.
-COORDINATES, TREES, SMALL = 64, 12, 768
-#: Rounds of branching before what is left of a node is compared block by block.
-ROUNDS = 10
+COORDINATES, TREES, SMALL = 64, 12, 4096
+#: Documents in a block of a comparison on full sets; clusters beyond LARGE are compared leaf by leaf.
+BLOCK, LARGE = 1024, 65_536
+#: Rounds of branching (one step, then two each); what is still over SMALL then is compared block by block.
+ROUNDS = 4
 
 
 def _features(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -155,16 +157,16 @@ def _confirm(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame([(docs[i], docs[r]) for i, r in _forest(len(docs), a, b)], columns=["src", "dst"])
 
 
-def _blocked(rows: DataFrame, unit: str, size_col: str, block: int) -> DataFrame:
-    """Rows keyed by (unit, i, j): units over ``block`` documents become pairs of blocks, each row once for each of its pairs."""
-    n = F.ceil(F.col(size_col) / block).cast("int")
+def _blocked(rows: DataFrame, block: int) -> DataFrame:
+    """Rows (unit, n, doc) keyed by (unit, i, j): units over ``block`` documents become pairs of blocks, each row once for each of its pairs."""
+    n = F.ceil(F.col("n") / block).cast("int")
     mine = F.pmod(F.xxhash64("doc", F.lit("block")), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), F.when((mine > o), 1).otherwise(0).alias("side")))
-    return rows.withColumn("__p", F.explode(pairs)).select(F.col(unit).alias("unit"), "__p.*", "doc")
+    return rows.select("unit", "doc", F.explode(pairs).alias("p")).select("unit", "p.*", "doc")
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, block: int = BLOCK, large: int = LARGE
 ) -> DataFrame:
     """(id, n_shingles long, component_id, kept boolean), one row for each row of ``docs``.
 
@@ -178,10 +180,12 @@ def near_duplicates(
     All links are confirmed on the full sets; no pair that fails there is used.
 
     Skew: rows with equal sets are one node each from the start, whatever their number. A node over
-    ``small`` documents branches on; only nodes up to that size meet in one task. Candidate clusters are
-    compared on full sets at once up to ``small`` documents, else leaf by leaf, and no task returns more
-    than a spanning forest, so that pairs inside a group are never listed. What ``ROUNDS`` rounds can't
-    part (sets that agree in all coordinates) is compared block by block.
+    ``small`` documents branches on; only nodes up to that size meet in one task, where they are compared by
+    their minwise values and leave a spanning forest of candidates. The clusters that these make are compared
+    on full sets in pairs of blocks of about ``block`` documents; in clusters beyond ``large`` only
+    documents of one leaf meet. What ROUNDS rounds can't part (sets that agree in nearly all coordinates) is
+    one cluster with its own blocks. No task returns more than a spanning forest, so pairs inside a group
+    are never listed.
 
     Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing;
     ids should be unique, and rows that repeat an id get one row each with the id's smallest values;
@@ -204,15 +208,15 @@ def near_duplicates(
         sized = durable(level.join(sizes, "node"))
         here = sized.where(F.col("n") <= small)
         leaves = here if leaves is None else leaves.unionByName(here)
-        large = sized.where(F.col("n") > small)
-        if large.limit(1).count() == 0:
+        over = sized.where(F.col("n") > small)
+        if over.limit(1).count() == 0:
             break
         if k == ROUNDS - 1:
-            stuck = large
+            stuck = over
             break
-        level = large.select("node", "doc").join(reps, "doc").select("doc", F.explode(_branches(2, expected)).alias("node")).distinct()
+        level = over.select("node", "doc").join(reps, "doc").select("doc", F.explode(_branches(2, expected)).alias("node")).distinct()
 
-    parts = spark.sparkContext.defaultParallelism if leaves is None else max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = leaves.select("node", "doc").join(reps, "doc").repartition(parts, "node").sortWithinPartitions("node")
     edges = met.mapInPandas(lambda it: _compare_nodes(it, agree), "src long, dst long").distinct()
     if stuck is not None:
@@ -223,16 +227,14 @@ def near_duplicates(
     # full sets of the documents that have candidates, each read once
     involved = texts.where("doc is not null").join(clusters.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
     sets = involved.mapInPandas(lambda it: _sets(it, words), "doc long, shingles binary")
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
-    sized = clusters.join(sizes, "component")
-    units = sized.where(F.col("n") <= small).select(F.struct("component", F.lit(None).cast("long").alias("node")).alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "doc")
-    in_large = sized.where(F.col("n") > small).select("doc", "component")
-    by_leaf = leaves.select("node", "doc").join(in_large, "doc").distinct()
-    units = units.unionByName(by_leaf.select(F.struct("component", "node").alias("unit"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "doc"))
-    if stuck is not None:
-        blocks = _blocked(stuck.withColumn("unit", F.struct(F.lit(None).cast("long").alias("component"), "node")), "unit", "n", small)
-        units = units.unionByName(blocks)
-    confirmed = units.join(sets, "doc").groupBy("unit", "i", "j").applyInPandas(lambda g: _confirm(g, percent), "src long, dst long")
+    sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("n")), "component")
+    nothing = F.lit(None).cast("long")
+    units = sized.where(F.col("n") <= large).select(F.struct("component", nothing.alias("node")).alias("unit"), "n", "doc")
+    giants = sized.where(F.col("n") > large).select("doc", "component")
+    nodes = leaves if stuck is None else leaves.unionByName(stuck)
+    by_node = nodes.join(giants, "doc").select(F.struct(nothing.alias("component"), "node").alias("unit"), "n", "doc").distinct()
+    keyed = _blocked(units.unionByName(by_node), block)
+    confirmed = keyed.join(sets, "doc").groupBy("unit", "i", "j").applyInPandas(lambda g: _confirm(g, percent), "src long, dst long")
     linked = connected_components(confirmed)
 
     # every document: its representative's component, mapped to the smallest id over all members
