@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.plans.durable import durable
+
 #: Space and the five ASCII controls that count as white space at the ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,7 +54,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     per_doc = ids.select("__id", F.explode(F.array_distinct(keyed)).alias("__key")).where("__key is not null")
     twice = ids.groupBy("__id").count().where("count > 1").limit(1).count() > 0
     per_doc = per_doc.distinct() if twice else per_doc
-    spread = per_doc.groupBy("__key").agg(F.count("*").alias("__docs"), F.max("__id").alias("__last")).where(F.col("__docs") >= min_docs)
+    # stored, so that the join below has a plain exchange on both sides and can split the rows of a hot line
+    spread = durable(per_doc.groupBy("__key").agg(F.count("*").alias("__docs"), F.max("__id").alias("__last")).where(F.col("__docs") >= min_docs))
     dropped = (
         lines.join(spread.select("__key", "__last"), "__key").where("__id <> __last")
         .groupBy("__id").agg(F.collect_set("__pos" if not twice else "__key").alias("__out"))
