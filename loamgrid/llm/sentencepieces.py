@@ -74,9 +74,7 @@ class Pieces:
         """Viterbi over words of one length, all at once."""
         n, size = len(words), len(words[0])
         h = _prefix_hashes(_codes(words))
-        power = np.ones(self.longest + 1, np.uint64)
-        for k in range(self.longest):
-            power[k + 1] = power[k] * BASE
+        power = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(self.longest, BASE)])
         best = np.zeros((n, size + 1))
         back, piece = np.zeros((n, size + 1), np.int32), np.zeros((n, size + 1), np.int32)
         rows = np.arange(n)
