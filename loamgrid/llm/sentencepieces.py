@@ -4,6 +4,9 @@ Method: the distinct words of a batch are sorted by length, and words of equal l
 hashes of their substrings probe the sorted keys of the pieces, and the maxima over all pieces that end at
 a position store backpointers. Pieces with the highest total score win (unigram segmentation), ties go
 to the longer last piece; characters without a piece fall back to bytes.
+
+For files of the BPE type, whose library ids come from merging and not from the best total, the same table of
+substrings also gives the merged ids: equal-length words merge together, one best pair each a step.
 """
 
 from __future__ import annotations
@@ -67,14 +70,16 @@ class Pieces:
             raise ValueError("two pieces share a hash key")
         self.scores = np.array([scores[i] for i in self.ids.tolist()])
         self.out = [bytes([int(p[3:5], 16)]) if i in self.bytes_at.values() else b"" if model.is_control(i) else p.encode() for i, p in enumerate(self.pieces)]
-        self.known: dict[str, tuple[bytes, float]] = {}
+        self.known: dict[str, tuple[bytes, float, bytes]] = {}
         self.remember = remember
 
     def _same_length(self, words: list[str]) -> None:
-        """Viterbi over words of one length, all at once."""
+        """Both segmentations of words of one length, all words at once."""
         n, size = len(words), len(words[0])
         h = _prefix_hashes(_codes(words))
         power = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(self.longest, BASE)])
+        # what begins at a place with a length: its score (-inf: no piece) and its id
+        score, found = np.full((n, size, self.longest), -np.inf), np.zeros((n, size, self.longest), np.int32)
         best = np.zeros((n, size + 1))
         back, piece = np.zeros((n, size + 1), np.int32), np.zeros((n, size + 1), np.int32)
         rows = np.arange(n)
@@ -84,21 +89,46 @@ class Pieces:
             at = np.minimum(np.searchsorted(self.keys, key.ravel()), len(self.keys) - 1).reshape(key.shape)
             hit = self.keys[at] == key
             gain = np.where(hit, self.scores[at], -np.inf)
-            found = np.where(hit, self.ids[at], 0)
+            names = np.where(hit, self.ids[at], 0)
+            score[:, starts, end - starts - 1], found[:, starts, end - starts - 1] = gain, names
+            gain = gain.copy()
             gain[:, -1] = np.where(hit[:, -1], gain[:, -1], self.unknown)
             total = best[:, starts] + gain
             top = total.argmax(axis=1)
-            best[:, end], back[:, end], piece[:, end] = total[rows, top], starts[top], found[rows, top]
+            best[:, end], back[:, end], piece[:, end] = total[rows, top], starts[top], names[rows, top]
         at, steps = np.full(n, size), []
         while at.any():
             steps.append(np.where(at > 0, piece[rows, at], -1))
             at = back[rows, at]
-        ids = np.stack(steps[::-1], axis=1)
-        for word, row, score in zip(words, ids.tolist(), best[:, size].tolist(), strict=True):
-            row = [i for i in row if i >= 0]
-            if 0 in row:
-                row = self._with_bytes(word, row)
-            self.known[word] = (np.array(row, "<u4").tobytes(), score)
+        chosen = np.stack(steps[::-1], axis=1)
+        merged = self._merged(score, found)
+        for word, one, other, value in zip(words, chosen.tolist(), merged.tolist(), best[:, size].tolist(), strict=True):
+            self.known[word] = (self._stored(word, one), value, self._stored(word, other))
+
+    def _merged(self, score: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Ids by place after all merges (-1 where no piece begins): of the neighbours that make a piece, those with
+        the highest score join first, the leftmost of equals, until none can."""
+        n, size, longest = score.shape
+        ends = np.tile(np.arange(1, size + 1), (n, 1))
+        begins = np.ones((n, size), bool)
+        active, place = np.arange(n), np.arange(size)
+        while len(active) and size > 1:
+            e = ends[active]
+            f = np.take_along_axis(e, np.minimum(e, size - 1), axis=1)
+            can = begins[active] & (e < size) & (f - place <= longest)
+            pair = np.where(can, score[active[:, None], place, np.clip(f - place - 1, 0, longest - 1)], -np.inf)
+            left = pair.argmax(axis=1)
+            more = np.isfinite(pair[np.arange(len(active)), left])
+            active, left, e, f = active[more], left[more], e[more], f[more]
+            k = np.arange(len(active))
+            begins[active, e[k, left]] = False
+            ends[active, left] = f[k, left]
+        names = found[np.arange(n)[:, None], place, np.minimum(ends - place - 1, longest - 1)]
+        return np.where(begins, names, -1)
+
+    def _stored(self, word: str, row: list[int]) -> bytes:
+        row = [i for i in row if i >= 0]
+        return np.array(self._with_bytes(word, row) if 0 in row else row, "<u4").tobytes()
 
     def _with_bytes(self, word: str, row: list[int]) -> list[int]:
         out, at = [], 0
@@ -111,8 +141,11 @@ class Pieces:
                 at += 1
         return out
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, float]]:
-        """(ids as little-endian 32-bit bytes, total score) of each whole text; null and empty texts have no ids."""
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, float, bytes]]:
+        """(Viterbi ids, their total score, merged ids) of each whole text, ids as little-endian 32-bit bytes.
+
+        Null and empty texts have no ids.
+        """
         split = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > self.remember:
             self.known.clear()
@@ -123,8 +156,11 @@ class Pieces:
             step = max(1, 400_000 // (size * self.longest))
             for k in range(0, len(words), step):
                 self._same_length(words[k : k + step])
-        got = [[self.known[w] for w in words] for words in split]
-        return [(b"".join(ids for ids, _ in g), sum(s for _, s in g)) for g in got]
+        out = []
+        for words in split:
+            got = [self.known[w] for w in words]
+            out.append((b"".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; the blank that encoding put first is taken off again."""
@@ -137,15 +173,17 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-SCHEMA = "ids binary, n_tokens long, score double, round_trip boolean"
+SCHEMA = "ids {0}, n_tokens long, score double, merged_ids {0}, merged_tokens long, round_trip boolean"
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """id, ids (bytes; ``ids_crc32`` with ``digest``), n_tokens, score, and whether decoding gives the text back.
+    """id, ids, n_tokens and score by Viterbi, merged_ids and merged_tokens, and whether decoding gives the text back.
 
-    ``model`` is the path of a SentencePiece file that every executor has, with identity normalisation and a
-    blank put first. Rows are encoded whole and alone; nothing is shuffled. Words already met stay known to a
-    Python worker up to a bound. A text's own U+2581 is decoded as a blank, as the file's format has it.
+    Files of the unigram type mean the Viterbi ids, files of the BPE type the merged ones. ``round_trip`` asks
+    for the text from both. Ids are bytes; with ``digest`` their CRC-32 stands in ``ids_crc32`` and
+    ``merged_crc32``. ``model`` is the path of a file that every executor has, with identity normalisation and
+    a blank put first. Rows are encoded whole and alone; nothing is shuffled. Words already met stay known
+    to a Python worker up to a bound. A text's own U+2581 is decoded as a blank, as the format has it.
 
     Defined cases: null and empty texts have no ids and score 0; null ids stay null; equal texts get equal
     values; an empty table gives an empty table.
@@ -154,15 +192,19 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = pieces_of(model)
+        shown = zlib.crc32 if digest else bytes
         for batch in batches:
             for k in range(0, len(batch), 200):
                 part = batch.iloc[k : k + 200]
                 texts = part["text"].tolist()
-                got = pieces.encode(texts)
-                same = [pieces.decode(ids) == (t or "").replace(SPACE, " ") for (ids, _), t in zip(got, texts, strict=True)]
-                yield pd.DataFrame(
-                    {"id": part["id"], "ids": [zlib.crc32(i) if digest else i for i, _ in got], "n_tokens": [len(i) // 4 for i, _ in got], "score": [float(s) for _, s in got], "round_trip": same}
-                )
-
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(encoded, f"id {kind}, {SCHEMA.replace('binary', 'long') if digest else SCHEMA}")
-    return out.withColumnsRenamed({"id": id_col, **({"ids": "ids_crc32"} if digest else {})})
+                rows = []
+                for (ids, score, merged), t in zip(pieces.encode(texts), texts, strict=True):
+                    want = (t or "").replace(SPACE, " ")
+                    rows.append((shown(ids), len(ids) // 4, float(score), shown(merged), len(merged) // 4, pieces.decode(ids) == want and pieces.decode(merged) == want))
+                out = pd.DataFrame(rows, columns=["ids", "n_tokens", "score", "merged_ids", "merged_tokens", "round_trip"], index=part.index)
+                out.insert(0, "id", part["id"])
+                yield out
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(encoded, f"id {kind}, {SCHEMA.format('long' if digest else 'binary')}")
+    return out.withColumnsRenamed({"id": id_col, **({"ids": "ids_crc32", "merged_ids": "merged_crc32"} if digest else {})})

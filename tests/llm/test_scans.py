@@ -51,7 +51,7 @@ def test_scan_rows(odd_docs, docs_of):
 
 def plain_viterbi(pieces, word):
     """The best segmentation by trying all, one position after the other."""
-    ids = {p: i for i, p in enumerate(pieces.pieces) if i in set(pieces.ids.tolist())}
+    ids = {pieces.pieces[i]: i for i in pieces.ids.tolist()}
     scores = dict(zip(pieces.ids.tolist(), pieces.scores.tolist(), strict=True))
     best = [(0.0, [])] + [None] * len(word)
     for end in range(1, len(word) + 1):
@@ -73,7 +73,7 @@ def test_against_plain_viterbi(pieces):
     for w in words:
         marked = SPACE + w.replace(" ", SPACE)
         score, ids = plain_viterbi(pieces, marked) if SPACE not in marked[1:] else (None, None)
-        got, total = pieces.encode([w])[0]
+        got, total, _ = pieces.encode([w])[0]
         if ids is not None:
             assert np.frombuffer(got, "<u4").tolist() == ids and total == score
 
@@ -133,13 +133,21 @@ def test_against_the_library_in_unigram_mode(tmp_path):
     path = patched_to_unigram(MODEL, str(tmp_path / "unigram.model"))
     library, ours = sentencepiece.SentencePieceProcessor(model_file=path), Pieces(path)
     texts = ["Hello  world\n\tx", "  a", "", " ", "ünï ﬁ １２３", "a▁b", "𝒳 y", "The quick brown fox, jumping over 13 lazy dogs.", "trailing  "]
-    for t, (ids, _) in zip(texts, ours.encode(texts), strict=True):
+    for t, (ids, _, _) in zip(texts, ours.encode(texts), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t), t
         assert ours.decode(ids) == t.replace(SPACE, " ")
 
 
+def test_merged_ids_are_the_librarys(pieces, spark, sf_dir):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = ["Hello  world\n\tx", "     a    b", "", " ", "ünï ﬁ １２３", "a▁b", "𝒳 y", "internationalisation, banana aaaaaaa", "trailing  "]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    for t, (_, _, merged) in zip(texts, pieces.encode(texts), strict=True):
+        assert np.frombuffer(merged, "<u4").tolist() == library.encode(t), t[:80]
+
+
 def test_documents_round_trip(odd_docs, docs_of):
     rows = encode_documents(odd_docs, MODEL).collect()
     assert len(rows) == 9 and all(r["round_trip"] for r in rows)
     assert {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {0}
-    assert encode_documents(docs_of([]), MODEL, digest=True).columns == ["doc_id", "ids_crc32", "n_tokens", "score", "round_trip"]
+    assert encode_documents(docs_of([]), MODEL, digest=True).columns == ["doc_id", "ids_crc32", "n_tokens", "score", "merged_crc32", "merged_tokens", "round_trip"]
