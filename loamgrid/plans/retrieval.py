@@ -295,10 +295,9 @@ SELECT case_id, item, CASE WHEN c IS NOT NULL AND v IS NOT NULL THEN 'keyword+se
 SELECT page_id, regexp_replace(regexp_replace(head, '^(http://[^:]*):80$', '\\1'), '^(https://[^:]*):443$', '\\1') || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM c""",
     "m08_blob_to_raw": "SELECT p_partkey, 'https://raw.githubusercontent.com/o' || p_partkey || '/r/main/' || replace(p_name, ' ', '/') AS raw FROM part",
     "m09_dois": "SELECT p_partkey, '10.1234/ab.' || p_partkey || ' 10.5555/' || lower(replace(p_brand, '#', '-')) AS dois FROM part",
-    "m13_html_to_text": None,
-    "m15_paragraph_chunks": None,
+    "m11_keys": "SELECT p_partkey, 'dr' || replace(p_name, ' ', '') AS author, 'brand-' || split_part(p_brand, '#', 2) || '-' || replace(p_name, ' ', '-') AS slug, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || 'Error' AS error FROM part",
+    "m01_tokens": "WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w, split_part(p_brand, '#', 2) AS n FROM part), t AS (SELECT p_partkey, unnest(list_distinct(list_concat(['get', 'get' || w[1], 'brand', n], w))) AS t FROM p) SELECT p_partkey, string_agg(t, ' ' ORDER BY t) AS tokens FROM t GROUP BY 1",
     "m05_keyword_summary": f"""WITH w AS (SELECT conv_id, turn, list_filter({_WORDS.format(c='text')}, lambda w: length(w) >= 3 AND w NOT IN ({_STOP})) AS ws FROM conversations), x AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM w), f AS (SELECT conv_id, turn, w, min(k) AS k FROM x GROUP BY 1, 2, 3), g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) AS n FROM f)
 SELECT c.conv_id, c.turn, coalesce(string_agg(g.w, ' ' ORDER BY g.n), '') AS keywords FROM conversations c LEFT JOIN g ON g.conv_id = c.conv_id AND g.turn = c.turn AND g.n <= 6 GROUP BY 1, 2""",
     "m16_extract_numbers": "SELECT p_partkey, 0 AS k, p_size::DOUBLE AS value, 'km' AS unit, 'about' AS before FROM part UNION ALL SELECT p_partkey, 1, p_retailprice, NULL, 'price' FROM part UNION ALL SELECT p_partkey, 2, 1500.0 + p_size % 10 * 10, 'm', 'or' FROM part",
 }
-SQL = {k: v for k, v in SQL.items() if v}
