@@ -51,7 +51,7 @@ def test_the_risk_can_t_go_below_zero():
     rng = np.random.default_rng(3)
     pos = [np.sort(rng.choice(50, 5, replace=False)) for _ in range(60)]
     unl = [np.sort(50 + rng.choice(500, 8, replace=False)) for _ in range(300)] + [np.sort(rng.choice(50, 5, replace=False)) for _ in range(30)]
-    model = T.fit_nnpu(pos, unl, 0.09)
+    model = T.fit_nnpu(pos, unl, 0.09, np.arange(550))
     assert np.isfinite(model.bias) and all(np.isfinite(w) for w in model.weights.values()) and model.bias < 0
 
 
