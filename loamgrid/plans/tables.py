@@ -59,7 +59,7 @@ def a05(spark, d):
 
 
 def _rounded(df):
-    return df.select("group", "n", *[F.round(c, 4).alias(c) for c in ("min", "max", "mean", "median", "std", "sum")])
+    return df.select("group", "n", *[F.round(c, 7 if c == "mean" else 4).alias(c) for c in ("min", "max", "mean", "median", "std", "sum")])
 
 
 def a06(spark, d):
@@ -201,7 +201,7 @@ QUERIES = {
     "s21_tombstones": s21, "s22_fit_to_schema": s22, "s25_dataset_summary": s25,
 }
 
-_STATS = "count(*) AS n, round(min({v}), 4) AS min, round(max({v}), 4) AS max, round(avg({v}), 4) AS mean, round(median({v}), 4) AS median, round(stddev_samp({v}), 4) AS std, round(sum({v}), 4) AS sum"
+_STATS = "count(*) AS n, round(min({v}), 4) AS min, round(max({v}), 4) AS max, round(avg({v}), 7) AS mean, round(median({v}), 4) AS median, round(stddev_samp({v}), 4) AS std, round(sum({v}), 4) AS sum"
 _COLUMN = "SELECT '{c}' AS \"column\", count({v}) AS count, count(*) - count({v}) AS missing, round(min({v}), 6) AS min, round(max({v}), 6) AS max, round(avg({v}), 6) AS mean, round(median({v}), 6) AS median, round(stddev_samp({v}), 6) AS std, round(sum({v}), 6) AS sum FROM lineitem"
 _PROFILE = "SELECT k::INT AS slot, count(e.ts) AS n FROM range({low}, {high}) r(k) LEFT JOIN events e ON {part} = k GROUP BY 1"
 _SPAN = "SELECT '{t}' AS \"table\", CASE WHEN bool_or(second({c}) <> 0) THEN 'second' WHEN bool_or(minute({c}) <> 0) THEN 'minute' WHEN bool_or(hour({c}) <> 0) THEN 'hour' WHEN bool_or(day({c}) <> 1) THEN 'day' WHEN bool_or(month({c}) <> 1) THEN 'month' ELSE 'year' END AS granularity, min({c}) AS first, max({c}) AS last, count({c}) AS n FROM {t}"
