@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the fit: toxic and unlabelled texts, of which the driver gets hashed features only.
+#: Bounds of the fit: toxic texts, unlabelled texts, and buckets with a weight.
 MAX_POSITIVE, MAX_UNLABELLED, FEATURES = 4_000, 12_000, 4_096
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)
@@ -62,27 +62,27 @@ class NnpuModel:
         return 1 / (1 + np.exp(-np.clip(g, -60, 60)))
 
 
-def chosen_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int, least_share: float = 0.6, least_z: float = 3.5) -> np.ndarray:
+def chosen_features(sample: DataFrame, prior: float, most: int, least_share: float = 0.6, least_z: float = 3.5) -> np.ndarray:
     """Buckets whose texts are mostly toxic by the class-prior-corrected share prior * P(bucket | toxic) / P(bucket).
 
-    Both a share of ``least_share`` and a log ratio ``least_z`` standard errors above 0 are asked for; the
-    ``most`` most frequent among positives stay.
+    Both a share of ``least_share`` and a log ratio ``least_z`` standard errors above 0 are asked for; of these
+    the ``most`` most frequent among positives stay, so the driver gets at most that many rows.
     """
-    in_p = np.bincount(np.concatenate(positive), minlength=BUCKETS)
-    in_u = np.bincount(np.concatenate(unlabelled), minlength=BUCKETS)
-    held = np.flatnonzero(in_p >= 3)
-    p, u = (in_p[held] + 0.5) / (len(positive) + 1), (in_u[held] + 0.5) / (len(unlabelled) + 1)
-    z = np.log(p / u) / np.sqrt(1 / (in_p[held] + 0.5) + 1 / (in_u[held] + 0.5))
-    held = held[(z > least_z) & (prior * p / u > least_share)]
-    return np.sort(held[np.lexsort((held, -in_p[held]))][:most])
-
-
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, features: int = FEATURES, steps: int = 300, rate: float = 0.05, l2: float = 2e-5) -> NnpuModel:
-    """Adam on the non-negative risk with logistic loss. Without positives or unlabelled texts nothing is toxic."""
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return NnpuModel(prior=prior)
-    chosen = chosen_features(positive, unlabelled, prior, features)
-    if not len(chosen):
+    sizes = sample.agg(F.count_if("positive").alias("n_p"), F.count_if("unlabelled").alias("n_u"))
+    each = sample.select("positive", "unlabelled", F.explode("buckets").alias("bucket"))
+    counted = each.groupBy("bucket").agg(F.count_if("positive").alias("in_p"), F.count_if("unlabelled").alias("in_u")).where("in_p >= 3")
+    p, u = (F.col("in_p") + 0.5) / (F.col("n_p") + 1), (F.col("in_u") + 0.5) / (F.col("n_u") + 1)
+    z = F.log(p / u) / F.sqrt(1 / (F.col("in_p") + 0.5) + 1 / (F.col("in_u") + 0.5))
+    good = counted.crossJoin(F.broadcast(sizes)).where((z > least_z) & (prior * p / u > least_share))
+    return np.sort([r["bucket"] for r in good.orderBy(F.desc("in_p"), "bucket").limit(most).select("bucket").collect()]).astype(np.int64)
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray, steps: int = 300, rate: float = 0.05, l2: float = 2e-5) -> NnpuModel:
+    """Adam on the non-negative risk with logistic loss, over the ``chosen`` buckets of each text.
+
+    Without positives, unlabelled texts or buckets nothing is toxic.
+    """
+    if not positive or not unlabelled or not 0 < prior < 1 or not len(chosen):
         return NnpuModel(prior=prior)
     where = np.full(BUCKETS, -1)
     where[chosen] = np.arange(len(chosen))
@@ -126,7 +126,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_P
     """A model from toxic rows of ``labels`` (doc_id, toxic) and texts of ``docs`` (doc_id, text), training rows only.
 
     The prior is the share of toxic rows among the labelled ones. Expected sample sizes are ``max_positive``
-    and ``max_unlabelled``, chosen by a hash of the id; the driver gets that many lists of bucket numbers.
+    and ``max_unlabelled``, chosen by a hash of the id. Spark counts the buckets of the sample; the driver gets
+    the chosen ones, at most FEATURES, and for each text of the sample which of these it holds.
     """
     seen = labels.where(in_training(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", "toxic").distinct()
     n, n_toxic = seen.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
@@ -137,16 +138,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_P
     rows = docs.select("doc_id", "text").where(in_training(F.col("doc_id"))).join(F.broadcast(wanted), "doc_id", "left")
     rows = rows.withColumn("unlabelled", _share("u", min(1.0, max_unlabelled / max(1, total)))).where("positive or unlabelled")
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def features(batches: Iterator[pd.DataFrame], only: frozenset | None = None) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [np.sort(np.fromiter(buckets_of(t), np.int32)) for t in b["text"]]
-            yield pd.DataFrame({"positive": b["positive"].eq(True), "unlabelled": b["unlabelled"], "buckets": found})
+            found = [buckets_of(t) if only is None else buckets_of(t) & only for t in b["text"]]
+            yield pd.DataFrame({"positive": b["positive"].eq(True), "unlabelled": b["unlabelled"], "buckets": [np.sort(np.fromiter(x, np.int32)) for x in found]})
 
-    sample = rows.select("text", "positive", "unlabelled").mapInPandas(features, FEATURE_SCHEMA).toPandas()
+    texts = rows.select("text", "positive", "unlabelled")
+    chosen = chosen_features(texts.mapInPandas(features, FEATURE_SCHEMA), n_toxic / n, FEATURES)
+    only = frozenset(chosen.tolist())
+    sample = texts.mapInPandas(lambda it: features(it, only), FEATURE_SCHEMA).toPandas()
     lists = [np.asarray(x, np.int64) for x in sample["buckets"]]
     positive = [x for x, p in zip(lists, sample["positive"], strict=True) if p]
     unlabelled = [x for x, u in zip(lists, sample["unlabelled"], strict=True) if u]
-    return fit_nnpu(positive, unlabelled, n_toxic / n)
+    return fit_nnpu(positive, unlabelled, n_toxic / n, chosen)
 
 
 def score_toxicity(docs: DataFrame, model: NnpuModel, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
