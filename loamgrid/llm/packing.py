@@ -101,8 +101,8 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int, in
     """Pieces (document, start, tokens, sequence, offset) of documents with ``sizes`` tokens.
 
     Whole runs of ``length`` are cut off and fill sequences of their own. The rest, in descending order,
-    goes to the sequence of the lowest cost among those that hold it whole; what none can hold is cut to
-    fill the emptiest ones. Sequences are as few as the tokens allow, and what is left for the last is cut
+    goes to the sequence of the lowest cost among those that hold it whole; only what none can hold is cut, to
+    fill those of the lowest cost. Sequences are as few as the tokens allow, and what is left for the last is cut
     into powers of two, which need no padding.
     """
     out, sequence, rest = [], 0, []
@@ -120,7 +120,10 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int, in
         lengths.append(1 << (left.bit_length() - 1))
         left -= lengths[-1]
     used, spent = [0] * len(lengths), [0.0] * len(lengths)
+    # sequences with room for the document at hand, by cost, and those without, by room; sizes only fall,
+    # so what is set aside comes back once, when a document is small enough for it
     heap = [(0.0, s) for s in range(len(lengths))]
+    aside: list[tuple[int, int]] = []
     heapq.heapify(heap)
 
     def put(doc: int, start: int, n: int, s: int) -> None:
@@ -129,22 +132,20 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[tuple[int, int, int, in
         spent[s] += cost(n)
 
     for n, doc, start in sorted(rest, key=lambda r: (-r[0], r[1])):
-        tried = []
-        while heap:
-            spent_then, s = heapq.heappop(heap)
-            if lengths[s] - used[s] >= n:
-                put(doc, start, n, s)
-                if used[s] < lengths[s]:
-                    tried.append((spent[s], s))
-                n = 0
-                break
-            tried.append((spent_then, s))
-            if len(tried) >= 64:  # room for it may be nowhere; cutting it costs little
-                break
-        for entry in tried:
-            heapq.heappush(heap, entry)
-        while n:  # no room for the whole: cut it, lowest cost first
-            _, s = heapq.heappop(heap)
+        while n:
+            while aside and -aside[0][0] >= n:
+                _, s = heapq.heappop(aside)
+                heapq.heappush(heap, (spent[s], s))
+            while heap and lengths[heap[0][1]] - used[heap[0][1]] < n:
+                _, s = heapq.heappop(heap)
+                heapq.heappush(aside, (used[s] - lengths[s], s))
+            if heap:
+                _, s = heapq.heappop(heap)
+            else:  # no room for the whole anywhere: cut it, lowest cost first
+                entry = min(aside, key=lambda e: (spent[e[1]], e[1]))
+                aside.remove(entry)
+                heapq.heapify(aside)
+                s = entry[1]
             m = min(n, lengths[s] - used[s])
             put(doc, start, m, s)
             start, n = start + m, n - m

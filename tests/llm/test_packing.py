@@ -45,6 +45,29 @@ def test_costs_are_balanced():
     assert max(full) < 1.3 * min(full)
 
 
+def plain_pack(sizes, length=4096):
+    """The method by looking at every sequence for every document: (document, tokens, sequence) in order."""
+    first = sum(size // length for size in sizes)
+    rest = sorted(((size % length, doc) for doc, size in enumerate(sizes) if size % length), key=lambda r: (-r[0], r[1]))
+    total = sum(n for n, _ in rest)
+    room = [length] * (total // length) + [1 << k for k in range(total.bit_length(), -1, -1) if total % length >> k & 1]
+    spent, out = [0.0] * len(room), []
+    for n, doc in rest:
+        while n:
+            fits = [s for s in range(len(room)) if room[s] >= n] or [s for s in range(len(room)) if room[s]]
+            s = min(fits, key=lambda s: (spent[s], s))
+            m = min(n, room[s])
+            out.append((doc, m, first + s))
+            room[s], spent[s], n = room[s] - m, spent[s] + m + m * m / 4096, n - m
+    return out
+
+
+@pytest.mark.parametrize("median", [60, 300, 900])
+def test_only_what_no_sequence_holds_is_cut(median):
+    sizes = np.maximum(1, np.random.default_rng(5).lognormal(np.log(median), 1.0, 600_000 // median)).astype(int).tolist()
+    assert [(doc, n, s) for doc, start, n, s, _ in pack(sizes) if start >= sizes[doc] // 4096 * 4096] == plain_pack(sizes)
+
+
 @given(st.text(st.sampled_from("aZéßÀİ.,!'$%_ \t\u0301１9tsreX－ŉ")))
 @settings(max_examples=300, deadline=None)
 def test_any_pieces_are_the_tokenizers(text):
