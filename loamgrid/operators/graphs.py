@@ -29,8 +29,8 @@ def within_hops(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def upstream(edges: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
-    """(start, node, depth) closure along src to dst edges, until nothing new is found."""
+def upstream(edges: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
+    """(start, node, depth) closure along src to dst edges, until nothing new is found; an error if that takes over ``most`` hops."""
     seen = durable(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")))
     frontier = seen
     for k in range(1, most + 1):
@@ -39,11 +39,18 @@ def upstream(edges: DataFrame, starts: DataFrame, most: int = 100) -> DataFrame:
         if frontier.limit(1).count() == 0:
             break
         seen = seen.unionByName(frontier)
+        if k % 20 == 0:  # keeps the plan short
+            seen = durable(seen)
+    else:
+        raise RuntimeError(f"closure not complete after {most} hops")
     return seen
 
 
-def cheapest(edges: DataFrame, starts: DataFrame, cost: str, budget: float | None = None, most: int = 200) -> DataFrame:
-    """(start, node, cost): least cost over src to dst edges by relaxation; costs are positive. Nodes over ``budget`` are left out."""
+def cheapest(edges: DataFrame, starts: DataFrame, cost: str, budget: float | None = None, most: int = 10_000) -> DataFrame:
+    """(start, node, cost): least cost over src to dst edges by relaxation; costs are positive. Nodes over ``budget`` are left out.
+
+    Relaxes until no cost falls; an error if that takes over ``most`` rounds.
+    """
     best = durable(starts.select(F.col("node").alias("start"), "node", F.lit(0.0).alias("cost")))
     changed = best
     for _ in range(most):
@@ -55,26 +62,29 @@ def cheapest(edges: DataFrame, starts: DataFrame, cost: str, budget: float | Non
         if changed.limit(1).count() == 0:
             break
         best = durable(best.unionByName(changed).groupBy("start", "node").agg(F.min("cost").alias("cost")))
+    else:
+        raise RuntimeError(f"costs did not settle in {most} rounds")
     return best
 
 
-def label_communities(edges: DataFrame, weight: str, rounds: int = 10) -> DataFrame:
+def label_communities(edges: DataFrame, weight: str, rounds: int = 1000) -> DataFrame:
     """(node, community) by weighted label propagation from the smallest member on; ties go to the smaller label.
 
-    Only nodes of one half (by hash and round) move in a round, so that pairs don't swap for ever.
+    Only nodes of one half move in a round, and each round draws its halves anew, so that pairs don't swap
+    for ever. Ends when no node of either half would move; an error if that takes over ``rounds`` rounds.
     """
     links = durable(both_ways(edges.select("src", "dst", F.col(weight).alias("w"))))
     labels = durable(links.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
     for k in range(rounds):
         votes = links.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.round(F.sum("w"), 9).alias("w"))
         top = votes.groupBy("node").agg(F.max(F.struct("w", (-F.col("community")).alias("minus"))).alias("t")).select("node", (-F.col("t.minus")).alias("new"))
-        moves = F.pmod(F.xxhash64("node"), F.lit(2)) == k % 2
-        stepped = labels.join(top, "node", "left").select("node", F.when(moves & F.col("new").isNotNull(), F.col("new")).otherwise(F.col("community")).alias("community"), (moves & (F.col("new") != F.col("community"))).alias("moved"))
-        stepped = durable(stepped)
-        still = stepped.where("moved").limit(1).count() == 0
-        labels = stepped.select("node", "community")
-        if still and k % 2 == 1:
+        moves = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
+        wanted = durable(labels.join(top, "node").select("node", "community", "new"))
+        if wanted.where("new <> community").limit(1).count() == 0:
             break
+        labels = wanted.select("node", F.when(moves, F.col("new")).otherwise(F.col("community")).alias("community"))
+    else:
+        raise RuntimeError(f"communities did not settle in {rounds} rounds")
     size = labels.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("least"))
     return labels.join(size, "community").select("node", F.col("least").alias("community"), "n")
 

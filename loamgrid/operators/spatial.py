@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from loamgrid.functions import geo
 from loamgrid.plans.durable import durable
 
+#: A reach with which any two points meet in neighbouring cells: once round the globe.
+ROUND_M = 40_000_000.0
+
 STATISTICS = {
     "sum": F.sum, "mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "std": F.stddev_samp, "count": F.count,
 }
@@ -96,22 +99,22 @@ def within_distance(left: DataFrame, right: DataFrame, metres: float, left_id: s
     return a.join(b, ["cx", "cy"]).withColumn("distance_m", d).where(F.col("distance_m") <= metres).select(left_id, right_id, "distance_m")
 
 
-def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, start_m: float, max_m: float | None = None, rounds: int = 12) -> DataFrame:
+def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, start_m: float, max_m: float | None = None) -> DataFrame:
     """Each left row with its nearest right row in metres; ties go to the smallest id; none within ``max_m``: nulls.
 
     Cells about a point are searched, then wider ones for the rows that found nothing near enough to be
     sure; the reach doubles each round, and the pairs a round makes stay proportional to the rows left.
+    Without ``max_m`` it goes on until the reach covers the globe.
     """
-    scale = _metres_a_degree(left.select("lat").unionByName(right.select("lat")), "lat")
     rest, done, reach = left.select(left_id, "lon", "lat"), None, start_m
-    for _ in range(rounds):
-        reach_now = min(reach, max_m) if max_m else reach
-        found = within_distance(rest, right, reach_now, left_id, right_id)
+    last = max_m or ROUND_M
+    while True:
+        found = within_distance(rest, right, min(reach, last), left_id, right_id)
         best = found.groupBy(left_id).agg(F.min(F.struct("distance_m", right_id)).alias("b")).select(left_id, f"b.{right_id}", "b.distance_m")
         best = durable(best)
         done = best if done is None else done.unionByName(best)
         rest = durable(rest.join(best.select(left_id), left_id, "left_anti"))
-        if (max_m and reach >= max_m) or reach * 2 > scale * 360 or rest.limit(1).count() == 0:
+        if reach >= last or rest.limit(1).count() == 0:
             break
         reach *= 2
     return left.select(left_id).join(done, left_id, "left")

@@ -173,3 +173,25 @@ def test_nearest_join_plan_has_no_cross_join(spark):
     q = p.withColumnRenamed("a", "b")
     plan = spatial.within_distance(p, q, 3000.0, "a", "b")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_nearest_join_goes_round_the_globe(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, -80.0)], "a long, lon double, lat double")
+    q = spark.createDataFrame([(7, 50.0, 0.0), (8, -100.0, 88.0)], "b long, lon double, lat double")
+    got = {r["a"]: (r["b"], round(r["distance_m"] / 1000)) for r in spatial.nearest_join(p, q, "a", "b", 1000.0).collect()}
+    assert got == {1: (7, 5560), 2: (7, 9295)}
+
+
+def test_loops_never_return_a_cut_result(spark):
+    chain = spark.createDataFrame([(k, k + 1, 1.0) for k in range(4)], "src long, dst long, w double")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert graphs.upstream(chain, start, most=5).count() == 5
+    for cut in (lambda: graphs.upstream(chain, start, most=2), lambda: graphs.cheapest(chain, start, "w", most=2), lambda: graphs.label_communities(chain, "w", rounds=1)):
+        with pytest.raises(RuntimeError):
+            cut()
+
+
+def test_communities_settle_where_a_pair_moves_together(spark):
+    pairs = spark.createDataFrame([(k, k + 100, 1.0) for k in range(40)], "src long, dst long, w double")
+    got = {r["node"]: r["community"] for r in graphs.label_communities(pairs, "w").collect()}
+    assert got == {k + side: k for k in range(40) for side in (0, 100)}
