@@ -121,9 +121,9 @@ def p09(spark, d):
     return out.select("label", "n", F.posexplode("pooled").alias("k", "v")).select("label", "n", "k", (F.round("v", 6) + 0.0).alias("v"))
 
 
-def _edges(spark, d):
-    """Suppliers that share parts, by number of parts; parts of one in forty keep the pairs few."""
-    l = read(spark, d, "lineitem").where("l_partkey % 40 = 0").select("l_partkey", F.col("l_suppkey").alias("src")).distinct()  # noqa: E741
+def _edges(spark, d, every=40):
+    """Suppliers that share parts, by number of parts; of parts whose number ``every`` divides, as the SQL of most queries has it."""
+    l = read(spark, d, "lineitem").where(F.col("l_partkey") % every == 0).select("l_partkey", F.col("l_suppkey").alias("src")).distinct()  # noqa: E741
     pairs = l.join(l.select("l_partkey", F.col("src").alias("dst")), "l_partkey").where("src < dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     return pairs.where("weight >= 4")
 
@@ -152,7 +152,7 @@ def c04(spark, d):
 
 
 def c05(spark, d):
-    e = _edges(spark, d)
+    e = _edges(spark, d, every=1)
     return G.label_communities(e, "weight")
 
 
