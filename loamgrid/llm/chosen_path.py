@@ -21,6 +21,8 @@ from loamgrid.plans.durable import durable
 
 #: Minwise coordinates a document; trees; documents that a node may hold to be compared exhaustively.
 COORDINATES, TREES, SMALL = 64, 12, 4096
+#: Trees that documents of nodes over SMALL walk down besides, by as many coordinates of their own.
+DEEP_TREES = 48
 #: Documents in a block of a comparison on full sets; clusters beyond LARGE are compared leaf by leaf.
 BLOCK, LARGE = 1024, 65_536
 #: Rounds of branching (one step, then two each); what is still over SMALL then is compared block by block.
@@ -37,6 +39,12 @@ def _features(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFra
         yield pd.DataFrame(rows, columns=["doc", "n_shingles", "digest", "mins"])
 
 
+def _more_mins(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    seeds = np.random.default_rng(20240301).integers(1, 2**63, COORDINATES, dtype=np.uint64)
+    for batch in batches:
+        yield pd.DataFrame({"doc": batch["doc"], "mins": [minwise(shingle_set(t, size), seeds) for t in batch["text"]]})
+
+
 def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame({"doc": batch["doc"], "shingles": [shingle_set(t, size).tobytes() for t in batch["text"]]})
@@ -165,8 +173,36 @@ def _blocked(rows: DataFrame, block: int) -> DataFrame:
     return rows.select("unit", "doc", F.explode(pairs).alias("p")).select("unit", "p.*", "doc")
 
 
+def _roots(reps: DataFrame, first: int, trees: int) -> DataFrame:
+    """(doc, mins, node): each document at the roots of ``trees`` trees, numbered from ``first`` on."""
+    numbers = F.explode(F.sequence(F.lit(first), F.lit(first + trees - 1))).alias("t")
+    return reps.select("doc", "mins", numbers).select("doc", "mins", F.xxhash64(F.lit("tree"), "t").alias("node"))
+
+
+def _walk(roots: DataFrame, reps: DataFrame, expected: float, small: int, steps: int, rounds: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Leaves, what is over ``small`` in the first round, and what still is after the last; (node, doc, n) rows or None.
+
+    The first round goes ``steps`` down and each later one two; nodes of one document end, small ones become leaves.
+    """
+    level = roots.select("doc", F.explode(_branches(steps, expected)).alias("node"))
+    level = level.distinct() if steps > 1 else level
+    leaves, first = None, None
+    for k in range(rounds):
+        sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        sized = durable(level.join(sizes, "node"))
+        here = sized.where(F.col("n") <= small)
+        leaves = here if leaves is None else leaves.unionByName(here)
+        over = sized.where(F.col("n") > small)
+        if over.limit(1).count() == 0:
+            return leaves, first, None
+        first = over if first is None else first
+        if k < rounds - 1:
+            level = over.select("node", "doc").join(reps, "doc").select("doc", F.explode(_branches(2, expected)).alias("node")).distinct()
+    return leaves, first, over
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, block: int = BLOCK, large: int = LARGE
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, block: int = BLOCK, large: int = LARGE, deep_trees: int = DEEP_TREES
 ) -> DataFrame:
     """(id, n_shingles long, component_id, kept boolean), one row for each row of ``docs``.
 
@@ -174,8 +210,11 @@ def near_duplicates(
     shingles; component_id is the smallest id reachable, kept says that it is the row's own.
 
     Recall: at each level a pair at similarity s stays together with probability 1 - (1 - s)(1 - p s),
-    p = 100 / percent - 1; at s = 0.8 that is 0.84 after one level, and about 0.55 after six. Twelve
-    independent trees then miss a pair with probability 3e-10 and 7e-5. The prefilter inside a node asks
+    p = 100 / percent - 1; at s = 0.8 that is 0.84 after one level, 0.64 after three and 0.44 after seven.
+    The trees share the minwise values; averaged over these, twelve miss a pair at 0.8 with probability 8e-9
+    after one level, but 6e-3 after seven. So documents of nodes that are split further also walk down
+    ``deep_trees`` trees by coordinates of their own, of which 48 miss 6e-12 after three levels and 8e-6 after
+    seven, 5e-8 with the twelve (taken as independent). The prefilter inside a node asks
     for agreement in 4.5 standard deviations fewer coordinates than a pair at the threshold has on average.
     All links are confirmed on the full sets; no pair that fails there is used.
 
@@ -199,22 +238,14 @@ def near_duplicates(
     same = feats.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("doc"), F.any_value("mins").alias("mins"))
     reps = same.select("doc", "mins")
 
-    # level by level: (node, doc) rows; nodes of one document end, small ones become leaves, the rest branch on
-    roots = reps.select("doc", "mins", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("t")).select("doc", "mins", F.xxhash64(F.lit("tree"), "t").alias("node"))
-    level = roots.select("doc", F.explode(_branches(1, expected)).alias("node"))
-    leaves, stuck = None, None
-    for k in range(ROUNDS):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = durable(level.join(sizes, "node"))
-        here = sized.where(F.col("n") <= small)
-        leaves = here if leaves is None else leaves.unionByName(here)
-        over = sized.where(F.col("n") > small)
-        if over.limit(1).count() == 0:
-            break
-        if k == ROUNDS - 1:
-            stuck = over
-            break
-        level = over.select("node", "doc").join(reps, "doc").select("doc", F.explode(_branches(2, expected)).alias("node")).distinct()
+    leaves, over, stuck = _walk(_roots(reps, 0, trees), reps, expected, small, 1, ROUNDS)
+    if over is not None:  # both documents of a pair that meets in a node over ``small`` are here
+        deep = over.select("doc").distinct()
+        again = durable(texts.join(deep, "doc", "left_semi").mapInPandas(lambda it: _more_mins(it, words), "doc long, mins array<int>"))
+        more, _, left = _walk(_roots(again, trees, deep_trees), again, expected, small, 3, ROUNDS - 1)
+        leaves = leaves.unionByName(more)
+        if left is not None:
+            stuck = left if stuck is None else stuck.unionByName(left)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = leaves.select("node", "doc").join(reps, "doc").repartition(parts, "node").sortWithinPartitions("node")

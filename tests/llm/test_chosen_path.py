@@ -62,6 +62,15 @@ def test_a_group_that_no_coordinate_parts(docs_of):
     assert got(out) == plain_components(pairs, 5, 80)
 
 
+def test_recall_where_many_share_a_header(docs_of):
+    header, pairs = [f"h{k}" for k in range(70)], []
+    for k in range(300):  # two documents at exactly 0.8; those of other pairs are at 0.64
+        body = header + [f"b{k}x{j}" for j in range(10)]
+        pairs += [(2 * k + side, " ".join(body + [f"o{k}x{side}x{j}" for j in range(10)])) for side in (0, 1)]
+    out = C.near_duplicates(docs_of(pairs), words=1, percent=80, trees=6, small=40, block=20, large=40)
+    assert got(out) == {i: (90, i - i % 2) for i, _ in pairs}
+
+
 def test_odd_rows(odd_docs, docs_of):
     rows = C.near_duplicates(odd_docs, words=5).collect()
     assert len(rows) == 9
