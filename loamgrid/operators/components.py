@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.plans.durable import durable
+from loamgrid.plans.durable import durable, evenly
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(hi, m): the smallest neighbour below each node that has one."""
+    return edges.groupBy("hi").agg(F.min("lo").alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-    least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("m"))
-    return both.join(least, "hi").where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
+    """Each node's larger neighbours move to its smallest neighbour, or stay with a node that has none below."""
+    below = evenly(_least(edges), "hi").withColumnRenamed("hi", "at")
+    return edges.join(below, F.col("lo") == F.col("at"), "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    """Each node and its smaller neighbours move to the smallest of these."""
+    least = _least(edges)
+    moved = edges.join(evenly(least, "hi"), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
@@ -30,6 +36,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Two star contractions a round; the number of rounds grows with the logarithm of the longest
     shortest path. Every round is checkpointed; only one count and one hash reach the driver.
+    A hub's edges meet only in minima with partial results and in joins that the skew join can split.
     Self loops keep their node as a component of one; null ends are ignored; repeated edges count once.
     """
     clean = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
