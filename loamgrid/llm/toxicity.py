@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.plans.durable import durable
+
 #: Bounds of the fit: toxic texts, unlabelled texts, and buckets with a weight.
 MAX_POSITIVE, MAX_UNLABELLED, FEATURES = 4_000, 12_000, 4_096
 BUCKETS = 1 << 20
@@ -26,26 +29,22 @@ _WORD = re.compile(r"\w+")
 
 
 class _WordBuckets(dict):
-    """Buckets of a word and of its beginnings; forgets all at ``limit`` words, so its memory is bounded."""
+    """Buckets of a word and of its beginnings, those of ``only`` if given; forgets all at ``limit`` words, so its memory is bounded."""
 
-    def __init__(self, limit: int = 200_000):
-        self.limit = limit
+    def __init__(self, only: Collection[int] | None = None, limit: int = 100_000):
+        self.only, self.limit = only, limit
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= self.limit:
             self.clear()
         parts = [f"={word}", *(f"{n}{word[:n]}" for n in PREFIXES if len(word) > n)]
-        value = self[word] = tuple(zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts)
+        found = (zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts)
+        value = self[word] = tuple(found) if self.only is None else tuple(b for b in found if b in self.only)
         return value
 
-
-_BUCKETS = _WordBuckets()
-
-
-def buckets_of(text: str | None) -> set[int]:
-    """Hashed features of a whole text: its distinct words and their beginnings."""
-    words = set(_WORD.findall((text or "").lower()))
-    return {b for w in words for b in _BUCKETS[w]}
+    def of(self, text: str | None) -> set[int]:
+        """Hashed features of a whole text: its distinct words and their beginnings."""
+        return set(chain.from_iterable(map(self.__getitem__, set(_WORD.findall((text or "").lower())))))
 
 
 @dataclass
@@ -56,10 +55,11 @@ class NnpuModel:
     prior: float = 0.0
     weights: dict[int, float] = field(default_factory=dict)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        known = self.weights.keys()
-        g = np.array([self.bias + sum(self.weights[b] for b in known & buckets_of(t)) for t in texts], float)
-        return 1 / (1 + np.exp(-np.clip(g, -60, 60)))
+    def scores(self, texts: list[str | None], buckets: _WordBuckets | None = None) -> np.ndarray:
+        """Of each text; ``buckets`` remembers words from one call to the next."""
+        buckets = _WordBuckets(self.weights) if buckets is None else buckets
+        g = np.array([self.bias + sum([self.weights[b] for b in sorted(buckets.of(t))]) for t in texts], float)
+        return _sigmoid(g)
 
 
 def chosen_features(sample: DataFrame, prior: float, most: int, least_share: float = 0.6, least_z: float = 3.5) -> np.ndarray:
@@ -77,8 +77,31 @@ def chosen_features(sample: DataFrame, prior: float, most: int, least_share: flo
     return np.sort([r["bucket"] for r in good.orderBy(F.desc("in_p"), "bucket").limit(most).select("bucket").collect()]).astype(np.int64)
 
 
+def _sigmoid(g: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(g, -60, 60)))
+
+
+def risk_and_step(w: np.ndarray, positive: tuple[np.ndarray, np.ndarray, int], unlabelled: tuple[np.ndarray, np.ndarray, int], prior: float) -> tuple[float, float, np.ndarray]:
+    """(positive part, negative part, gradient to follow) of the class-prior-corrected risk with logistic loss.
+
+    Weights end with the bias; texts are (features, their text, number of texts). The negative part is the
+    unlabelled risk as negative less prior * that of the positives as negative. It is the risk of true negatives
+    and can't be below zero; where its estimate is, the step goes back along it alone.
+    """
+    (pi, pd_, n_p), (ui, ud, n_u), k = positive, unlabelled, len(w) - 1
+    gp = np.bincount(pd_, w[pi], n_p) + w[k]
+    gu = np.bincount(ud, w[ui], n_u) + w[k]
+    as_positive, negative = prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    negative_u, negative_p = _sigmoid(gu) / n_u, -prior * _sigmoid(gp) / n_p
+    if negative >= 0:
+        rp, ru = -prior * (1 - _sigmoid(gp)) / n_p + negative_p, negative_u
+    else:
+        rp, ru = -negative_p, -negative_u
+    return float(as_positive), float(negative), np.r_[np.bincount(pi, rp[pd_], k) + np.bincount(ui, ru[ud], k), rp.sum() + ru.sum()]
+
+
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray, steps: int = 300, rate: float = 0.05, l2: float = 2e-5) -> NnpuModel:
-    """Adam on the non-negative risk with logistic loss, over the ``chosen`` buckets of each text.
+    """Adam on the non-negative risk, over the ``chosen`` buckets of each text.
 
     Without positives, unlabelled texts or buckets nothing is toxic.
     """
@@ -87,26 +110,15 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     where = np.full(BUCKETS, -1)
     where[chosen] = np.arange(len(chosen))
 
-    def sparse(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def sparse(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
         parts = [(x := where[d])[x >= 0] for d in docs]
-        return np.concatenate(parts), np.repeat(np.arange(len(docs)), [len(p) for p in parts])
+        return np.concatenate(parts), np.repeat(np.arange(len(docs)), [len(p) for p in parts]), len(docs)
 
-    (pi, pd_), (ui, ud) = sparse(positive), sparse(unlabelled)
-    n_p, n_u, k = len(positive), len(unlabelled), len(chosen)
-    w = np.zeros(k + 1)
+    p, u, k = sparse(positive), sparse(unlabelled), len(chosen)
+    w, m, v = np.zeros(k + 1), np.zeros(k + 1), np.zeros(k + 1)
     w[k] = np.log(prior / (1 - prior))
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
-    sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -60, 60)))
     for t in range(1, steps + 1):
-        gp = np.bincount(pd_, w[pi], n_p) + w[k]
-        gu = np.bincount(ud, w[ui], n_u) + w[k]
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        as_negative_u, as_negative_p = sigmoid(gu) / n_u, -prior * sigmoid(gp) / n_p
-        if negative >= 0:
-            rp, ru = -prior * (1 - sigmoid(gp)) / n_p + as_negative_p, as_negative_u
-        else:  # the estimate has gone below zero: step back along that part alone
-            rp, ru = -as_negative_p, -as_negative_u
-        grad = np.r_[np.bincount(pi, rp[pd_], k) + np.bincount(ui, ru[ud], k), rp.sum() + ru.sum()]
+        grad = risk_and_step(w, p, u, prior)[2]
         grad[:k] += l2 * w[:k]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -125,12 +137,15 @@ def _share(salt: str, share: float) -> Column:
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> NnpuModel:
     """A model from toxic rows of ``labels`` (doc_id, toxic) and texts of ``docs`` (doc_id, text), training rows only.
 
-    The prior is the share of toxic rows among the labelled ones. Expected sample sizes are ``max_positive``
+    The prior is the share of toxic rows among the labelled ones whose texts ``docs`` has, as it must be that of
+    the unlabelled texts: where other steps have taken documents away, a prior of all labels is wrong for what
+    is left. An id that any row labels toxic is toxic, and counts once. Expected sample sizes are ``max_positive``
     and ``max_unlabelled``, chosen by a hash of the id. Spark counts the buckets of the sample; the driver gets
     the chosen ones, at most FEATURES, and for each text of the sample which of these it holds.
     """
-    seen = labels.where(in_training(F.col("doc_id")) & F.col("toxic").isNotNull()).select("doc_id", "toxic").distinct()
-    n, n_toxic = seen.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
+    seen = labels.where(in_training(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+    seen = durable(seen.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    n, n_toxic = seen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n_toxic:
         return NnpuModel()
     total = docs.count()
@@ -139,8 +154,9 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_P
     rows = rows.withColumn("unlabelled", _share("u", min(1.0, max_unlabelled / max(1, total)))).where("positive or unlabelled")
 
     def features(batches: Iterator[pd.DataFrame], only: frozenset | None = None) -> Iterator[pd.DataFrame]:
+        buckets = _WordBuckets(only)
         for b in batches:
-            found = [buckets_of(t) if only is None else buckets_of(t) & only for t in b["text"]]
+            found = [buckets.of(t) for t in b["text"]]
             yield pd.DataFrame({"positive": b["positive"].eq(True), "unlabelled": b["unlabelled"], "buckets": [np.sort(np.fromiter(x, np.int32)) for x in found]})
 
     texts = rows.select("text", "positive", "unlabelled")
@@ -164,7 +180,8 @@ def score_toxicity(docs: DataFrame, model: NnpuModel, text_col: str = "text", sc
     schema = rest.withColumn(score_col, F.lit(0.0)).schema
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        buckets = _WordBuckets(model.weights)
         for b in batches:
-            yield b.assign(**{score_col: model.scores(b[text_col].tolist())})
+            yield b.assign(**{score_col: model.scores(b[text_col].tolist(), buckets)})
 
     return rest.mapInPandas(scored, schema)

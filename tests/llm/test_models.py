@@ -55,6 +55,41 @@ def test_the_risk_can_t_go_below_zero():
     assert np.isfinite(model.bias) and all(np.isfinite(w) for w in model.weights.values()) and model.bias < 0
 
 
+def test_risk_and_step_against_a_plain_version():
+    rng = np.random.default_rng(6)
+    pos, unl = ((rng.random((n, 7)) < 0.4).astype(float) for n in (11, 23))
+    sparse = lambda x: (np.nonzero(x)[1], np.nonzero(x)[0], len(x))
+
+    def parts(w, prior):
+        loss = lambda g, y: np.log1p(np.exp(-y * g)).mean()
+        gp, gu = pos @ w[:-1] + w[-1], unl @ w[:-1] + w[-1]
+        return prior * loss(gp, 1), loss(gu, -1) - prior * loss(gp, -1)
+
+    signs = set()
+    for prior in (0.2, 0.9):
+        for _ in range(20):
+            w = rng.normal(size=8) * 2
+            a, b = parts(w, prior)
+            got_a, got_b, step = T.risk_and_step(w, sparse(pos), sparse(unl), prior)
+            assert np.allclose((got_a, got_b), (a, b))
+            followed = (lambda x, b=b, prior=prior: sum(parts(x, prior)) if b >= 0 else -parts(x, prior)[1])  # noqa: B023
+            plain = [(followed(w + h) - followed(w - h)) / 2e-6 for h in np.eye(8) * 1e-6]
+            assert np.allclose(step, plain, atol=1e-6)
+            signs.add(b >= 0)
+    assert signs == {True, False}
+
+
+def test_the_prior_is_that_of_the_texts_at_hand(spark, docs_of):
+    """Labelled texts that an earlier step took away count for nothing, and an id labelled twice counts once."""
+    rows = [(k, f"plain text {k % 9}" + (" zzfoolish" if k % 10 == 0 else "")) for k in range(800)]
+    labels = spark.createDataFrame([(k, 1, int(k % 10 == 0)) for k in range(800)] + [(k, 1, 0) for k in range(0, 800, 10)] + [(5000 + k, 0, 0) for k in range(3000)], "doc_id long, quality int, toxic int")
+    model = T.train_toxicity(docs_of(rows), labels)
+    train = [k for k in range(800) if __import__("zlib").crc32(str(k).encode()) % 5]
+    assert model.prior == sum(k % 10 == 0 for k in train) / len(train)
+    got = {r["doc_id"]: r["toxicity"] >= 0.5 for r in T.score_toxicity(docs_of(rows), model).collect()}
+    assert all(got[k] == (k % 10 == 0) for k in got)
+
+
 def test_quality_on_held_out_rows(spark, docs_of):
     rng, base = texts(600, 5)
     rows, labels = [], []
