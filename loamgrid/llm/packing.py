@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class WordIds:
-    """Token ids of pieces between white space, as little-endian 32-bit bytes.
+class WordIds(dict):
+    """Token ids of pieces between white space, as little-endian 32-bit bytes, by piece; looks up what it doesn't hold.
 
     The vocabulary drops white space and never merges over it, so a text's ids are those of its pieces in a
     row. Only ASCII blanks part pieces here: what else Unicode calls white space is left to the tokenizer.
@@ -42,55 +43,46 @@ class WordIds:
     which go straight to its merges; any other piece goes through the whole tokenizer.
 
     Pieces are remembered in two generations: the older one is forgotten when the younger is full, and what
-    is met again moves to the younger, so frequent pieces stay and memory is bounded.
+    is met again moves to the younger, so frequent pieces stay and memory is bounded. The word of a piece is
+    a piece of its own, so that it is merged once for all capitals and signs around it.
     """
 
     SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, generation: int = 300_000):
+    def __init__(self, path: str, generation: int = 200_000):
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge, self.simple = self.tokenizer.model.tokenize, self.SIMPLE.fullmatch
         self.letters = _byte_letters()
         self.generation = generation
-        self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        self.signs: dict[str, bytes] = {"": b""}
-
-    def _merged(self, word: str) -> bytes:
-        letters = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        other = []
-        for piece in pieces:
-            simple = self.SIMPLE.fullmatch(piece)
-            if not simple:
-                other.append(piece)
-                continue
-            word, signs = simple.groups()
-            if signs not in self.signs:
-                if len(self.signs) > 50_000:
-                    self.signs = {"": b""}
-                self.signs[signs] = self._merged(signs)
-            self.young[piece] = (self._merged(word.lower()) if word else b"") + self.signs[signs]
-        for piece, got in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
-            self.young[piece] = np.asarray(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null counts as empty."""
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.young) > self.generation:
-            self.old, self.young = self.young, {"": b""}
-        young, old = self.young, self.old
-        new = []
-        for piece in set().union(*split):
-            if piece not in young:
-                if (ids := old.get(piece)) is None:
-                    new.append(piece)
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            if (parts := self.simple(piece)) is None:
+                ids = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+            else:
+                word, signs = parts.groups()
+                lower = word.lower()
+                if signs and word:
+                    ids = self[lower] + self[signs]
+                elif lower != piece and word:
+                    ids = self[lower]
                 else:
-                    young[piece] = ids
-        self._learn(new)
-        return [b"".join(map(young.__getitem__, pieces)) for pieces in split]
+                    letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+                    ids = array("I", [t.id for t in self.merge(letters)]).tobytes()
+        self[piece] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text; null counts as empty."""
+        if len(self) > self.generation:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
 
 
 def cost(tokens: int) -> float:
@@ -178,7 +170,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, held, tokens, next_sequence = WordIds(tokenizer), [], 0, 0
+        words, held, tokens, next_sequence, base = WordIds(tokenizer), [], 0, 0, 0
 
         def flush() -> pd.DataFrame:
             nonlocal next_sequence
@@ -197,15 +189,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            base = int(batch["part"].iloc[0]) << 32 if len(batch) else 0
-            for k in range(0, len(batch), 256):
-                part = batch.iloc[k : k + 256]
-                for name, ids in zip(part["id"].tolist(), words.encode(part["text"].tolist()), strict=True):
-                    held.append((name, ids + end))
-                    tokens += len(ids) // 4 + 1
-                    if tokens >= pool:
-                        yield flush()
-                        tokens = 0
+            base = int(batch["part"].iloc[0]) << 32 if len(batch) else base
+            for name, text in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
+                ids = words.encode(text) + end
+                held.append((name, ids))
+                tokens += len(ids) // 4
+                if tokens >= pool:
+                    yield flush()
+                    tokens = 0
         if held:
             yield flush()
 

@@ -71,14 +71,14 @@ def test_only_what_no_sequence_holds_is_cut(median):
 @given(st.text(st.sampled_from("aZéßÀİ.,!'$%_ \t\u0301１9tsreX－ŉ")))
 @settings(max_examples=300, deadline=None)
 def test_any_pieces_are_the_tokenizers(text):
-    assert np.frombuffer(WORDS.encode([text])[0], "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(WORDS.encode(text), "<u4").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ["Don't stop, believin'!  x\n\ny\tz", "İstanbul ΣΑΣ é é ﬁ １２", "<|endoftext|> a", "", "\x1c\x85　wide line", "a" * 300])
 def test_ids_by_words_are_the_tokenizers(text):
     whole = Tokenizer.from_file(PATH)
     whole.encode_special_tokens = True
-    assert np.frombuffer(WordIds(PATH).encode([text])[0], "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(WordIds(PATH).encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 def test_documents(odd_docs, docs_of):
