@@ -4,9 +4,6 @@ Method: the distinct words of a batch are sorted by length, and words of equal l
 hashes of their substrings probe the sorted keys of the pieces, and the maxima over all pieces that end at
 a position store backpointers. Pieces with the highest total score win (unigram segmentation), ties go
 to the longer last piece; characters without a piece fall back to bytes.
-
-For files of the BPE type, whose library ids come from merging and not from the best total, the same table of
-substrings also gives the merged ids: equal-length words merge together, one best pair each a step.
 """
 
 from __future__ import annotations
@@ -27,6 +24,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: A word: a run of marked blanks and what follows up to the next; no piece but runs of blanks crosses its edge.
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Substrings that are looked up at a time; characters of the texts that are encoded together.
+PROBES, TOGETHER = 400_000, 1_500_000
 #: How far below the lowest normal score a character without a piece lies.
 UNKNOWN_PENALTY = 10.0
 
@@ -49,7 +48,7 @@ def _prefix_hashes(codes: np.ndarray) -> np.ndarray:
 class Pieces:
     """The pieces of one model as sorted hash keys, and a bounded memory of words already encoded."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 150_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
@@ -69,68 +68,56 @@ class Pieces:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash key")
         self.scores = np.array([scores[i] for i in self.ids.tolist()])
+        self.first_bits = np.zeros(1 << 21, bool)  # whether any key begins with these bits: most probes end here
+        self.first_bits[self.keys >> np.uint64(43)] = True
         self.out = [bytes([int(p[3:5], 16)]) if i in self.bytes_at.values() else b"" if model.is_control(i) else p.encode() for i, p in enumerate(self.pieces)]
-        self.known: dict[str, tuple[bytes, float, bytes]] = {}
+        self.known: dict[str, tuple[bytes, float, bool]] = {}
+        self.older: dict[str, tuple[bytes, float, bool]] = {}
         self.remember = remember
 
+    def _probe(self, h: np.ndarray, first: int, last: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (-inf: no piece) and ids of what ends at places ``first`` to ``last``, by word, place and length from ``longest`` down."""
+        ends, lengths = np.arange(first, last + 1), np.arange(longest, 0, -1)
+        starts = ends[:, None] - lengths
+        power = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(longest, BASE)])
+        key = (h[:, ends, None] - h[:, np.maximum(starts, 0)] * power[lengths]).ravel()
+        shape = (len(h), *starts.shape)
+        there = np.flatnonzero(self.first_bits[key >> np.uint64(43)] & np.broadcast_to(starts >= 0, shape).ravel())
+        at = np.minimum(np.searchsorted(self.keys, key[there]), len(self.keys) - 1)
+        hit = self.keys[at] == key[there]
+        gain, names = np.full(len(key), -np.inf), np.zeros(len(key), np.int32)
+        gain[there[hit]], names[there[hit]] = self.scores[at[hit]], self.ids[at[hit]]
+        gain = gain.reshape(shape)
+        gain[:, :, -1] = np.where(np.isfinite(gain[:, :, -1]), gain[:, :, -1], self.unknown)
+        return gain, names.reshape(shape)
+
     def _same_length(self, words: list[str]) -> None:
-        """Both segmentations of words of one length, all words at once."""
+        """The best segmentations of words of one length, all words at once."""
         n, size = len(words), len(words[0])
-        h = _prefix_hashes(_codes(words))
-        power = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(self.longest, BASE)])
-        # what begins at a place with a length: its score (-inf: no piece) and its id
-        score, found = np.full((n, size, self.longest), -np.inf), np.zeros((n, size, self.longest), np.int32)
-        best = np.zeros((n, size + 1))
-        back, piece = np.zeros((n, size + 1), np.int32), np.zeros((n, size + 1), np.int32)
-        rows = np.arange(n)
-        for end in range(1, size + 1):
-            starts = np.arange(max(0, end - self.longest), end)
-            key = h[:, end, None] - h[:, starts] * power[end - starts]
-            at = np.minimum(np.searchsorted(self.keys, key.ravel()), len(self.keys) - 1).reshape(key.shape)
-            hit = self.keys[at] == key
-            gain = np.where(hit, self.scores[at], -np.inf)
-            names = np.where(hit, self.ids[at], 0)
-            score[:, starts, end - starts - 1], found[:, starts, end - starts - 1] = gain, names
-            gain = gain.copy()
-            gain[:, -1] = np.where(hit[:, -1], gain[:, -1], self.unknown)
-            total = best[:, starts] + gain
-            top = total.argmax(axis=1)
-            best[:, end], back[:, end], piece[:, end] = total[rows, top], starts[top], names[rows, top]
+        h, longest, rows = _prefix_hashes(_codes(words)), min(self.longest, size), np.arange(n)
+        best, back, piece = np.zeros((n, size + 1)), np.zeros((n, size + 1), np.int32), np.zeros((n, size + 1), np.int32)
+        stride = max(1, PROBES // (n * longest))
+        for first in range(1, size + 1, stride):
+            last = min(size, first + stride - 1)
+            gain, names = self._probe(h, first, last, longest)
+            for end in range(first, last + 1):
+                skip = max(0, longest - end)  # lengths that would begin before the word
+                total = best[:, end - longest + skip : end] + gain[:, end - first, skip:]
+                top = total.argmax(axis=1)
+                best[:, end], back[:, end], piece[:, end] = total[rows, top], end - longest + skip + top, names[rows, end - first, skip + top]
         at, steps = np.full(n, size), []
         while at.any():
             steps.append(np.where(at > 0, piece[rows, at], -1))
             at = back[rows, at]
         chosen = np.stack(steps[::-1], axis=1)
-        merged = self._merged(score, found)
-        for word, one, other, value in zip(words, chosen.tolist(), merged.tolist(), best[:, size].tolist(), strict=True):
-            self.known[word] = (self._stored(word, one), value, self._stored(word, other))
-
-    def _merged(self, score: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """Ids by place after all merges (-1 where no piece begins): of the neighbours that make a piece, those with
-        the highest score join first, the leftmost of equals, until none can."""
-        n, size, longest = score.shape
-        ends = np.tile(np.arange(1, size + 1), (n, 1))
-        begins = np.ones((n, size), bool)
-        active, place = np.arange(n), np.arange(size)
-        while len(active) and size > 1:
-            e = ends[active]
-            f = np.take_along_axis(e, np.minimum(e, size - 1), axis=1)
-            can = begins[active] & (e < size) & (f - place <= longest)
-            pair = np.where(can, score[active[:, None], place, np.clip(f - place - 1, 0, longest - 1)], -np.inf)
-            left = pair.argmax(axis=1)
-            more = np.isfinite(pair[np.arange(len(active)), left])
-            active, left, e, f = active[more], left[more], e[more], f[more]
-            k = np.arange(len(active))
-            begins[active, e[k, left]] = False
-            ends[active, left] = f[k, left]
-        names = found[np.arange(n)[:, None], place, np.minimum(ends - place - 1, longest - 1)]
-        return np.where(begins, names, -1)
-
-    def _stored(self, word: str, row: list[int]) -> bytes:
-        row = [i for i in row if i >= 0]
-        return np.array(self._with_bytes(word, row) if 0 in row else row, "<u4").tobytes()
-
-    def _with_bytes(self, word: str, row: list[int]) -> list[int]:
+        real, with_bytes = chosen >= 0, (chosen == 0).any(axis=1)
+        ends = (4 * np.cumsum(real.sum(axis=1))).tolist()
+        raw = chosen[real].astype("<u4").tobytes()
+        for k, (word, begin, end, value) in enumerate(zip(words, [0, *ends[:-1]], ends, best[:, size].tolist(), strict=True)):
+            ids = self._with_bytes(word, chosen[k][real[k]].tolist()) if with_bytes[k] else raw[begin:end]
+            self.known[word] = (ids, value, self.joined(ids) == word.replace(SPACE, " "))
+
+    def _with_bytes(self, word: str, row: list[int]) -> bytes:
         out, at = [], 0
         for i in row:
             if i:
@@ -139,33 +126,39 @@ class Pieces:
             else:
                 out += [self.bytes_at[b] for b in word[at].encode("utf-8", "surrogatepass")]
                 at += 1
-        return out
+        return np.array(out, "<u4").tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, float, bytes]]:
-        """(Viterbi ids, their total score, merged ids) of each whole text, ids as little-endian 32-bit bytes.
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, float, bool]]:
+        """(ids as little-endian 32-bit bytes, their total score, whether decoding gives the text back) of each whole text.
 
-        Null and empty texts have no ids.
+        Null and empty texts have no ids. A text is its words in a row, so each distinct word is decoded once.
         """
         split = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > self.remember:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         by_length: dict[int, list[str]] = {}
-        for word in {w for words in split for w in words}.difference(self.known):
-            by_length.setdefault(len(word), []).append(word)
+        for word in set().union(*split).difference(self.known):
+            if word in self.older:
+                self.known[word] = self.older[word]
+            else:
+                by_length.setdefault(len(word), []).append(word)
         for size, words in by_length.items():
-            step = max(1, 400_000 // (size * self.longest))
+            step = max(1, PROBES // (size * min(size, self.longest)))
             for k in range(0, len(words), step):
                 self._same_length(words[k : k + step])
         out = []
         for words in split:
-            got = [self.known[w] for w in words]
-            out.append((b"".join([g[0] for g in got]), sum([g[1] for g in got]), b"".join([g[2] for g in got])))
+            ids, values, good = zip(*map(self.known.__getitem__, words), strict=True) if words else ((), (), ())
+            out.append((b"".join(ids), sum(values), all(good)))
         return out
 
+    def joined(self, ids: bytes) -> str:
+        """The text of ids with all its blanks."""
+        return b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").replace(SPACE, " ")
+
     def decode(self, ids: bytes) -> str:
         """The text of ids; the blank that encoding put first is taken off again."""
-        raw = b"".join(map(self.out.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace").replace(SPACE, " ")
-        return raw[1:] if raw.startswith(" ") else raw
+        return self.joined(ids).removeprefix(" ")
 
 
 @lru_cache(maxsize=2)
@@ -173,20 +166,30 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-SCHEMA = "ids {0}, n_tokens long, score double, merged_ids {0}, merged_tokens long, round_trip boolean"
+SCHEMA = "ids {0}, n_tokens long, score double, round_trip boolean"
+
+
+def _together(texts: list[str | None]) -> Iterator[slice]:
+    """Slices of ``texts`` with about TOGETHER characters each."""
+    begin = held = 0
+    for k, t in enumerate(texts):
+        held += len(t or "")
+        if held >= TOGETHER or k == len(texts) - 1:
+            yield slice(begin, k + 1)
+            begin, held = k + 1, 0
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """id, ids, n_tokens and score by Viterbi, merged_ids and merged_tokens, and whether decoding gives the text back.
+    """id, ids, n_tokens and score by Viterbi, and whether decoding gives the text back.
 
-    Files of the unigram type mean the Viterbi ids, files of the BPE type the merged ones. ``round_trip`` asks
-    for the text from both. Ids are bytes; with ``digest`` their CRC-32 stands in ``ids_crc32`` and
-    ``merged_crc32``. ``model`` is the path of a file that every executor has, with identity normalisation and
-    a blank put first. Rows are encoded whole and alone; nothing is shuffled. Words already met stay known
-    to a Python worker up to a bound. A text's own U+2581 is decoded as a blank, as the format has it.
+    Ids are bytes; with ``digest`` their CRC-32 stands in ``ids_crc32``. ``model`` is the path of a file that
+    every executor has, with identity normalisation and a blank put first. Rows are encoded whole and alone;
+    nothing is shuffled. Words already met stay known to a Python worker up to a bound. A text's own U+2581 is
+    decoded as a blank, as the format has it.
 
     Defined cases: null and empty texts have no ids and score 0; null ids stay null; equal texts get equal
-    values; an empty table gives an empty table.
+    values; a word of any length is encoded whole, in memory and time that grow with its length; an empty
+    table gives an empty table.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -194,17 +197,13 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         pieces = pieces_of(model)
         shown = zlib.crc32 if digest else bytes
         for batch in batches:
-            for k in range(0, len(batch), 200):
-                part = batch.iloc[k : k + 200]
-                texts = part["text"].tolist()
-                rows = []
-                for (ids, score, merged), t in zip(pieces.encode(texts), texts, strict=True):
-                    want = (t or "").replace(SPACE, " ")
-                    rows.append((shown(ids), len(ids) // 4, float(score), shown(merged), len(merged) // 4, pieces.decode(ids) == want and pieces.decode(merged) == want))
-                out = pd.DataFrame(rows, columns=["ids", "n_tokens", "score", "merged_ids", "merged_tokens", "round_trip"], index=part.index)
-                out.insert(0, "id", part["id"])
+            texts = batch["text"].tolist()
+            for part in _together(texts):
+                rows = [(shown(ids), len(ids) // 4, float(score), good) for ids, score, good in pieces.encode(texts[part])]
+                out = pd.DataFrame(rows, columns=["ids", "n_tokens", "score", "round_trip"])
+                out.insert(0, "id", batch["id"].iloc[part].to_numpy())
                 yield out
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInPandas(encoded, f"id {kind}, {SCHEMA.format('long' if digest else 'binary')}")
-    return out.withColumnsRenamed({"id": id_col, **({"ids": "ids_crc32", "merged_ids": "merged_crc32"} if digest else {})})
+    return out.withColumnsRenamed({"id": id_col, **({"ids": "ids_crc32"} if digest else {})})
