@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 
 from loamgrid.llm.shingles import minwise, set_digest, shingle_set
 from loamgrid.operators.components import connected_components
-from loamgrid.plans.durable import durable
+from loamgrid.plans.durable import durable, evenly
 
 #: Minwise coordinates a document; trees; documents that a node may hold to be compared exhaustively.
 COORDINATES, TREES, SMALL = 64, 12, 4096
 #: Trees that documents of nodes over SMALL walk down besides, by as many coordinates of their own.
 DEEP_TREES = 48
-#: Documents in a block of a comparison on full sets; clusters beyond LARGE are compared leaf by leaf.
+#: Documents in a block of a comparison; clusters with more than LARGE documents outside their main part are compared leaf by leaf.
 BLOCK, LARGE = 1024, 65_536
+#: Documents of a cluster over BLOCK that meet all others of it; hits of an inverted list that are counted at a time.
+HEADS, HITS = 4, 2_000_000
 #: Rounds of branching (one step, then two each); what is still over SMALL then is compared block by block.
 ROUNDS = 4
 
@@ -65,114 +67,169 @@ def _branches(steps: int, expected: float) -> list[F.Column]:
     return nodes
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph with ``n`` nodes and edges ``a``-``b``."""
-    parent = np.arange(n)
-    while len(a):
-        ra, rb = parent[a], parent[b]
-        apart = ra != rb
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        if not len(a):
-            break
-        hi, lo = np.maximum(ra, rb), np.minimum(ra, rb)
-        parent[hi] = lo  # the last edge of each root wins
-        while True:
-            up = parent[parent]
-            if (up == parent).all():
-                break
-            parent = up
-    return [(i, r) for i, r in enumerate(parent.tolist()) if i != r]
-
-
-def _close_by_minwise(mins: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that agree in at least ``least`` coordinates."""
-    n, found_a, found_b = len(mins), [], []
-    step = max(1, 4_000_000 // (n * 8))
-    for k in range(0, n, step):
-        agree = np.zeros((min(step, n - k), n), np.int16)
+class Forest:
+    """Sets of indexes below ``n`` that grow together: a parent for each, so memory doesn't follow the number of edges."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join ``a[k]`` and ``b[k]`` for all k."""
+        while len(a):
+            ra, rb = self.parent[a], self.parent[b]
+            apart = ra != rb
+            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+            if not len(a):
+                return
+            self.parent[np.maximum(ra, rb)] = np.minimum(ra, rb)  # the last edge of each root wins
+            while (up := self.parent[self.parent]).tobytes() != self.parent.tobytes():
+                self.parent = up
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest: each index that isn't the smallest of its set, and that smallest."""
+        moved = np.flatnonzero(self.parent != np.arange(len(self.parent)))
+        return moved, self.parent[moved]
+
+
+def _join_close(forest: Forest, mins: np.ndarray, left: int, least: int) -> None:
+    """Join the rows that agree in at least ``least`` coordinates: any two, or (``left`` below their number) one of the first ``left`` with one of the others.
+
+    Some rows at a time against all; what they join goes into ``forest`` at once and no pairs are kept.
+    """
+    n, within = len(mins), left == len(mins)
+    right = mins if within else mins[left:]
+    step = max(1, 500_000 // len(right))
+    columns = np.ascontiguousarray(right.T)
+    for k in range(0, left, step):
+        part = mins[k : min(left, k + step)]
+        agree = np.zeros((len(part), len(right)), np.int8 if mins.shape[1] < 128 else np.int16)
         for c in range(mins.shape[1]):
-            agree += mins[k : k + step, c, None] == mins[None, :, c]
+            agree += part[:, c, None] == columns[c]
         i, j = np.nonzero(agree >= least)
-        up = i + k < j
-        found_a.append(i[up] + k)
-        found_b.append(j[up])
-    return np.concatenate(found_a), np.concatenate(found_b)
+        forest.add(i + k, j if within else j + left)
+        if not forest.parent.any():  # all are one set already
+            return
 
 
 def _compare_nodes(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """Candidate edges of each node: a spanning forest of the pairs that agree in enough coordinates.
+    """Candidate edges of each unit (a node, or two blocks of one): a spanning forest of the pairs that agree in enough coordinates.
 
-    Rows of a node come one after the other; a node that a batch cuts waits for the next batch.
+    Rows of a unit come one after the other, side 0 first; a unit that a batch cuts waits for the next batch.
     """
 
     def edges(part: pd.DataFrame) -> pd.DataFrame:
-        node, doc = part["node"].to_numpy(), part["doc"].to_numpy()
-        cuts = np.flatnonzero(np.diff(node)) + 1
-        starts, ends = np.r_[0, cuts], np.r_[cuts, len(node)]
-        out = []
-        for s, e in zip(starts, ends, strict=True):
-            if e - s > 1:
-                a, b = _close_by_minwise(np.stack(part["mins"].iloc[s:e].to_list()), least)
-                out += [(doc[s + i], doc[s + r]) for i, r in _forest(e - s, a, b)]
-        return pd.DataFrame(out, columns=["src", "dst"])
+        doc, side = part["doc"].to_numpy(), part["side"].to_numpy()
+        new = (np.diff(part["unit"].to_numpy()) != 0) | (np.diff(part["i"].to_numpy()) != 0) | (np.diff(part["j"].to_numpy()) != 0)
+        starts = np.r_[0, np.flatnonzero(new) + 1]
+        sizes = np.diff(np.r_[starts, len(doc)])
+        mins = np.stack(part["mins"].to_list())
+        two = starts[(sizes == 2)]
+        two = two[(mins[two] == mins[two + 1]).sum(axis=1) >= least]
+        src, dst = [doc[two]], [doc[two + 1]]
+        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            forest = Forest(n)
+            left = n - int(side[s : s + n].sum())
+            _join_close(forest, mins[s : s + n], left or n, least)
+            a, b = forest.edges()
+            src.append(doc[s + a])
+            dst.append(doc[s + b])
+        return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst)})
 
     rest = None
     for batch in batches:
         rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
         if len(rest):
-            whole = rest["node"].to_numpy() != rest["node"].iloc[-1]
-            yield edges(rest[whole])
-            rest = rest[~whole]
+            last = rest.iloc[-1]
+            whole = ((rest["unit"] != last["unit"]) | (rest["i"] != last["i"]) | (rest["j"] != last["j"])).to_numpy()
+            if whole.any():
+                yield edges(rest[whole])
+                rest = rest[~whole]
     if rest is not None and len(rest):
         yield edges(rest)
 
 
-def linked_pairs(sets: list[np.ndarray], percent: int, other: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with 100 * intersection >= percent * union, exactly; within ``sets``, or between it and ``other``.
+def linked_pairs(sets: list[np.ndarray], percent: int, other: list[np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each left set, the right ones with 100 * intersection >= percent * union, exactly; within ``sets`` (later ones only), or between it and ``other``.
 
-    An inverted list of the right side's shingles gives each left set its intersection sizes in one count.
+    An inverted list of the right side's shingles gives a left set its intersection sizes in one count.
     """
     right = sets if other is None else other
     sizes = np.array([len(s) for s in right])
-    owner = np.repeat(np.arange(len(right)), sizes)
+    owner = np.repeat(np.arange(len(right), dtype=np.int32), sizes)
     tokens = np.concatenate(right) if len(right) else np.empty(0, np.uint64)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
-    found_a, found_b = [], []
     for i, s in enumerate(sets):
         lo, hi = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
-        width = hi - lo
-        at = np.repeat(lo - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
-        common = np.bincount(owner[at], minlength=len(right))
+        width, common = hi - lo, np.zeros(len(right), np.int64)
+        ends = np.cumsum(width)
+        cuts = np.r_[0, np.searchsorted(ends, np.arange(HITS, ends[-1] if len(ends) else 0, HITS), "right"), len(s)]
+        for p, q in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # long texts in parts of about HITS hits
+            w = width[p:q]
+            at = np.repeat(lo[p:q] - np.r_[0, np.cumsum(w)[:-1]], w) + np.arange(w.sum()) if q > p else np.empty(0, np.int64)
+            common += np.bincount(owner[at], minlength=len(right))
         j = np.flatnonzero((100 * common >= percent * (len(s) + sizes - common)) & (common > 0))
-        j = j[j > i] if other is None else j
-        found_a.append(np.full(len(j), i))
-        found_b.append(j)
-    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.empty(0, int), np.empty(0, int))
+        yield i, j[j > i] if other is None else j
 
 
 def _confirm(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """A spanning forest of the confirmed links of one group: all its pairs, or those between its two blocks."""
+    """A spanning forest of the confirmed links of one group: all its pairs, or those between its two sides."""
     group = group.drop_duplicates(["doc", "side"]).sort_values(["side", "doc"])
     docs = group["doc"].to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
     left = int((group["side"] == 0).sum())
-    if left == len(docs):
-        a, b = linked_pairs(sets, percent)
-    else:
-        a, b = linked_pairs(sets[:left], percent, sets[left:])
-        b = b + left
-    return pd.DataFrame([(docs[i], docs[r]) for i, r in _forest(len(docs), a, b)], columns=["src", "dst"])
+    within = left in (0, len(docs))
+    forest = Forest(len(docs))
+    for i, j in linked_pairs(sets, percent) if within else linked_pairs(sets[:left], percent, sets[left:]):
+        forest.add(np.full(len(j), i), j if within else j + left)
+    a, b = forest.edges()
+    return pd.DataFrame({"src": docs[a], "dst": docs[b]})
+
+
+def _block(salt: str, block: int) -> F.Column:
+    """A document's block in a unit of ``n`` documents."""
+    return F.pmod(F.xxhash64("doc", F.lit(salt)), F.ceil(F.col("n") / block)).cast("int")
 
 
 def _blocked(rows: DataFrame, block: int) -> DataFrame:
     """Rows (unit, n, doc) keyed by (unit, i, j): units over ``block`` documents become pairs of blocks, each row once for each of its pairs."""
-    n = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("doc", F.lit("block")), n).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), F.when((mine > o), 1).otherwise(0).alias("side")))
+    mine, blocks = _block("block", block), F.ceil(F.col("n") / block).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), F.when((mine > o), 1).otherwise(0).alias("side")))
     return rows.select("unit", "doc", F.explode(pairs).alias("p")).select("unit", "p.*", "doc")
 
 
+def _chunked(sized: DataFrame, block: int) -> DataFrame:
+    """Clusters (component, n, doc) keyed as (unit, i, j): each in chunks of about ``block`` documents, with HEADS of its documents in every chunk."""
+    mine = sized.select("component", F.lit(0).alias("i"), _block("chunk", block).alias("j"), F.lit(0).alias("side"), "doc")
+    chosen = F.array([F.min_by("doc", F.xxhash64("doc", F.lit(f"head{k}"))) for k in range(HEADS)])
+    heads = sized.where(F.col("n") > block).groupBy("component", "n").agg(F.array_distinct(chosen).alias("heads"))
+    chunks = F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)).alias("j")
+    copies = heads.select("component", F.lit(0).alias("i"), chunks, F.lit(0).alias("side"), "heads").withColumn("doc", F.explode("heads")).drop("heads")
+    return mine.unionByName(copies).withColumnRenamed("component", "unit")
+
+
+def _left_over(sized: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """Clusters over ``block`` documents that ``found`` leaves in several parts: (component, n, doc, outside, n_outside).
+
+    Outside is what isn't in a cluster's largest part; only pairs with a document from there can still join parts.
+    """
+    parts = sized.where(F.col("n") > block).join(found.select(F.col("node").alias("doc"), F.col("component").alias("found")), "doc", "left")
+    parts = parts.withColumn("part", F.coalesce("found", "doc")).drop("found")
+    sizes = parts.groupBy("component", "n", "part").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("component", "n").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.max("k").alias("k"))
+    open_ones = evenly(largest.where("k < n").select("component", "main", (F.col("n") - F.col("k")).alias("n_outside")), "component")
+    return parts.join(open_ones, "component").withColumn("outside", F.col("part") != F.col("main")).select("component", "n", "doc", "outside", "n_outside")
+
+
+def _outside_pairs(rest: DataFrame, block: int) -> DataFrame:
+    """Rows of ``_left_over`` keyed by (unit, i, j): blocks of the outside against blocks of all of the cluster."""
+    all_blocks, out_blocks = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("n_outside") / block).cast("int")
+    out_mine = F.pmod(F.xxhash64("doc", F.lit("out")), out_blocks).cast("int")
+    left = rest.where("outside").select("component", out_mine.alias("i"), F.explode(F.sequence(F.lit(0), all_blocks - 1)).alias("j"), F.lit(0).alias("side"), "doc")
+    right = rest.select("component", F.explode(F.sequence(F.lit(0), out_blocks - 1)).alias("i"), _block("chunk", block).alias("j"), F.lit(1).alias("side"), "doc")
+    return left.unionByName(right).withColumnRenamed("component", "unit")
+
+
 def _roots(reps: DataFrame, first: int, trees: int) -> DataFrame:
     """(doc, mins, node): each document at the roots of ``trees`` trees, numbered from ``first`` on."""
     numbers = F.explode(F.sequence(F.lit(first), F.lit(first + trees - 1))).alias("t")
@@ -189,7 +246,7 @@ def _walk(roots: DataFrame, reps: DataFrame, expected: float, small: int, steps:
     leaves, first = None, None
     for k in range(rounds):
         sizes = level.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        sized = durable(level.join(sizes, "node"))
+        sized = durable(level.join(evenly(sizes, "node"), "node"))
         here = sized.where(F.col("n") <= small)
         leaves = here if leaves is None else leaves.unionByName(here)
         over = sized.where(F.col("n") > small)
@@ -219,12 +276,14 @@ def near_duplicates(
     All links are confirmed on the full sets; no pair that fails there is used.
 
     Skew: rows with equal sets are one node each from the start, whatever their number. A node over
-    ``small`` documents branches on; only nodes up to that size meet in one task, where they are compared by
-    their minwise values and leave a spanning forest of candidates. The clusters that these make are compared
-    on full sets in pairs of blocks of about ``block`` documents; in clusters beyond ``large`` only
-    documents of one leaf meet. What ROUNDS rounds can't part (sets that agree in nearly all coordinates) is
-    one cluster with its own blocks. No task returns more than a spanning forest, so pairs inside a group
-    are never listed.
+    ``small`` documents branches on; smaller ones are compared by their minwise values in pairs of blocks of
+    about ``block``, which leave spanning forests of candidates. The clusters that these make are compared on
+    full sets: first in chunks of about ``block`` documents, with HEADS documents of the cluster in every chunk, so
+    that a group of near copies becomes one part after each set was sent once; then only what is outside
+    a cluster's largest part meets all of the cluster, in pairs of blocks. Where more than ``large``
+    documents are outside, documents of one leaf meet. What ROUNDS rounds can't part (sets that agree in
+    nearly all coordinates) is one cluster. No task returns more than a spanning forest, so pairs inside a
+    group are never listed, and joins of a hot group have a plain exchange on both sides.
 
     Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing;
     ids should be unique, and rows that repeat an id get one row each with the id's smallest values;
@@ -248,28 +307,35 @@ def near_duplicates(
             stuck = left if stuck is None else stuck.unionByName(left)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = leaves.select("node", "doc").join(reps, "doc").repartition(parts, "node").sortWithinPartitions("node")
+    key = ["unit", "i", "j"]
+    met = _blocked(leaves.select(F.col("node").alias("unit"), "n", "doc"), block).join(reps, "doc").repartition(parts, *key).sortWithinPartitions(*key, "side")
     edges = met.mapInPandas(lambda it: _compare_nodes(it, agree), "src long, dst long").distinct()
     if stuck is not None:
-        heads = stuck.groupBy("node").agg(F.min("doc").alias("head"))
+        heads = evenly(stuck.groupBy("node").agg(F.min("doc").alias("head")), "node")
         edges = edges.unionByName(stuck.join(heads, "node").select(F.col("doc").alias("src"), F.col("head").alias("dst")))
     clusters = durable(connected_components(edges).select(F.col("node").alias("doc"), "component"))
-
-    # full sets of the documents that have candidates, each read once
-    involved = texts.where("doc is not null").join(clusters.select("doc"), "doc", "left_semi").dropDuplicates(["doc"])
-    sets = involved.mapInPandas(lambda it: _sets(it, words), "doc long, shingles binary")
-    sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("n")), "component")
-    nothing = F.lit(None).cast("long")
-    units = sized.where(F.col("n") <= large).select(F.struct("component", nothing.alias("node")).alias("unit"), "n", "doc")
-    giants = sized.where(F.col("n") > large).select("doc", "component")
-    nodes = leaves if stuck is None else leaves.unionByName(stuck)
-    by_node = nodes.join(giants, "doc").select(F.struct(nothing.alias("component"), "node").alias("unit"), "n", "doc").distinct()
-    keyed = _blocked(units.unionByName(by_node), block)
-    confirmed = keyed.join(sets, "doc").groupBy("unit", "i", "j").applyInPandas(lambda g: _confirm(g, percent), "src long, dst long")
-    linked = connected_components(confirmed)
+    counts = evenly(clusters.groupBy("component").agg(F.count("*").alias("n")), "component")
+    sized = durable(clusters.join(counts, "component"))
+
+    def confirmed(keyed: DataFrame) -> DataFrame:
+        """Links on the full sets of the documents that ``keyed`` names, each read once."""
+        involved = texts.where("doc is not null").join(keyed.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+        sets = involved.mapInPandas(lambda it: _sets(it, words), "doc long, shingles binary")
+        return keyed.join(sets, "doc").groupBy(*key).applyInPandas(lambda g: _confirm(g, percent), "src long, dst long")
+
+    links = durable(confirmed(_chunked(sized, block)))
+    linked = connected_components(links)
+    if sized.where(F.col("n") > block).limit(1).count():
+        rest = durable(_left_over(sized, linked, block))
+        if rest.limit(1).count():
+            more = confirmed(_outside_pairs(rest.where(F.col("n_outside") <= large), block))
+            giants = rest.where(F.col("n_outside") > large).select("doc").distinct()
+            nodes = leaves if stuck is None else leaves.unionByName(stuck)
+            by_leaf = confirmed(_blocked(nodes.join(giants, "doc", "left_semi").select(F.col("node").alias("unit"), "n", "doc").distinct(), block))
+            linked = connected_components(links.unionByName(more).unionByName(by_leaf))
 
     # every document: its representative's component, mapped to the smallest id over all members
-    rep_of = feats.join(same.select("digest", F.col("doc").alias("rep")), "digest", "left")
-    placed = rep_of.join(linked, F.col("rep") == F.col("node"), "left")
+    rep_of = feats.join(evenly(same.select("digest", F.col("doc").alias("rep")), "digest"), "digest", "left")
+    placed = rep_of.join(evenly(linked, "node"), F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "doc")
     return placed.select(F.col("doc").alias(id_col), F.col("n_shingles"), component.alias("component_id"), (F.col("doc") == component).alias("kept"))

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -82,8 +83,48 @@ def test_odd_rows(odd_docs, docs_of):
     assert C.near_duplicates(docs_of([])).count() == 0
 
 
-def test_linked_pairs_between_blocks():
+def test_linked_pairs_between_blocks(monkeypatch):
     sets = [shingle_set(f"a b c d e f g h i j k {k % 2}", 3) for k in range(6)]
-    a, b = C.linked_pairs(sets[:3], 70, sets[3:])
     plain = [(i, j) for i in range(3) for j in range(3) if 100 * len(np.intersect1d(sets[i], sets[3 + j])) >= 70 * len(np.union1d(sets[i], sets[3 + j]))]
-    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == plain
+    for hits in (1, 5, 1000):  # counted in parts or at once
+        monkeypatch.setattr(C, "HITS", hits)
+        assert [(i, k) for i, j in C.linked_pairs(sets[:3], 70, sets[3:]) for k in j.tolist()] == plain
+
+
+@pytest.mark.parametrize("left", [60, 25])
+def test_forest_of_close_rows_equals_all_pairs(left):
+    rng = np.random.default_rng(5)
+    heads = rng.integers(0, 9, (6, 16)).astype(np.int32)
+    mins = np.where(rng.random((60, 16)) < 0.2, rng.integers(0, 9, (60, 16)), heads[rng.integers(0, 6, 60)]).astype(np.int32)
+    forest, comp = C.Forest(60), list(range(60))
+    C._join_close(forest, mins, left, 11)
+    for i in range(60):
+        for j in range(i + 1, 60):
+            if (left == 60 or i < left <= j) and (mins[i] == mins[j]).sum() >= 11:
+                a, b = comp[i], comp[j]
+                comp = [min(a, b) if c in (a, b) else c for c in comp]
+    assert forest.parent.tolist() == comp
+    a, b = forest.edges()
+    assert len(a) == 60 - len(set(comp)) and all(comp[x] == y for x, y in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_a_full_node_of_copies_takes_little_memory():
+    tracemalloc.start()
+    forest = C.Forest(4096)
+    C._join_close(forest, np.ones((4096, 64), np.int32), 4096, 40)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not forest.parent.any() and peak < 40e6
+
+
+def test_a_large_cluster_with_parts_outside_its_main_part(docs_of):
+    rng = random.Random(9)
+    body, pairs = [f"c{k}" for k in range(60)], []
+    for k in range(80):  # near copies, and a chain that leads away from them by small steps
+        text = list(body)
+        text[rng.randrange(60)] = f"x{k}"
+        pairs.append((k, " ".join(text)))
+    for k in range(40):
+        pairs.append((100 + k, " ".join([f"d{j}" for j in range(3 * k)][-60:] + body[3 * k :])))
+    out = C.near_duplicates(docs_of(pairs), words=2, percent=80, block=16)
+    assert got(out) == plain_components(pairs, 2, 80)
