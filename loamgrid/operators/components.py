@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from loamgrid.plans.durable import durable, evenly
 
 
+#: Up to so many edges, which are counted each round, minima are broadcast: two longs for each node at most.
+BROADCAST_EDGES = 100_000
+
+
 def _least(edges: DataFrame) -> DataFrame:
     """(hi, m): the smallest neighbour below each node that has one."""
     return edges.groupBy("hi").agg(F.min("lo").alias("m"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, small: bool) -> DataFrame:
     """Each node's larger neighbours move to its smallest neighbour, or stay with a node that has none below."""
-    below = evenly(_least(edges), "hi").withColumnRenamed("hi", "at")
+    below = (F.broadcast(_least(edges)) if small else evenly(_least(edges), "hi")).withColumnRenamed("hi", "at")
     return edges.join(below, F.col("lo") == F.col("at"), "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, small: bool) -> DataFrame:
     """Each node and its smaller neighbours move to the smallest of these."""
     least = _least(edges)
-    moved = edges.join(evenly(least, "hi"), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    moved = edges.join(F.broadcast(least) if small else evenly(least, "hi"), "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return moved.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 
@@ -46,7 +50,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     for _ in range(max_rounds):
         if not before[0]:
             break
-        stars = durable(_small_star(_large_star(stars)))
+        small = before[0] <= BROADCAST_EDGES
+        stars = durable(_small_star(_large_star(stars, small), small))
         after = _state(stars)
         if after == before:
             break
