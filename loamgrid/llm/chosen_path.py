@@ -294,7 +294,7 @@ def near_duplicates(
     agree = max(1, int(np.floor(COORDINATES * (percent / 100) - 4.5 * np.sqrt(COORDINATES * (percent / 100) * (1 - percent / 100)))))
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     feats = durable(texts.mapInPandas(lambda it: _features(it, words), "doc long, n_shingles long, digest binary, mins array<int>"))
-    same = feats.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("doc"), F.any_value("mins").alias("mins"))
+    same = durable(feats.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("doc"), F.any_value("mins").alias("mins")))
     reps = same.select("doc", "mins")
 
     leaves, over, stuck = _walk(_roots(reps, 0, trees), reps, expected, small, 1, ROUNDS)
@@ -335,7 +335,7 @@ def near_duplicates(
             linked = connected_components(links.unionByName(more).unionByName(by_leaf))
 
     # every document: its representative's component, mapped to the smallest id over all members
-    rep_of = feats.join(evenly(same.select("digest", F.col("doc").alias("rep")), "digest"), "digest", "left")
+    rep_of = feats.join(same.select("digest", F.col("doc").alias("rep")), "digest", "left")
     placed = rep_of.join(evenly(linked, "node"), F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "doc")
     return placed.select(F.col("doc").alias(id_col), F.col("n_shingles"), component.alias("component_id"), (F.col("doc") == component).alias("kept"))
