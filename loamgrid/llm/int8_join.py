@@ -13,9 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.operators.components import connected_components
-from loamgrid.plans.durable import durable
+from loamgrid.plans.durable import durable, evenly
 
 #: Distinct vectors in a block on average; a tile holds two blocks.
 BLOCK = 2048
@@ -58,11 +59,11 @@ def close_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterat
         yield i[cosine >= threshold], j[cosine >= threshold]
 
 
-def _tile(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def _tile(rows: pd.DataFrame, threshold: float, kind: type) -> pd.DataFrame:
     """Links of one tile: for each vector the weight of its partners, and the edges of a spanning forest."""
-    rows = rows.sort_values(["side", "vec"])
-    vec, copies = rows["vec"].to_numpy(), rows["copies"].to_numpy()
-    x = np.stack([np.frombuffer(b, np.float64) for b in rows["packed"]])
+    rows = rows.sort_values(["side", "at"])
+    at, copies = rows["at"].to_numpy(), rows["copies"].to_numpy()
+    x = np.stack([np.frombuffer(b, kind) for b in rows["packed"]]).astype(np.float64)
     cut = int((rows["side"] == 0).sum())
     within = cut == len(rows)
     links, parent = np.zeros(len(rows), np.int64), np.arange(len(rows))
@@ -80,15 +81,15 @@ def _tile(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
             i, j = top(i), top(j)
             parent[max(i, j)] = min(i, j)
     linked = np.flatnonzero(links)
-    return pd.DataFrame({"vec": vec[linked], "links": links[linked], "joined": vec[[top(i) for i in linked]]})
+    return pd.DataFrame({"at": at[linked], "links": links[linked], "joined": at[[top(i) for i in linked]]})
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Vectors as bytes of doubles; those that link with nothing get no bytes."""
+def _packed(batches: Iterator[pd.DataFrame], kind: type) -> Iterator[pd.DataFrame]:
+    """Vectors as bytes of their own precision; those that link with nothing get no bytes."""
     for b in batches:
         out = []
         for v in b["vector"]:
-            x = np.asarray([np.nan if e is None else e for e in v], np.float64) + 0.0 if v is not None else np.empty(0)
+            x = np.asarray([np.nan if e is None else e for e in v], kind) + kind(0) if v is not None else np.empty(0)
             out.append(x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
         yield pd.DataFrame({"vec": b["vec"], "packed": out})
 
@@ -99,7 +100,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Every pair with cosine >= ``threshold`` in double precision is a link and no other pair is; the search is
     exact. Equal vectors are one row with a count, so a group of copies costs one row and no pairs. Distinct
     vectors are dealt by hash to blocks of about ``block`` and each pair of blocks is one task of bounded
-    size; a task returns counts and a spanning forest, never pairs.
+    size; a task returns counts and a spanning forest, never pairs. Vectors travel in the precision of their
+    column, not as int8 codes with the full ones fetched afterwards: for that, a tile would have to list its
+    uncertain pairs, which in a group of near copies are quadratic.
 
     Defined cases: null or empty vectors, all zeros, and null or non-finite components link with nothing
     (n_links 0, a component of their own); only vectors of equal length meet; a repeated id takes part with
@@ -107,18 +110,22 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     empty table; labels and other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).alias("vector"))
-    packed = durable(rows.mapInPandas(_packed, "vec long, packed binary"))
+    kind = np.float32 if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else np.float64
+    packed = durable(rows.mapInPandas(lambda it: _packed(it, kind), "vec long, packed binary"))
     same = packed.where("packed is not null").groupBy("packed").agg(F.min("vec").alias("first"), F.count("*").alias("copies"))
-    distinct = durable(same.select(F.col("first").alias("vec"), "copies", "packed", F.xxhash64("packed").alias("h")))
+    # a number of its own for each distinct vector: ids may repeat with other vectors
+    distinct = durable(same.withColumn("at", F.monotonically_increasing_id()))
     blocks = max(1, -(-distinct.count() // block))
-    mine = F.pmod(F.col("h"), F.lit(blocks)).cast("int")
+    mine = F.pmod(F.xxhash64("packed"), F.lit(blocks)).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j"), F.when(mine > o, 1).otherwise(0).alias("side")))
-    dealt = distinct.select("vec", "copies", "packed", F.octet_length("packed").alias("width"), F.explode(tiles).alias("t")).select("vec", "copies", "packed", "width", "t.*")
-    found = durable(dealt.groupBy("width", "i", "j").applyInPandas(lambda g: _tile(g, threshold), "vec long, links long, joined long"))
-    links = found.groupBy("vec").agg(F.sum("links").alias("links"))
-    component = connected_components(found.select(F.col("vec").alias("src"), F.col("joined").alias("dst")).where("src <> dst"))
-    by_vector = same.select("packed", "first", "copies").join(links, F.col("first") == F.col("vec"), "left").drop("vec").join(component, F.col("first") == F.col("node"), "left")
-    out = packed.join(by_vector, "packed", "left")
+    dealt = distinct.select("at", "copies", "packed", F.octet_length("packed").alias("width"), F.explode(tiles).alias("t")).select("at", "copies", "packed", "width", "t.*")
+    found = durable(dealt.groupBy("width", "i", "j").applyInPandas(lambda g: _tile(g, threshold, kind), "at long, links long, joined long"))
+    links = evenly(found.groupBy("at").agg(F.sum("links").alias("links")), "at")
+    component = connected_components(found.select(F.col("at").alias("src"), F.col("joined").alias("dst")).where("src <> dst"))
+    parts = distinct.select("at", "first").join(evenly(component, "node"), F.col("at") == F.col("node"), "left").select("at", "first", F.coalesce("component", "at").alias("part"))
+    least = evenly(parts.groupBy("part").agg(F.min("first").alias("component_id")), "part")
+    by_vector = distinct.select("at", "packed", "copies").join(links, "at", "left").join(parts.join(least, "part").select("at", "component_id"), "at")
+    out = packed.join(evenly(by_vector, "packed"), "packed", "left")
     n_links = F.when(F.col("packed").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
-    own = F.coalesce("component", "first", "vec")
+    own = F.coalesce("component_id", "vec")
     return out.select(F.col("vec").alias(id_col), n_links.alias("n_links"), own.alias("component_id"), (F.col("vec") == own).alias("kept"))

@@ -42,28 +42,32 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Defined cases: null text equals the empty text (one empty line); a key repeated inside one
     document counts once for it; rows with the same id are one document to the counts and each keep or
     lose the same keys; a null id holds lines that count as no document and lose nothing; an empty
-    table gives an empty table; other columns pass through untouched.
+    table gives an empty table; columns named as the two made here are replaced, any others pass through.
 
     The counts are combined before the shuffle, so a line held by a third of all documents is one row
     per task there. Only (id, position, hash) of long lines is joined; the skew join splits such a line.
     Text crosses one shuffle, on its id, and only for the join with the dropped positions.
     """
-    ids = docs.select(F.col(id_col).alias("__id"), split_lines(F.col(text_col)).alias("__lines")).where("__id is not null")
-    keyed = F.transform("__lines", lambda x: _long_key(x, min_chars))
-    lines = ids.select("__id", F.posexplode(keyed).alias("__pos", "__key")).where("__key is not null")
-    per_doc = ids.select("__id", F.explode(F.array_distinct(keyed)).alias("__key")).where("__key is not null")
-    twice = ids.groupBy("__id").count().where("count > 1").limit(1).count() > 0
+    # columns go by number meanwhile, so that no name of theirs can meet one of the lines' tables
+    number = {c: f"c{k}" for k, c in enumerate(c for c in docs.columns if c not in ("kept_lines", "n_lines"))}
+    rows = docs.select(*number).toDF(*number.values())
+    own, text = F.col(number[id_col]), F.col(number[text_col])
+    ids = rows.select(own.alias("id"), split_lines(text).alias("lines")).where("id is not null")
+    keyed = F.transform("lines", lambda x: _long_key(x, min_chars))
+    lines = ids.select("id", F.posexplode(keyed).alias("pos", "key")).where("key is not null")
+    per_doc = ids.select("id", F.explode(F.array_distinct(keyed)).alias("key")).where("key is not null")
+    twice = ids.groupBy("id").count().where("count > 1").limit(1).count() > 0
     per_doc = per_doc.distinct() if twice else per_doc
     # stored, so that the join below has a plain exchange on both sides and can split the rows of a hot line
-    spread = durable(per_doc.groupBy("__key").agg(F.count("*").alias("__docs"), F.max("__id").alias("__last")).where(F.col("__docs") >= min_docs))
+    spread = durable(per_doc.groupBy("key").agg(F.count("*").alias("docs"), F.max("id").alias("last")).where(F.col("docs") >= min_docs))
     dropped = (
-        lines.join(spread.select("__key", "__last"), "__key").where("__id <> __last")
-        .groupBy("__id").agg(F.collect_set("__pos" if not twice else "__key").alias("__out"))
+        lines.join(spread.select("key", "last"), "key").where("id <> last")
+        .groupBy("id").agg(F.collect_set("pos" if not twice else "key").alias("out"))
     )
-    whole = docs.withColumn("__lines", split_lines(F.col(text_col))).join(dropped, F.col(id_col) == F.col("__id"), "left")
+    whole = rows.withColumn("lines", split_lines(text)).join(dropped, own == F.col("id"), "left")
     if twice:
-        stays = F.filter("__lines", lambda x: ~F.coalesce(F.array_contains("__out", _long_key(x, min_chars)), F.lit(False)))
+        stays = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("out", _long_key(x, min_chars)), F.lit(False)))
     else:
-        stays = F.filter("__lines", lambda x, i: ~F.array_contains("__out", i))
-    kept = F.when(F.col("__out").isNull(), F.col("__lines")).otherwise(stays)
-    return whole.withColumns({"kept_lines": kept, "n_lines": F.size("__lines").cast("long")}).drop("__lines", "__id", "__out")
+        stays = F.filter("lines", lambda x, i: ~F.array_contains("out", i))
+    kept = F.when(F.col("out").isNull(), F.col("lines")).otherwise(stays)
+    return whole.select(*[F.col(c).alias(name) for name, c in number.items()], kept.alias("kept_lines"), F.size("lines").cast("long").alias("n_lines"))

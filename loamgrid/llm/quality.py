@@ -188,14 +188,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source",
 
     Defined cases: null and empty texts have features 0 and get the classifier's value for those; null hosts
     or paths are sites of their own; repeated rows count each; without labels the evidence is 0.5 for all;
-    an empty table gives an empty table; columns named as in MADE are replaced, others pass through.
+    an empty table gives an empty table; columns named as in MADE are replaced, any others pass through.
     """
-    rest = docs.drop(*MADE)
+    names = [c for c in docs.columns if c not in MADE]
     model = train_quality(docs, labels, max_labelled)
-    sites = durable(site_posteriors(with_evidence(rest, model, text_col, [host_col] if host_col == path_col else [host_col, path_col]), host_col, path_col))
+    # columns go by number meanwhile, so that no name of theirs can meet one of the site table
+    number = {c: f"c{k}" for k, c in enumerate(names)}
+    rest = docs.select(names).toDF(*number.values())
+    host, path, text = number[host_col], number[path_col], number[text_col]
+    sites = durable(site_posteriors(with_evidence(rest, model, text, [host] if host == path else [host, path]), host, path))
     small = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES
     at = F.broadcast(sites) if small else sites
-    rows = with_evidence(rest, model, text_col)
-    joined = rows.join(at, F.col(host_col).eqNullSafe(F.col("host")) & F.col(path_col).eqNullSafe(F.col("path")), "left")
+    rows = with_evidence(rest, model, text)
+    joined = rows.join(at, F.col(host).eqNullSafe(F.col("host")) & F.col(path).eqNullSafe(F.col("path")), "left")
     total = _logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.col("corpus_mean"))
-    return joined.select(*rest.columns, "evidence", "n_docs", "host_posterior", "path_posterior", (1 / (1 + F.exp(-total))).alias("quality_score"))
+    back = [F.col(c).alias(name) for name, c in number.items()]
+    return joined.select(*back, "evidence", "n_docs", "host_posterior", "path_posterior", (1 / (1 + F.exp(-total))).alias("quality_score"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -19,6 +21,7 @@ from loamgrid.llm.quality import score_quality
 from loamgrid.llm.sentencepieces import encode_documents
 from loamgrid.llm.sharding import shard_documents
 from loamgrid.llm.toxicity import in_training, score_toxicity, train_toxicity
+from loamgrid.plans.durable import checkpoint_dir
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +78,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shard_documents(_documents(spark, sf_dir).select("doc_id", "text"))
+    path = posixpath.join(checkpoint_dir(spark), f"slot-map-{uuid.uuid4().hex}")
+    out = shard_documents(_documents(spark, sf_dir).select("doc_id", "text"), map_path=path)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 

@@ -83,8 +83,28 @@ def usage_of(slots: DataFrame) -> dict[int, tuple[int, int]]:
 
 
 def write_map(spark: SparkSession, rows: list[tuple], path: str) -> None:
-    """Appends one version to the stored map; older versions stay readable."""
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Stores one version of the map beside the others; a version that is there already is an error."""
+    (version,) = {row[0] for row in rows}
+    spark.createDataFrame(rows, MAP_SCHEMA).drop("version").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+
+
+def has_map(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def stored_map(spark: SparkSession, usage: dict[int, tuple[int, int]], shards: int, slots: int, path: str) -> list[tuple]:
+    """The map to use, read back from ``path``: made and stored there first if there is none, then edited where an edit moves a slot.
+
+    An edit is stored as the next version; older versions stay.
+    """
+    if not has_map(spark, path):
+        write_map(spark, first_map(usage, shards, slots), path)
+    current = read_map(spark, path)
+    edited = rebalanced(current, usage, shards)
+    if {r[1]: r[2] for r in edited} != {r[1]: r[2] for r in current} or {r[1:] for r in edited} != {r[1:] for r in current}:
+        write_map(spark, edited, path)
+    return read_map(spark, path)
 
 
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> list[tuple]:
@@ -117,7 +137,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_co
     """Every document with its size, CRC-32, virtual slot, shard and place in that shard.
 
     Size is the UTF-8 length of the text (null: none) plus 8. Near-equal shard sizes are the law kept.
-    With ``map_path`` the map is stored there as version 1.
+    With ``map_path`` the map is the one stored there, edited for today's sizes (see ``stored_map``); without,
+    it is made anew.
 
     Defined cases: null and empty texts have size 8 and CRC-32 0; rows with the same id share a slot and
     get places of their own, ordered by CRC-32; null ids go to slot 0; an empty table gives an empty
@@ -128,7 +149,5 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_co
     keep = [c for c in docs.columns if c not in ("map_version", "shard", "slot", "__start", "__place")]
     records = docs.select(keep).withColumns(made).drop(text_col)
     usage = usage_of(slot_bytes(docs.select(made["size"].alias("size"), made["virtual_slot"].alias("virtual_slot")), "virtual_slot", "size"))
-    slot_map = first_map(usage, shards, slots)
-    if map_path:
-        write_map(docs.sparkSession, slot_map, map_path)
+    slot_map = stored_map(docs.sparkSession, usage, shards, slots, map_path) if map_path else first_map(usage, shards, slots)
     return assign(records, slot_map, order=[id_col, "text_crc32", "size"])

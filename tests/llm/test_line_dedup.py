@@ -55,6 +55,15 @@ def test_clashing_columns_pass(docs_of):
     assert {tuple(r) for r in dedup_lines(docs).select("doc_id", "n_lines", "other").collect()} == {(1, 1, 3), (2, 1, 3)}
 
 
+def test_any_column_names_pass(docs_of):
+    more = {c: F.lit(f"my {c}") for c in ("__id", "__lines", "__out", "id", "lines", "out", "key", "pos", "docs", "last", "c0", "c1")}
+    line = "w" * 45
+    docs = docs_of([(k, f"{line}\n{k}") for k in range(6)]).withColumns(more)
+    rows = dedup_lines(docs).collect()
+    assert all(r[c] == f"my {c}" for r in rows for c in more)
+    assert {r["doc_id"]: r["kept_lines"] for r in rows} == {k: [line, "5"] if k == 5 else [str(k)] for k in range(6)}
+
+
 def test_no_python_in_the_plan(docs_of):
     plan = dedup_lines(docs_of([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loamgrid.llm import int8_join as E
@@ -117,6 +118,37 @@ def test_quality_of_odd_rows(spark, odd_docs, docs_of):
     assert Q.score_quality(docs_of([]), none).count() == 0
 
 
+def test_quality_with_any_column_names(spark, docs_of):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    more = {c: F.lit(f"my {c}") for c in ("host", "path", "corpus_mean", "h", "n", "c0", "c1", "id", "out")}
+    docs = docs_of([(1, "some words"), (2, None)]).withColumns(more)
+    rows = Q.score_quality(docs, none).collect()
+    assert len(rows) == 2 and all(r[c] == f"my {c}" for r in rows for c in more)
+    assert {r["doc_id"]: r["text"] for r in rows} == {1: "some words", 2: None}
+
+
+def test_posteriors_by_hand(spark):
+    """The shrinkage of sites against the same rule written out with plain numbers."""
+    rng = random.Random(4)
+    rows = [(h, p, min(1.0, max(0.0, rng.gauss({"a": 0.8, "b": 0.4, "c": 0.6}[h] + 0.05 * k, 0.1)))) for h in "abc" for k, p in enumerate("xyz") for _ in range(rng.randint(2, 40))]
+
+    def kappa(groups):
+        n, g = sum(map(len, groups)), len(groups)
+        mean = sum(map(sum, groups)) / n
+        inside = sum(sum((x - sum(v) / len(v)) ** 2 for x in v) for v in groups) / (n - g)
+        size = (n - sum(len(v) ** 2 for v in groups) / n) / (g - 1)
+        between = (sum(len(v) * (sum(v) / len(v) - mean) ** 2 for v in groups) / (g - 1) - inside) / size
+        return mean, min(max(inside / between, 1.0), 1e6) if between > 0 else 1e6
+
+    hosts = {h: [e for a, _, e in rows if a == h] for h in "abc"}
+    cells = {(h, p): [e for a, b, e in rows if (a, b) == (h, p)] for h in "abc" for p in "xyz"}
+    (mean, by_host), (_, by_path) = kappa(list(hosts.values())), kappa(list(cells.values()))
+    got = {(r["host"], r["path"]): r for r in Q.site_posteriors(spark.createDataFrame(rows, "h string, p string, evidence double"), "h", "p").collect()}
+    for (h, p), v in cells.items():
+        host = (by_host * mean + sum(hosts[h])) / (by_host + len(hosts[h]))
+        assert np.isclose(got[h, p]["host_posterior"], host) and np.isclose(got[h, p]["path_posterior"], (by_path * host + sum(v)) / (by_path + len(v)))
+
+
 def plain_links(vectors, threshold):
     out = {}
     for i, v in vectors:
@@ -145,6 +177,15 @@ def test_links_against_all_pairs(spark):
     assert E.embedding_links(df.limit(0)).count() == 0
 
 
+def test_a_repeated_id_has_a_row_for_each_of_its_vectors(spark):
+    vectors = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.05]), (3, [1.0, 0.1]), (4, [0.02, 1.0]), (9, [-1.0, -1.0])]
+    for kind in ("float", "double"):
+        rows = E.embedding_links(spark.createDataFrame(vectors, f"vec_id long, embedding array<{kind}>")).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in rows) == [
+            (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 1, False), (9, 0, 9, True),
+        ]
+
+
 def test_the_error_bound_holds():
     rng = np.random.default_rng(4)
     u, v = (x / np.linalg.norm(x, axis=1)[:, None] for x in (rng.normal(size=(300, 64)), rng.normal(size=(300, 64))))
@@ -163,11 +204,17 @@ def test_shards(docs_of, tmp_path, spark):
     sizes = [sum(r["size"] for r in rs) for rs in load.values()]
     assert max(sizes) < 1.1 * min(sizes)
     assert all(sorted(r["slot"] for r in rs) == list(range(len(rs))) for rs in load.values())
+    first = S.read_map(spark, str(tmp_path / "map"), 1)
+    assert len(first) == 64
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        S.write_map(spark, first, str(tmp_path / "map"))
     one = S.read_map(spark, str(tmp_path / "map"))
     usage = {s: (n, b) for _, s, _, n, b in one}
     two = S.rebalanced(one, usage, 6)
     S.write_map(spark, two, str(tmp_path / "map"))
-    assert S.read_map(spark, str(tmp_path / "map")) and {r[0] for r in S.read_map(spark, str(tmp_path / "map"))} == {2} and {r[0] for r in S.read_map(spark, str(tmp_path / "map"), 1)} == {1}
+    assert {r[0] for r in S.read_map(spark, str(tmp_path / "map"))} == {one[0][0] + 1} and {r[0] for r in S.read_map(spark, str(tmp_path / "map"), 1)} == {1}
+    again = S.shard_documents(docs, 6, 64, map_path=str(tmp_path / "map")).collect()
+    assert {r["shard"] for r in again} == set(range(6))
     new = {}
     for _, slot, shard, _, size in two:
         new[shard] = new.get(shard, 0) + size
@@ -176,6 +223,22 @@ def test_shards(docs_of, tmp_path, spark):
     assert len(moved) < 40
 
 
+def test_shards_against_a_plain_version(docs_of):
+    """Sizes and checksums written out, slots by MD5, every slot in one shard, places gapless."""
+    import hashlib
+    import zlib
+
+    _, base = texts(300, 2)
+    rows = [(k, None if k % 50 == 0 else t + "é") for k, t in enumerate(base)]
+    got = {r["doc_id"]: r for r in S.shard_documents(docs_of(rows), 24, 128).collect()}
+    shard_of = {}
+    for k, t in rows:
+        raw = (t or "").encode()
+        slot = int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) % 128
+        assert (got[k]["size"], got[k]["text_crc32"], got[k]["virtual_slot"]) == (len(raw) + 8, zlib.crc32(raw), slot)
+        assert shard_of.setdefault(slot, got[k]["shard"]) == got[k]["shard"]
+
+
 def test_shards_of_odd_rows(odd_docs, docs_of):
     rows = S.shard_documents(odd_docs.withColumn("slot", F.lit("old"))).collect()
     assert len(rows) == 9 and {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {8}
