@@ -70,4 +70,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         stays = F.filter("lines", lambda x, i: ~F.array_contains("out", i))
     kept = F.when(F.col("out").isNull(), F.col("lines")).otherwise(stays)
-    return whole.select(*[F.col(c).alias(name) for name, c in number.items()], kept.alias("kept_lines"), F.size("lines").cast("long").alias("n_lines"))
+    return whole.select(*number.values(), kept, F.size("lines").cast("long")).toDF(*number, "kept_lines", "n_lines")

@@ -202,5 +202,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source",
     rows = with_evidence(rest, model, text)
     joined = rows.join(at, F.col(host).eqNullSafe(F.col("host")) & F.col(path).eqNullSafe(F.col("path")), "left")
     total = _logit(F.col("evidence")) + _logit(F.col("path_posterior")) - _logit(F.col("corpus_mean"))
-    back = [F.col(c).alias(name) for name, c in number.items()]
-    return joined.select(*back, "evidence", "n_docs", "host_posterior", "path_posterior", (1 / (1 + F.exp(-total))).alias("quality_score"))
+    out = joined.select(*number.values(), "evidence", "n_docs", "host_posterior", "path_posterior", 1 / (1 + F.exp(-total)))
+    return out.toDF(*number, *MADE)
