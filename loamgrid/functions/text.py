@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 STOP_WORDS = (
     "a", "about", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "show", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "will", "with",
 )
-#: Query parameters that only track where a visitor came from.
-TRACKING = ("fbclid", "gclid", "mc_cid", "mc_eid", "ref", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term")
-#: Words a follow-up question begins with or leans on.
-FOLLOW_UPS = r"(?i)^\s*(and|also|what about|how about|then|but)\b|\b(it|its|that|this|these|those|they|them|same|previous|above)\b"
+#: Query parameters that only track where a visitor came from, by name and by beginning.
+TRACKING = (
+    "_hsenc", "_hsmi", "campaign_id", "cmpid", "dclid", "fbclid", "gclid", "igshid", "mc_cid", "mc_eid", "msclkid", "ref", "ref_src", "referrer", "source", "spm", "yclid",
+)
+TRACKING_BEGINNINGS = ("ga_", "mtm_", "pk_", "utm_")
+#: Beginnings of a follow-up question, and words and pronouns that lean on an earlier one.
+FOLLOW_UPS = (
+    r"(?i)^\s*(similarly|in addition|like before|as well|what about|what else|any other|how about|more about)\s"
+    r"|(^|\s)(also|and|another|any|else|more|others|similarly)(\s|$)"
+    r"|\b(he|it|ones?|she|that|them|these|they|this|those|we|you)\b"
+)
 
 
 def identifier_tokens(text: Column) -> Column:
@@ -61,7 +68,7 @@ def canonical_url(url: Column) -> Column:
     head = F.lower(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
     head = F.regexp_replace(F.regexp_replace(head, r"^(http://[^:]*):80$", "$1"), r"^(https://[^:]*):443$", "$1")
     path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)", 1)
-    kept = F.filter(F.split(F.regexp_extract(base, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=")[0]).isin(*TRACKING))
+    kept = F.filter(F.split(F.regexp_extract(base, r"\?(.*)$", 1), "&"), lambda p: (p != "") & ~F.lower(F.split(p, "=")[0]).isin(*TRACKING) & ~F.lower(p).rlike(f"^({'|'.join(TRACKING_BEGINNINGS)})"))
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     return F.concat(head, F.when(path == "", "/").otherwise(path), query)
 

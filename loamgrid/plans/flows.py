@@ -25,7 +25,7 @@ def p06(spark, d):
 
 def p07(spark, d):
     """Ridge predictions of a label's number from vectors, by held-out blocks."""
-    e = read(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 16).alias("v"), (F.col("vec_id") % 5).alias("block"))
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"), (F.col("vec_id") % 5).alias("block"))
     out = L.ridge_block_cv(e, "label", "v", "block", 1.0)
     return out.select("n", "blocks", F.round("r2", 6).alias("r2"), F.round("rmse", 6).alias("rmse"))
 
@@ -55,6 +55,36 @@ def s03(spark, d):
     return raw.select(F.col("properties.site_id").alias("site_id"), F.col("geometry.type").alias("kind"), F.round(F.col("geometry.coordinates")[0], 6).alias("lon"))
 
 
+def s03_collections(spark, d):
+    """Features gathered in collections by nation, landed as files, and taken apart again."""
+    path = _folder(spark, "collections")
+    geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct("site_id", "balance").alias("properties"))
+    sites = V.site_points(spark, d)
+    made = sites.groupBy((F.col("site_id") % 25).alias("k")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
+    made.repartition(25, "k").select("value").write.option("lineSep", "\n").text(path)
+    back = S.explode_geojson(spark, path, one_a_line=True)
+    return back.select(F.col("site_id").cast("long").alias("site_id"), "geometry_type", F.round(F.get_json_object("geometry", "$.coordinates[1]").cast("double"), 6).alias("lat"))
+
+
+def s08(spark, d):
+    """Conversations as notebooks, one a line, and their cells in order."""
+    path = _folder(spark, "notebooks")
+    c = read(spark, d, "conversations")
+    cell = F.struct("turn", F.when(F.col("role") == "assistant", "code").otherwise("markdown").alias("cell_type"), F.array(F.col("role"), F.lit("\n"), F.md5(F.encode("text", "UTF-8"))).alias("source"))
+    books = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    books.select(F.to_json(F.struct(F.col("conv_id").cast("string").alias("name"), "cells")).alias("value")).write.text(path)
+    return S.notebook_cells(spark, path, one_a_line=True).select(F.col("name").cast("long").alias("conv_id"), "cell", "kind", "source")
+
+
+def s14(spark, d):
+    """A layer joined with its areas, written as Parquet by area and read again."""
+    path = _folder(spark, "parquet-layer")
+    sites = V.site_points(spark, d).withColumn("zone", F.col("site_id") % 4)
+    S.write_parquet_layer(sites.select("site_id", "zone", "balance"), path, ["zone"])
+    return spark.read.parquet(path).groupBy("zone").agg(F.count("*").alias("n"), F.round(F.sum("balance"), 2).alias("balance")).select(F.col("zone").cast("long").alias("zone"), "n", "balance")
+
+
 def s04(spark, d):
     p = read(spark, d, "part")
     raw = p.select(F.when(F.col("p_partkey") % 17 == 0, " ").otherwise((F.col("p_partkey") % 1500).cast("string")).alias("id"), F.split("p_name", " ").alias("tags"), F.when((F.col("p_partkey") % 1500) % 7 == 0, "private").when((F.col("p_partkey") % 1500) % 7 < 4, "Public").alias("visibility"))
@@ -101,8 +131,8 @@ def s11(spark, d):
 
 def s24(spark, d):
     path = _folder(spark, "export")
-    S.export_docs(read(spark, d, "nation"), path, "n_nationkey")
-    return S.import_docs(spark, path, "n_name:string,n_regionkey:int").select(F.col("_id").cast("int").alias("n_nationkey"), "n_name", "n_regionkey")
+    S.export_docs(read(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"), path, "c_custkey")
+    return S.import_docs(spark, path, "c_name:string,c_nationkey:int").select(F.col("_id").cast("int").alias("c_custkey"), "c_name", "c_nationkey")
 
 
 def _events(spark, d):
@@ -150,7 +180,7 @@ def x07(spark, d):
 
 
 QUERIES = {
-    "g11_convex_hull": g11, "p06_look_alike_groups": p06, "p07_ridge_block_cv": p07, "p08_shared_pca": p08, "s01_csv_round_trip": s01, "s03_geojson_round_trip": s03, "s04_load_elements": s04, "s05_profile_layer": s05, "s06_sniff": s06,
+    "g11_convex_hull": g11, "p06_look_alike_groups": p06, "p07_ridge_block_cv": p07, "p08_shared_pca": p08, "s01_csv_round_trip": s01, "s03_geojson_round_trip": s03, "s03_feature_collections": s03_collections, "s08_notebook_cells": s08, "s14_parquet_layer": s14, "s04_load_elements": s04, "s05_profile_layer": s05, "s06_sniff": s06,
     "s09_normalise_catalog": s09, "s10_osm_features": s10, "s11_wkt_to_shape": s11, "s24_export_and_import": s24, "x01_stream_period_counts": x01, "x02_stream_usage": x02, "x03_stream_dedupe": x03, "x04_stream_session_ring": x04,
     "x05_stream_repeats": x05, "x06_stream_ingest": x06, "x07_stream_trace_summary": x07,
 }
@@ -158,13 +188,16 @@ QUERIES = {
 SQL = {
     "s01_csv_round_trip": V.sql_with("site_points", body=" SELECT site_id, round(lon, 6) AS lon, round(lat, 6) AS lat, balance FROM site_points"),
     "s03_geojson_round_trip": V.sql_with("site_points", body=" SELECT site_id, 'Point' AS kind, round(lon, 6) AS lon FROM site_points"),
+    "s03_feature_collections": V.sql_with("site_points", body=" SELECT site_id, 'Point' AS geometry_type, round(lat, 6) AS lat FROM site_points"),
+    "s08_notebook_cells": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS cell, CASE WHEN role = 'assistant' THEN 'code' ELSE 'markdown' END AS kind, role || chr(10) || md5(text) AS source FROM conversations",
+    "s14_parquet_layer": V.sql_with("site_points", body=" SELECT site_id % 4 AS zone, count(*) AS n, round(sum(balance), 2) AS balance FROM site_points GROUP BY 1"),
     "s04_load_elements": "SELECT DISTINCT (p_partkey % 1500)::VARCHAR AS id FROM part WHERE p_partkey % 17 <> 0 AND (p_partkey % 1500) % 7 <> 0",
     "s05_profile_layer": V.sql_with("event_points", body=" SELECT count(*) AS features, round(min(lon), 6) AS xmin, round(min(lat), 6) AS ymin, round(max(lon), 6) AS xmax, round(max(lat), 6) AS ymax FROM event_points"),
     "s06_sniff": "SELECT 'html' AS kind, 'metadata' AS family, count(*) AS n FROM pages UNION ALL SELECT 'csv', 'tabular', count(*) FROM part UNION ALL SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'png' ELSE 'tiff' END, 'raster', count(*) FROM nation GROUP BY 1",
     "s09_normalise_catalog": "SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 2 = 0 THEN 'stac' ELSE 'ckan' END AS source, p_name AS title, p_type AS keywords, CASE WHEN p_partkey % 2 = 0 THEN -87.0::DOUBLE END AS xmax, '2020-01-01' AS start FROM part",
     "s10_osm_features": "SELECT CASE s_suppkey % 4 WHEN 0 THEN 'Point' WHEN 1 THEN 'Polygon' ELSE 'LineString' END AS kind, count(*) AS n, sum(CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 4 END)::BIGINT AS points FROM supplier WHERE s_suppkey % 4 <> 3 GROUP BY 1",
     "s11_wkt_to_shape": """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '{"type":"point","coordinates":[' || s_suppkey || '.0,4.5]}' WHEN 1 THEN '{"type":"envelope","coordinates":[[1.0,2.0],[' || s_suppkey || '.0,7.0]]}' END AS shape FROM supplier""",
-    "s24_export_and_import": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "s24_export_and_import": "SELECT c_custkey, c_name, c_nationkey FROM customer",
     "x01_stream_period_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY 1",
     "x02_stream_usage": "SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS turns, round(sum(value), 6) AS spent FROM events GROUP BY 1, 2",
     "x03_stream_dedupe": "SELECT event_id, event_type FROM events",

@@ -198,10 +198,13 @@ def a52(spark, d):
 
 
 def u07(spark, d):
-    """Whether two days saw the same users: days compare only if their inputs overlap."""
-    e = read(spark, d, "events").where("user_id < 12").groupBy(F.to_date("ts").alias("day")).agg(F.collect_set("user_id").alias("users"))
-    pairs = e.alias("a").join(e.alias("b"), F.col("b.day") == F.date_add(F.col("a.day"), 1))
-    return pairs.select(F.col("a.day").alias("day"), F.arrays_overlap("a.users", "b.users").alias("comparable"))
+    """Whether two days saw any user in common: one row a day and user is made first, and meets the next day's."""
+    e = read(spark, d, "events").select(F.to_date("ts").alias("day"), "user_id").distinct()
+    days = e.select("day").distinct()
+    after = e.select(F.date_sub("day", 1).alias("day"), "user_id")
+    shared = e.join(after, ["day", "user_id"]).select("day").distinct().withColumn("comparable", F.lit(True))
+    both = days.join(days.select(F.date_sub("day", 1).alias("day")), "day", "left_semi")
+    return both.join(shared, "day", "left").select("day", F.coalesce("comparable", F.lit(False)).alias("comparable"))
 
 
 def c06(spark, d):
@@ -261,7 +264,7 @@ SQL = {
     "t02_by_popularity": "SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1 ORDER BY clicks DESC, user_id LIMIT 30",
     "t03_graph_score": "SELECT user_id, round(log10(count(*) FILTER (event_type = 'click') + 1) * 0.3::DOUBLE + count(DISTINCT event_type) * 0.05::DOUBLE, 9) AS score FROM events GROUP BY 1",
     "t04_keyword_graph_rank": "WITH h AS (SELECT p_partkey, p_retailprice, contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT + contains(p_name, 'promo')::INT AS a, contains(lower(p_type), 'red')::INT + contains(lower(p_type), 'ring')::INT + contains(lower(p_type), 'promo')::INT AS b FROM part) SELECT p_partkey, round(a * 2 + b + log10(p_retailprice + 1) * 0.2::DOUBLE, 9) AS score FROM h WHERE a + b > 0",
-    "u07_disjoint_runs": "WITH e AS (SELECT ts::DATE AS day, list(DISTINCT user_id) AS users FROM events WHERE user_id < 12 GROUP BY 1) SELECT a.day, list_has_any(a.users, b.users) AS comparable FROM e a JOIN e b ON b.day = a.day + 1",
+    "u07_disjoint_runs": "WITH e AS (SELECT DISTINCT ts::DATE AS day, user_id FROM events), d AS (SELECT DISTINCT day FROM e), o AS (SELECT DISTINCT a.day FROM e a JOIN e b ON b.day = a.day + 1 AND a.user_id = b.user_id) SELECT d.day, o.day IS NOT NULL AS comparable FROM d JOIN d n ON n.day = d.day + 1 LEFT JOIN o ON o.day = d.day",
     "w07_collapse_shared": "SELECT p_partkey, p_name, p_brand, count(*) OVER (PARTITION BY p_name, p_brand) AS siblings FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_retailprice DESC, p_partkey) = 1",
     "w08_floor_promote": "WITH e AS (SELECT event_id % 40 AS case_id, event_type, value, event_id, row_number() OVER (PARTITION BY event_id % 40, event_type ORDER BY value DESC, event_id) AS k FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY (event_type = 'purchase' AND k <= 4)::INT DESC, value DESC, event_id) AS n FROM e) SELECT case_id, event_id, event_type, value, (row_number() OVER (PARTITION BY case_id ORDER BY value DESC, event_id))::INT AS rank FROM n WHERE n <= 8",
 }

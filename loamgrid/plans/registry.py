@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("spatial", "tables", "retrieval", "logs", "analysis", "flows", "records")
+MODULES: tuple[str, ...] = ("spatial", "tables", "retrieval", "logs", "analysis", "flows", "records", "context")
 
 
 def _gathered(name: str) -> dict:

@@ -12,7 +12,7 @@ from loamgrid.plans.views import read
 
 
 def _bench(spark, d):
-    return read(spark, d, "benchmark").select("item_id", F.array_join(F.slice(X.words(F.col("text")), 1, 6), " ").alias("query"))
+    return read(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
 
 
 def r01(spark, d):
@@ -83,20 +83,21 @@ def w10(spark, d):
 
 
 def w13(spark, d):
-    """The leading type of a case, dropped where the runner-up is over 0.8 of it."""
-    counted = _lists(spark, d).groupBy("case_id", "arm").agg(F.round(F.sum("score"), 6).alias("total"))
+    """A user's leading type, dropped where the runner-up is over 0.8 of it."""
+    counted = read(spark, d, "events").groupBy(F.col("user_id").alias("case_id"), F.col("event_type").alias("arm")).agg(F.round(F.sum("value"), 6).alias("total"))
     w = Window.partitionBy("case_id").orderBy(F.desc("total"), "arm")
     led = counted.withColumn("n", F.row_number().over(w)).withColumn("second", F.lead("total").over(w)).where("n = 1")
-    return led.where(F.coalesce(F.col("second") <= F.col("total") * 0.95, F.lit(True))).select("case_id", "arm", "total")
+    return led.where(F.coalesce(F.col("second") <= F.col("total") * 0.8, F.lit(True))).select("case_id", "arm", "total")
 
 
 def a26(spark, d):
     hits = r01(spark, d)
-    passages = read(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("start"))
-    # the first words of an item are rare: documents that hold them are found through their first word, not all by all
+    # documents that hold a whole passage are found through its longest word, not all by all
+    longest = F.max_by("word", F.struct(F.length("word"), "word"))
+    keyed = read(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.explode(F.split("text", r"\s+")).alias("word")).groupBy("item_id", "passage").agg(longest.alias("word"))
     docs = read(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    keyed = passages.withColumn("word", F.element_at(F.split("start", r"\s+"), 1))
-    expected = docs.join(F.broadcast(keyed), "word").where(F.contains("text", F.col("start"))).select("item_id", "doc_id").distinct()
+    held = docs.select("doc_id", "word").join(keyed.select("item_id", "passage", "word"), "word").select("item_id", "doc_id", "passage")
+    expected = held.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id").distinct()
     out = R.retrieval_scores(hits, expected, "item_id", "doc_id", 10)
     return out.select("item_id", "found", "expected", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank")])
 
@@ -210,9 +211,8 @@ def m13(spark, d):
 
 
 def m14(spark, d):
-    term = F.lower(F.element_at(F.split("source", "src"), -1))
     docs = read(spark, d, "documents").where("text is not null")
-    return R.select_passages(docs, "doc_id", "text", F.concat(F.lit("ti"), F.substring(term, 1, 0), F.lit("onnt")), 2000).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("paragraph")).alias("chars"))
+    return R.select_passages(docs, "doc_id", "text", F.lit("license"), 2000).groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum(F.length("paragraph")).alias("chars"))
 
 
 def m15(spark, d):
@@ -233,13 +233,13 @@ QUERIES = {
 }
 
 _WORDS = "list_filter(string_split_regex(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
-_BENCH = f"q AS (SELECT item_id, array_to_string(({_WORDS.format(c='text')})[1:6], ' ') AS query FROM benchmark)"
+_BENCH = "q AS (SELECT item_id, text AS query FROM benchmark)"
 _BM25 = f"""WITH {_BENCH}, t AS (SELECT DISTINCT item_id, unnest({_WORDS.format(c='query')}) AS term FROM q),
 w AS (SELECT doc_id, {_WORDS.format(c='text')} AS ws FROM documents), s AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM w),
 x AS (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM w), f AS (SELECT doc_id, dl, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM t) GROUP BY ALL), g AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
 b AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM f JOIN g USING (term) JOIN t USING (term), s GROUP BY 1, 2),
 r AS (SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank FROM b), hits AS (SELECT * FROM r WHERE rank <= 10)"""
-_EVAL = _BM25 + """, e AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 60))),
+_EVAL = _BM25 + """, e AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 h AS (SELECT item_id, count(*) AS found, min(rank) AS first FROM hits JOIN e USING (item_id, doc_id) GROUP BY 1),
 ev AS (SELECT e.item_id, coalesce(any_value(h.found), 0) AS found, count(*) AS expected, round(coalesce(any_value(h.found), 0) / count(*), 6) AS recall, round(coalesce(any_value(h.found), 0) / 10.0::DOUBLE, 6) AS precision, round(coalesce(1 / any_value(h.first), 0), 6) AS reciprocal_rank FROM e LEFT JOIN h USING (item_id) GROUP BY 1)"""
 _LISTS = "l AS (SELECT event_id % 50 AS case_id, event_type AS arm, user_id AS item, value AS score, event_id AS pos FROM events)"
@@ -279,7 +279,7 @@ SELECT item_id, page_id, round(sum(weight * idf), 6) AS score FROM h JOIN g USIN
 b AS (SELECT case_id, item, min(r) FILTER (arm = 'click') AS c, min(r) FILTER (arm = 'view') AS v FROM r GROUP BY 1, 2), o AS (SELECT *, (row_number() OVER (PARTITION BY case_id ORDER BY c NULLS LAST, v NULLS LAST, item))::INT AS rank FROM b)
 SELECT case_id, item, CASE WHEN c IS NOT NULL AND v IS NOT NULL THEN 'keyword+semantic' WHEN c IS NOT NULL THEN 'keyword' ELSE 'semantic' END AS source, rank FROM o WHERE rank <= 10""",
     "w10_cumulative_budget": "WITH r AS (SELECT conv_id, turn, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, turn, upto FROM r WHERE (upto <= 1500 OR n = 1) AND n <= 10",
-    "w13_runner_up_margin": f"WITH {_LISTS}, c AS (SELECT case_id, arm, round(sum(score), 6) AS total FROM l GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY total DESC, arm) AS n, lead(total) OVER (PARTITION BY case_id ORDER BY total DESC, arm) AS second FROM c) SELECT case_id, arm, total FROM w WHERE n = 1 AND coalesce(second <= total * 0.95::DOUBLE, true)",
+    "w13_runner_up_margin": "WITH c AS (SELECT user_id AS case_id, event_type AS arm, round(sum(value), 6) AS total FROM events GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY total DESC, arm) AS n, lead(total) OVER (PARTITION BY case_id ORDER BY total DESC, arm) AS second FROM c) SELECT case_id, arm, total FROM w WHERE n = 1 AND coalesce(second <= total * 0.8::DOUBLE, true)",
     "a30_evidence_summary": f"WITH {_LISTS} SELECT case_id, arm, count(*) AS n, max(score) AS top FROM l GROUP BY 1, 2",
     "a31_term_coverage": "SELECT source, round(avg((contains(lower(substr(text, 1, 600)), 'ning') OR contains(lower(substr(text, 1, 600)), 'ción'))::INT), 2) AS coverage, count(*) AS n FROM documents GROUP BY 1",
     "a32_corpus_fingerprint": "SELECT count(*) AS n, sum(('0x' || substr(sha256(concat_ws('|', p_partkey, p_name, p_type)), 1, 8))::BIGINT)::BIGINT AS digest FROM part",
@@ -288,10 +288,10 @@ SELECT case_id, item, CASE WHEN c IS NOT NULL AND v IS NOT NULL THEN 'keyword+se
     "f16_domain_relevance": f"WITH s AS (SELECT doc_id, length(text) AS n, ({_sum_hits('ningthe', 'ciónque')}) * 3 + {_sum_hits('tion', 'ment', 'heit')} - ({_sum_hits('$$$', '!!')}) * 2 AS score FROM documents) SELECT doc_id, score, score >= 3 OR n < 120 AS admitted FROM s",
     "f21_classify_document": "SELECT CASE WHEN length(text) > 4000 THEN 'document' WHEN contains(lower(text), 'license') THEN 'licence page' WHEN contains(text, ' | ') THEN 'menu page' WHEN contains(text, '$$$') THEN 'garbled page' ELSE 'document' END AS kind, count(*) AS n FROM documents GROUP BY 1",
     "f22_reach_bucket": "SELECT CASE WHEN length(html) < 1500 THEN 'thin' WHEN contains(html, '<article') THEN 'article' WHEN contains(html, '<main') THEN 'main' ELSE 'other' END AS bucket, count(*) AS n, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1",
-    "f23_needs_context": "SELECT conv_id, turn, conv_id % 3 = 0 OR regexp_matches(text, '(?i)^\\s*(and|also|what about|how about|then|but)\\b|\\b(it|its|that|this|these|those|they|them|same|previous|above)\\b') AS needs_context FROM conversations WHERE role = 'user'",
+    "f23_needs_context": f"SELECT conv_id, turn, conv_id % 3 = 0 OR regexp_matches(text, '{X.FOLLOW_UPS}') AS needs_context FROM conversations WHERE role = 'user'",
     "f27_link_kind": "WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?]+)', 1) AS h FROM pages) SELECT page_id, CASE WHEN regexp_matches(h, '(^|\\.)example\\.com$') THEN 'portal' WHEN regexp_matches(h, '(^|\\.)example\\.net$') THEN 'opaque' WHEN regexp_matches(h, '(^|\\.)example\\.org$') THEN 'deposit' ELSE 'direct' END AS kind FROM h",
     "m02_stems": f"WITH p AS (SELECT p_partkey, split_part(p_name, ' ', -1) AS w FROM part) SELECT p_partkey, {_endings(_PLURAL)} AS plural, {_endings(_CRUDE)} AS crude FROM p",
-    "m07_canonical_url": f"""WITH b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), c AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS head, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) AS path, list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({_TRACK})) AS kept FROM b)
+    "m07_canonical_url": f"""WITH b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), c AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS head, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) AS path, list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({_TRACK}) AND NOT regexp_matches(lower(split_part(p, '=', 1)), '^({'|'.join(X.TRACKING_BEGINNINGS)})')) AS kept FROM b)
 SELECT page_id, regexp_replace(regexp_replace(head, '^(http://[^:]*):80$', '\\1'), '^(https://[^:]*):443$', '\\1') || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM c""",
     "m08_blob_to_raw": "SELECT p_partkey, 'https://raw.githubusercontent.com/o' || p_partkey || '/r/main/' || replace(p_name, ' ', '/') AS raw FROM part",
     "m09_dois": "SELECT p_partkey, '10.1234/ab.' || p_partkey || ' 10.5555/' || lower(replace(p_brand, '#', '-')) AS dois FROM part",
@@ -299,5 +299,6 @@ SELECT page_id, regexp_replace(regexp_replace(head, '^(http://[^:]*):80$', '\\1'
     "m01_tokens": "WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w, split_part(p_brand, '#', 2) AS n FROM part), t AS (SELECT p_partkey, unnest(list_distinct(list_concat(['get', 'get' || w[1], 'brand', n], w))) AS t FROM p) SELECT p_partkey, string_agg(t, ' ' ORDER BY t) AS tokens FROM t GROUP BY 1",
     "m05_keyword_summary": f"""WITH w AS (SELECT conv_id, turn, list_filter({_WORDS.format(c='text')}, lambda w: length(w) >= 3 AND w NOT IN ({_STOP})) AS ws FROM conversations), x AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM w), f AS (SELECT conv_id, turn, w, min(k) AS k FROM x GROUP BY 1, 2, 3), g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) AS n FROM f)
 SELECT c.conv_id, c.turn, coalesce(string_agg(g.w, ' ' ORDER BY g.n), '') AS keywords FROM conversations c LEFT JOIN g ON g.conv_id = c.conv_id AND g.turn = c.turn AND g.n <= 6 GROUP BY 1, 2""",
+    "m14_select_passages": "WITH p AS (SELECT doc_id, k AS pos, string_split(text, chr(10))[k] AS p FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(k) WHERE trim(string_split(text, chr(10))[k]) <> ''), n AS (SELECT *, max(contains(lower(p), 'license')::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM p), r AS (SELECT *, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto FROM n WHERE near = 1 OR n <= 2) SELECT doc_id, count(*) AS paragraphs, sum(length(p))::BIGINT AS chars FROM r WHERE upto <= 2000 GROUP BY 1",
     "m16_extract_numbers": "SELECT p_partkey, 0 AS k, p_size::DOUBLE AS value, 'km' AS unit, 'about' AS before FROM part UNION ALL SELECT p_partkey, 1, p_retailprice, NULL, 'price' FROM part UNION ALL SELECT p_partkey, 2, 1500.0 + p_size % 10 * 10, 'm', 'or' FROM part",
 }

@@ -30,22 +30,28 @@ def a01(spark, d):
 
 
 def a02(spark, d):
-    points, boxes = V.event_points(spark, d).where("event_id % 3 = 0"), V.area_boxes(spark, d)
-    out = boxes.select("area_id")
-    for statistic in ("sum", "mean", "median", "min", "max", "std"):
-        made = S.count_points_in_areas(points, boxes, "area_id", CELL, "value", statistic)
-        out = out.join(made.select("area_id", F.round(f"value_{statistic}", 6).alias(f"value_{statistic}")), "area_id")
-    return out
+    """All statistics of an area's points from one join."""
+    boxes = V.area_boxes(spark, d)
+    pairs = S.points_in_boxes(V.event_points(spark, d), boxes, CELL)
+    made = {"sum": F.sum("value"), "mean": F.avg("value"), "median": F.median("value"), "min": F.min("value"), "max": F.max("value"), "std": F.stddev_samp("value")}
+    found = pairs.groupBy("area_id").agg(*[F.round(c, 6).alias(f"value_{n}") for n, c in made.items()])
+    return boxes.select("area_id").join(found, "area_id", "left").na.fill(0.0, ["value_sum"])
+
+
+def _metric(points):
+    """Metres in the UTM zone of the middle of the layer, which one row of bounds tells."""
+    low, high = points.agg(F.min("lon"), F.max("lon")).first()
+    return geo.utm_xy(F.col("lon"), F.col("lat"), F.lit(geo.utm_central(((low or 0.0) + (high or 0.0)) / 2)))
 
 
 def a03(spark, d):
-    x, y = geo.mercator(F.col("lon"), F.col("lat"))
-    return S.grid_square(V.event_points(spark, d), 5000.0, x, y, 2)
+    points = V.event_points(spark, d)
+    return S.grid_square(points, 5000.0, *_metric(points), 2)
 
 
 def a04(spark, d):
-    x, y = geo.mercator(F.col("lon"), F.col("lat"))
-    return S.grid_hex(V.event_points(spark, d), 4000.0, x, y)
+    points = V.event_points(spark, d)
+    return S.grid_hex(points, 4000.0, *_metric(points))
 
 
 def j01(spark, d):
@@ -76,8 +82,8 @@ def j05(spark, d):
 
 def j06(spark, d):
     events = V.event_points(spark, d).select("event_id", "lon", "lat", F.col("ts"), "event_type")
-    anchors = events.where("event_type = 'error' and event_id % 7 = 0").select(F.col("event_id").alias("anchor_id"), "lon", "lat", "ts")
-    return S.space_time_join(events, anchors, "event_id", "anchor_id", 25_000.0, 7 * 86400).groupBy("anchor_id").agg(F.count("*").alias("n"), F.round(F.max("distance_m"), 3).alias("farthest"))
+    anchors = events.where("event_type = 'error'").select(F.col("event_id").alias("anchor_id"), "lon", "lat", "ts")
+    return S.space_time_join(events, anchors, "event_id", "anchor_id", 5_000.0, 86400).groupBy("anchor_id").agg(F.count("*").alias("n"), F.round(F.max("distance_m"), 3).alias("farthest"))
 
 
 def j11(spark, d, rook=False):
@@ -184,13 +190,6 @@ def a38(spark, d):
     return total.orderBy("cost", "site_a", "site_b").limit(1)
 
 
-def f12(spark, d):
-    """Boxes that meet a search box, and points of some kinds in it, with a weighted keyword score."""
-    parts = V.event_points(spark, d).where(F.col("lon").between(-87.75, -87.25) & F.col("lat").between(41.2, 41.8) & F.col("event_type").isin("error", "click"))
-    score = F.greatest(F.when(F.col("event_type").contains("err"), 3.0).otherwise(0.0), F.when(F.col("props").contains('"k": 1'), 2.0).otherwise(0.0))
-    return parts.select("event_id", score.alias("score")).where("score > 0")
-
-
 def f13(spark, d):
     a = V.area_boxes(spark, d)
     known = F.when(F.col("area_id") % 6 != 0, F.col("xmin"))
@@ -222,7 +221,7 @@ def m19(spark, d):
 
 QUERIES = {
     "a01_count_points_in_areas": a01, "a02_area_statistics": a02, "a03_grid_square": a03, "a04_grid_hex": a04, "a13_compare_periods": a13, "a14_temporal_hotspots": a14, "a20_rate_per_population": a20,
-    "a36_idw": a36, "a37_site_load": a37, "a38_p_median_pairs": a38, "f12_spatial_search": f12, "f13_extent_relations": f13, "g01_projections": g01, "g03_ring_measures": g03, "j01_points_in_polygons": j01,
+    "a36_idw": a36, "a37_site_load": a37, "a38_p_median_pairs": a38, "f13_extent_relations": f13, "g01_projections": g01, "g03_ring_measures": g03, "j01_points_in_polygons": j01,
     "j02_spatial_join_left": j02, "j04_nearest_join": j04, "j04_nearest_join_capped": j04_capped, "j05_within_distance": j05, "j06_space_time_join": j06, "j11_contiguity_queen": j11,
     "j11_contiguity_rook": lambda s, d: j11(s, d, True), "j12_distance_band": j12, "j12_least_band": j12_least, "j13_knn_weights": j13, "j22_distance_matrix": j22, "j25_box_intersection": j25, "j25_box_difference": j25_difference,
     "j26_clip": j26, "j27_erase": lambda s, d: j26(s, d, False), "m19_dms_to_degrees": m19, "w18_emerging_and_cooling": w18,
@@ -238,11 +237,18 @@ edges AS (SELECT area_id, xm AS x1, ymin AS y1, xmax AS x2, ym AS y2 FROM e UNIO
 _OVERLAY = "greatest(a.xmin, b.xmin + {s}) AS xmin, greatest(a.ymin, b.ymin + {s}) AS ymin, least(a.xmax, b.xmax + {s}) AS xmax, least(a.ymax, b.ymax + {s}) AS ymax"
 _CORNERS = """, v AS (SELECT area_id, unnest([{'x': round(xmin, 9), 'y': round(ymin, 9)}, {'x': round(xmax, 9), 'y': round(ymin, 9)}, {'x': round(xmax, 9), 'y': round(ymax, 9)}, {'x': round(xmin, 9), 'y': round(ymax, 9)}]) AS p FROM area_boxes)"""
 
+#: Metres east and north of all events in zone 16, whose central meridian is 87 degrees west.
+_UTM = """, u1 AS (SELECT lon, lat, 1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE) AS n, radians(lat) AS phi, radians(lon - (-87.0)) AS lam FROM event_points),
+u2 AS (SELECT *, 2 * sqrt(n) / (1 + n) AS e, 6378137.0::DOUBLE / (1 + n) * (1 + n**2 / 4 + n**4 / 64) AS big FROM u1), u3 AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM u2),
+u4 AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta, n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 AS a1, 13 * n**2 / 48 - 3 * n**3 / 5 AS a2, 61 * n**3 / 240 AS a3 FROM u3),
+utm AS (SELECT 500000 + 0.9996::DOUBLE * big * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS east,
+0.9996::DOUBLE * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS north FROM u4)"""
+
 SQL = {
     "a01_count_points_in_areas": V.sql_with("event_points", "area_boxes", body=f" SELECT a.area_id, a.area, count(p.event_id) AS point_count FROM area_boxes a LEFT JOIN event_points p ON {INSIDE} GROUP BY 1, 2"),
-    "a02_area_statistics": V.sql_with("event_points", "area_boxes", body=f" SELECT a.area_id, round(coalesce(sum(value), 0), 6) AS value_sum, round(avg(value), 6) AS value_mean, round(median(value), 6) AS value_median, round(min(value), 6) AS value_min, round(max(value), 6) AS value_max, round(stddev_samp(value), 6) AS value_std FROM area_boxes a LEFT JOIN (SELECT * FROM event_points WHERE event_id % 3 = 0) p ON {INSIDE} GROUP BY 1"),
-    "a03_grid_square": V.sql_with("event_points", body=" SELECT floor(6378137.0::DOUBLE * ln(tan(0.7853981633974483 + radians(lat) / 2)) / 5000.0)::BIGINT AS cell_y, floor(6378137.0::DOUBLE * radians(lon) / 5000.0)::BIGINT AS cell_x, count(*) AS n, round(count(*) / 25.0::DOUBLE, 4) AS per_km2 FROM event_points GROUP BY 1, 2 HAVING count(*) >= 2"),
-    "a04_grid_hex": V.sql_with("event_points", body=""", q AS (SELECT 6378137.0::DOUBLE * radians(lon) AS x, 6378137.0::DOUBLE * ln(tan(0.7853981633974483 + radians(lat) / 2)) AS y, 1.5::DOUBLE * 4000 / sqrt(3.0::DOUBLE) AS rise FROM event_points),
+    "a02_area_statistics": V.sql_with("event_points", "area_boxes", body=f" SELECT a.area_id, round(coalesce(sum(value), 0), 6) AS value_sum, round(avg(value), 6) AS value_mean, round(median(value), 6) AS value_median, round(min(value), 6) AS value_min, round(max(value), 6) AS value_max, round(stddev_samp(value), 6) AS value_std FROM area_boxes a LEFT JOIN event_points p ON {INSIDE} GROUP BY 1"),
+    "a03_grid_square": V.sql_with("event_points", body=_UTM + " SELECT floor(north / 5000.0)::BIGINT AS cell_y, floor(east / 5000.0)::BIGINT AS cell_x, count(*) AS n, round(count(*) / 25.0::DOUBLE, 4) AS per_km2 FROM utm GROUP BY 1, 2 HAVING count(*) >= 2"),
+    "a04_grid_hex": V.sql_with("event_points", body=_UTM + """, q AS (SELECT east AS x, north AS y, 1.5::DOUBLE * 4000 / sqrt(3.0::DOUBLE) AS rise FROM utm),
 r AS (SELECT x, y, rise, floor(y / rise) AS r0 FROM q), s AS (SELECT *, (r0 % 2 + 2) % 2 * 2000.0::DOUBLE AS o0, ((r0 + 1) % 2 + 2) % 2 * 2000.0::DOUBLE AS o1 FROM r),
 t AS (SELECT *, round_even((x - o0) / 4000.0::DOUBLE, 0) AS c0, round_even((x - o1) / 4000.0::DOUBLE, 0) AS c1 FROM s),
 u AS (SELECT r0, c0, c1, power(x - (c0 * 4000 + o0), 2) + power(y - r0 * rise, 2) AS d0, power(x - (c1 * 4000 + o1), 2) + power(y - (r0 + 1) * rise, 2) AS d1 FROM t)
@@ -254,7 +260,6 @@ SELECT (CASE WHEN d1 < d0 THEN r0 + 1 ELSE r0 END)::BIGINT AS hex_row, (CASE WHE
     "a36_idw": V.sql_with("demand_points", "site_points", body=f", m AS (SELECT p.demand_id, s.balance, {metres_sql('p', 's')} AS m FROM demand_points p, site_points s) SELECT demand_id, round(sum(balance / (m * m)) / sum(1 / (m * m)), 3) AS estimate FROM m WHERE m <= 8000 GROUP BY 1"),
     "a37_site_load": V.sql_with("demand_points", "site_points", body=f", n AS ({_NEAREST.format(a='demand_id', b='site_id', metres=metres_sql('p', 's'), left='demand_points')}) SELECT site_id, count(*) AS served, round(avg(m), 3) AS mean_m, round(avg((m > 2000)::INT), 6) AS share_over_2km FROM n GROUP BY 1"),
     "a38_p_median_pairs": V.sql_with("demand_points", "site_points", body=f", m AS (SELECT p.demand_id, p.weight, s.site_id, round({metres_sql('p', 's')}, 3) AS m FROM demand_points p, site_points s WHERE site_id < 8) SELECT a.site_id AS site_a, b.site_id AS site_b, round(sum(a.weight * least(a.m, b.m)), 0) AS cost FROM m a JOIN m b ON a.demand_id = b.demand_id AND a.site_id < b.site_id GROUP BY 1, 2 ORDER BY cost, 1, 2 LIMIT 1"),
-    "f12_spatial_search": V.sql_with("event_points", body=""", s AS (SELECT event_id, greatest(CASE WHEN contains(event_type, 'err') THEN 3.0::DOUBLE ELSE 0 END, CASE WHEN contains(props, '"k": 1') THEN 2.0::DOUBLE ELSE 0 END) AS score FROM event_points WHERE lon BETWEEN -87.75 AND -87.25 AND lat BETWEEN 41.2 AND 41.8 AND event_type IN ('error', 'click')) SELECT * FROM s WHERE score > 0"""),
     "f13_extent_relations": V.sql_with("area_boxes", body=", i AS (SELECT *, greatest(0, least(xmax, -87.2) - greatest(xmin, -87.5)) * greatest(0, least(ymax, 41.7) - greatest(ymin, 41.3)) AS inter FROM area_boxes) SELECT area_id, CASE WHEN area_id % 6 = 0 THEN false ELSE xmax < -87.5 OR xmin > -87.2 OR ymax < 41.3 OR ymin > 41.7 END AS conflict, round(inter / ((xmax - xmin) * (ymax - ymin) + (-87.2::DOUBLE + 87.5) * (41.7::DOUBLE - 41.3) - inter), 9) AS iou, xmin <= -87.5 AND xmax >= -87.2 AND ymin <= 41.3 AND ymax >= 41.7 AS covers, xmin >= -180 AND xmax <= 180 AND ymin >= -90 AND ymax <= 90 AND xmin <= xmax AND ymin <= ymax AS plausible FROM i"),
     "g01_projections": V.sql_with("site_points", body=""", k AS (SELECT site_id, lon, lat, 1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE) AS n, radians(lat) AS phi, radians(lon - (-87.0)) AS lam FROM site_points),
 l AS (SELECT *, 2 * sqrt(n) / (1 + n) AS e, 6378137.0::DOUBLE / (1 + n) * (1 + n**2 / 4 + n**4 / 64) AS big FROM k), t AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM l),
@@ -267,7 +272,7 @@ round(0.9996::DOUBLE * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4
     "j04_nearest_join": V.sql_with("event_points", "site_points", body=f", n AS ({_NEAREST.format(a='event_id', b='site_id', metres=metres_sql('p', 's'), left='event_points')}) SELECT event_id, site_id, round(m, 3) AS distance_m, round(m / 1609.344, 6) AS distance_mi FROM n"),
     "j04_nearest_join_capped": V.sql_with("demand_points", "site_points", body=f", n AS ({_NEAREST.format(a='demand_id', b='site_id', metres=metres_sql('p', 's'), left='demand_points')}) SELECT demand_id, CASE WHEN m <= 2500 THEN site_id END AS site_id, CASE WHEN m <= 2500 THEN round(m, 3) END AS distance_m FROM n"),
     "j05_within_distance": V.sql_with("demand_points", "site_points", body=f", n AS (SELECT p.demand_id, s.site_id, {metres_sql('p', 's')} AS m FROM demand_points p, site_points s) SELECT demand_id, site_id, round(m, 3) AS distance_m FROM n WHERE m <= 1609.344"),
-    "j06_space_time_join": V.sql_with("event_points", body=f", n AS (SELECT a.event_id AS anchor_id, {metres_sql('a', 'p')} AS m FROM event_points a JOIN event_points p ON p.ts > a.ts AND p.ts <= a.ts + INTERVAL 7 DAY WHERE a.event_type = 'error' AND a.event_id % 7 = 0) SELECT anchor_id, count(*) AS n, round(max(m), 3) AS farthest FROM n WHERE m <= 25000 GROUP BY 1"),
+    "j06_space_time_join": V.sql_with("event_points", body=f", n AS (SELECT a.event_id AS anchor_id, {metres_sql('a', 'p')} AS m FROM event_points a JOIN event_points p ON p.ts > a.ts AND p.ts <= a.ts + INTERVAL 1 DAY WHERE a.event_type = 'error') SELECT anchor_id, count(*) AS n, round(max(m), 3) AS farthest FROM n WHERE m <= 5000 GROUP BY 1"),
     "j11_contiguity_queen": V.sql_with("area_boxes", body=_CORNERS + ", q AS (SELECT DISTINCT a.area_id AS i, b.area_id AS j FROM v a JOIN v b ON a.p = b.p AND a.area_id <> b.area_id) SELECT i, count(*) AS n, string_agg(j::VARCHAR, ',' ORDER BY j) AS neighbours FROM q GROUP BY 1"),
     "j11_contiguity_rook": V.sql_with("area_boxes", body=_CORNERS + ", q AS (SELECT a.area_id AS i, b.area_id AS j FROM v a JOIN v b ON a.p = b.p AND a.area_id <> b.area_id GROUP BY 1, 2 HAVING count(*) >= 2) SELECT i, count(*) AS n, string_agg(j::VARCHAR, ',' ORDER BY j) AS neighbours FROM q GROUP BY 1"),
     "j12_distance_band": V.sql_with("site_points", body=f", n AS (SELECT p.site_id AS i, s.site_id AS j, {metres_sql('p', 's')} AS m FROM site_points p JOIN site_points s ON p.site_id <> s.site_id) SELECT i, j, round(m, 3) AS distance_m FROM n WHERE m <= 9000"),

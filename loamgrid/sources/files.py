@@ -55,9 +55,12 @@ def points_from_table(df: DataFrame) -> DataFrame:
     return df.withColumns({"lon": lon, "lat": lat}).where("lon between -180 and 180 and lat between -90 and 90")
 
 
-def explode_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features of collections as rows: properties as columns, geometry_type, and geometry as JSON text."""
-    raw = spark.read.json(path, multiLine=True)
+def explode_geojson(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:
+    """Features of collections as rows: properties as columns, geometry_type, and geometry as JSON text.
+
+    A file is one collection, or with ``one_a_line`` each of its lines is one, so that large files are read in parts.
+    """
+    raw = spark.read.json(path, multiLine=not one_a_line)
     f = raw.select(F.explode("features").alias("f"))
     return f.select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"), F.to_json("f.geometry").alias("geometry"))
 
@@ -112,11 +115,11 @@ def header_catalog(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, kind string, n long, xmin double, ymin double, xmax double, ymax double")
 
 
-def notebook_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(path, cell, kind, source) of notebooks, in order."""
-    schema = "cells array<struct<cell_type:string,source:array<string>>>"
-    raw = spark.read.schema(schema).json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode("cells").alias("cell", "c"))
-    return raw.select("path", "cell", F.col("c.cell_type").alias("kind"), F.array_join("c.source", "").alias("source"))
+def notebook_cells(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:
+    """(path, name, cell, kind, source) of notebooks, in order; a file is one notebook, or each of its lines is."""
+    schema = "name string, cells array<struct<cell_type:string,source:array<string>>>"
+    raw = spark.read.schema(schema).json(path, multiLine=not one_a_line).select(F.col("_metadata.file_path").alias("path"), "name", F.posexplode("cells").alias("cell", "c"))
+    return raw.select("path", "name", "cell", F.col("c.cell_type").alias("kind"), F.array_join("c.source", "").alias("source"))
 
 
 def wkt_points(text: Column) -> Column:
