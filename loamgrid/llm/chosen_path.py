@@ -27,6 +27,8 @@ DEEP_TREES = 48
 BLOCK, LARGE = 1024, 65_536
 #: Documents of a cluster over BLOCK that meet all others of it; hits of an inverted list that are counted at a time.
 HEADS, HITS = 4, 2_000_000
+#: Up to so many ids, which are counted, go to every task (16 bytes each), so that only texts of these documents move.
+BROADCAST_IDS = 2_000_000
 #: Rounds of branching (one step, then two each); what is still over SMALL then is compared block by block.
 ROUNDS = 4
 
@@ -230,6 +232,11 @@ def _outside_pairs(rest: DataFrame, block: int) -> DataFrame:
     return left.unionByName(right).withColumnRenamed("component", "unit")
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose document is in ``ids`` (stored, each once)."""
+    return texts.join(F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids, "doc", "left_semi")
+
+
 def _roots(reps: DataFrame, first: int, trees: int) -> DataFrame:
     """(doc, mins, node): each document at the roots of ``trees`` trees, numbered from ``first`` on."""
     numbers = F.explode(F.sequence(F.lit(first), F.lit(first + trees - 1))).alias("t")
@@ -299,8 +306,8 @@ def near_duplicates(
 
     leaves, over, stuck = _walk(_roots(reps, 0, trees), reps, expected, small, 1, ROUNDS)
     if over is not None:  # both documents of a pair that meets in a node over ``small`` are here
-        deep = over.select("doc").distinct()
-        again = durable(texts.join(deep, "doc", "left_semi").mapInPandas(lambda it: _more_mins(it, words), "doc long, mins array<int>"))
+        deep = durable(over.select("doc").distinct())
+        again = durable(_texts_of(texts, deep).mapInPandas(lambda it: _more_mins(it, words), "doc long, mins array<int>"))
         more, _, left = _walk(_roots(again, trees, deep_trees), again, expected, small, 3, ROUNDS - 1)
         leaves = leaves.unionByName(more)
         if left is not None:
@@ -317,21 +324,20 @@ def near_duplicates(
     counts = evenly(clusters.groupBy("component").agg(F.count("*").alias("n")), "component")
     sized = durable(clusters.join(counts, "component"))
 
-    def confirmed(keyed: DataFrame) -> DataFrame:
-        """Links on the full sets of the documents that ``keyed`` names, each read once."""
-        involved = texts.where("doc is not null").join(keyed.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
-        sets = involved.mapInPandas(lambda it: _sets(it, words), "doc long, shingles binary")
+    def confirmed(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+        """Links on the full sets of the documents ``ids`` that ``keyed`` names, each made once."""
+        sets = _texts_of(texts, ids).mapInPandas(lambda it: _sets(it, words), "doc long, shingles binary").dropDuplicates(["doc"])
         return keyed.join(sets, "doc").groupBy(*key).applyInPandas(lambda g: _confirm(g, percent), "src long, dst long")
 
-    links = durable(confirmed(_chunked(sized, block)))
+    links = durable(confirmed(_chunked(sized, block), sized.select("doc")))
     linked = connected_components(links)
     if sized.where(F.col("n") > block).limit(1).count():
         rest = durable(_left_over(sized, linked, block))
         if rest.limit(1).count():
-            more = confirmed(_outside_pairs(rest.where(F.col("n_outside") <= large), block))
-            giants = rest.where(F.col("n_outside") > large).select("doc").distinct()
+            near, far = rest.where(F.col("n_outside") <= large), rest.where(F.col("n_outside") > large)
+            more = confirmed(_outside_pairs(near, block), near.select("doc"))
             nodes = leaves if stuck is None else leaves.unionByName(stuck)
-            by_leaf = confirmed(_blocked(nodes.join(giants, "doc", "left_semi").select(F.col("node").alias("unit"), "n", "doc").distinct(), block))
+            by_leaf = confirmed(_blocked(nodes.join(far.select("doc"), "doc", "left_semi").select(F.col("node").alias("unit"), "n", "doc").distinct(), block), far.select("doc"))
             linked = connected_components(links.unionByName(more).unionByName(by_leaf))
 
     # every document: its representative's component, mapped to the smallest id over all members
