@@ -53,12 +53,11 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 def minwise(shingles: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """One 32-bit minwise value a seed: the top half of the least multiply-shift hash."""
-    out = np.full(len(seeds), np.uint64(2**64 - 1), np.uint64)
+    """One 32-bit minwise value a seed: the top half of the least product of a shingle and the seed made odd.
+
+    Shingles are mixed hashes already, so a product with an odd number of its own orders them anew for each seed.
+    """
+    out, odd = np.full(len(seeds), np.uint64(2**64 - 1), np.uint64), seeds | np.uint64(1)
     for k in range(0, len(shingles), 2048):  # long texts in pieces, so that the table stays in cache
-        part = shingles[k : k + 2048, None] ^ seeds[None, :]
-        part *= _MIX
-        part ^= part >> np.uint64(29)
-        part *= np.uint64(0xBF58476D1CE4E5B9)
-        np.minimum(out, part.min(axis=0), out=out)
+        np.minimum(out, (shingles[k : k + 2048, None] * odd).min(axis=0), out=out)
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)

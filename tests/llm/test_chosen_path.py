@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from loamgrid.llm import chosen_path as C
-from loamgrid.llm.shingles import shingle_set
+from loamgrid.llm.shingles import minwise, shingle_set
 
 
 def plain_sets(pairs, words):
@@ -72,6 +72,19 @@ def test_recall_where_many_share_a_header(docs_of):
     assert got(out) == {i: (90, i - i % 2) for i, _ in pairs}
 
 
+def test_minwise_agreement_follows_similarity():
+    """The share of equal values is the Jaccard similarity, with the spread of independent trials."""
+    rng = np.random.default_rng(1)
+    seeds = rng.integers(1, 2**63, 64, dtype=np.uint64)
+    for n, s in ((400, 0.8), (60, 0.8), (300, 0.3)):
+        agree, both = [], round(n * s)
+        for _ in range(400):
+            u = rng.integers(0, 2**64, n, dtype=np.uint64)
+            left, right = np.sort(u[: both + (n - both) // 2]), np.sort(np.r_[u[:both], u[both + (n - both) // 2 :]])
+            agree.append((minwise(left, seeds) == minwise(right, seeds)).sum())
+        assert abs(np.mean(agree) / 64 - s) < 0.02 and 0.8 < np.std(agree) / np.sqrt(64 * s * (1 - s)) < 1.2
+
+
 def test_odd_rows(odd_docs, docs_of):
     rows = C.near_duplicates(odd_docs, words=5).collect()
     assert len(rows) == 9
