@@ -82,34 +82,54 @@ def vector_refusal(v: Column, width: int) -> Column:
     return F.when(v.isNull(), "missing").when(F.size(v) != width, "width").when(bad, "not finite").when(F.forall(v, lambda x: x == 0), "all zero")
 
 
-def knn(queries: DataFrame, vectors: DataFrame, query_id: str, query_vector: str, id_col: str, vector_col: str, k: int, most_queries: int = 5000) -> DataFrame:
+def _nearest(names: np.ndarray, table: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, step: int = 256) -> Iterator[pd.DataFrame]:
+    """The ``k`` nearest rows of ``x`` for each of ``table``'s unit vectors, ``step`` of these at a time."""
+    size = np.linalg.norm(x, axis=1)
+    unit = (x / np.where(size > 0, size, 1)[:, None]).T
+    for s in range(0, len(names), step):
+        scores = np.round(table[s : s + step] @ unit, 9)
+        scores[names[s : s + step, None] == ids[None, :]] = -np.inf
+        first = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+        rows = np.arange(len(scores))[:, None]
+        out = pd.DataFrame({"q": np.repeat(names[s : s + step], first.shape[1]), "id": ids[first].reshape(-1), "cosine": scores[rows, first].reshape(-1)})
+        yield out[np.isfinite(out["cosine"])]
+
+
+def knn(queries: DataFrame, vectors: DataFrame, query_id: str, query_vector: str, id_col: str, vector_col: str, k: int, block: int = 5000) -> DataFrame:
     """(query_id, id, cosine, rank): the k nearest vectors of each query, exactly.
 
-    The query vectors go to every task after a count shows them to be at most ``most_queries``; more are
-    refused. Each batch of vectors leaves its own k best of a query, found by one matrix product, so that the
-    shuffle carries k rows a batch and query. Rounded to 9 places; ties go to the smaller id.
+    Up to ``block`` queries, which are counted, go to every task, and each batch of vectors leaves its own k
+    best of a query. More queries are dealt into blocks of about ``block``, as the vectors are, and each
+    pair of blocks is one task's matrix product, so no task and no driver holds more than two blocks.
+    Rounded to 9 places; ties go to the smaller id.
     """
-    q = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("name"), unit_vector(F.col(query_vector)).alias("unit")).limit(most_queries + 1).collect()
-    if len(q) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; search them in parts")
-    names, table = np.array([r["name"] for r in q], np.int64), np.array([r["unit"] for r in q], np.float64)
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b) or not len(names):
-                continue
-            x = np.stack(b["vector"].to_numpy()).astype(np.float64)
-            size = np.linalg.norm(x, axis=1)
-            scores = np.round(table @ (x / np.where(size > 0, size, 1)[:, None]).T, 9)
-            ids = b["id"].to_numpy()
-            scores[names[:, None] == ids[None, :]] = -np.inf
-            first = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-            rows = np.arange(len(names))[:, None]
-            out = pd.DataFrame({"q": np.repeat(names, first.shape[1]), "id": ids[first].reshape(-1), "cosine": scores[rows, first].reshape(-1)})
-            yield out[np.isfinite(out["cosine"])]
-
-    v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-    best = v.mapInPandas(nearest, "q long, id long, cosine double")
+    q = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).cast("long").alias("name"), unit_vector(F.col(query_vector)).alias("unit"))
+    v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("vector"))
+    found = "q long, id long, cosine double"
+    n = q.count()
+    if n <= block:
+        rows = q.collect()
+        names, table = np.array([r["name"] for r in rows], np.int64), np.array([r["unit"] for r in rows], np.float64)
+
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b) and len(names):
+                    yield from _nearest(names, table, b["id"].to_numpy(), np.stack(b["vector"].to_numpy()), k)
+
+        best = v.mapInPandas(nearest, found)
+    else:
+        across, down = -(-n // block), max(1, -(-v.count() // block))
+        every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+        left = q.select(F.pmod(F.xxhash64("name"), F.lit(across)).alias("i"), every(down).alias("j"), "name", "unit")
+        right = v.select(every(across).alias("i"), F.pmod(F.xxhash64("id"), F.lit(down)).alias("j"), "id", "vector")
+
+        def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if not len(a) or not len(b):
+                return pd.DataFrame({"q": [], "id": [], "cosine": []})
+            parts = _nearest(a["name"].to_numpy(), np.stack(a["unit"].to_numpy()), b["id"].to_numpy(), np.stack(b["vector"].to_numpy()), k)
+            return pd.concat(list(parts), ignore_index=True)
+
+        best = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(tile, found)
     return top_per(best, "q", k, [F.desc("cosine"), "id"]).withColumnsRenamed({"q": query_id, "id": id_col})
 
 

@@ -191,3 +191,36 @@ def keep_first(df: DataFrame, key: list[str], order: list[Column | str]) -> Data
     """The first row of each key in an order."""
     w = Window.partitionBy(*key).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def first_by_hash(df: DataFrame, key: str, cap: int) -> DataFrame:
+    """The ``cap`` rows that come first by a hash of ``key`` (ties by ``key``), which must be unique.
+
+    Counts of the 65,536 beginnings of the hash tell which of them stay whole; only the rows of the one
+    that the cap cuts are ranked, so there is no global sort.
+    """
+    marked = df.withColumn("__hash", F.md5(F.col(key).cast("string").cast("binary"))).withColumn("__part", F.substring("__hash", 1, 4))
+    run = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)  # over at most 65,536 counts
+    parts = marked.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__upto", F.sum("__n").over(run))
+    open_parts = parts.where(F.col("__upto") - F.col("__n") < cap)
+    kept = marked.join(F.broadcast(open_parts), "__part")
+    cut = kept.where(F.col("__upto") > cap).withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy("__hash", key)))
+    first = cut.where(F.col("__rank") <= F.lit(cap) - F.col("__upto") + F.col("__n"))
+    return kept.where(F.col("__upto") <= cap).select(df.columns).unionByName(first.select(df.columns))
+
+
+def weighted_median(df: DataFrame, by: str, value: str, weight: str, buckets: int = 1024) -> DataFrame:
+    """(by, weighted_median): the smallest value up to which half of a group's weight lies; null values and weights don't count.
+
+    Equal values are summed first. Weights of ``buckets`` ranges of a group's values find the range that
+    holds the median, and only its values are sorted, so no task sorts a whole group.
+    """
+    per = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(F.col(by).alias("g"), F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
+    ends = per.groupBy(F.col("g").alias("eg")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("w").alias("whole"))
+    place = (F.col("v") - F.col("lo")).cast("double") / F.nullif((F.col("hi") - F.col("lo")).cast("double"), F.lit(0.0))
+    placed = per.join(ends, F.col("g").eqNullSafe(F.col("eg"))).select("g", "v", "w", "whole", F.least(F.lit(buckets - 1), F.floor(F.coalesce(place, F.lit(0.0)) * buckets)).alias("b"))
+    upto = lambda o: F.sum("w").over(Window.partitionBy("g").orderBy(o).rowsBetween(Window.unboundedPreceding, 0))
+    sums = placed.groupBy("g", "whole", "b").agg(F.sum("w").alias("w")).withColumn("upto", upto("b"))
+    at = sums.where((F.col("upto") * 2 >= F.col("whole")) & ((F.col("upto") - F.col("w")) * 2 < F.col("whole"))).select(F.col("g").alias("h"), F.col("b").alias("c"), (F.col("upto") - F.col("w")).alias("before"))
+    inside = placed.join(at, F.col("g").eqNullSafe(F.col("h")) & (F.col("b") == F.col("c"))).withColumn("upto", upto("v") + F.col("before"))
+    return inside.where(F.col("upto") * 2 >= F.col("whole")).groupBy(F.col("g").alias(by)).agg(F.min("v").alias("weighted_median"))

@@ -140,9 +140,9 @@ def _events(spark, d):
 
 
 def x01(spark, d):
-    out = J.drain(J.period_counts(_events(spark, d), "ts"), "complete")
-    last = out.agg(F.max("__batch").alias("b"))
-    return out.join(F.broadcast(last), F.col("__batch") == F.col("b")).select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+    out = J.drain(J.period_counts(_events(spark, d), "ts"), "update")
+    last = out.groupBy("start").agg(F.max_by("n", "__batch").alias("n"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def x02(spark, d):
@@ -174,9 +174,9 @@ def x06(spark, d):
 
 
 def x07(spark, d):
-    out = J.drain(J.trace_summary(_events(spark, d), "user_id", "event_type"), "complete")
-    last = out.agg(F.max("__batch").alias("b"))
-    return out.join(F.broadcast(last), F.col("__batch") == F.col("b")).drop("__batch", "b")
+    out = J.drain(J.trace_summary(_events(spark, d), "user_id", "event_type"), "update")
+    names = [c for c in out.columns if c.startswith("n_")]
+    return out.groupBy("user_id").agg(F.max_by(F.struct(*names), "__batch").alias("v")).select("user_id", "v.*")
 
 
 QUERIES = {

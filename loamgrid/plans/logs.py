@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamgrid.operators import logs as L
+from loamgrid.operators import lookups as U
 from loamgrid.operators import tables as T
 from loamgrid.plans.views import read
 
@@ -75,7 +76,7 @@ def a44(spark, d):
 
 
 def a46(spark, d):
-    return read(spark, d, "documents").where("source <> 'src0'").groupBy("lang").agg(F.count("*").alias("n"))
+    return U.census(read(spark, d, "documents"), F.col("lang"), F.col("source") == "src0")
 
 
 def a47(spark, d):
@@ -111,8 +112,7 @@ def f20(spark, d):
     """A layer over the cap keeps the rows that come first by a hash, and says so."""
     e = read(spark, d, "events")
     total = e.count()
-    cap = max(1, total // 10)
-    return e.orderBy(F.md5(F.col("event_id").cast("string").cast("binary")), "event_id").limit(cap).select("event_id", F.lit(total).alias("total"))
+    return T.first_by_hash(e.select("event_id"), "event_id", max(1, total // 10)).withColumn("total", F.lit(total))
 
 
 def f24(spark, d):
@@ -278,7 +278,7 @@ SQL = {
     "a29_blocked_by": "SELECT unnest(list_filter([CASE WHEN p_size > 40 THEN 'too large' END, CASE WHEN p_retailprice > 1500 THEN 'too dear' END, CASE WHEN p_type = 'PROMO' THEN 'promoted' END], lambda x: x IS NOT NULL)) AS reason, count(*) AS n FROM part GROUP BY 1",
     "a34_ownership": "SELECT count(*) FILTER (o_custkey % 4 <> 0) AS owned, count(*) FILTER (o_custkey % 4 = 0) AS unowned, count(*) FILTER (o_custkey % 4 = 0 AND o_orderdate >= '1999-01-01') AS recent_unowned FROM orders",
     "a44_repeated_calls": f"WITH {_CALLS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, k ORDER BY event_id) > 1 AS again FROM c) SELECT user_id, count(*) FILTER (again) AS repeated, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (again OR event_type = 'error') AS unproductive FROM r GROUP BY 1",
-    "a46_census": "SELECT lang, count(*) AS n FROM documents WHERE source <> 'src0' GROUP BY 1",
+    "a46_census": "SELECT lang, count(*) AS n FROM documents WHERE source IS DISTINCT FROM 'src0' GROUP BY 1",
     "a47_claim_verdict": f"WITH {_CALLS}, r AS (SELECT user_id, CASE WHEN event_type = 'error' AND k > 80 THEN 'unseen' WHEN event_type = 'error' THEN 'absent' WHEN event_type = 'signup' THEN 'contradicted' ELSE 'supported' END AS s FROM c), g AS (SELECT user_id, count(*) FILTER (s IN ('absent', 'contradicted')) AS bad, count(*) FILTER (s = 'unseen') AS unseen, bool_or(s = 'supported') AS any_supported, count(*) AS n FROM r GROUP BY 1) SELECT user_id, bad, unseen, any_supported, CASE WHEN bad = 0 THEN 'none' WHEN bad > n * 0.4 THEN 'high' ELSE 'low' END AS severity FROM g",
     "a48_compare_runs": f"WITH {_CALLS}, r AS (SELECT user_id % 100 AS task, max((k > 50)::INT) FILTER (event_id % 2 = 0) AS b, max((k > 50)::INT) FILTER (event_id % 2 = 1) AS n FROM c GROUP BY 1) SELECT count(*) AS tasks, sum(b)::BIGINT AS base_ok, sum(n)::BIGINT AS new_ok, count(*) FILTER (b <> n) AS changed FROM r WHERE b IS NOT NULL AND n IS NOT NULL",
     "a49_shrink_guard": "WITH g AS (SELECT event_type, count(*) AS before, count(*) FILTER (event_id % 8 <> 0) AS now FROM events GROUP BY 1) SELECT *, now < before * 0.9 OR now < 100 AS fails FROM g",

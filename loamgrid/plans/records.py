@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import geo
 from loamgrid.functions import text as X
+from loamgrid.operators import lookups as U
 from loamgrid.operators import records as K
 from loamgrid.operators import spatial as S
 from loamgrid.plans import retrieval as Q
@@ -115,11 +116,9 @@ def t03(spark, d):
 
 
 def t04(spark, d):
-    """Twice the words of a query in the name, once those in the type, and a little for price; any word is enough."""
-    terms = ["red", "ring", "promo"]
-    hits = lambda c: sum((F.contains(F.lower(c), F.lit(t)).cast("int") for t in terms), F.lit(0))
-    p = read(spark, d, "part").withColumns({"a": hits("p_name"), "b": hits("p_type")}).where("a + b > 0")
-    return p.select("p_partkey", F.round(F.col("a") * 2 + F.col("b") + F.log10(F.col("p_retailprice") + 1) * 0.2, 9).alias("score"))
+    """A part's lines are its clicks and its suppliers its neighbours."""
+    use = read(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("clicks"), F.count_distinct("l_suppkey").alias("degree"))
+    return U.keyword_graph_rank(read(spark, d, "part"), "p_partkey", "p_name", "p_type", use, ["red", "ring", "promo"]).withColumn("score", F.round("score", 9))
 
 
 def s18(spark, d):
@@ -153,17 +152,16 @@ def j19(spark, d):
 
 
 def j23(spark, d):
-    """Rows by part of a contributor's name, only public ones, scored."""
-    c = read(spark, d, "customer").where(F.contains(F.lower("c_name"), F.lit("007")) & (F.col("c_custkey") % 3 != 0))
-    o = read(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return o.select("o_orderkey", "c_name", F.round(F.log10(F.col("o_totalprice") + 1) * 0.3, 9).alias("score"))
+    """Orders by part of a customer's name; a third of the customers isn't public."""
+    people = read(spark, d, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    found = U.author_lookup(read(spark, d, "orders"), people, "o_custkey", "c_name", "007", F.col("o_custkey") % 3 != 0, F.col("o_totalprice"))
+    return found.select("o_orderkey", "c_name", F.round("score", 9).alias("score"))
 
 
 def j24(spark, d):
-    """Lookups by tag, kind and collection in one pass; a tag adds 1.5."""
+    """Lookups by tag and collection in one pass; a tag adds 1.5."""
     n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    tag = F.contains("n_name", F.lit("1"))
-    return n.where(tag | (F.col("r_regionkey") == 2)).select("n_nationkey", "r_name", F.when(tag, 1.5).otherwise(0.0).alias("score"))
+    return U.lookups(n, {"tag": F.contains("n_name", F.lit("1")), "collection": F.col("r_regionkey") == 2}, {"tag": 1.5}).select("n_nationkey", "r_name", "score")
 
 
 def j29(spark, d):
@@ -208,11 +206,7 @@ def u07(spark, d):
 
 
 def c06(spark, d):
-    """Share of a theme's words that the members' texts hold, grounded from 0.7 on."""
-    theme = ["ofthe", "tion", "ning", "zzz"]
-    held = F.array(*[F.max(F.contains(F.lower("text"), F.lit(w)).cast("int")) for w in theme])
-    share = F.aggregate(held, F.lit(0), lambda s, v: s + v) / F.lit(float(len(theme)))
-    return read(spark, d, "documents").groupBy("source").agg(F.round(share, 6).alias("share"), (share >= 0.7).alias("grounded"))
+    return U.themes_grounded(read(spark, d, "documents"), "source", "text", ["ofthe", "tion", "ning", "zzz"])
 
 
 def c11(spark, d):
@@ -263,7 +257,7 @@ SQL = {
     "s18_record_tables": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in ("documents", "pages", "benchmark", "labels", "conversations")),
     "t02_by_popularity": "SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1 ORDER BY clicks DESC, user_id LIMIT 30",
     "t03_graph_score": "SELECT user_id, round(log10(count(*) FILTER (event_type = 'click') + 1) * 0.3::DOUBLE + count(DISTINCT event_type) * 0.05::DOUBLE, 9) AS score FROM events GROUP BY 1",
-    "t04_keyword_graph_rank": "WITH h AS (SELECT p_partkey, p_retailprice, contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT + contains(p_name, 'promo')::INT AS a, contains(lower(p_type), 'red')::INT + contains(lower(p_type), 'ring')::INT + contains(lower(p_type), 'promo')::INT AS b FROM part) SELECT p_partkey, round(a * 2 + b + log10(p_retailprice + 1) * 0.2::DOUBLE, 9) AS score FROM h WHERE a + b > 0",
+    "t04_keyword_graph_rank": "WITH h AS (SELECT p_partkey, contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT + contains(p_name, 'promo')::INT AS a, contains(lower(p_type), 'red')::INT + contains(lower(p_type), 'ring')::INT + contains(lower(p_type), 'promo')::INT AS b FROM part), u AS (SELECT l_partkey AS p_partkey, count(*) AS clicks, count(DISTINCT l_suppkey) AS degree FROM lineitem GROUP BY 1) SELECT p_partkey, round(a * 2 + b + log10(coalesce(clicks, 0) + 1) * 0.2::DOUBLE + coalesce(degree, 0) * 0.05::DOUBLE, 9) AS score FROM h LEFT JOIN u USING (p_partkey) WHERE a + b > 0",
     "u07_disjoint_runs": "WITH e AS (SELECT DISTINCT ts::DATE AS day, user_id FROM events), d AS (SELECT DISTINCT day FROM e), o AS (SELECT DISTINCT a.day FROM e a JOIN e b ON b.day = a.day + 1 AND a.user_id = b.user_id) SELECT d.day, o.day IS NOT NULL AS comparable FROM d JOIN d n ON n.day = d.day + 1 LEFT JOIN o ON o.day = d.day",
     "w07_collapse_shared": "SELECT p_partkey, p_name, p_brand, count(*) OVER (PARTITION BY p_name, p_brand) AS siblings FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_retailprice DESC, p_partkey) = 1",
     "w08_floor_promote": "WITH e AS (SELECT event_id % 40 AS case_id, event_type, value, event_id, row_number() OVER (PARTITION BY event_id % 40, event_type ORDER BY value DESC, event_id) AS k FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY (event_type = 'purchase' AND k <= 4)::INT DESC, value DESC, event_id) AS n FROM e) SELECT case_id, event_id, event_type, value, (row_number() OVER (PARTITION BY case_id ORDER BY value DESC, event_id))::INT AS rank FROM n WHERE n <= 8",

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import text as X
+from loamgrid.operators import lookups as U
 from loamgrid.operators import retrieval as R
 from loamgrid.operators import tables as T
 from loamgrid.plans.views import read
@@ -113,9 +114,7 @@ def a30(spark, d):
 
 def a31(spark, d):
     """Share of documents of a source whose first 600 characters hold a frequent word."""
-    head = F.lower(F.substring("text", 1, 600))
-    hit = F.contains(head, F.lit("ning")) | F.contains(head, F.lit("ción"))
-    return read(spark, d, "documents").groupBy("source").agg(F.round(F.avg(hit.cast("double")), 2).alias("coverage"), F.count("*").alias("n"))
+    return U.term_coverage(read(spark, d, "documents"), "source", "text", ["ning", "ción"])
 
 
 def a32(spark, d):
@@ -141,17 +140,14 @@ def f15(spark, d):
 
 
 def f16(spark, d):
-    """Vocabulary score: 3 a strong word, 1 a medium one, -2 one of another domain; short texts are let in."""
-    t = F.lower("text")
-    hits = lambda *ws: sum((F.contains(t, F.lit(w)).cast("int") for w in ws), F.lit(0))
-    score = hits("ningthe", "ciónque") * 3 + hits("tion", "ment", "heit") - hits("$$$", "!!") * 2
+    """Vocabulary score; short texts are let in."""
+    score = U.vocabulary_score(F.col("text"), ["ningthe", "ciónque"], ["tion", "ment", "heit"], ["$$$", "!!"])
     return read(spark, d, "documents").select("doc_id", score.alias("score"), ((score >= 3) | (F.length("text") < 120)).alias("admitted"))
 
 
 def f21(spark, d):
-    t = F.lower("text")
-    kind = F.when(F.length("text") > 4000, "document").when(F.contains(t, F.lit("license")), "licence page").when(F.contains(t, F.lit(" | ")), "menu page").when(F.contains(t, F.lit("$$$")), "garbled page").otherwise("document")
-    return read(spark, d, "documents").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    phrases = {"licence page": ["license"], "menu page": [" | "], "garbled page": ["$$$"]}
+    return read(spark, d, "documents").groupBy(U.page_kind(F.col("text"), phrases).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def f22(spark, d):
@@ -167,8 +163,7 @@ def f23(spark, d):
 
 
 def f27(spark, d):
-    host = F.regexp_extract("url", r"^[a-z]+://([^/:?]+)", 1)
-    kind = F.when(host.rlike(r"(^|\.)example\.com$"), "portal").when(host.rlike(r"(^|\.)example\.net$"), "opaque").when(host.rlike(r"(^|\.)example\.org$"), "deposit").otherwise("direct")
+    kind = U.link_kind(F.col("url"), {"portal": ["example.com"], "opaque": ["example.net"], "deposit": ["example.org"]})
     return read(spark, d, "pages").select("page_id", kind.alias("kind"))
 
 
@@ -254,7 +249,7 @@ def _endings(rule: str) -> str:
 
 
 def _sum_hits(*words: str) -> str:
-    return " + ".join(f"contains(lower(text), '{w}')::INT" for w in words)
+    return " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INT" for w in words)
 
 
 _COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
@@ -281,7 +276,7 @@ SELECT case_id, item, CASE WHEN c IS NOT NULL AND v IS NOT NULL THEN 'keyword+se
     "w10_cumulative_budget": "WITH r AS (SELECT conv_id, turn, (sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) SELECT conv_id, turn, upto FROM r WHERE (upto <= 1500 OR n = 1) AND n <= 10",
     "w13_runner_up_margin": "WITH c AS (SELECT user_id AS case_id, event_type AS arm, round(sum(value), 6) AS total FROM events GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY total DESC, arm) AS n, lead(total) OVER (PARTITION BY case_id ORDER BY total DESC, arm) AS second FROM c) SELECT case_id, arm, total FROM w WHERE n = 1 AND coalesce(second <= total * 0.8::DOUBLE, true)",
     "a30_evidence_summary": f"WITH {_LISTS} SELECT case_id, arm, count(*) AS n, max(score) AS top FROM l GROUP BY 1, 2",
-    "a31_term_coverage": "SELECT source, round(avg((contains(lower(substr(text, 1, 600)), 'ning') OR contains(lower(substr(text, 1, 600)), 'ción'))::INT), 2) AS coverage, count(*) AS n FROM documents GROUP BY 1",
+    "a31_term_coverage": "SELECT source, round(avg((contains(lower(substr(coalesce(text, ''), 1, 600)), 'ning') OR contains(lower(substr(coalesce(text, ''), 1, 600)), 'ción'))::INT), 2) AS coverage, count(*) AS n FROM documents GROUP BY 1",
     "a32_corpus_fingerprint": "SELECT count(*) AS n, sum(('0x' || substr(sha256(concat_ws('|', p_partkey, p_name, p_type)), 1, 8))::BIGINT)::BIGINT AS digest FROM part",
     "f14_relevance_gate": "SELECT p_partkey, p_name FROM part WHERE (SELECT count(*) FROM (VALUES ('red'), ('ring'), ('small')) t(t) WHERE regexp_matches(p_type, '(?i)(^|[^\\p{L}\\p{N}])' || t || '(s|es|ing|ed)?($|[^\\p{L}\\p{N}])')) >= 1 OR (SELECT count(*) FROM (VALUES ('red'), ('ring'), ('small')) t(t) WHERE regexp_matches(p_name, '(?i)(^|[^\\p{L}\\p{N}])' || t || '(s|es|ing|ed)?($|[^\\p{L}\\p{N}])')) >= 2",
     "f15_hit_filter": f"WITH {_LISTS}, e AS (SELECT *, max((score > 90)::INT) OVER (PARTITION BY case_id, arm) AS hit FROM l) SELECT case_id, arm, pos FROM e WHERE hit = 0 OR score > 90",

@@ -103,13 +103,8 @@ def a12(spark, d):
 
 
 def a19(spark, d):
-    """Weighted median: running weights per group are window sums partitioned by the group."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("c_mktsegment").orderBy("c_acctbal", "c_custkey").rowsBetween(Window.unboundedPreceding, 0)
     c = read(spark, d, "customer").withColumn("weight", (F.col("c_custkey") % 9 + 1).cast("long"))
-    run = c.withColumn("upto", F.sum("weight").over(w)).withColumn("whole", F.sum("weight").over(Window.partitionBy("c_mktsegment")))
-    return run.where(F.col("upto") * 2 >= F.col("whole")).groupBy("c_mktsegment").agg(F.min("c_acctbal").alias("weighted_median"))
+    return T.weighted_median(c, "c_mktsegment", "c_acctbal", "weight")
 
 
 def a42(spark, d):
