@@ -24,10 +24,11 @@ def p06(spark, d):
 
 
 def p07(spark, d):
-    """Ridge predictions of a label's number from vectors, by held-out blocks."""
-    e = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"), (F.col("vec_id") % 5).alias("block"))
-    out = L.ridge_block_cv(e, "label", "v", "block", 1.0)
-    return out.select("n", "blocks", F.round("r2", 6).alias("r2"), F.round("rmse", 6).alias("rmse"))
+    """Ridge predictions of a label's number from vectors at the places of the events of their ids, by held-out blocks of space."""
+    places = V.event_points(spark, d).select(F.col("event_id").alias("vec_id"), "lon", "lat")
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v")).join(places, "vec_id")
+    out = L.ridge_block_cv(L.space_blocks(e, "lon", "lat", 5), "label", "v", "block")
+    return out.select("n", "blocks", *[F.round(c, 6).alias(c) for c in ("r2", "rmse", "naive_r2", "skill")])
 
 
 def p08(spark, d):
@@ -105,6 +106,14 @@ def s06(spark, d):
     return pages.unionByName(numbers).unionByName(images).groupBy(kind.alias("kind"), family.alias("family")).agg(F.count("*").alias("n"))
 
 
+def s07(spark, d):
+    """The headers of a layer's CSV files, one of each zone."""
+    path = _folder(spark, "headers")
+    V.site_points(spark, d).withColumn("zone", F.col("site_id") % 4).repartition("zone").write.partitionBy("zone").csv(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path)
+    return S.header_catalog(files).groupBy("kind").agg(F.sum("n").alias("n"))
+
+
 def s09(spark, d):
     p = read(spark, d, "part")
     stac = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), F.struct(F.col("p_name").alias("title"), F.lit("x").alias("description"), F.array("p_type").alias("keywords"), F.lit("2020-01-01").alias("datetime")).alias("properties"), F.array(F.lit(-88.0), F.lit(41.0), F.lit(-87.0), F.lit(42.0)).alias("bbox")))
@@ -180,7 +189,7 @@ def x07(spark, d):
 
 
 QUERIES = {
-    "g11_convex_hull": g11, "p06_look_alike_groups": p06, "p07_ridge_block_cv": p07, "p08_shared_pca": p08, "s01_csv_round_trip": s01, "s03_geojson_round_trip": s03, "s03_feature_collections": s03_collections, "s08_notebook_cells": s08, "s14_parquet_layer": s14, "s04_load_elements": s04, "s05_profile_layer": s05, "s06_sniff": s06,
+    "g11_convex_hull": g11, "p06_look_alike_groups": p06, "p07_ridge_block_cv": p07, "p08_shared_pca": p08, "s01_csv_round_trip": s01, "s03_geojson_round_trip": s03, "s03_feature_collections": s03_collections, "s08_notebook_cells": s08, "s14_parquet_layer": s14, "s04_load_elements": s04, "s05_profile_layer": s05, "s06_sniff": s06, "s07_header_catalog": s07,
     "s09_normalise_catalog": s09, "s10_osm_features": s10, "s11_wkt_to_shape": s11, "s24_export_and_import": s24, "x01_stream_period_counts": x01, "x02_stream_usage": x02, "x03_stream_dedupe": x03, "x04_stream_session_ring": x04,
     "x05_stream_repeats": x05, "x06_stream_ingest": x06, "x07_stream_trace_summary": x07,
 }
@@ -194,6 +203,7 @@ SQL = {
     "s04_load_elements": "SELECT DISTINCT (p_partkey % 1500)::VARCHAR AS id FROM part WHERE p_partkey % 17 <> 0 AND (p_partkey % 1500) % 7 <> 0",
     "s05_profile_layer": V.sql_with("event_points", body=" SELECT count(*) AS features, round(min(lon), 6) AS xmin, round(min(lat), 6) AS ymin, round(max(lon), 6) AS xmax, round(max(lat), 6) AS ymax FROM event_points"),
     "s06_sniff": "SELECT 'html' AS kind, 'metadata' AS family, count(*) AS n FROM pages UNION ALL SELECT 'csv', 'tabular', count(*) FROM part UNION ALL SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'png' ELSE 'tiff' END, 'raster', count(*) FROM nation GROUP BY 1",
+    "s07_header_catalog": "SELECT 'csv' AS kind, count(*) AS n FROM supplier",
     "s09_normalise_catalog": "SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 2 = 0 THEN 'stac' ELSE 'ckan' END AS source, p_name AS title, p_type AS keywords, CASE WHEN p_partkey % 2 = 0 THEN -87.0::DOUBLE END AS xmax, '2020-01-01' AS start FROM part",
     "s10_osm_features": "SELECT CASE s_suppkey % 4 WHEN 0 THEN 'Point' WHEN 1 THEN 'Polygon' ELSE 'LineString' END AS kind, count(*) AS n, sum(CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 4 END)::BIGINT AS points FROM supplier WHERE s_suppkey % 4 <> 3 GROUP BY 1",
     "s11_wkt_to_shape": """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '{"type":"point","coordinates":[' || s_suppkey || '.0,4.5]}' WHEN 1 THEN '{"type":"envelope","coordinates":[[1.0,2.0],[' || s_suppkey || '.0,7.0]]}' END AS shape FROM supplier""",

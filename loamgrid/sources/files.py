@@ -96,11 +96,15 @@ def header_catalog(files: DataFrame) -> DataFrame:
     """(path, kind, n, xmin, ymin, xmax, ymax) of binaryFile rows (path, content), from LAS, SHP and CSV headers; other files give nulls."""
     import struct
 
+    csv = F.lower("path").endswith(".csv")
+    lines = F.when(csv, F.length("content") - F.length(F.translate(F.decode("content", "ISO-8859-1"), "\n", "")))
+    heads = files.select("path", F.substring("content", 1, 227).alias("head"), lines.cast("long").alias("lines"))
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                c, row = bytes(content), (path, None, None, None, None, None, None)
+            for path, head, count in zip(b["path"], b["head"], b["lines"], strict=True):
+                c, row = bytes(head), (path, None, None, None, None, None, None)
                 if c[:4] == b"LASF" and len(c) >= 227:
                     n = struct.unpack_from("<I", c, 107)[0]
                     xmax, xmin, ymax, ymin = struct.unpack_from("<4d", c, 179)
@@ -108,11 +112,11 @@ def header_catalog(files: DataFrame) -> DataFrame:
                 elif c[:4] == b"\0\0\x27\x0a" and len(c) >= 100:
                     row = (path, "shp", None, *struct.unpack_from("<4d", c, 36))
                 elif path.lower().endswith(".csv"):
-                    row = (path, "csv", c.count(b"\n"), None, None, None, None)
+                    row = (path, "csv", int(count), None, None, None, None)
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["path", "kind", "n", "xmin", "ymin", "xmax", "ymax"]).astype({"n": "Int64"})
 
-    return files.select("path", "content").mapInPandas(read, "path string, kind string, n long, xmin double, ymin double, xmax double, ymax double")
+    return heads.mapInPandas(read, "path string, kind string, n long, xmin double, ymin double, xmax double, ymax double")
 
 
 def notebook_cells(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:

@@ -143,8 +143,8 @@ def test_ridge_finds_a_linear_label(spark):
     x = rng.normal(size=(120, 3))
     rows = [(int(k % 4), x[k].tolist(), float(x[k] @ [1, -2, 0.5] + 3)) for k in range(120)]
     df = spark.createDataFrame(rows, "block int, v array<double>, y double")
-    assert learning.ridge_block_cv(df, "y", "v", "block", 1e-6).first()["r2"] > 0.999
-    assert learning.ridge_block_cv(df.limit(5), "y", "v", "block", 1.0).first()["r2"] is None
+    assert learning.ridge_block_cv(df, "y", "v", "block", [1e-6]).first()["r2"] > 0.999
+    assert learning.ridge_block_cv(df.limit(5), "y", "v", "block").first()["r2"] is None
 
 
 def test_hull_of_a_disc(spark):

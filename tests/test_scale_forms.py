@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loamgrid.operators import lookups, retrieval, tables
+from loamgrid.operators import learning, lookups, retrieval, tables
 from loamgrid.streaming import jobs
 
 
@@ -97,3 +97,32 @@ def test_lookups(spark):
     assert got == {1: 5.3, 2: 1.0}
     hits = lookups.lookups(docs, {"x": F.col("a") == "blue", "y": F.col("id") == 2}, {"x": 1.5}).select("id", "score").collect()
     assert sorted(map(tuple, hits)) == [(2, 0.0), (3, 1.5)]
+
+
+def test_ridge_chooses_alpha_by_leaving_each_row_out(spark):
+    rng = np.random.default_rng(8)
+    x, blocks, alphas = rng.normal(size=(60, 4)), np.arange(60) % 3, [0.1, 10.0, 1000.0]
+    y = x @ [1, 0, 0.5, 0] + rng.normal(size=60) * 2
+
+    def fit(xs, ys, alpha):
+        design = np.c_[np.ones(len(xs)), xs]
+        return np.linalg.solve(design.T @ design + alpha * np.diag([0, 1, 1, 1, 1]), design.T @ ys)
+
+    rss = 0.0
+    for f in range(3):
+        tx, ty = x[blocks != f], y[blocks != f]
+        press = [sum((ty[k] - np.r_[1, tx[k]] @ fit(np.delete(tx, k, 0), np.delete(ty, k), a)) ** 2 for k in range(len(tx))) for a in alphas]
+        beta = fit(tx, ty, alphas[int(np.argmin(press))])
+        rss += ((y[blocks == f] - np.c_[np.ones(20), x[blocks == f]] @ beta) ** 2).sum()
+    df = spark.createDataFrame([(int(b), v.tolist(), float(t)) for b, v, t in zip(blocks, x, y, strict=True)], "block int, v array<double>, y double")
+    got = learning.ridge_block_cv(df, "y", "v", "block", alphas).first()
+    total = y.var() * 60
+    assert got["n"] == 60 and got["blocks"] == 3
+    assert got["r2"] == pytest.approx(1 - rss / total) and got["rmse"] == pytest.approx((rss / 60) ** 0.5)
+    assert got["skill"] == pytest.approx(100 * (1 - (rss / total) ** 0.5)) and got["naive_r2"] < 1
+
+
+def test_space_blocks_part_two_places(spark):
+    df = spark.createDataFrame([(k, float(k % 2) * 10, 0.0) for k in range(20)] + [(99, None, 0.0)], "id long, x double, y double")
+    got = learning.space_blocks(df, "x", "y", 2).collect()
+    assert len(got) == 20 and len({(r["id"] % 2, r["block"]) for r in got}) == 2
