@@ -66,16 +66,16 @@ def getis_star(values: DataFrame, pairs: DataFrame, key: str, x: str) -> DataFra
 def permutation_p(values: DataFrame, weights: DataFrame, key: str, x: str, permutations: int = 99) -> DataFrame:
     """One row: Moran's I and its pseudo p from shuffles of the values.
 
-    A shuffle is a rank by a hash of replicate and key, matched with the rank by key, so replicates are
-    rows that Spark spreads over tasks; a replicate's window holds one copy of the areas.
+    A shuffle is a rank by a hash of replicate and key, matched with the rank by key, which all replicates
+    share; replicates are rows that Spark spreads over tasks, and a window holds one copy of the areas.
     """
     permutations = min(max(permutations, 99), 99_999)
     z = z_scores(values, key, x).select(key, "z")
     reps = z.sparkSession.range(permutations).select(F.col("id").alias("rep"))
     each = z.crossJoin(F.broadcast(reps))
     by_hash = each.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64("rep", key), key))).select("rep", "n", "z")
-    by_key = each.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(key))).select("rep", "n", key)
-    moved = by_hash.join(by_key, ["rep", "n"]).select("rep", key, "z")
+    by_key = z.select(key, F.row_number().over(Window.orderBy(key)).alias("n"))
+    moved = by_hash.join(by_key, "n").select("rep", key, "z")
     a, b = moved.select("rep", F.col(key).alias("i"), F.col("z").alias("zi")), moved.select("rep", F.col(key).alias("j"), F.col("z").alias("zj"))
     draws = weights.join(a, "i").join(b, ["rep", "j"]).groupBy("rep").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("m"))
     seen = weights.join(z.select(F.col(key).alias("i"), F.col("z").alias("zi")), "i").join(z.select(F.col(key).alias("j"), F.col("z").alias("zj")), "j").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("seen"))

@@ -235,8 +235,9 @@ def w16(spark, d):
 
 def w17(spark, d):
     """Whether a row's content is new to the log."""
-    r = L.repeats(read(spark, d, "events").withColumn("digest", F.sha1(F.concat_ws("|", "event_type", "props").cast("binary"))), ["digest"], "event_id")
-    return r.select("event_id", (F.col("before") == 0).alias("is_new"))
+    e = read(spark, d, "events").select("event_id", F.sha1(F.concat_ws("|", "event_type", "props").cast("binary")).alias("digest"))
+    first = e.groupBy("digest").agg(F.min("event_id").alias("first"))
+    return e.join(first, "digest").select("event_id", (F.col("event_id") == F.col("first")).alias("is_new"))
 
 
 def c07(spark, d):

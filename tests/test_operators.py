@@ -197,11 +197,12 @@ def test_communities_settle_where_a_pair_moves_together(spark):
     assert got == {k + side: k for k in range(40) for side in (0, 100)}
 
 
-def test_communities_use_every_part(spark, tmp_path):
+def test_communities_use_every_order(spark, tmp_path):
     from loamgrid.plans import registry
 
     cliques = [(1, 2, 3), (7, 8)]
-    rows = [(10 * k + p, s) for k, members in enumerate(cliques) for p in range(1, 5) for s in members]
-    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = [(100 * k + o, s) for k, members in enumerate(cliques) for o in range(1, 11) for s in members]
+    rows += [(1000 + k, 100 + 2 * k + s) for k in range(60) for s in (0, 1)]  # pairs that share one order are no edges
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     out = registry.queries()["c05_label_communities"](spark, str(tmp_path)).collect()
     assert {(r["node"], r["community"], r["n"]) for r in out} == {(s, m[0], len(m)) for m in cliques for s in m}
