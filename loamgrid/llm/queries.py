@@ -11,16 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm.chosen_path import near_duplicates
+from loamgrid.llm.hard_negatives import hard_negatives
 from loamgrid.llm.int8_join import embedding_links
 from loamgrid.llm.licenses import scan_licenses
 from loamgrid.llm.line_dedup import dedup_lines
 from loamgrid.llm.media import media_digests
 from loamgrid.llm.packing import pack_documents
+from loamgrid.llm.prefix_trie import prefix_trie
 from loamgrid.llm.quality import in_training as quality_training
 from loamgrid.llm.quality import score_quality
 from loamgrid.llm.sentencepieces import encode_documents
 from loamgrid.llm.sharding import shard_documents
 from loamgrid.llm.toxicity import in_training, score_toxicity, train_toxicity
+from loamgrid.llm.warc import read_archive, write_archive
 from loamgrid.plans.durable import checkpoint_dir
 
 
@@ -83,6 +86,21 @@ def op10_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op11_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = posixpath.join(checkpoint_dir(spark), f"warc-{uuid.uuid4().hex}")
+    write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    return read_archive(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), relabel=moved)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nnpu_toxicity": op1_nnpu_toxicity,
     "op2_webp_payloads": op2_webp_payloads,
@@ -94,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_links": op8_embedding_links,
     "op9_license_scan": op9_license_scan,
     "op10_virtual_slots": op10_virtual_slots,
+    "op11_warc_shards": op11_warc_shards,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -129,4 +150,29 @@ m AS (SELECT k.*, d.key IS NOT NULL AND k.doc_id <> d.last AS gone FROM k LEFT J
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op11_warc_shards": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(hex, (k // 8) * 10 + 1, 10))::BIGINT >> (35 - 5 * (k % 8))) & 31)::INTEGER + 1, 1)), '') AS payload_digest FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d""",
+    "op12_hard_negatives": """
+WITH e AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label AS al, b.vec_id, b.label, list_dot_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = al QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE label <> al AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3""",
+    "op13_prefix_trie": r"""
+WITH t AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, ts, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ord(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, (s & 1) * 3988292384) END) AS crc FROM t),
+r AS MATERIALIZED (SELECT h.conv_id, list_concat(coalesce(b.ts, [])[1:xor(h.crc, 4294967295) % 4], h.ts[xor(h.crc, 4294967295) % 4 + 1:]) AS ts FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 20),
+m AS MATERIALIZED (SELECT conv_id, d, ts[1:d] AS p, len(ts) = d AS here FROM r, unnest(range(0, len(ts) + 1)) AS u(d)),
+n AS MATERIALIZED (SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (here), '')) AS ends_sha256 FROM m GROUP BY p),
+c AS MATERIALIZED (SELECT n.*, q.conv_id AS parent_conv_id, CASE WHEN n.depth > 0 THEN len(regexp_extract_all(n.p[n.depth].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words FROM n LEFT JOIN n q ON q.p = n.p[1:n.depth - 1] AND n.depth > 0),
+k AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM c WHERE depth > 0 GROUP BY 1),
+f AS MATERIALIZED (SELECT c.*, coalesce(n_children, 0) AS n_children FROM c LEFT JOIN k ON k.p = c.p),
+s AS (SELECT f.p[1:d] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens FROM f, unnest(range(0, depth + 1)) AS u(d) GROUP BY 1)
+SELECT depth, conv_id, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM f JOIN s ON s.p = f.p""",
 }
