@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.llm.batches import beside
+from loamgrid.llm.ids import named, numbered
 from loamgrid.llm.shingles import minwise, set_digest, shingle_set
 from loamgrid.operators.components import connected_components
 from loamgrid.plans.durable import durable, evenly
@@ -23,8 +25,8 @@ from loamgrid.plans.durable import durable, evenly
 COORDINATES, TREES, SMALL = 64, 12, 4096
 #: Trees that documents of nodes over SMALL walk down besides, by as many coordinates of their own.
 DEEP_TREES = 48
-#: Documents in a block of a comparison; clusters with more than LARGE documents outside their main part are compared leaf by leaf.
-BLOCK, LARGE = 1024, 65_536
+#: Documents in a block of a comparison.
+BLOCK = 1024
 #: Documents of a cluster over BLOCK that meet all others of it; hits of an inverted list that are counted at a time.
 HEADS, HITS = 4, 2_000_000
 #: Up to so many ids, which are counted, go to every task (16 bytes each), so that only texts of these documents move.
@@ -33,25 +35,19 @@ BROADCAST_IDS = 2_000_000
 ROUNDS = 4
 
 
-def _features(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+def _features(texts: list[str | None], size: int) -> list[list]:
     seeds = np.random.default_rng(20240229).integers(1, 2**63, COORDINATES, dtype=np.uint64)
-    for batch in batches:
-        rows = []
-        for doc, text in zip(batch["doc"], batch["text"], strict=True):
-            s = shingle_set(text, size)
-            rows.append((doc, len(s), set_digest(s) if len(s) else None, minwise(s, seeds) if len(s) else None))
-        yield pd.DataFrame(rows, columns=["doc", "n_shingles", "digest", "mins"])
+    sets = [shingle_set(t, size) for t in texts]
+    return [[len(s) for s in sets], [set_digest(s) if len(s) else None for s in sets], [minwise(s, seeds) if len(s) else None for s in sets]]
 
 
-def _more_mins(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+def _more_mins(texts: list[str | None], size: int) -> list[list]:
     seeds = np.random.default_rng(20240301).integers(1, 2**63, COORDINATES, dtype=np.uint64)
-    for batch in batches:
-        yield pd.DataFrame({"doc": batch["doc"], "mins": [minwise(shingle_set(t, size), seeds) for t in batch["text"]]})
+    return [[minwise(shingle_set(t, size), seeds) for t in texts]]
 
 
-def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"doc": batch["doc"], "shingles": [shingle_set(t, size).tobytes() for t in batch["text"]]})
+def _sets(texts: list[str | None], size: int) -> list[list]:
+    return [[shingle_set(t, size).tobytes() for t in texts]]
 
 
 def _branches(steps: int, expected: float) -> list[F.Column]:
@@ -266,7 +262,7 @@ def _walk(roots: DataFrame, reps: DataFrame, expected: float, small: int, steps:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, block: int = BLOCK, large: int = LARGE, deep_trees: int = DEEP_TREES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, trees: int = TREES, small: int = SMALL, block: int = BLOCK, deep_trees: int = DEEP_TREES
 ) -> DataFrame:
     """(id, n_shingles long, component_id, kept boolean), one row for each row of ``docs``.
 
@@ -287,27 +283,28 @@ def near_duplicates(
     about ``block``, which leave spanning forests of candidates. The clusters that these make are compared on
     full sets: first in chunks of about ``block`` documents, with HEADS documents of the cluster in every chunk, so
     that a group of near copies becomes one part after each set was sent once; then only what is outside
-    a cluster's largest part meets all of the cluster, in pairs of blocks. Where more than ``large``
-    documents are outside, documents of one leaf meet. What ROUNDS rounds can't part (sets that agree in
-    nearly all coordinates) is one cluster. No task returns more than a spanning forest, so pairs inside a
+    a cluster's largest part meets all of the cluster, in pairs of blocks, however many these are. What ROUNDS
+    rounds can't part (sets that agree in nearly all coordinates) is one cluster. No task returns more than a spanning forest, so pairs inside a
     group are never listed, and joins of a hot group have a plain exchange on both sides.
 
     Defined cases: null and empty texts, and texts without words, have no shingles and link with nothing;
     ids should be unique, and rows that repeat an id get one row each with the id's smallest values;
-    a null id gives a row with its set size and component null; an empty table gives an empty table.
+    a null id gives a row with its set size, and component and kept null, and links with nothing; ids may be of any
+    type that can be ordered, as text ids are numbered in their order meanwhile; an empty table gives an empty table.
     """
     spark = docs.sparkSession
     expected = 100 / percent
     agree = max(1, int(np.floor(COORDINATES * (percent / 100) - 4.5 * np.sqrt(COORDINATES * (percent / 100) * (1 - percent / 100)))))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    feats = durable(texts.mapInPandas(lambda it: _features(it, words), "doc long, n_shingles long, digest binary, mins array<int>"))
+    texts, names = numbered(docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), "doc", "doc")
+    texts = texts if names is None else durable(texts)
+    feats = durable(beside(texts, ["doc"], ["text"], "n_shingles long, digest binary, mins array<int>", lambda: lambda t: _features(t, words)))
     same = durable(feats.where("digest is not null and doc is not null").groupBy("digest").agg(F.min("doc").alias("doc"), F.any_value("mins").alias("mins")))
     reps = same.select("doc", "mins")
 
     leaves, over, stuck = _walk(_roots(reps, 0, trees), reps, expected, small, 1, ROUNDS)
     if over is not None:  # both documents of a pair that meets in a node over ``small`` are here
         deep = durable(over.select("doc").distinct())
-        again = durable(_texts_of(texts, deep).mapInPandas(lambda it: _more_mins(it, words), "doc long, mins array<int>"))
+        again = durable(beside(_texts_of(texts, deep), ["doc"], ["text"], "mins array<int>", lambda: lambda t: _more_mins(t, words)))
         more, _, left = _walk(_roots(again, trees, deep_trees), again, expected, small, 3, ROUNDS - 1)
         leaves = leaves.unionByName(more)
         if left is not None:
@@ -326,7 +323,7 @@ def near_duplicates(
 
     def confirmed(keyed: DataFrame, ids: DataFrame) -> DataFrame:
         """Links on the full sets of the documents ``ids`` that ``keyed`` names, each made once."""
-        sets = _texts_of(texts, ids).mapInPandas(lambda it: _sets(it, words), "doc long, shingles binary").dropDuplicates(["doc"])
+        sets = beside(_texts_of(texts, ids), ["doc"], ["text"], "shingles binary", lambda: lambda t: _sets(t, words)).dropDuplicates(["doc"])
         return keyed.join(sets, "doc").groupBy(*key).applyInPandas(lambda g: _confirm(g, percent), "src long, dst long")
 
     links = durable(confirmed(_chunked(sized, block), sized.select("doc")))
@@ -334,14 +331,12 @@ def near_duplicates(
     if sized.where(F.col("n") > block).limit(1).count():
         rest = durable(_left_over(sized, linked, block))
         if rest.limit(1).count():
-            near, far = rest.where(F.col("n_outside") <= large), rest.where(F.col("n_outside") > large)
-            more = confirmed(_outside_pairs(near, block), near.select("doc"))
-            nodes = leaves if stuck is None else leaves.unionByName(stuck)
-            by_leaf = confirmed(_blocked(nodes.join(far.select("doc"), "doc", "left_semi").select(F.col("node").alias("unit"), "n", "doc").distinct(), block), far.select("doc"))
-            linked = connected_components(links.unionByName(more).unionByName(by_leaf))
+            more = confirmed(_outside_pairs(rest, block), rest.select("doc"))
+            linked = connected_components(links.unionByName(more))
 
     # every document: its representative's component, mapped to the smallest id over all members
     rep_of = feats.join(same.select("digest", F.col("doc").alias("rep")), "digest", "left")
     placed = rep_of.join(evenly(linked, "node"), F.col("rep") == F.col("node"), "left")
-    component = F.coalesce("component", "rep", "doc")
-    return placed.select(F.col("doc").alias(id_col), F.col("n_shingles"), component.alias("component_id"), (F.col("doc") == component).alias("kept"))
+    component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
+    out = placed.select("doc", F.col("n_shingles"), component.alias("component_id"), (F.col("doc") == component).alias("kept"))
+    return named(out, names, ["doc", "component_id"], "doc").withColumnRenamed("doc", id_col)

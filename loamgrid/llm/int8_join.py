@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamgrid.llm.batches import beside
+from loamgrid.llm.ids import named, numbered
 from loamgrid.operators.components import connected_components
 from loamgrid.plans.durable import durable, evenly
 
@@ -37,6 +39,9 @@ def close_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterat
     |s_v q_v| <= 1 + |e_v| and |v'| <= 1. Integer products stay below 2^24 for up to 1,040 dimensions, so
     float32 carries them exactly; wider vectors are multiplied in float64. A margin of 1e-9 covers rounding.
     """
+    # by powers of two, which changes no digit: lengths of 1e200 or 1e-200 would leave the range of a double when squared
+    near_one = lambda m: np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None])
+    x, y = near_one(x), None if y is None else near_one(y)
     norm = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
     within = y is None
     right = x if within else y
@@ -84,14 +89,13 @@ def _tile(rows: pd.DataFrame, threshold: float, kind: type) -> pd.DataFrame:
     return pd.DataFrame({"at": at[linked], "links": links[linked], "joined": at[[top(i) for i in linked]]})
 
 
-def _packed(batches: Iterator[pd.DataFrame], kind: type) -> Iterator[pd.DataFrame]:
+def _packed(vectors: list[list | None], kind: type) -> list[list]:
     """Vectors as bytes of their own precision; those that link with nothing get no bytes."""
-    for b in batches:
-        out = []
-        for v in b["vector"]:
-            x = np.asarray([np.nan if e is None else e for e in v], kind) + kind(0) if v is not None else np.empty(0)
-            out.append(x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
-        yield pd.DataFrame({"vec": b["vec"], "packed": out})
+    out: list[bytes | None] = []
+    for v in vectors:
+        x = np.asarray([np.nan if e is None else e for e in v], kind) + kind(0) if v is not None and None in v else np.asarray(v if v is not None else (), kind) + kind(0)
+        out.append(x.tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
+    return [out]
 
 
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
@@ -106,12 +110,13 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Defined cases: null or empty vectors, all zeros, and null or non-finite components link with nothing
     (n_links 0, a component of their own); only vectors of equal length meet; a repeated id takes part with
-    each of its vectors and gets one row for each; a null id keeps component null; an empty table gives an
-    empty table; labels and other columns are ignored.
+    each of its vectors and gets one row for each; a null id is counted as a link of others but has component and
+    kept null; ids may be of any type that can be ordered; vectors of any length from 1e-300 to 1e300 are compared,
+    as each is scaled by a power of two first; an empty table gives an empty table; labels and other columns are ignored.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec"), F.col(vector_col).alias("vector"))
+    rows, names = numbered(vectors.select(F.col(id_col).alias("vec"), F.col(vector_col).alias("vector")), "vec", "vec")
     kind = np.float32 if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else np.float64
-    packed = durable(rows.mapInPandas(lambda it: _packed(it, kind), "vec long, packed binary"))
+    packed = durable(beside(rows, ["vec"], ["vector"], "packed binary", lambda: lambda v: _packed(v, kind)))
     same = packed.where("packed is not null").groupBy("packed").agg(F.min("vec").alias("first"), F.count("*").alias("copies"))
     # a number of its own for each distinct vector: ids may repeat with other vectors
     distinct = durable(same.withColumn("at", F.monotonically_increasing_id()))
@@ -127,5 +132,6 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     by_vector = distinct.select("at", "packed", "copies").join(links, "at", "left").join(parts.join(least, "part").select("at", "component_id"), "at")
     out = packed.join(evenly(by_vector, "packed"), "packed", "left")
     n_links = F.when(F.col("packed").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
-    own = F.coalesce("component_id", "vec")
-    return out.select(F.col("vec").alias(id_col), n_links.alias("n_links"), own.alias("component_id"), (F.col("vec") == own).alias("kept"))
+    own = F.when(F.col("vec").isNotNull(), F.coalesce("component_id", "vec"))
+    out = out.select("vec", n_links.alias("n_links"), own.alias("component_id"), (F.col("vec") == own).alias("kept"))
+    return named(out, names, ["vec", "component_id"], "vec").withColumnRenamed("vec", id_col)

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from loamgrid.llm.batches import beside
 
 #: Phrases and labels that every scan reports as base findings.
 BASE_PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -170,13 +169,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Defined cases: null and empty texts have no words, no labels ('') and score 0; null ids stay null;
     equal texts get equal values; an empty table gives an empty table.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = pd.DataFrame([scan_text(t) for t in batch["text"]], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            out.insert(0, "id", batch["id"])
-            yield out.astype({"first_word": "Int64", "last_word": "Int64"})
+    def scan(texts: list[str | None]) -> list[list]:
+        found = [scan_text(t) for t in texts]
+        return [[row[n] for row in found] for n in names]
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(scan, f"id {id_type}, {SCHEMA}").withColumnRenamed("id", id_col)
+    return beside(docs, [id_col], [text_col], SCHEMA, lambda: scan)

@@ -46,28 +46,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The counts are combined before the shuffle, so a line held by a third of all documents is one row
     per task there. Only (id, position, hash) of long lines is joined; the skew join splits such a line.
-    Text crosses one shuffle, on its id, and only for the join with the dropped positions.
+    Text crosses one shuffle, on its id, and only for the join with the dropped positions. Work grows with a
+    text's lines, and not with their product with the dropped ones.
     """
     # columns go by number meanwhile, so that no name of theirs can meet one of the lines' tables
     number = {c: f"c{k}" for k, c in enumerate(c for c in docs.columns if c not in ("kept_lines", "n_lines"))}
-    rows = docs.select(*number).toDF(*number.values())
+    rows = docs.toDF(*(number.get(c, f"gone{k}") for k, c in enumerate(docs.columns))).select(*number.values())
+    unique = rows.where(F.col(number[id_col]).isNotNull()).groupBy(number[id_col]).count().where("count > 1").limit(1).count() == 0
+    # what a row is known by while its lines are apart: its id, or where ids repeat a number of its own, stored to stay the same
+    rows = rows.withColumn("row", F.col(number[id_col])) if unique else durable(rows.withColumn("row", F.monotonically_increasing_id()))
     own, text = F.col(number[id_col]), F.col(number[text_col])
-    ids = rows.select(own.alias("id"), split_lines(text).alias("lines")).where("id is not null")
+    ids = rows.select("row", own.alias("id"), split_lines(text).alias("lines")).where("id is not null")
     keyed = F.transform("lines", lambda x: _long_key(x, min_chars))
-    lines = ids.select("id", F.posexplode(keyed).alias("pos", "key")).where("key is not null")
+    lines = ids.select("row", "id", F.posexplode(keyed).alias("pos", "key")).where("key is not null")
     per_doc = ids.select("id", F.explode(F.array_distinct(keyed)).alias("key")).where("key is not null")
-    twice = ids.groupBy("id").count().where("count > 1").limit(1).count() > 0
-    per_doc = per_doc.distinct() if twice else per_doc
+    per_doc = per_doc if unique else per_doc.distinct()
     # stored, so that the join below has a plain exchange on both sides and can split the rows of a hot line
     spread = durable(per_doc.groupBy("key").agg(F.count("*").alias("docs"), F.max("id").alias("last")).where(F.col("docs") >= min_docs))
     dropped = (
         lines.join(spread.select("key", "last"), "key").where("id <> last")
-        .groupBy("id").agg(F.collect_set("pos" if not twice else "key").alias("out"))
+        .groupBy(F.col("row").alias("at")).agg(F.collect_list("pos").alias("out"))
     )
-    whole = rows.withColumn("lines", split_lines(text)).join(dropped, own == F.col("id"), "left")
-    if twice:
-        stays = F.filter("lines", lambda x: ~F.coalesce(F.array_contains("out", _long_key(x, min_chars)), F.lit(False)))
-    else:
-        stays = F.filter("lines", lambda x, i: ~F.array_contains("out", i))
+    whole = rows.withColumn("lines", split_lines(text)).join(dropped, F.col("row") == F.col("at"), "left")
+    # the difference of two sets of positions is hashed and keeps its order, so a text's lines are walked once
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "out")
+    stays = F.transform(left, lambda i: F.get("lines", i))
     kept = F.when(F.col("out").isNull(), F.col("lines")).otherwise(stays)
     return whole.select(*number.values(), kept, F.size("lines").cast("long")).toDF(*number, "kept_lines", "n_lines")

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from loamgrid.llm.batches import beside, transposed
 from loamgrid.llm.webp import decode, decode_payload, encode_payload
 
 STORED_SCHEMA = "n_bytes long, media binary"
-PIXEL_SCHEMA = "height int, width int, pixels binary"
+PIXEL_SCHEMA = "height int, width int, pixels binary, problem string"
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -25,29 +23,34 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and the WebP file of each whole text. Null counts as empty; equal texts get equal files."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def stored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            both = [padded(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "n_bytes": [n for n, _ in both], "media": [encode_payload(p) for _, p in both]})
+    def stored(texts: list[str | None]) -> list[list]:
+        return transposed([(n, encode_payload(payload)) for n, payload in map(padded, texts)], 2)
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(stored, f"id {kind}, {STORED_SCHEMA}").withColumnRenamed("id", id_col)
+    return beside(docs, [id_col], [text_col], STORED_SCHEMA, lambda: stored)
 
 
 def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """id, height, width and the pixels (little-endian ARGB bytes) of any lossless WebP files; null files give null."""
-    kind = media.schema[id_col].dataType.simpleString()
+    """id, height, width, the pixels (little-endian ARGB bytes) and ``problem`` of any lossless WebP files.
 
-    def pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [None if m is None else decode(bytes(m)) for m in b["media"]]
-            rows = [(None, None, None) if a is None else (*a.shape, a.astype("<u4").tobytes()) for a in out]
-            yield pd.concat([b[["id"]], pd.DataFrame(rows, columns=["height", "width", "pixels"], index=b.index).astype({"height": "Int32", "width": "Int32"})], axis=1)
+    Null files give null in all; a file that isn't whole or isn't of this format gives null pixels and says why.
+    """
+
+    def pixels(files: list[bytes | None]) -> list[list]:
+        return transposed([pixels_of(m) for m in files], 4)
+
+    return beside(media, [id_col], [media_col], PIXEL_SCHEMA, lambda: pixels)
 
-    rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInPandas(pixels, f"id {kind}, {PIXEL_SCHEMA}").withColumnRenamed("id", id_col)
+
+def pixels_of(media: bytes | None) -> tuple[int | None, int | None, bytes | None, str | None]:
+    """(height, width, pixels, problem) of one file."""
+    if media is None:
+        return None, None, None, None
+    try:
+        argb = decode(bytes(media))
+    except (ValueError, IndexError, KeyError, OverflowError, MemoryError) as e:  # what a damaged file leads to
+        return None, None, None, f"{type(e).__name__}: {e}"
+    return *argb.shape, argb.astype("<u4").tobytes(), None
 
 
 def feature_of(argb: np.ndarray) -> str:
@@ -71,16 +74,13 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an empty table gives an empty table. Texts over 256 MiB raise an error.
     """
     stored = store_texts(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for media in map(bytes, b["media"]):
-                payload, argb = decode_payload(media)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(argb)))
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pd.concat([b[[id_col, "n_bytes"]], pd.DataFrame(rows, columns=names, index=b.index)], axis=1)
-
-    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.mapInPandas(digests, schema)
+
+    def digests(files: list[bytes]) -> list[list]:
+        rows = []
+        for media in files:
+            payload, argb = decode_payload(media)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(argb)))
+        return transposed(rows, 6)
+
+    made = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return beside(stored, [id_col, "n_bytes"], ["media"], made, lambda: digests)

@@ -13,9 +13,10 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
@@ -166,13 +167,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     """
     last = StructField("ids_crc32", T.LongType())
     fields = [last if digest and f.name == "ids" else f for f in PIECE_FIELDS]
-    schema = StructType([StructField(id_col, docs.schema[id_col].dataType), *fields])
+    schema = StructType([docs.schema[id_col], *fields])
+    types = [f.type for f in to_arrow_schema(schema)]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.spark_partition_id().alias("part"))
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, tokens, next_sequence, base = WordIds(tokenizer), [], 0, 0, 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal next_sequence
             pieces = pack([len(ids) // 4 for _, ids in held], length)
             costs: dict[int, float] = {}
@@ -185,12 +187,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                 out.append((name, start, n, zlib.crc32(part_ids) if digest else part_ids, len(ids) // 4, base + next_sequence + s, offset, costs[s]))
             next_sequence += 1 + max(p[3] for p in pieces)
             held.clear()
-            return pd.DataFrame(out, columns=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], schema.names)
 
         end = np.asarray([END_ID], "<u4").tobytes()
         for batch in batches:
-            base = int(batch["part"].iloc[0]) << 32 if len(batch) else base
-            for name, text in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
+            base = batch.column("part")[0].as_py() << 32 if batch.num_rows else base
+            for name, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = words.encode(text) + end
                 held.append((name, ids))
                 tokens += len(ids) // 4
@@ -200,5 +202,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         if held:
             yield flush()
 
-    return rows.mapInPandas(packed, schema)
+    return rows.mapInArrow(packed, schema)
 

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.llm.batches import beside
 from loamgrid.plans.durable import durable
 
 #: Expected number of labelled rows that the classifier is fitted on; bins a feature.
@@ -123,15 +124,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 def with_evidence(docs: DataFrame, model: BinnedLogistic, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) of ``docs`` with the classifier's ``evidence``, from whole texts."""
     kept = keep if keep is not None else [c for c in docs.columns if c != "evidence"]
-    columns = list(dict.fromkeys([*kept, text_col]))
-    schema = docs.select(kept).withColumn("evidence", F.lit(0.0)).schema
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array([features_of(t) for t in b[text_col]], float).reshape(len(b), len(FEATURES))
-            yield b[kept].assign(evidence=model.probability(x))
+    def scored(texts: list[str | None]) -> list:
+        return [model.probability(np.array([features_of(t) for t in texts], float).reshape(len(texts), len(FEATURES)))]
 
-    return docs.select(columns).mapInPandas(scored, schema)
+    return beside(docs, kept, [text_col], "evidence double", lambda: scored)
 
 
 def _shrinkage(groups: DataFrame) -> tuple[float, float]:
@@ -194,7 +191,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host_col: str = "source",
     model = train_quality(docs, labels, max_labelled)
     # columns go by number meanwhile, so that no name of theirs can meet one of the site table
     number = {c: f"c{k}" for k, c in enumerate(names)}
-    rest = docs.select(names).toDF(*number.values())
+    rest = docs.toDF(*(number.get(c, f"gone{k}") for k, c in enumerate(docs.columns))).select(*number.values())
     host, path, text = number[host_col], number[path_col], number[text_col]
     sites = durable(site_posteriors(with_evidence(rest, model, text, [host] if host == path else [host, path]), host, path))
     small = sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES

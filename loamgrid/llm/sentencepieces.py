@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from loamgrid.llm.batches import beside, transposed
 
 SPACE = "▁"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -191,19 +191,16 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     values; a word of any length is encoded whole, in memory and time that grow with its length; an empty
     table gives an empty table.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    shown = zlib.crc32 if digest else bytes
 
-    def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoder() -> Callable[[list[str | None]], list]:
         pieces = pieces_of(model)
-        shown = zlib.crc32 if digest else bytes
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for part in _together(texts):
-                rows = [(shown(ids), len(ids) // 4, float(score), good) for ids, score, good in pieces.encode(texts[part])]
-                out = pd.DataFrame(rows, columns=["ids", "n_tokens", "score", "round_trip"])
-                out.insert(0, "id", batch["id"].iloc[part].to_numpy())
-                yield out
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(encoded, f"id {kind}, {SCHEMA.format('long' if digest else 'binary')}")
-    return out.withColumnsRenamed({"id": id_col, **({"ids": "ids_crc32"} if digest else {})})
+
+        def encoded(texts: list[str | None]) -> list:
+            rows = [(shown(ids), len(ids) // 4, float(score), good) for part in _together(texts) for ids, score, good in pieces.encode(texts[part])]
+            return transposed(rows, 4)
+
+        return encoded
+
+    made = SCHEMA.replace("ids {0}", "ids_crc32 long" if digest else "ids binary")
+    return beside(docs, [id_col], [text_col], made, encoder)

@@ -17,7 +17,7 @@ MAP_SCHEMA = "version int, virtual_slot int, shard int, n_rows long, bytes long"
 
 
 def virtual_slot(record_id: Column, slots: int = SLOTS) -> Column:
-    """The slot of a record: 32 bits of the MD5 of its id as text, modulo the number of slots. Null ids share slot 0."""
+    """The slot of a record: 32 bits of the MD5 of its id as text, modulo the number of slots. A null id has slot 0."""
     word = F.conv(F.substring(F.md5(record_id.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
     return F.coalesce(F.pmod(word, F.lit(slots)), F.lit(0)).cast("int")
 
@@ -141,11 +141,11 @@ def shard_documents(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_co
     it is made anew.
 
     Defined cases: null and empty texts have size 8 and CRC-32 0; rows with the same id share a slot and
-    get places of their own, ordered by CRC-32; null ids go to slot 0; an empty table gives an empty
+    get places of their own, ordered by CRC-32; rows with a null id are dealt by the CRC-32 of their text; an empty table gives an empty
     table; other columns pass through, except that the names made here replace theirs.
     """
     text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    made = {"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(text), "virtual_slot": virtual_slot(F.col(id_col), slots)}
+    made = {"size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(text), "virtual_slot": virtual_slot(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("no id "), F.crc32(text))), slots)}
     keep = [c for c in docs.columns if c not in ("map_version", "shard", "slot", "__start", "__place")]
     records = docs.select(keep).withColumns(made).drop(text_col)
     usage = usage_of(slot_bytes(docs.select(made["size"].alias("size"), made["virtual_slot"].alias("virtual_slot")), "virtual_slot", "size"))

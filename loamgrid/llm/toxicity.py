@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Collection, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -17,11 +17,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from loamgrid.llm.batches import beside
 from loamgrid.plans.durable import durable
 
-#: Bounds of the fit: toxic texts, unlabelled texts, and buckets with a weight.
-MAX_POSITIVE, MAX_UNLABELLED, FEATURES = 4_000, 12_000, 4_096
+#: Bounds of the fit: toxic texts and unlabelled texts.
+MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
 BUCKETS = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)
 FEATURE_SCHEMA = "positive boolean, unlabelled boolean, buckets array<int>"
@@ -62,11 +64,11 @@ class NnpuModel:
         return _sigmoid(g)
 
 
-def chosen_features(sample: DataFrame, prior: float, most: int, least_share: float = 0.6, least_z: float = 3.5) -> np.ndarray:
+def chosen_features(sample: DataFrame, prior: float, least_share: float = 0.6, least_z: float = 3.5) -> np.ndarray:
     """Buckets whose texts are mostly toxic by the class-prior-corrected share prior * P(bucket | toxic) / P(bucket).
 
-    Both a share of ``least_share`` and a log ratio ``least_z`` standard errors above 0 are asked for; of these
-    the ``most`` most frequent among positives stay, so the driver gets at most that many rows.
+    Both a share of ``least_share`` and a log ratio ``least_z`` standard errors above 0 are asked for; all that pass stay.
+    The driver gets one number for each, of BUCKETS at most, and few pass in a sample of bounded size.
     """
     sizes = sample.agg(F.count_if("positive").alias("n_p"), F.count_if("unlabelled").alias("n_u"))
     each = sample.select("positive", "unlabelled", F.explode("buckets").alias("bucket"))
@@ -74,7 +76,7 @@ def chosen_features(sample: DataFrame, prior: float, most: int, least_share: flo
     p, u = (F.col("in_p") + 0.5) / (F.col("n_p") + 1), (F.col("in_u") + 0.5) / (F.col("n_u") + 1)
     z = F.log(p / u) / F.sqrt(1 / (F.col("in_p") + 0.5) + 1 / (F.col("in_u") + 0.5))
     good = counted.crossJoin(F.broadcast(sizes)).where((z > least_z) & (prior * p / u > least_share))
-    return np.sort([r["bucket"] for r in good.orderBy(F.desc("in_p"), "bucket").limit(most).select("bucket").collect()]).astype(np.int64)
+    return np.sort([r["bucket"] for r in good.select("bucket").collect()]).astype(np.int64)
 
 
 def _sigmoid(g: np.ndarray) -> np.ndarray:
@@ -103,10 +105,10 @@ def risk_and_step(w: np.ndarray, positive: tuple[np.ndarray, np.ndarray, int], u
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, chosen: np.ndarray, steps: int = 300, rate: float = 0.05, l2: float = 2e-5) -> NnpuModel:
     """Adam on the non-negative risk, over the ``chosen`` buckets of each text.
 
-    Without positives, unlabelled texts or buckets nothing is toxic.
+    Without positives nothing is toxic; without unlabelled texts or buckets every text scores the prior.
     """
     if not positive or not unlabelled or not 0 < prior < 1 or not len(chosen):
-        return NnpuModel(prior=prior)
+        return NnpuModel(float(np.log(prior / (1 - prior))) if 0 < prior < 1 else NnpuModel.bias, prior)
     where = np.full(BUCKETS, -1)
     where[chosen] = np.arange(len(chosen))
 
@@ -141,11 +143,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_P
     the unlabelled texts: where other steps have taken documents away, a prior of all labels is wrong for what
     is left. An id that any row labels toxic is toxic, and counts once. Expected sample sizes are ``max_positive``
     and ``max_unlabelled``, chosen by a hash of the id. Spark counts the buckets of the sample; the driver gets
-    the chosen ones, at most FEATURES, and for each text of the sample which of these it holds.
+    the chosen ones, and for each text of the sample which of these it holds.
     """
     seen = labels.where(in_training(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     seen = durable(seen.join(docs.select("doc_id"), "doc_id", "left_semi"))
     n, n_toxic = seen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    prior = min(n_toxic / n, 1 - 1 / (n + 1)) if n else 0.0  # where all labelled rows are toxic, still not quite all others
     if not n_toxic:
         return NnpuModel()
     total = docs.count()
@@ -160,13 +163,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_P
             yield pd.DataFrame({"positive": b["positive"].eq(True), "unlabelled": b["unlabelled"], "buckets": [np.sort(np.fromiter(x, np.int32)) for x in found]})
 
     texts = rows.select("text", "positive", "unlabelled")
-    chosen = chosen_features(texts.mapInPandas(features, FEATURE_SCHEMA), n_toxic / n, FEATURES)
+    chosen = chosen_features(texts.mapInPandas(features, FEATURE_SCHEMA), prior)
     only = frozenset(chosen.tolist())
     sample = texts.mapInPandas(lambda it: features(it, only), FEATURE_SCHEMA).toPandas()
     lists = [np.asarray(x, np.int64) for x in sample["buckets"]]
     positive = [x for x, p in zip(lists, sample["positive"], strict=True) if p]
     unlabelled = [x for x, u in zip(lists, sample["unlabelled"], strict=True) if u]
-    return fit_nnpu(positive, unlabelled, n_toxic / n, chosen)
+    return fit_nnpu(positive, unlabelled, prior, chosen)
 
 
 def score_toxicity(docs: DataFrame, model: NnpuModel, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
@@ -177,11 +180,9 @@ def score_toxicity(docs: DataFrame, model: NnpuModel, text_col: str = "text", sc
     replaced, other columns pass through.
     """
     rest = docs.drop(score_col)
-    schema = rest.withColumn(score_col, F.lit(0.0)).schema
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scorer() -> Callable[[list[str | None]], list]:
         buckets = _WordBuckets(model.weights)
-        for b in batches:
-            yield b.assign(**{score_col: model.scores(b[text_col].tolist(), buckets)})
+        return lambda texts: [model.scores(texts, buckets)]
 
-    return rest.mapInPandas(scored, schema)
+    return beside(rest, rest.columns, [text_col], T.StructType([T.StructField(score_col, T.DoubleType())]), scorer)

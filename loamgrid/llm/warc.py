@@ -22,7 +22,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.plans.durable import evenly
+from loamgrid.plans.durable import durable, evenly
 
 #: Compressed bytes at which a file ends; shards at most; sampled ids for each, which the driver sorts.
 ROLL, SHARDS, SAMPLED = 256 * 2**20, 4096, 8
@@ -166,14 +166,18 @@ class _Writer:
 
 
 def _written(batches: Iterator[pa.RecordBatch], folder: str, roll: int, level: int) -> Iterator[pa.RecordBatch]:
-    writer, last, copy = _Writer(folder, roll), None, 0
-    names = ("shard", "page_id", "url", "key", "n_bytes", "digest", "member", "n", "first_id", "first_url")
+    writer, last, copy, first = _Writer(folder, roll), None, -1, None
+    names = ("shard", "page_id", "url", "key", "n_bytes", "digest", "member", "first_id", "first_url")
     for b in batches:
-        for shard, page, url, key, n_bytes, digest, member, n, first_id, first_url in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-            copy = copy + 1 if (shard, page, key) == last else 0
-            last = (shard, page, key)
-            if n is not None and (page != first_id or copy):
-                member = gzip_member(revisit(page, url, key, digest, n_bytes, copy, first_id, first_url), level)
+        for shard, page, url, key, n_bytes, digest, member, first_id, first_url in zip(*(b.column(c).to_pylist() for c in names), strict=True):
+            if (shard, page, key) != last:
+                last, copy, first = (shard, page, key), -1, None
+            if member is None:  # what is known of the copies of this payload comes before the page
+                first = (first_id, first_url)
+                continue
+            copy += 1
+            if first is not None and (page != first[0] or copy):
+                member = gzip_member(revisit(page, url, key, digest, n_bytes, copy, *first), level)
             writer.add(shard, member)
     writer.end()
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*writer.staged, strict=True), STAGED.types, strict=True)] if writer.staged else [pa.array([], t) for t in STAGED.types], schema=STAGED)
@@ -196,10 +200,11 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     """Writes a WARC record for each row below ``folder`` (shared, new) and returns the manifest: file, shard, part, records, bytes, sha256.
 
     Of records with equal payloads of at least ``least_bytes`` bytes the one with the smallest id is a response and the
-    others revisit it. Payloads are compressed once and before anything is shuffled; rows with equal payloads meet in a
-    count with partial sums, and in a left join whose exchange is plain on both sides, so that a payload that a third of all pages
-    share is split there. Then the records are range-sorted by id into ``shards`` (payload bytes / SHARD_BYTES by default, at least as many as there are shuffle
-    partitions and SHARDS at most) and each shard rolls into files of about ``roll`` compressed bytes.
+    others revisit it. Ids, URLs and SHA-256 values of payloads are stored first. Equal ones meet in a count with partial
+    sums and in a join whose exchange is plain on both sides, so that a payload that a third of all pages share is split
+    there. Payloads are compressed before they move, and move once: what the join found about a page is sorted
+    in before it. Records are range-sorted by id into ``shards`` (payload bytes / SHARD_BYTES by default, at least
+    as many as there are shuffle partitions, SHARDS at most); each rolls into files of about ``roll`` compressed bytes.
     The same rows give the same files with the same bytes, however they were dealt, since splitters come from
     the ids alone. A task that is done again writes under a new temporary name; only names in the stored list
     of tasks that succeeded are renamed, and readers take the manifest, which comes last.
@@ -212,22 +217,24 @@ def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    key = F.unhex(F.sha2("payload", 256))
+    rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
+    known = durable(rows.select("page_id", "url", "key", F.octet_length("payload").cast("long").alias("n_bytes")))
     rank = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")
-    same = rows.where(F.octet_length("payload") >= least_bytes).groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(rank).alias("f")).where("n > 1")
-    same = evenly(same.select("key", "n", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url")), "key")
+    large = known.where(F.col("n_bytes") >= least_bytes)
+    same = large.groupBy("key").agg(F.count("*").alias("n"), F.min(rank).alias("f")).where("n > 1")
+    same = evenly(same.select("key", F.col("f.page_id").alias("first_id"), F.col("f.url").alias("first_url")), "key")
     if shards is None:
-        size = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+        size = known.agg(F.sum("n_bytes")).first()[0] or 0
         shards = min(SHARDS, max(parts, -(-size // SHARD_BYTES)))
-    splitters = chosen_splitters(rows, shards)
-
-    made = rows.withColumn("key", key).mapInArrow(lambda it: _made(it, level), "page_id long, url string, key binary, n_bytes long, digest string, member binary")
-    joined = made.join(same, "key", "left")
-    again = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    joined = joined.withColumn("member", F.when(~again, F.col("member")))
-    fields = "page_id long, url string, key binary, n_bytes long, digest string, member binary, n long, first_id long, first_url string"
-    dealt = joined.select([c.split()[0] for c in fields.split(", ")]).mapInArrow(lambda it: _dealt(it, splitters), f"shard int, {fields}")
-    in_order = dealt.repartitionById(max(parts, min(shards, SHARDS)), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "key", F.col("url").asc_nulls_last())
+    splitters = chosen_splitters(known, shards)
+
+    made = rows.mapInArrow(lambda it: _made(it, level), "page_id long, url string, key binary, n_bytes long, digest string, member binary")
+    fields = "page_id long, url string, key binary, n_bytes long, digest string, member binary, first_id long, first_url string"
+    copies = large.select("page_id", "key").join(same, "key")
+    both = made.unionByName(copies, allowMissingColumns=True).select([c.split()[0] for c in fields.split(", ")])
+    dealt = both.mapInArrow(lambda it: _dealt(it, splitters), f"shard int, {fields}")
+    order = ("shard", F.col("page_id").asc_nulls_last(), "key", F.col("member").isNotNull(), F.col("url").asc_nulls_last())
+    in_order = dealt.repartitionById(max(parts, shards), "shard").sortWithinPartitions(*order)
     staged = posixpath.join(folder, "staged")
     in_order.mapInArrow(lambda it: _written(it, folder, roll, level), STAGED_SCHEMA).write.parquet(staged)
     done = spark.read.parquet(staged).repartition(parts, "file").mapInArrow(lambda it: _renamed(it, folder), "file string, shard int, part int, records long, bytes long, sha256 string")

@@ -49,17 +49,17 @@ def got(df):
     return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize(("small", "block", "large"), [(4, 5, 8), (4096, 1024, 65_536)])
-def test_against_all_pairs(docs_of, small, block, large):
+@pytest.mark.parametrize(("small", "block"), [(4, 5), (4096, 1024)])
+def test_against_all_pairs(docs_of, small, block):
     pairs = corpus(3, 25, 14)
-    out = C.near_duplicates(docs_of(pairs), words=4, percent=80, small=small, block=block, large=large)
+    out = C.near_duplicates(docs_of(pairs), words=4, percent=80, small=small, block=block)
     assert got(out) == plain_components(pairs, 4, 80)
 
 
 def test_a_group_that_no_coordinate_parts(docs_of):
     base = [f"t{k}" for k in range(9000)]
     pairs = [(k, " ".join(base[: 4000 + k])) for k in range(9)]
-    out = C.near_duplicates(docs_of(pairs), words=5, percent=80, small=3, block=4, large=5)
+    out = C.near_duplicates(docs_of(pairs), words=5, percent=80, small=3, block=4)
     assert got(out) == plain_components(pairs, 5, 80)
 
 
@@ -68,7 +68,7 @@ def test_recall_where_many_share_a_header(docs_of):
     for k in range(300):  # two documents at exactly 0.8; those of other pairs are at 0.64
         body = header + [f"b{k}x{j}" for j in range(10)]
         pairs += [(2 * k + side, " ".join(body + [f"o{k}x{side}x{j}" for j in range(10)])) for side in (0, 1)]
-    out = C.near_duplicates(docs_of(pairs), words=1, percent=80, trees=6, small=40, block=20, large=40)
+    out = C.near_duplicates(docs_of(pairs), words=1, percent=80, trees=6, small=40, block=20)
     assert got(out) == {i: (90, i - i % 2) for i, _ in pairs}
 
 

@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -67,3 +68,16 @@ def test_any_column_names_pass(docs_of):
 def test_no_python_in_the_plan(docs_of):
     plan = dedup_lines(docs_of([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_many_lines_of_one_text(docs_of):
+    """Work follows a text's lines: 200,000 lines, half of which go, take seconds."""
+    shared = [f"this long line has the number {k} and is found in every one of the texts" for k in range(2000)]
+    big = "\n".join(shared[k % 2000] if k % 2 else f"own line {k}" for k in range(200_000))
+    rows = [(i, "\n".join(shared)) for i in range(10, 15)] + [(1, big), (2, big)]
+    began = time.time()
+    got = {r["doc_id"]: r for r in dedup_lines(docs_of(rows)).collect()}
+    assert time.time() - began < 60
+    want = [f"own line {k}" for k in range(0, 200_000, 2)]
+    assert got[1]["kept_lines"] == want and got[2]["kept_lines"] == want and got[1]["n_lines"] == 200_000
+    assert got[14]["kept_lines"] == shared and got[10]["kept_lines"] == []
