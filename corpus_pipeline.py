@@ -67,8 +67,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates (five words, 0.8); null ids stay."""
-    gone = near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rows, back = _apart(docs)
+    gone = near_duplicates(rows, words=5, percent=80).where("not kept").select("doc_id")
+    return rows.join(gone, "doc_id", "left_anti").select(rows.columns).withColumnsRenamed(back)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +85,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No SQL: classifiers, minwise trees and a tokenizer; tests hold the stages against brute-force versions.
+#: No SQL: classifiers, minwise trees and a tokenizer; tests hold line dedup, near dedup and packing against brute force.
 ORACLE_SQL = None
 
 
