@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamgrid.plans.durable import durable
+
 
 def row_standardised(pairs: DataFrame) -> DataFrame:
     """(i, j, w) with the weights of each i summing to one."""
@@ -53,6 +60,81 @@ def lisa(values: DataFrame, weights: DataFrame, key: str, x: str) -> DataFrame:
     return out.select(key, local.alias("local_i"), F.when(F.col("neighbours").isNull(), "island").otherwise(quadrant(F.col("z"), F.col("lag_z"))).alias("quadrant"))
 
 
+def numbered(values: DataFrame, key: str, name: str = "at") -> DataFrame:
+    """``values`` with a number from 0 without gaps in the order of ``key``: a sort by ranges, and one count a partition on the driver."""
+    placed = durable(values.orderBy(key).withColumn("__row", F.monotonically_increasing_id()))
+    part = F.shiftright("__row", 33)
+    before, total = {}, 0
+    for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        before[r["p"]], total = total, total + r["n"]
+    offsets = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
+    return placed.withColumn(name, (offsets[part] + F.col("__row").bitwiseAND(2**33 - 1)).cast("long")).drop("__row")
+
+
+def draws(n: int, most: int, first: int, last: int, spark: SparkSession) -> DataFrame:
+    """(rep, pos, at): for each replicate, ``most`` of the numbers below ``n`` without replacement, in the order drawn.
+
+    Number s of replicate r is 32 bits of the MD5 of "r:s" modulo n; numbers drawn before are passed over. So many are
+    tried that ``most`` distinct ones are missed with probability below 1e-13.
+    """
+    tries = 8 * most + 128 if n >= 2 * most else int(n * (math.log(max(n, 2)) + 32))
+    one = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("s").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n
+    each = spark.range(first, last).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("s")).select("rep", "s", one.alias("at"))
+    drawn = each.groupBy("rep").agg(F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("s", "at"))), lambda x: x["at"])), 1, most).alias("drawn"))
+    return drawn.select("rep", F.posexplode("drawn").alias("pos", "at"))
+
+
+def conditional_p(z: DataFrame, weights: DataFrame, key: str, permutations: int = 999, cells: int = 2_000_000) -> DataFrame:
+    """(key, p_sim): pseudo p of each local Moran's I, its own value held while its neighbours' are drawn from all others.
+
+    Every replicate draws its areas once, one more than the largest number of neighbours; an area takes the
+    first of them, and the last one in place of itself. Draws and their values are found by Spark and go to all tasks,
+    at most ``cells`` numbers at a time, so a hub with very many neighbours means more passes, not more memory.
+    An area's weights are one row. Equal sums are told apart from larger ones by 1e-9, so ties count as in exact arithmetic.
+    """
+    permutations = min(max(permutations, 99), 99_999)
+    spark = z.sparkSession
+    placed = durable(numbered(z.select(key, "z"), key))
+    n = placed.count()
+    ends = placed.select(F.col(key).alias("j"))
+    own = weights.join(ends, "j", "left_semi").groupBy(F.col("i").alias(key)).agg(F.array_sort(F.collect_list("w"), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0)).alias("ws"))
+    seen = weights.join(placed.select(F.col(key).alias("j"), F.col("z").alias("zj")), "j").groupBy(F.col("i").alias(key)).agg(F.sum(F.col("w") * F.col("zj")).alias("lag"))
+    rows = durable(placed.join(own, key).join(seen, key))
+    most = rows.agg(F.max(F.size("ws"))).first()[0]
+    if most is None:
+        return z.select(key, F.lit(None).cast("double").alias("p_sim")).limit(0)
+    most = min(most + 1, n)
+    step = max(1, cells // most)
+    out = None
+    for first in range(0, permutations, step):
+        last = min(permutations, first + step)
+        got = draws(n, most, first, last, spark).join(placed.select("at", "z"), "at").select("rep", "pos", "at", "z").toPandas().sort_values(["rep", "pos"])
+        at, value = (got[c].to_numpy().reshape(last - first, most) for c in ("at", "z"))
+
+        def larger(batches: Iterator[pa.RecordBatch], at: np.ndarray = at, value: np.ndarray = value) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                counts = []
+                for me, zi, lag, ws in zip(*(b.column(c).to_pylist() for c in ("at", "z", "lag", "ws")), strict=True):
+                    k = min(len(ws), at.shape[1] - 1)
+                    taken = np.where(at[:, :k] == me, value[:, k, None], value[:, :k])
+                    counts.append(int((zi * (taken @ np.asarray(ws[:k])) >= zi * lag - 1e-9).sum()))
+                yield pa.RecordBatch.from_arrays([b.column("at"), pa.array(counts, pa.int64())], ["at", "larger"])
+
+        part = rows.select("at", "z", "lag", "ws").mapInArrow(larger, "at long, larger long")
+        out = part if out is None else out.unionByName(part)
+    total = out.groupBy("at").agg(F.sum("larger").alias("larger"))
+    extreme = F.least(F.col("larger"), permutations - F.col("larger"))
+    return total.join(placed, "at").select(key, ((extreme + 1) / (permutations + 1)).alias("p_sim"))
+
+
+def lisa_classes(values: DataFrame, weights: DataFrame, key: str, x: str, permutations: int = 999, alpha: float = 0.05) -> DataFrame:
+    """(key, local_i, quadrant, p_sim, class): the class is the quadrant where p_sim is below ``alpha``, else not significant; islands have no p."""
+    local = lisa(values, weights, key, x)
+    p = conditional_p(z_scores(values, key, x), weights, key, permutations)
+    name = F.when(F.col("quadrant") == "island", "island").when(F.col("p_sim") < alpha, F.col("quadrant")).otherwise("not significant")
+    return local.join(p, key, "left").withColumn("class", name)
+
+
 def getis_star(values: DataFrame, pairs: DataFrame, key: str, x: str) -> DataFrame:
     """(key, z): the Gi* score in closed form with binary weights, the area itself included."""
     own = values.select(F.col(key).alias("i"), F.col(key).alias("j"))
@@ -86,8 +168,6 @@ def permutation_p(values: DataFrame, weights: DataFrame, key: str, x: str, permu
 
 def ols(df: DataFrame, y: str, xs: list[str]) -> dict:
     """Coefficients, R2, residual variance and count by normal equations: one aggregate of k x k sums, solved on the driver."""
-    import numpy as np
-
     cols = [F.lit(1.0), *[F.col(c).cast("double") for c in xs]]
     made = [F.sum(a * b).alias(f"a{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
     made += [F.sum(a * F.col(y)).alias(f"b{i}") for i, a in enumerate(cols)]
@@ -109,9 +189,11 @@ def residuals(df: DataFrame, y: str, xs: list[str], beta: list[float]) -> DataFr
 
 
 def spatial_diagnostics(df: DataFrame, weights: DataFrame, key: str, y: str, xs: list[str]) -> DataFrame:
-    """One row: coefficients' R2, Jarque-Bera, LM error and LM lag, and which model they point to."""
-    import numpy as np
+    """One row: R2, Jarque-Bera, LM error and LM lag with their robust forms, and the model they point to.
 
+    The choice: OLS if neither LM is significant at 5 %; the one that is, if one is; of two, the one whose robust
+    form is, or the larger robust form if both or neither are.
+    """
     fit = ols(df, y, xs)
     res = residuals(df, y, xs, fit["beta"])
     lagged = spatial_lag(res.select(key, y, "fitted", "residual", *xs), weights, key, ["residual", y, "fitted"])
@@ -127,6 +209,32 @@ def spatial_diagnostics(df: DataFrame, weights: DataFrame, key: str, y: str, xs:
     j = (s["ff"] - xf @ np.linalg.solve(fit["xtx"], xf)) / s2 + trace
     lm_error, lm_lag = (s["ewe"] / s2) ** 2 / trace, (s["ewy"] / s2) ** 2 / j
     skew, kurt = s["e3"] / n / s2**1.5, s["e4"] / n / s2**2
-    verdict = "ols" if max(lm_error, lm_lag) < 3.841 else "lag" if lm_lag > lm_error else "error"
-    row = (fit["r2"], n / 6 * (skew**2 + (kurt - 3) ** 2 / 4), lm_error, lm_lag, verdict)
-    return df.sparkSession.createDataFrame([tuple(map(float, row[:4])) + (verdict,)], "r2 double, jarque_bera double, lm_error double, lm_lag double, verdict string")
+    de, dl = s["ewe"] / s2, s["ewy"] / s2
+    robust_lag = (dl - de) ** 2 / (j - trace) if j > trace else 0.0
+    robust_error = (de - trace / j * dl) ** 2 / (trace * (1 - trace / j)) if j > trace else 0.0
+    verdict = chosen_model(lm_error, lm_lag, robust_error, robust_lag)
+    row = (fit["r2"], n / 6 * (skew**2 + (kurt - 3) ** 2 / 4), lm_error, lm_lag, robust_error, robust_lag)
+    names = ("r2", "jarque_bera", "lm_error", "lm_lag", "robust_lm_error", "robust_lm_lag")
+    return df.sparkSession.createDataFrame([(*map(float, row), verdict)], ", ".join(f"{c} double" for c in names) + ", verdict string")
+
+
+#: The 5 % point of chi-squared with one degree of freedom.
+SIGNIFICANT = 3.841458820694124
+
+
+def chosen_model(lm_error: float, lm_lag: float, robust_error: float, robust_lag: float) -> str:
+    if max(lm_error, lm_lag) < SIGNIFICANT:
+        return "ols"
+    if min(lm_error, lm_lag) < SIGNIFICANT:
+        return "lag" if lm_lag >= SIGNIFICANT else "error"
+    if (robust_lag >= SIGNIFICANT) != (robust_error >= SIGNIFICANT):
+        return "lag" if robust_lag >= SIGNIFICANT else "error"
+    return "lag" if robust_lag >= robust_error else "error"
+
+
+def residual_table(df: DataFrame, weights: DataFrame, key: str, y: str, xs: list[str]) -> DataFrame:
+    """(key, y, fitted, residual, standardised, lag_residual): where a fit by least squares misses, and whether its neighbours do."""
+    fit = ols(df, y, xs)
+    res = residuals(df, y, xs, fit["beta"])
+    made = res.select(key, F.col(y).cast("double").alias(y), "fitted", "residual", (F.col("residual") / math.sqrt(fit["sigma2"] or 1.0)).alias("standardised"))
+    return spatial_lag(made, weights, key, ["residual"])

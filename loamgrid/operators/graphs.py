@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgrid.operators.components import connected_components
 from loamgrid.plans.durable import durable
 
 
@@ -120,3 +121,23 @@ def carried(overlap: DataFrame, least: float = 0.5) -> DataFrame:
     """One-to-one matches: pairs that are each other's best and reach ``least``; ties by the smaller id."""
     best = lambda key, other: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("jaccard"), other))
     return overlap.where(F.col("jaccard") >= least).withColumn("a", best("old_c", "new_c")).withColumn("b", best("new_c", "old_c")).where("a = 1 and b = 1").select("old_c", "new_c", "jaccard")
+
+
+def region_check(areas: DataFrame, pairs: DataFrame, key: str, labels: list[str], n_areas: int, n_regions: int) -> DataFrame:
+    """One row a label column: (label, areas, without, regions, split, matched): is it a partition into ``n_regions`` connected regions?
+
+    It is if the layer has ``n_areas`` areas, none without a label, exactly that many different labels, and every region is one
+    piece under ``pairs`` (i, j) of areas that touch. All columns go through one run of components.
+    """
+    long = areas.select(F.col(key).alias("area"), F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("string").alias("region")) for c in labels])).alias("l")).select("area", "l.label", "l.region")
+    node = lambda a: F.struct("label", F.col(a).cast("string"))
+    known = long.where("region is not null")
+    a, b = (known.select("label", "region", F.col("area").alias(side)) for side in ("i", "j"))
+    inside = pairs.join(a, "i").join(b, ["j", "label", "region"])
+    found = connected_components(inside.select(node("i").alias("src"), node("j").alias("dst")))
+    place = known.withColumn("node", node("area")).join(found, "node", "left").withColumn("piece", F.coalesce("component", "node"))
+    pieces = place.groupBy("label", "region").agg(F.count_distinct("piece").alias("pieces")).groupBy("label").agg(F.count_if(F.col("pieces") > 1).alias("split"))
+    counts = long.groupBy("label").agg(F.count("*").alias("areas"), F.count_if(F.col("region").isNull()).alias("without"), F.count_distinct("region").alias("regions"))
+    out = counts.join(pieces, "label", "left").na.fill(0, ["split"])
+    good = (F.col("areas") == n_areas) & (F.col("without") == 0) & (F.col("regions") == n_regions) & (F.col("split") == 0)
+    return out.select("label", "areas", "without", "regions", "split", good.alias("matched"))

@@ -6,6 +6,12 @@ by cell or broadcasts a side that it knows to be small; nothing is a cross join
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,26 +83,44 @@ def grid_hex(points: DataFrame, size: float, x: Column, y: Column, min_count: in
     return counted.withColumn("per_km2", F.round(F.col("n") / (geo.hex_area(size) / 1e6), 4))
 
 
-def _near_cells(df: DataFrame, reach: int) -> DataFrame:
-    around = F.sequence(F.lit(-reach), F.lit(reach))
-    return df.withColumn("dx", F.explode(around)).withColumn("dy", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")}).drop("dx", "dy")
+def _band_width(band: Column, height: float, reach: float) -> Column:
+    """How many cells round the globe a band of latitude has, so that points within ``reach`` (radians) are in neighbouring ones.
+
+    Along a parallel a reach spans asin(sin(reach) / cos(latitude)) of longitude at most; where it reaches a pole, one cell is left.
+    """
+    farthest = F.greatest(F.abs(band * height), F.abs((band + 1) * height))
+    ratio = F.lit(math.sin(min(reach, math.pi / 2))) / F.greatest(F.cos(F.radians(F.least(farthest, F.lit(90.0)))), F.lit(1e-12))
+    width = F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9)
+    return F.when((ratio >= 1) | (farthest >= 90), F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), F.floor(360 / width)))
 
 
-def _metres_a_degree(points: DataFrame, lat: str) -> float:
-    """The shortest a degree of either direction gets within the latitudes of the data (one aggregate row)."""
-    import math
+def with_globe_cells(points: DataFrame, metres: float, around: bool) -> DataFrame:
+    """``points`` (lon, lat) with cells (band, cell) of a grid that closes round the globe and over its poles.
 
-    widest = points.agg(F.max(F.abs(lat))).first()[0] or 0.0
-    return 110_500.0 * math.cos(math.radians(min(widest + 1, 89.0)))
+    Bands of latitude are ``metres`` high and have cells of their own number, so a point far north widens its own
+    band and no other. With ``around`` a row is there once for each cell that may hold a point within ``metres``.
+    """
+    reach = metres / geo.EARTH_M
+    height = min(math.degrees(reach) * (1 + 1e-9), 400.0)
+    own = F.floor(F.col("lat") / height)
+    bands = points.withColumn("band", F.explode(F.array(own - 1, own, own + 1)) if around else own)
+    wide = bands.withColumn("__cells", _band_width(F.col("band"), height, reach))
+    at = F.least(F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360 * F.col("__cells")), F.col("__cells") - 1)
+    if not around:
+        return wide.withColumn("cell", at).drop("__cells")
+    near = F.array_distinct(F.array(F.pmod(at - 1, F.col("__cells")), at, F.pmod(at + 1, F.col("__cells"))))
+    return wide.withColumn("cell", F.explode(near)).drop("__cells")
 
 
 def within_distance(left: DataFrame, right: DataFrame, metres: float, left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id, distance_m) pairs up to ``metres`` apart; both sides have lon and lat."""
-    cell = metres / _metres_a_degree(left.select("lat").unionByName(right.select("lat")), "lat")
-    a = with_point_cells(left.select(left_id, F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a")), cell, "lon_a", "lat_a")
-    b = _near_cells(with_point_cells(right.select(right_id, F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b")), cell, "lon_b", "lat_b"), 1)
+    """(left_id, right_id, distance_m) pairs up to ``metres`` apart along great circles; both sides have lon and lat.
+
+    Cells close round the globe, so pairs on both sides of 180 degrees and about the poles are found.
+    """
+    a = with_globe_cells(left.select(left_id, "lon", "lat"), metres, False).withColumnsRenamed({"lon": "lon_a", "lat": "lat_a"})
+    b = with_globe_cells(right.select(right_id, "lon", "lat"), metres, True).withColumnsRenamed({"lon": "lon_b", "lat": "lat_b"})
     d = geo.haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))
-    return a.join(b, ["cx", "cy"]).withColumn("distance_m", d).where(F.col("distance_m") <= metres).select(left_id, right_id, "distance_m")
+    return a.join(b, ["band", "cell"]).withColumn("distance_m", d).where(F.col("distance_m") <= metres).select(left_id, right_id, "distance_m")
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, start_m: float, max_m: float | None = None) -> DataFrame:
@@ -128,17 +152,119 @@ def space_time_join(events: DataFrame, anchors: DataFrame, event_id: str, anchor
     return out.where((gap > 0) & (gap <= seconds * 1_000_000)).select(anchor_id, event_id, "distance_m")
 
 
+CORNERS = ("xmin", "ymin", "xmax", "ymax")
+PREDICATES = ("intersects", "within", "contains", "covers", "covered_by", "touches", "crosses", "overlaps", "equals", "contains_properly")
+
+
+def _met_boxes(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float) -> DataFrame:
+    """Pairs of boxes that share a point, each once: (left_id, right_id, a_..., b_...). A pair counts in the cell of the lowest corner that both share."""
+    a = with_box_cells(left.select(left_id, *CORNERS), cell).withColumnsRenamed({n: f"a_{n}" for n in CORNERS})
+    b = with_box_cells(right.select(right_id, *CORNERS), cell).withColumnsRenamed({n: f"b_{n}" for n in CORNERS})
+    first = (F.col("cx") == F.floor(F.greatest("a_xmin", "b_xmin") / cell)) & (F.col("cy") == F.floor(F.greatest("a_ymin", "b_ymin") / cell))
+    meet = (F.greatest("a_xmin", "b_xmin") <= F.least("a_xmax", "b_xmax")) & (F.greatest("a_ymin", "b_ymin") <= F.least("a_ymax", "b_ymax"))
+    return a.join(b, ["cx", "cy"]).where(first & meet).drop("cx", "cy")
+
+
+def box_predicate(name: str) -> Column:
+    """How box a lies to box b, from the columns a_xmin to b_ymax of boxes that share a point.
+
+    A box may be flat: of no width or height it is a line, of neither a point. Interiors are relative ones, as the
+    usual model of spatial predicates has it, so a point on a box's edge touches it and isn't within it.
+    """
+    c = lambda side, end, axis: F.col(f"{side}_{axis}{end}")
+    axes = ("x", "y")
+    flat = {(s, x): c(s, "min", x) == c(s, "max", x) for s in "ab" for x in axes}
+    both = lambda parts: reduce(lambda p, q: p & q, parts)
+    dims = {s: sum(((~flat[s, x]).cast("int") for x in axes), F.lit(0)) for s in "ab"}
+
+    def interiors(x: str) -> Column:
+        low, high = F.greatest(c("a", "min", x), c("b", "min", x)), F.least(c("a", "max", x), c("b", "max", x))
+        inside = lambda p, q: (c(p, "min", x) > c(q, "min", x)) & (c(p, "min", x) < c(q, "max", x))
+        return F.when(flat["a", x] & flat["b", x], low == high).when(flat["a", x], inside("a", "b")).when(flat["b", x], inside("b", "a")).otherwise(low < high)
+
+    covers = lambda p, q: both([(c(p, "min", x) <= c(q, "min", x)) & (c(q, "max", x) <= c(p, "max", x)) for x in axes])
+    meet = both([interiors(x) for x in axes])
+    shared = sum(((F.greatest(c("a", "min", x), c("b", "min", x)) < F.least(c("a", "max", x), c("b", "max", x))).cast("int") for x in axes), F.lit(0))
+    strictly = both([F.when(flat["a", x], c("b", "min", x) == c("b", "max", x)).otherwise((c("a", "min", x) < c("b", "min", x)) & (c("b", "max", x) < c("a", "max", x))) for x in axes])
+    lower, higher = F.least(dims["a"], dims["b"]), F.greatest(dims["a"], dims["b"])
+    smaller_covered = F.when(dims["a"] < dims["b"], covers("b", "a")).otherwise(covers("a", "b"))
+    crosses = F.when(lower == 0, F.lit(False)).when(lower < higher, meet & ~smaller_covered).when(higher == 1, meet & (shared == 0)).otherwise(F.lit(False))
+    return {
+        "intersects": F.lit(True), "covers": covers("a", "b"), "covered_by": covers("b", "a"), "equals": covers("a", "b") & covers("b", "a"), "touches": ~meet,
+        "contains": covers("a", "b") & meet, "within": covers("b", "a") & meet, "contains_properly": strictly, "crosses": crosses,
+        "overlaps": (dims["a"] == dims["b"]) & meet & (shared == dims["a"]) & ~covers("a", "b") & ~covers("b", "a"),
+    }[name]
+
+
+def spatial_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, predicate: str = "intersects", how: str = "inner") -> DataFrame:
+    """(left_id, right_id) pairs of boxes (points and axis-parallel lines are flat boxes) for which ``predicate`` holds.
+
+    ``how`` is inner, left or right; the rows of that side without a partner come with null.
+    """
+    if predicate not in PREDICATES or how not in ("inner", "left", "right"):
+        raise ValueError(f"{predicate} / {how}: one of {PREDICATES} and inner, left or right")
+    pairs = _met_boxes(left, right, left_id, right_id, cell).where(box_predicate(predicate)).select(left_id, right_id)
+    if how == "inner":
+        return pairs
+    side, key = (left, left_id) if how == "left" else (right, right_id)
+    return side.select(key).join(pairs, key, "left").select(left_id, right_id)
+
+
 def box_overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float) -> DataFrame:
     """Intersection pieces of two box layers with their corners and area."""
-    names = ("xmin", "ymin", "xmax", "ymax")
-    a = with_box_cells(left.select(left_id, *names), cell).withColumnsRenamed({n: f"a_{n}" for n in names})
-    b = with_box_cells(right.select(right_id, *names), cell).withColumnsRenamed({n: f"b_{n}" for n in names})
-    pairs = a.join(b, ["cx", "cy"]).dropDuplicates([left_id, right_id])
+    pairs = _met_boxes(left, right, left_id, right_id, cell)
     cut = {"xmin": F.greatest("a_xmin", "b_xmin"), "ymin": F.greatest("a_ymin", "b_ymin"), "xmax": F.least("a_xmax", "b_xmax"), "ymax": F.least("a_ymax", "b_ymax")}
     pieces = pairs.select(left_id, right_id, *[c.alias(n) for n, c in cut.items()]).where("xmin < xmax and ymin < ymax")
     return pieces.withColumn("area", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
 
 
+def leftover_pieces(left: DataFrame, right: DataFrame, left_id: str, cell: float) -> DataFrame:
+    """What of each box no box of ``right`` covers, as boxes that don't overlap: (left_id, xmin, ymin, xmax, ymax, area).
+
+    Boxes are cut at the lines of the grid first, so a large one is many small tasks. In each cell a box is cut into
+    strips at the sides of what overlaps it there; a strip's gaps are between the intervals that cover it.
+    """
+    edge = lambda k: F.col(k) * F.lit(float(cell))
+    part = with_box_cells(left.select(F.col(left_id).alias("me"), *CORNERS), cell)
+    part = part.select("me", "cx", "cy", F.greatest("xmin", edge("cx")).alias("x0"), F.least("xmax", (F.col("cx") + 1) * F.lit(float(cell))).alias("x1"), F.greatest("ymin", edge("cy")).alias("y0"), F.least("ymax", (F.col("cy") + 1) * F.lit(float(cell))).alias("y1"))
+    part = part.where("x0 < x1 and y0 < y1")
+    other = with_box_cells(right.select(*CORNERS), cell)
+    key = ["me", "cx", "cy"]
+    over = part.join(other, ["cx", "cy"]).select(*key, "x0", "x1", "y0", "y1", F.greatest("xmin", "x0").alias("bx0"), F.least("xmax", "x1").alias("bx1"), F.greatest("ymin", "y0").alias("by0"), F.least("ymax", "y1").alias("by1"))
+    over = over.where("bx0 < bx1 and by0 < by1")
+    sides = over.groupBy(*key).agg(F.flatten(F.array(F.collect_set("bx0"), F.collect_set("bx1"))).alias("sides"))
+    cuts = part.join(sides, key, "left").withColumn("cuts", F.array_sort(F.array_distinct(F.concat(F.coalesce("sides", F.array().cast("array<double>")), F.array("x0", "x1")))))
+    strips = cuts.select(*key, "y0", "y1", F.explode(F.transform(F.sequence(F.lit(1), F.size("cuts") - 1), lambda k: F.struct(F.element_at("cuts", k).alias("s0"), F.element_at("cuts", k + 1).alias("s1")))).alias("s")).select(*key, "y0", "y1", "s.*")
+    cover = strips.join(over.select(*key, "bx0", "bx1", "by0", "by1"), key).where("bx0 <= s0 and bx1 >= s1").select(*key, "y0", "y1", "s0", "s1", "by0", "by1")
+    rows = cover.unionByName(strips.select(*key, "y0", "y1", "s0", "s1", F.col("y1").alias("by0"), F.col("y1").alias("by1")))  # the end of a strip
+    before = Window.partitionBy(*key, "s0").orderBy("by0", "by1").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = rows.withColumn("from", F.coalesce(F.max("by1").over(before), "y0")).where(F.col("from") < F.col("by0"))
+    out = gaps.select(F.col("me").alias(left_id), F.col("s0").alias("xmin"), F.col("from").alias("ymin"), F.col("s1").alias("xmax"), F.col("by0").alias("ymax"))
+    return out.withColumn("area", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
+
+
+OVERLAYS = ("intersection", "union", "identity", "symmetric_difference", "difference")
+
+
+def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, cell: float, mode: str = "intersection") -> DataFrame:
+    """(left_id, right_id, xmin, ymin, xmax, ymax, area): pieces of two box layers, with null for a side that a piece isn't of.
+
+    intersection: pieces of both; identity: these and the rest of the left boxes; union: these and the rest of the right ones;
+    symmetric_difference: both rests; difference: the rest of the left boxes.
+    """
+    if mode not in OVERLAYS:
+        raise ValueError(f"{mode}: one of {OVERLAYS}")
+    ids = {left_id: left.schema[left_id].dataType, right_id: right.schema[right_id].dataType}
+    parts = []
+    if mode in ("intersection", "identity", "union"):
+        parts.append(box_overlay(left, right, left_id, right_id, cell))
+    if mode != "intersection":
+        parts.append(leftover_pieces(left, right, left_id, cell).withColumn(right_id, F.lit(None).cast(ids[right_id])))
+    if mode in ("union", "symmetric_difference"):
+        parts.append(leftover_pieces(right, left, right_id, cell).withColumn(left_id, F.lit(None).cast(ids[left_id])))
+    return reduce(DataFrame.unionByName, parts).select(left_id, right_id, *CORNERS, "area")
+
+
 def clip_points(points: DataFrame, mask: DataFrame, cell: float, keep: bool = True) -> DataFrame:
     """Points inside any box of ``mask``, or with ``keep`` false those outside all of them."""
     p, m = with_point_cells(points, cell), with_box_cells(mask.select("xmin", "ymin", "xmax", "ymax"), cell).withColumnsRenamed({"cx": "mx", "cy": "my"})
@@ -163,7 +289,6 @@ def knn_weights(points: DataFrame, key: str, k: int, start_m: float) -> DataFram
     n = points.count()
     k = min(k, n - 1)
     other = points.withColumnRenamed(key, "j")
-    scale = _metres_a_degree(points.select("lat"), "lat")
     reach, rest, done = start_m, points, None
     while k > 0:
         pairs = within_distance(rest, other, reach, key, "j").where(F.col(key) != F.col("j"))
@@ -172,7 +297,7 @@ def knn_weights(points: DataFrame, key: str, k: int, start_m: float) -> DataFram
         part = enough.join(full, key, "left_semi")
         done = part if done is None else done.unionByName(part)
         rest = durable(rest.join(full, key, "left_anti"))
-        if reach * 2 > scale * 360 or rest.limit(1).count() == 0:
+        if reach >= ROUND_M / 2 or rest.limit(1).count() == 0:
             break
         reach *= 2
     if done is None:
@@ -197,3 +322,70 @@ def idw(targets: DataFrame, samples: DataFrame, target_id: str, sample_id: str,
     far = F.col("distance_m") > 0
     mean = F.sum(F.when(far, w * F.col(value))) / F.sum(F.when(far, w))
     return near.groupBy(target_id).agg(F.coalesce(F.avg(F.when(~far, F.col(value))), mean).alias("estimate"))
+
+
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of weight times the lesser distance for each pair of sites of a unit (i, j, split): sites come first (side 0 and 1), demand streams by."""
+    unit, sites, total, held = None, None, None, {0: [], 1: []}
+    names = ["site_a", "site_b", "cost"]
+
+    def distances(lon: np.ndarray, lat: np.ndarray, side: np.ndarray) -> np.ndarray:
+        dlat, dlon = np.radians(side[:, 2] - lat[:, None]) / 2, np.radians(side[:, 1] - lon[:, None]) / 2
+        a = np.sin(dlat) ** 2 + np.cos(np.radians(lat))[:, None] * np.cos(np.radians(side[:, 2])) * np.sin(dlon) ** 2
+        return np.round(np.arcsin(np.sqrt(np.minimum(1.0, a))) * (2 * geo.EARTH_M), 3)
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if total is not None:
+            a, b = np.meshgrid(sites[0][:, 0], sites[1][:, 0], indexing="ij")
+            keep = a < b
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep].astype(np.int64)), pa.array(b[keep].astype(np.int64)), pa.array(total[keep])], names)
+
+    for batch in batches:
+        rows = batch.to_pandas()
+        for here, part in rows.groupby(["i", "j", "split"], sort=False):
+            if here != unit:
+                yield from done()
+                unit, sites, total, held = here, None, None, {0: [], 1: []}
+            for side in (0, 1):
+                if len(own := part[part["side"] == side]):
+                    held[side].append(own[["id", "lon", "lat"]].to_numpy(float))
+            demand = part[part["side"] == 2]
+            if len(demand):
+                if sites is None:
+                    sites = {s: np.concatenate(h) if h else np.empty((0, 3)) for s, h in held.items()}
+                    total = np.zeros((len(sites[0]), len(sites[1])))
+                lon, lat, w = (demand[c].to_numpy(float) for c in ("lon", "lat", "weight"))
+                near, far = distances(lon, lat, sites[0]), distances(lon, lat, sites[1])
+                for k in range(len(sites[0])):
+                    total[k] += w @ np.minimum(near[:, k, None], far)
+    yield from done()
+
+
+def site_pair_costs(demand: DataFrame, sites: DataFrame, demand_weight: str, site_id: str, block: int = 256, splits: int = 8) -> DataFrame:
+    """(site_a, site_b, cost) for every pair of sites: the sum over all demand of weight times the distance to the nearer one, in metres to three digits.
+
+    Blocks of sites meet in pairs and every pair of blocks reads all demand, in ``splits`` tasks that each hold one matrix
+    of partial sums; what leaves a task is that matrix. Site ids are whole numbers below 2^53.
+    """
+    parts = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-sites.count() // block))
+    mine = F.pmod(F.xxhash64(site_id, F.lit("block")), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    split = F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split")
+    s = sites.select(F.col(site_id).cast("long").alias("id"), "lon", "lat", F.lit(0.0).alias("weight"), mine.alias("mine"))
+    a = s.select("*", F.explode(every).alias("o")).select(F.col("mine").alias("i"), F.col("o").alias("j"), F.lit(0).alias("side"), "id", "lon", "lat", "weight").select("*", split)
+    b = s.select("*", F.explode(every).alias("o")).select(F.col("o").alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side"), "id", "lon", "lat", "weight").select("*", split)
+    d = demand.select(F.lit(0).cast("long").alias("id"), "lon", "lat", F.col(demand_weight).cast("double").alias("weight"), F.pmod(F.xxhash64("lon", "lat", demand_weight), F.lit(splits)).cast("int").alias("split"))
+    d = d.select("*", F.explode(every).alias("i")).select("*", F.explode(every).alias("j"), F.lit(2).alias("side"))
+    rows = a.unionByName(b).unionByName(d.select(a.columns)).repartition(parts, "i", "j", "split").sortWithinPartitions("i", "j", "split", "side")
+    found = rows.mapInArrow(_pair_sums, "site_a long, site_b long, cost double")
+    return found.groupBy("site_a", "site_b").agg(F.sum("cost").alias("cost"))
+
+
+def distance_matrix(demand: DataFrame, sites: DataFrame, demand_id: str, site_id: str, block: int = 4096) -> DataFrame:
+    """(demand_id, site_id, distance_m) for every demand and every site: the whole matrix is what is asked for, so blocks of both meet."""
+    blocks = max(1, -(-demand.count() // block))
+    mine = F.pmod(F.xxhash64(demand_id), F.lit(blocks)).cast("int")
+    a = demand.select(demand_id, F.col("lon").alias("lon_a"), F.col("lat").alias("lat_a"), mine.alias("part"))
+    b = sites.select(site_id, F.col("lon").alias("lon_b"), F.col("lat").alias("lat_b"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    return a.join(b, "part").select(demand_id, site_id, geo.haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")).alias("distance_m"))

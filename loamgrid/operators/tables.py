@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from loamgrid.functions import temporal
 
 MISSING = "(missing)"
 
 
-def predicate(column: Column, op: str, value=None) -> Column:
+def reads_as_number(df: DataFrame, column: str) -> bool:
+    """Whether any cell of a column reads as a number; a numeric column needs no look, another one is one aggregate row."""
+    if isinstance(df.schema[column].dataType, NumericType):
+        return True
+    return bool(df.agg(F.max(F.col(column).cast("string").try_cast("double").isNotNull())).first()[0])
+
+
+def select(df: DataFrame, column: str, op: str, value=None) -> DataFrame:
+    """Rows that pass a selection test, compared as numbers or as text for the whole column (see ``predicate``)."""
+    ordered = op in ("==", "!=", ">", ">=", "<", "<=")
+    return df.where(predicate(F.col(column), op, value, not ordered or reads_as_number(df, column)))
+
+
+def predicate(column: Column, op: str, value=None, numeric: bool = True) -> Column:
     """A selection test. ``!=`` and ``not_in`` keep nulls; the others never do.
 
-    Ordering and equality compare as numbers where the value is one and the cell reads as one, else as text;
+    Ordering and equality compare as numbers where the value is one and the column holds any (``numeric``): cells of
+    it that are none then pass ``!=`` alone. In a column without numbers, and with other values, they compare as text;
     ``contains`` is a case-insensitive regular expression; ``between`` sorts its bounds and includes both.
     """
     if op in ("isnull", "notnull"):
@@ -28,10 +43,12 @@ def predicate(column: Column, op: str, value=None) -> Column:
     if op == "between":
         low, high = sorted(value)
         return F.coalesce(number.between(float(low), float(high)), F.lit(False))
-    try:
-        left, right = number, F.lit(float(value))
-    except (TypeError, ValueError):
-        left, right = text, F.lit(str(value))
+    left, right = text, F.lit(str(value))
+    if numeric:
+        try:
+            left, right = number, F.lit(float(value))
+        except (TypeError, ValueError):
+            pass
     if op == "!=":
         return ~F.coalesce(left.eqNullSafe(right), F.lit(False))
     test = {"==": left == right, ">": left > right, ">=": left >= right, "<": left < right, "<=": left <= right}[op]

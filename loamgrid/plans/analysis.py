@@ -42,6 +42,11 @@ def p01(spark, d):
     return A.lisa(_areas(spark, d), _weights(spark, d), "area_id", "x").select("area_id", F.round("local_i", 9).alias("local_i"), "quadrant")
 
 
+def p01_classes(spark, d):
+    out = A.lisa_classes(_areas(spark, d), _weights(spark, d), "area_id", "x", 199)
+    return out.select("area_id", "quadrant", F.round("p_sim", 9).alias("p_sim"), "class")
+
+
 def p02(spark, d):
     z = A.getis_star(_areas(spark, d), S.contiguity(V.area_rings(spark, d), "area_id"), "area_id", "x")
     band = F.when(F.col("z") >= 2.576, "hot 99").when(F.col("z") >= 1.96, "hot 95").when(F.col("z") <= -2.576, "cold 99").when(F.col("z") <= -1.96, "cold 95").otherwise("none")
@@ -57,7 +62,13 @@ def p03(spark, d):
 def p04(spark, d):
     a = _areas(spark, d).withColumn("x1", F.col("area_id") % 5 * 1.0).withColumn("x2", F.pow(F.col("area_id") % 7, F.lit(2.0)))
     out = A.spatial_diagnostics(a, _weights(spark, d), "area_id", "x", ["x1", "x2"])
-    return out.select(*[F.round(c, 6).alias(c) for c in ("r2", "jarque_bera", "lm_error", "lm_lag")], "verdict")
+    return out.select(*[F.round(c, 6).alias(c) for c in ("r2", "jarque_bera", "lm_error", "lm_lag", "robust_lm_error", "robust_lm_lag")], "verdict")
+
+
+def p04_residuals(spark, d):
+    a = _areas(spark, d).withColumn("x1", F.col("area_id") % 5 * 1.0).withColumn("x2", F.pow(F.col("area_id") % 7, F.lit(2.0)))
+    out = A.residual_table(a, _weights(spark, d), "area_id", "x", ["x1", "x2"])
+    return out.select("area_id", *[F.round(c, 6).alias(c) for c in ("fitted", "residual", "standardised", "lag_residual")])
 
 
 def p04_ols(spark, d):
@@ -205,19 +216,17 @@ def a33(spark, d):
 
 
 def c09(spark, d):
-    """Whether every region of areas is one connected piece."""
+    """Groupings of the areas held against what a regionalisation has to be: five regions, each in one piece."""
+    boxes = V.area_boxes(spark, d)
+    areas = boxes.select("area_id", F.floor(F.col("area_id") / 5).alias("rows"), (F.col("area_id") % 5).alias("columns"), F.when(F.col("area_id") != 7, F.col("area_id") % 5).alias("with_a_gap"), (F.col("area_id") % 2).alias("two"), F.when(F.col("area_id").isin(0, 24), 0).otherwise(1 + F.col("area_id") % 4).alias("scattered"))
     pairs = S.contiguity(V.area_rings(spark, d), "area_id")
-    region = V.area_boxes(spark, d).select("area_id", F.floor(F.col("area_id") / 5).alias("r"))
-    same = pairs.join(region.select(F.col("area_id").alias("i"), F.col("r").alias("ri")), "i").join(region.select(F.col("area_id").alias("j"), F.col("r").alias("rj")), "j").where("ri = rj")
-    comp = connected_components(same, "i", "j")
-    pieces = region.join(comp, F.col("area_id") == F.col("node"), "left").groupBy("r").agg(F.count_distinct(F.coalesce("component", "area_id")).alias("pieces"))
-    return pieces.agg(F.count("*").alias("regions"), F.bool_and(F.col("pieces") == 1).alias("connected"))
+    return G.region_check(areas, pairs, "area_id", ["rows", "columns", "with_a_gap", "two", "scattered"], 25, 5)
 
 
 QUERIES = {
     "a15_zonal_stats": a15, "a16_weights_diagnostics": a16, "a17_global_statistics": a17, "a18_permutation_p": a18, "a33_community_profiles": a33, "a39_ndvi_change": a39, "a40_suitability": a40, "a41_inundation": a41, "a43_segment_share": a43,
     "c01_connected_parts": c01, "c02_within_hops": c02, "c03_upstream": c03, "c04_cheapest_paths": c04, "c05_label_communities": c05, "c09_region_check": c09, "g08_slope_aspect_shade": g08, "j14_knn_graph": j14, "j15_collection_pairs": j15,
-    "j16_curated_pairs": j16, "p01_lisa": p01, "p02_getis_star": p02, "p03_moran_scatter": p03, "p04_spatial_diagnostics": p04, "p04_ols": p04_ols, "p05_dbscan": p05, "p09_zone_pooling": p09, "u02_fuse_layers": u02, "u05_jaccard_match": u05,
+    "j16_curated_pairs": j16, "p01_lisa": p01, "p01_lisa_classes": p01_classes, "p02_getis_star": p02, "p03_moran_scatter": p03, "p04_spatial_diagnostics": p04, "p04_residual_table": p04_residuals, "p04_ols": p04_ols, "p05_dbscan": p05, "p09_zone_pooling": p09, "u02_fuse_layers": u02, "u05_jaccard_match": u05,
 }
 
 _AREAS = f"v AS (SELECT a.area_id AS k, count(p.event_id)::DOUBLE AS x FROM area_boxes a LEFT JOIN event_points p ON {Q.INSIDE} GROUP BY 1), z AS (SELECT k, x, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z FROM v)"
@@ -235,6 +244,39 @@ _J16 = "cur AS (SELECT DISTINCT least(s_suppkey, d) AS src, greatest(s_suppkey,
 _COS = "list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)))"
 _GRAD = "g AS (SELECT prow, pcol, value, CASE WHEN lag(pcol) OVER r = pcol - 1 THEN lag(value) OVER r END AS l, CASE WHEN lead(pcol) OVER r = pcol + 1 THEN lead(value) OVER r END AS t, CASE WHEN lag(prow) OVER c = prow - 1 THEN lag(value) OVER c END AS u, CASE WHEN lead(prow) OVER c = prow + 1 THEN lead(value) OVER c END AS b FROM pixels WINDOW r AS (PARTITION BY prow ORDER BY pcol), c AS (PARTITION BY pcol ORDER BY prow)), h AS (SELECT prow, pcol, coalesce((t - l) / 60.0::DOUBLE, (t - value) / 30.0::DOUBLE, (value - l) / 30.0::DOUBLE) AS dx, coalesce((b - u) / 60.0::DOUBLE, (b - value) / 30.0::DOUBLE, (value - u) / 30.0::DOUBLE) AS dy FROM g), k AS (SELECT *, CASE WHEN dx <> 0 OR dy <> 0 THEN fmod(degrees(atan2(-dx, dy)) + 360, 360.0::DOUBLE) END AS aspect, atan(sqrt(dx * dx + dy * dy)) AS s FROM h)"
 
+# rows and neighbours as in _stats; numbers 0 to 24 are the areas' ranks, which are their ids
+_P01_CLASSES = """, d AS MATERIALIZED (SELECT rep, s, ('0x' || substr(md5(rep || ':' || s), 1, 8))::BIGINT % 25 AS spot FROM range(199) a(rep), range(400) b(s)),
+u AS (SELECT rep, spot, row_number() OVER (PARTITION BY rep ORDER BY min(s)) AS pos FROM d GROUP BY rep, spot),
+deg AS (SELECT i, count(*) AS k FROM w GROUP BY i),
+q AS (SELECT deg.i, deg.k, u.rep, z.z, row_number() OVER (PARTITION BY deg.i, u.rep ORDER BY u.pos) AS n FROM deg JOIN u ON u.spot <> deg.i JOIN z ON z.k = u.spot),
+m AS (SELECT i, rep, sum(z) / any_value(k) AS lag FROM q WHERE n <= k GROUP BY 1, 2),
+l AS (SELECT m.i, count(*) FILTER (g.z * m.lag >= g.z * g.lag - 1e-9) AS larger FROM m JOIN g ON g.k = m.i GROUP BY 1),
+p AS (SELECT i, (least(larger, 199 - larger) + 1) / 200.0::DOUBLE AS p_sim FROM l),
+c AS (SELECT k, CASE WHEN z >= 0 AND lag >= 0 THEN 'HH' WHEN z < 0 AND lag >= 0 THEN 'LH' WHEN z < 0 THEN 'LL' ELSE 'HL' END AS quadrant FROM g)
+SELECT k AS area_id, quadrant, round(p_sim, 9) AS p_sim, CASE WHEN p_sim < 0.05 THEN quadrant ELSE 'not significant' END AS class FROM c JOIN p ON p.i = k"""
+# least squares of x on two columns by centred moments, the lags, and the sums that the tests need
+_P04 = """, r AS MATERIALIZED (SELECT k, x AS y, (k % 5)::DOUBLE AS x1, ((k % 7) * (k % 7))::DOUBLE AS x2 FROM v),
+a0 AS (SELECT avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v11, var_pop(x2) AS v22, covar_pop(x1, x2) AS v12, covar_pop(x1, y) AS v1y, covar_pop(x2, y) AS v2y, var_pop(y) AS vyy FROM r),
+a1 AS (SELECT *, (v1y * v22 - v2y * v12) / (v11 * v22 - v12 * v12) AS b1, (v2y * v11 - v1y * v12) / (v11 * v22 - v12 * v12) AS b2 FROM a0),
+b AS MATERIALIZED (SELECT r.*, my + b1 * (x1 - m1) + b2 * (x2 - m2) AS f, y - my - b1 * (x1 - m1) - b2 * (x2 - m2) AS e FROM r, a1),
+c AS MATERIALIZED (SELECT b.k, any_value(b.y) AS y, any_value(b.x1) AS x1, any_value(b.x2) AS x2, any_value(b.f) AS f, any_value(b.e) AS e, coalesce(sum(w.w * o.e), 0) AS le, coalesce(sum(w.w * o.y), 0) AS ly, coalesce(sum(w.w * o.f), 0) AS lf FROM b LEFT JOIN w ON w.i = b.k LEFT JOIN b o ON o.k = w.j GROUP BY b.k),
+t AS (SELECT count(*)::DOUBLE AS n, sum(e * e) / count(*) AS s2, sum(e * le) AS ewe, sum(e * ly) AS ewy, sum(e ^ 3) AS e3, sum(e ^ 4) AS e4, var_pop(lf) AS vff, covar_pop(x1, lf) AS v1f, covar_pop(x2, lf) AS v2f FROM c)"""
+_P04_TESTS = """, tr AS (SELECT sum(p.w * p.w) + sum(p.w * coalesce(q.w, 0)) AS tr FROM w p LEFT JOIN w q ON q.i = p.j AND q.j = p.i),
+jj AS (SELECT t.*, a1.*, tr, n * (vff - (v1f * v1f * v22 - 2 * v1f * v2f * v12 + v2f * v2f * v11) / (v11 * v22 - v12 * v12)) / s2 + tr AS j, ewe / s2 AS de, ewy / s2 AS dl FROM t, a1, tr),
+lm AS (SELECT 1 - s2 / vyy AS r2, n / 6 * ((e3 / n / s2 ^ 1.5) ^ 2 + (e4 / n / s2 ^ 2 - 3) ^ 2 / 4) AS jb, de * de / tr AS lme, dl * dl / j AS lml, (de - tr / j * dl) ^ 2 / (tr * (1 - tr / j)) AS rle, (dl - de) ^ 2 / (j - tr) AS rll, 3.841458820694124::DOUBLE AS sig FROM jj)
+SELECT round(r2, 6) AS r2, round(jb, 6) AS jarque_bera, round(lme, 6) AS lm_error, round(lml, 6) AS lm_lag, round(rle, 6) AS robust_lm_error, round(rll, 6) AS robust_lm_lag,
+CASE WHEN greatest(lme, lml) < sig THEN 'ols' WHEN least(lme, lml) < sig THEN CASE WHEN lml >= sig THEN 'lag' ELSE 'error' END WHEN (rll >= sig) <> (rle >= sig) THEN CASE WHEN rll >= sig THEN 'lag' ELSE 'error' END WHEN rll >= rle THEN 'lag' ELSE 'error' END AS verdict FROM lm"""
+
+# areas touch where they share a corner; a region is in one piece where its areas reach one another inside it
+_C09 = """, v AS (SELECT area_id, unnest([{'x': round(xmin, 9), 'y': round(ymin, 9)}, {'x': round(xmax, 9), 'y': round(ymin, 9)}, {'x': round(xmax, 9), 'y': round(ymax, 9)}, {'x': round(xmin, 9), 'y': round(ymax, 9)}]) AS p FROM area_boxes),
+q AS (SELECT DISTINCT a.area_id AS i, b.area_id AS j FROM v a JOIN v b ON a.p = b.p AND a.area_id <> b.area_id),
+l AS (SELECT area_id, 'rows' AS name, area_id // 5 AS r FROM area_boxes UNION ALL SELECT area_id, 'columns', area_id % 5 FROM area_boxes UNION ALL SELECT area_id, 'with_a_gap', CASE WHEN area_id <> 7 THEN area_id % 5 END FROM area_boxes
+UNION ALL SELECT area_id, 'two', area_id % 2 FROM area_boxes UNION ALL SELECT area_id, 'scattered', CASE WHEN area_id IN (0, 24) THEN 0 ELSE 1 + area_id % 4 END FROM area_boxes),
+t(name, r, start, spot) AS (SELECT name, r, area_id, area_id FROM l WHERE r IS NOT NULL UNION SELECT t.name, t.r, t.start, q.j FROM t JOIN q ON q.i = t.spot JOIN l ON l.area_id = q.j AND l.name = t.name AND l.r = t.r),
+pieces AS (SELECT name, r, count(DISTINCT first) AS k FROM (SELECT name, r, start, min(spot) AS first FROM t GROUP BY 1, 2, 3) GROUP BY 1, 2),
+s AS (SELECT name, count(*) AS areas, count(*) FILTER (r IS NULL) AS without, count(DISTINCT r) AS regions FROM l GROUP BY 1)
+SELECT s.name AS label, areas, without, regions, (SELECT count(*) FROM pieces p WHERE p.name = s.name AND k > 1) AS split, areas = 25 AND without = 0 AND regions = 5 AND NOT EXISTS (SELECT 1 FROM pieces p WHERE p.name = s.name AND k > 1) AS matched FROM s"""
+
 SQL = {
     "a15_zonal_stats": V.sql_with("pixels", body=", p AS (SELECT prow // 20 * 5 + pcol // 20 AS zone, CASE WHEN prow % 9 <> 0 THEN value END AS v FROM pixels) SELECT zone, count(*) AS pixels, round(count(v) / count(*), 4) AS coverage, round(avg(v), 4) AS mean, round(min(v), 4) AS min, round(max(v), 4) AS max, round(max(v) - min(v), 4) AS relief, round(stddev_pop(v), 4) AS std FROM p GROUP BY 1"),
     "a16_weights_diagnostics": V.sql_with("site_points", body=f", m AS (SELECT p.site_id AS i, {Q.metres_sql('p', 's')} AS m FROM site_points p JOIN site_points s ON p.site_id <> s.site_id), k AS (SELECT i, count(*) FILTER (m <= 6000) AS k FROM m GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (k = 0) AS islands, min(k) AS least, max(k) AS most, round(avg(k), 6) AS mean, median(k) AS median, round(sum(k) * 100 / (count(*) * count(*))::DOUBLE, 6) AS percent_nonzero FROM k"),
@@ -248,12 +290,15 @@ SQL = {
     "c02_within_hops": f"WITH RECURSIVE {_EDGES}, r(start, node, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey % 25 = 0 UNION SELECT r.start, b.dst, r.depth + 1 FROM r JOIN b ON b.src = r.node WHERE r.depth < 2) SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2",
     "c03_upstream": "WITH RECURSIVE r(start, node, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey % 3000 = 1 UNION SELECT start, node // 2, depth + 1 FROM r WHERE node > 0) SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2",
     "c04_cheapest_paths": f"WITH RECURSIVE {_EDGES}, r(start, node, cost) AS (SELECT s_suppkey, s_suppkey, 0.0::DOUBLE FROM supplier WHERE s_suppkey % 50 = 0 UNION SELECT r.start, b.dst, round(r.cost + 3.0::DOUBLE / b.weight, 9) FROM r JOIN b ON b.src = r.node WHERE r.cost + 3.0::DOUBLE / b.weight <= 4.5) SELECT start, node, round(min(cost), 6) AS cost FROM r GROUP BY 1, 2",
-    "c09_region_check": "SELECT 5::BIGINT AS regions, count(*) = 25 AS connected FROM nation",
+    "c09_region_check": V.sql_with("area_boxes", body=_C09).replace("WITH ", "WITH RECURSIVE ", 1),
     "g08_slope_aspect_shade": V.sql_with("pixels", body=f", {_GRAD} SELECT prow, pcol, round(dx, 6) AS dx, round(dy, 6) AS dy, round(degrees(s), 4) AS slope, round(aspect, 3) AS aspect, round(greatest(0, (sin(radians(45.0::DOUBLE)) * cos(s) + cos(radians(45.0::DOUBLE)) * sin(s) * cos(radians(315.0::DOUBLE) - radians(coalesce(aspect, 0)))) * 255), 2) AS shade FROM k"),
     "j14_knn_graph": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS q, b.vec_id AS v, round({_COS}, 9) AS c FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), k AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY q ORDER BY c DESC, v) <= 5) SELECT least(q, v) AS src, greatest(q, v) AS dst, round(greatest(max(c), 0) * 0.5::DOUBLE * CASE WHEN count(*) = 2 THEN 1.0 ELSE 0.6 END, 6) AS weight FROM k GROUP BY 1, 2",
     "j15_collection_pairs": f"WITH {_J15} SELECT * FROM clique",
     "j16_curated_pairs": f"WITH {_J16} SELECT * FROM cur",
     "p01_lisa": _stats("SELECT k AS area_id, round(z * lag, 9) AS local_i, CASE WHEN z >= 0 AND lag >= 0 THEN 'HH' WHEN z < 0 AND lag >= 0 THEN 'LH' WHEN z < 0 THEN 'LL' ELSE 'HL' END AS quadrant FROM g"),
+    "p01_lisa_classes": _stats(_P01_CLASSES),
+    "p04_spatial_diagnostics": _stats(_P04 + _P04_TESTS),
+    "p04_residual_table": _stats(_P04 + " SELECT c.k AS area_id, round(f, 6) AS fitted, round(e, 6) AS residual, round(e / sqrt(s2), 6) AS standardised, round(le, 6) AS lag_residual FROM c, t"),
     "p02_getis_star": _stats(", s AS (SELECT i, j FROM n UNION ALL SELECT k, k FROM v), t AS (SELECT s.i, sum(v.x) AS wx, count(*)::DOUBLE AS w FROM s JOIN v ON v.k = s.j GROUP BY 1), m AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mean, stddev_pop(x) AS sd FROM v), q AS (SELECT i AS area_id, (wx - mean * w) / (sd * sqrt((n * w - w * w) / (n - 1))) AS z FROM t, m) SELECT area_id, round(z, 9) AS z, CASE WHEN z >= 2.576 THEN 'hot 99' WHEN z >= 1.96 THEN 'hot 95' WHEN z <= -2.576 THEN 'cold 99' WHEN z <= -1.96 THEN 'cold 95' ELSE 'none' END AS band FROM q"),
     "p03_moran_scatter": _stats("SELECT round(regr_slope(lag, z), 9) AS slope, count(*) FILTER (z >= 0 AND lag >= 0) AS hh, count(*) FILTER (z < 0 AND lag >= 0) AS lh, count(*) FILTER (z < 0 AND lag < 0) AS ll, count(*) FILTER (z >= 0 AND lag < 0) AS hl FROM g"),
     "p05_dbscan": V.sql_with("demand_points", body=f", n AS (SELECT p.demand_id AS i, s.demand_id AS j FROM demand_points p, demand_points s WHERE {Q.metres_sql('p', 's')} <= 1500), core AS (SELECT i FROM n GROUP BY 1 HAVING count(*) >= 5), l AS (SELECT i, j FROM n WHERE i IN (FROM core) AND j IN (FROM core)), r(node, c) AS (SELECT i, i FROM core UNION SELECT r.node, l.j FROM r JOIN l ON l.i = r.c), comp AS (SELECT node, min(c) AS c FROM r GROUP BY 1), edge AS (SELECT n.i, min(comp.c) AS c FROM n JOIN comp ON comp.node = n.j WHERE n.i NOT IN (FROM core) GROUP BY 1) SELECT demand_id, coalesce(comp.c, edge.c, -1) AS cluster FROM demand_points LEFT JOIN comp ON comp.node = demand_id LEFT JOIN edge ON edge.i = demand_id").replace("WITH ", "WITH RECURSIVE ", 1),

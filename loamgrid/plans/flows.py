@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import posixpath
+import struct
 import uuid
+from datetime import timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from loamgrid.functions import registered
 from loamgrid.operators import learning as L
 from loamgrid.plans import views as V
 from loamgrid.plans.durable import checkpoint_dir
+from loamgrid.plans.spatial import METRES_SQL
 from loamgrid.plans.views import read
 from loamgrid.sources import files as S
 from loamgrid.streaming import jobs as J
@@ -106,12 +111,70 @@ def s06(spark, d):
     return pages.unionByName(numbers).unionByName(images).groupBy(kind.alias("kind"), family.alias("family")).agg(F.count("*").alias("n"))
 
 
-def s07(spark, d):
-    """The headers of a layer's CSV files, one of each zone."""
+def _packed_headers(batches):
+    """LAS, SHP, DBF and TIFF files with the count and bounds of each row (zone, n, xmin, ymin, xmax, ymax)."""
+    for b in batches:
+        rows = []
+        for zone, n, xmin, ymin, xmax, ymax in zip(*(b.column(c).to_pylist() for c in ("zone", "n", "xmin", "ymin", "xmax", "ymax")), strict=True):
+            las = bytearray(375)
+            las[:4], las[25] = b"LASF", 4 if zone % 2 else 2
+            struct.pack_into("<I", las, 107, 0 if zone % 2 else n)
+            struct.pack_into("<4d", las, 179, xmax, xmin, ymax, ymin)
+            struct.pack_into("<Q", las, 247, n)
+            shp = bytearray(100)
+            struct.pack_into(">I", shp, 0, 9994)
+            struct.pack_into("<4d", shp, 36, xmin, ymin, xmax, ymax)
+            dbf = struct.pack("<B3xIHH20x", 3, n, 32 + 2 * 32 + 1, 40) + b"site_id".ljust(32, b"\0") + b"balance".ljust(32, b"\0") + b"\r"
+            e, at = "<" if zone % 3 else ">", 70_000 if zone % 2 else 8  # half of the directories lie beyond the bytes that are read first
+            tiff = (b"II*\0" if zone % 3 else b"MM\0*") + struct.pack(e + "I", at) + bytes(at - 8) + struct.pack(e + "H", 4)
+            for tag, kind, count, value in ((256, 3, 1, None), (257, 4, 1, zone + 1), (33550, 12, 3, at + 60), (33922, 12, 6, at + 84)):
+                tiff += struct.pack(e + "HHI", tag, kind, count) + (struct.pack(e + "HH", n, 0) if value is None else struct.pack(e + "I", value))
+            tiff += bytes(at + 60 - len(tiff)) + struct.pack(e + "9d", 0.01, 0.01, 0, 0, 0, 0, xmin, ymax, 0)
+            rows += [(f"zone={zone}/site.{k}", bytes(c)) for k, c in (("las", las), ("shp", shp), ("dbf", dbf), ("tif", tiff))]
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], ["path", "content"])
+
+
+def _header_files(spark, d):
+    """A layer's zones as CSV files that were landed, and as files of four more kinds with the same counts and bounds."""
     path = _folder(spark, "headers")
-    V.site_points(spark, d).withColumn("zone", F.col("site_id") % 4).repartition("zone").write.partitionBy("zone").csv(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path)
-    return S.header_catalog(files).groupBy("kind").agg(F.sum("n").alias("n"))
+    sites = V.site_points(spark, d).withColumn("zone", F.col("site_id") % 8)
+    sites.repartition("zone").write.partitionBy("zone").csv(path)
+    landed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path).select("path", "content")
+    bounds = sites.groupBy("zone").agg(F.count("*").alias("n"), *[f(c).alias(n) for n, f, c in (("xmin", F.min, "lon"), ("ymin", F.min, "lat"), ("xmax", F.max, "lon"), ("ymax", F.max, "lat"))])
+    return landed.unionByName(bounds.mapInArrow(_packed_headers, "path string, content binary"))
+
+
+def _by_zone(catalog):
+    zone = F.regexp_extract("path", r"zone=(\d+)", 1).cast("long").alias("zone")
+    box = [F.round(F.max(c), 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    names = F.when(F.col("kind") == "dbf", F.array_join("fields", ","))
+    return catalog.groupBy("kind", zone).agg(F.sum("n").alias("n"), *box, F.max("width").alias("width"), F.max("height").alias("height"), F.max(names).alias("fields"))
+
+
+def s07(spark, d):
+    """The headers of files of five kinds, one of each zone."""
+    return _by_zone(S.header_catalog(_header_files(spark, d)))
+
+
+def s07_sql(spark, d):
+    """The same by the table function that SQL knows by name."""
+    registered.register(spark)
+    _header_files(spark, d).createOrReplaceTempView("loamgrid_files")
+    return _by_zone(spark.sql("SELECT f.path, h.* FROM loamgrid_files AS f, LATERAL file_header(f.path, f.content) AS h"))
+
+
+def f_registered(spark, d):
+    """Landed map elements by a table function, distances by a SQL function, and an aggregate of one's own, all in one SQL text."""
+    registered.register(spark)
+    V.site_points(spark, d).createOrReplaceTempView("loamgrid_sites")
+    return spark.sql("""
+        WITH e AS (SELECT site_id, balance, lon, lat, to_json(named_struct('type', if(site_id % 3 = 0, 'node', 'way'), 'id', site_id, 'lon', lon, 'lat', lat, 'tags', map('building', 'yes'),
+            'geometry', array(named_struct('lon', lon, 'lat', lat), named_struct('lon', lon + 1, 'lat', lat), named_struct('lon', lon, 'lat', lat + 1), named_struct('lon', lon, 'lat', if(site_id % 3 = 1, lat, lat + 2))))) AS element FROM loamgrid_sites),
+        f AS (SELECT e.*, f.kind, f.n_points FROM e, LATERAL osm_feature(e.element) AS f),
+        m AS (SELECT kind, round(weighted_median(CAST(balance AS DOUBLE), abs(CAST(balance AS DOUBLE))), 2) AS middle FROM f GROUP BY kind)
+        SELECT f.kind, count(*) AS n, sum(f.n_points) AS points, round(sum(haversine_m(f.lon, f.lat, -87.5D, 41.5D)), 1) AS metres, any_value(m.middle) AS middle,
+            count_if(in_box(f.lon, f.lat, -88.0D, 41.0D, -87.5D, 41.5D)) AS inside, round(sum(as_number(concat('1,', lpad(cast(f.site_id % 1000 AS STRING), 3, '0'))))) AS numbers
+        FROM f JOIN m ON m.kind = f.kind GROUP BY f.kind""")
 
 
 def s09(spark, d):
@@ -166,19 +229,40 @@ def x03(spark, d):
 
 
 def x04(spark, d):
-    out = J.drain(J.session_ring(J.stream_of(spark, f"{d}/conversations.parquet"), "conv_id", "turn", 3), "update")
+    """Turns land in three files, the second with turns of all conversations that the first left out, the third with repeats."""
+    landing, turns = _folder(spark, "turns"), read(spark, d, "conversations").select("conv_id", "turn")
+    late = (F.col("conv_id") + F.col("turn")) % 3 == 0
+    for wave in (turns.where(~late), turns.where(late), turns.where("conv_id % 4 = 0")):
+        wave.coalesce(1).write.mode("append").parquet(landing)
+    out = J.drain(J.session_ring(J.stream_of(spark, f"{landing}/*.parquet", 1), "conv_id", "turn", 3), "update")
     last = out.groupBy("conv_id").agg(F.max_by(F.struct("turns", "seen"), "__batch").alias("v"))
     return last.select("conv_id", F.array_join(F.transform("v.turns", lambda t: t.cast("string")), ",").alias("turns"), "v.seen")
 
 
 def x05(spark, d):
-    e = _events(spark, d).withColumns({"digest": F.concat_ws("|", "event_type", "props"), "change": F.col("event_type") == "purchase"})
-    return J.drain(J.repeat_detector(e, "user_id", "event_id", "digest", "change"), "append").select("user_id", "event_id", "repeated")
+    """Events land in order of time, but a tenth of them a file later than they should; a last file tells that no more will come."""
+    landing = _folder(spark, "calls")
+    e = read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.concat_ws("|", "event_type", "props").alias("digest"), (F.col("event_type") == "purchase").alias("change"))
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    wave = F.least(F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lit(first))) * 3 / (F.unix_seconds(F.lit(last)) - F.unix_seconds(F.lit(first)) + 1)) + (F.col("event_id") % 10 == 0).cast("int"), F.lit(2))
+    end = e.limit(1).select("user_id", F.lit(last + timedelta(days=60)).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit("").alias("digest"), F.lit(False).alias("change"))
+    for part in (*(e.where(wave == k) for k in range(3)), end):
+        part.coalesce(1).write.mode("append").parquet(landing)
+    days = (last - first).days // 3 + 2  # a call that comes a file late is still ahead of the watermark
+    out = J.drain(J.repeat_detector(J.stream_of(spark, f"{landing}/*.parquet", 1), "user_id", "ts", "event_id", "digest", "change", f"{days} days"), "append")
+    return out.where("event_id >= 0").select("user_id", "event_id", "repeated")
 
 
 def x06(spark, d):
-    pages = J.stream_of(spark, f"{d}/conversations.parquet").select("conv_id", "turn", F.md5(F.encode("text", "UTF-8")).alias("digest"))
-    out = J.ingest_changed(pages, _folder(spark, "store"), "turn", "conv_id", "digest")
+    """Conversations land in three waves: all, a third changed and shorter, a fifth as at first; then a seventh has vanished."""
+    landing, store = _folder(spark, "landing"), _folder(spark, "store")
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    third = turns.where("conv_id % 3 = 0 and turn > 0").withColumn("text", F.concat("text", F.lit("2")))
+    out = None
+    for k, wave in enumerate((turns, third, turns.where("conv_id % 5 = 0"))):
+        wave.select("conv_id", "turn", F.md5(F.encode("text", "UTF-8")).alias("digest")).write.mode("append").parquet(landing)
+        alive = turns.where("conv_id % 7 <> 0").select("conv_id") if k == 2 else None
+        out = J.ingest_changed(J.stream_of(spark, f"{landing}/*.parquet"), store, "conv_id", alive=alive)
     return out.select("conv_id", "turn", "digest")
 
 
@@ -189,11 +273,17 @@ def x07(spark, d):
 
 
 QUERIES = {
-    "g11_convex_hull": g11, "p06_look_alike_groups": p06, "p07_ridge_block_cv": p07, "p08_shared_pca": p08, "s01_csv_round_trip": s01, "s03_geojson_round_trip": s03, "s03_feature_collections": s03_collections, "s08_notebook_cells": s08, "s14_parquet_layer": s14, "s04_load_elements": s04, "s05_profile_layer": s05, "s06_sniff": s06, "s07_header_catalog": s07,
+    "g11_convex_hull": g11, "p06_look_alike_groups": p06, "p07_ridge_block_cv": p07, "p08_shared_pca": p08, "s01_csv_round_trip": s01, "s03_geojson_round_trip": s03, "s03_feature_collections": s03_collections, "s08_notebook_cells": s08, "s14_parquet_layer": s14, "s04_load_elements": s04, "s05_profile_layer": s05, "s06_sniff": s06, "s07_header_catalog": s07, "s07_header_table_function": s07_sql, "u_registered_functions": f_registered,
     "s09_normalise_catalog": s09, "s10_osm_features": s10, "s11_wkt_to_shape": s11, "s24_export_and_import": s24, "x01_stream_period_counts": x01, "x02_stream_usage": x02, "x03_stream_dedupe": x03, "x04_stream_session_ring": x04,
     "x05_stream_repeats": x05, "x06_stream_ingest": x06, "x07_stream_trace_summary": x07,
 }
 
+_S07 = """, z AS (SELECT site_id % 8 AS zone, count(*) AS n, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM site_points GROUP BY 1)
+SELECT kind, zone, CASE WHEN kind IN ('csv', 'las', 'dbf') THEN n END::BIGINT AS n, round(CASE WHEN kind IN ('las', 'shp', 'tiff') THEN x0 END, 6) AS xmin,
+round(CASE WHEN kind IN ('las', 'shp') THEN y0 WHEN kind = 'tiff' THEN y1 - (zone + 1) * 0.01::DOUBLE END, 6) AS ymin, round(CASE WHEN kind IN ('las', 'shp') THEN x1 WHEN kind = 'tiff' THEN x0 + n * 0.01::DOUBLE END, 6) AS xmax,
+round(CASE WHEN kind IN ('las', 'shp', 'tiff') THEN y1 END, 6) AS ymax, CASE WHEN kind = 'tiff' THEN n END::BIGINT AS width, CASE WHEN kind = 'tiff' THEN zone + 1 END::BIGINT AS height, CASE WHEN kind = 'dbf' THEN 'site_id,balance' END AS fields
+FROM z, (VALUES ('las'), ('shp'), ('dbf'), ('tiff'), ('csv')) k(kind)"""
+
 SQL = {
     "s01_csv_round_trip": V.sql_with("site_points", body=" SELECT site_id, round(lon, 6) AS lon, round(lat, 6) AS lat, balance FROM site_points"),
     "s03_geojson_round_trip": V.sql_with("site_points", body=" SELECT site_id, 'Point' AS kind, round(lon, 6) AS lon FROM site_points"),
@@ -203,7 +293,12 @@ SQL = {
     "s04_load_elements": "SELECT DISTINCT (p_partkey % 1500)::VARCHAR AS id FROM part WHERE p_partkey % 17 <> 0 AND (p_partkey % 1500) % 7 <> 0",
     "s05_profile_layer": V.sql_with("event_points", body=" SELECT count(*) AS features, round(min(lon), 6) AS xmin, round(min(lat), 6) AS ymin, round(max(lon), 6) AS xmax, round(max(lat), 6) AS ymax FROM event_points"),
     "s06_sniff": "SELECT 'html' AS kind, 'metadata' AS family, count(*) AS n FROM pages UNION ALL SELECT 'csv', 'tabular', count(*) FROM part UNION ALL SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'png' ELSE 'tiff' END, 'raster', count(*) FROM nation GROUP BY 1",
-    "s07_header_catalog": "SELECT 'csv' AS kind, count(*) AS n FROM supplier",
+    "s07_header_catalog": V.sql_with("site_points", body=_S07),
+    "s07_header_table_function": V.sql_with("site_points", body=_S07),
+    "u_registered_functions": V.sql_with("site_points", body=f""", s AS (SELECT *, {METRES_SQL.format(x1='lon', y1='lat', x2='-87.5::DOUBLE', y2='41.5::DOUBLE')} AS m, CASE site_id % 3 WHEN 0 THEN 'Point' WHEN 1 THEN 'Polygon' ELSE 'LineString' END AS kind FROM site_points),
+w AS (SELECT *, sum(abs(balance)) OVER (PARTITION BY kind ORDER BY balance ROWS UNBOUNDED PRECEDING) AS reached, sum(abs(balance)) OVER (PARTITION BY kind) AS total FROM s)
+SELECT kind, count(*) AS n, sum(CASE WHEN kind = 'Point' THEN 1 ELSE 4 END)::BIGINT AS points, round(sum(m), 1) AS metres, round(min(balance) FILTER (reached >= total / 2), 2) AS middle,
+count(*) FILTER (lon >= -88 AND lon < -87.5 AND lat >= 41 AND lat < 41.5) AS inside, round(sum(1000 + site_id % 1000))::DOUBLE AS numbers FROM w GROUP BY kind"""),
     "s09_normalise_catalog": "SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 2 = 0 THEN 'stac' ELSE 'ckan' END AS source, p_name AS title, p_type AS keywords, CASE WHEN p_partkey % 2 = 0 THEN -87.0::DOUBLE END AS xmax, '2020-01-01' AS start FROM part",
     "s10_osm_features": "SELECT CASE s_suppkey % 4 WHEN 0 THEN 'Point' WHEN 1 THEN 'Polygon' ELSE 'LineString' END AS kind, count(*) AS n, sum(CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 4 END)::BIGINT AS points FROM supplier WHERE s_suppkey % 4 <> 3 GROUP BY 1",
     "s11_wkt_to_shape": """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '{"type":"point","coordinates":[' || s_suppkey || '.0,4.5]}' WHEN 1 THEN '{"type":"envelope","coordinates":[[1.0,2.0],[' || s_suppkey || '.0,7.0]]}' END AS shape FROM supplier""",
@@ -211,8 +306,8 @@ SQL = {
     "x01_stream_period_counts": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY 1",
     "x02_stream_usage": "SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS turns, round(sum(value), 6) AS spent FROM events GROUP BY 1, 2",
     "x03_stream_dedupe": "SELECT event_id, event_type FROM events",
-    "x04_stream_session_ring": "WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n, count(*) OVER (PARTITION BY conv_id) AS seen FROM conversations) SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns, any_value(seen) AS seen FROM r WHERE n <= 3 GROUP BY 1",
-    "x05_stream_repeats": "WITH w AS (SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS world FROM events) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, world, event_type, props ORDER BY event_id) > 1 AS repeated FROM w",
-    "x06_stream_ingest": "SELECT conv_id, turn, md5(text) AS digest FROM conversations",
+    "x04_stream_session_ring": "WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n, count(*) OVER (PARTITION BY conv_id) * CASE WHEN conv_id % 4 = 0 THEN 2 ELSE 1 END AS seen FROM conversations) SELECT conv_id, string_agg(turn::VARCHAR, ',' ORDER BY turn) AS turns, any_value(seen) AS seen FROM r WHERE n <= 3 GROUP BY 1",
+    "x05_stream_repeats": "WITH w AS (SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS world FROM events) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, world, event_type, props ORDER BY ts, event_id) > 1 AS repeated FROM w",
+    "x06_stream_ingest": "WITH c AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) > 0 AS longer FROM conversations WHERE conv_id % 7 <> 0) SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 AND conv_id % 5 <> 0 AND longer THEN md5(text || '2') ELSE md5(text) END AS digest FROM c WHERE NOT (conv_id % 3 = 0 AND conv_id % 5 <> 0 AND longer AND turn = 0)",
     "x07_stream_trace_summary": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in ("error", "click", "view", "purchase", "signup")) + " FROM events GROUP BY 1",
 }

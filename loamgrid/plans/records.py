@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +15,9 @@ from loamgrid.operators import records as K
 from loamgrid.operators import spatial as S
 from loamgrid.plans import retrieval as Q
 from loamgrid.plans import views as V
+from loamgrid.plans.durable import checkpoint_dir
 from loamgrid.plans.views import read
+from loamgrid.sources.store import RecordStore, changed, fingerprints
 
 
 def d04(spark, d):
@@ -121,13 +126,30 @@ def t04(spark, d):
     return U.keyword_graph_rank(read(spark, d, "part"), "p_partkey", "p_name", "p_type", use, ["red", "ring", "promo"]).withColumn("score", F.round("score", 9))
 
 
+def _record_tables(spark, d, first_year):
+    """Eight tables of what belongs to each customer, from the orders since a year."""
+    c = read(spark, d, "customer").withColumnRenamed("c_custkey", "element_id")
+    o = read(spark, d, "orders").where(F.year("o_orderdate") >= first_year).withColumnRenamed("o_custkey", "element_id")
+    i = o.select("element_id", F.col("o_orderkey").alias("l_orderkey")).join(read(spark, d, "lineitem"), "l_orderkey")
+    counted = lambda rows, *by: rows.groupBy("element_id", *by).agg(F.count("*").alias("n"))
+    return {
+        "element": c.select("element_id", "c_name", "c_mktsegment"), "unit": i.select("element_id", "l_orderkey", "l_linenumber", "l_partkey"),
+        "block": counted(i, "l_returnflag"), "dataset_file": o.select("element_id", "o_orderkey", "o_totalprice"), "dataset_outcome": counted(o, "o_orderstatus"),
+        "publication": counted(o, F.year("o_orderdate").alias("year")), "spec_link": counted(i, "l_suppkey"), "ingest_run": counted(o),
+    }
+
+
 def s18(spark, d):
-    """Record tables and how many rows each has."""
-    out = None
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
-        one = read(spark, d, t).agg(F.lit(t).alias("table"), F.count("*").alias("n"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Eight record tables under one version: all written, a tenth of the elements replaced as units, some removed; both versions' counts."""
+    store = RecordStore(spark, posixpath.join(checkpoint_dir(spark), f"records-{uuid.uuid4().hex}"), "element_id")
+    tables = _record_tables(spark, d, 0)
+    first = store.replace(tables, fingerprints(tables, "element_id"))
+    later = {t: rows.where("element_id % 10 = 0") for t, rows in _record_tables(spark, d, 1995).items()}
+    store.replace(later, changed(store, fingerprints(later, "element_id")))
+    store.remove(read(spark, d, "customer").select(F.col("c_custkey").alias("element_id")).where("element_id % 97 = 5"))
+    store.compact()
+    both = store.counts(first["version"]).withColumn("at", F.lit("first")).unionByName(store.counts().withColumn("at", F.lit("last")))
+    return both.select("at", "table_name", "n_rows", "n_parents")
 
 
 def j09(spark, d):
@@ -228,6 +250,16 @@ _MERC = "6378137.0::DOUBLE * ln(tan(0.7853981633974483 + radians(lat) / 2))"
 _BACK = "round(degrees(2 * atan(exp(({y}) / 6378137.0::DOUBLE)) - 1.5707963267948966), 7)"
 _R05 = Q.SQL["r05_knn_search"]
 
+_S18_TABLES = {
+    "element": "SELECT c_custkey AS e FROM customer", "unit": "SELECT e FROM i", "block": "SELECT DISTINCT e, l_returnflag FROM i", "dataset_file": "SELECT e FROM o", "dataset_outcome": "SELECT DISTINCT e, o_orderstatus FROM o",
+    "publication": "SELECT DISTINCT e, y FROM o", "spec_link": "SELECT DISTINCT e, l_suppkey FROM i", "ingest_run": "SELECT DISTINCT e FROM o",
+}
+_S18 = " UNION ALL ".join(
+    f"SELECT * FROM (WITH o AS (SELECT *, o_custkey AS e, year(o_orderdate) AS y FROM orders WHERE {when}), i AS (SELECT e, lineitem.* FROM o JOIN lineitem ON l_orderkey = o_orderkey) SELECT '{at}' AS at, '{t}' AS table_name, count(*) AS n_rows, count(DISTINCT e) AS n_parents FROM ({body}) WHERE {alive})"
+    for at, when, alive in (("first", "true", "true"), ("last", "o_custkey % 10 <> 0 OR year(o_orderdate) >= 1995", "e % 97 <> 5"))
+    for t, body in _S18_TABLES.items()
+)
+
 SQL = {
     "a45_method_spec_merge": "WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Load  ' || upper(role) ELSE 'load ' || role END AS step FROM conversations), f AS (SELECT conv_id, lower(regexp_replace(step, '\\s+', ' ', 'g')) AS key, min(turn) AS turn, arg_min(step, turn) AS step FROM s GROUP BY 1, 2) SELECT conv_id, string_agg(step, '|' ORDER BY turn) AS steps FROM f GROUP BY 1",
     "a50_answer_diagnostics": "SELECT p_type, count(*) AS n, count(*) FILTER (p_partkey % 6 = 0) AS unnamed, count(*) FILTER (p_partkey % 6 <> 0) - count(DISTINCT p_name) FILTER (p_partkey % 6 <> 0) AS repeated FROM part GROUP BY 1",
@@ -254,7 +286,7 @@ SQL = {
     "m20_split_name": "SELECT p_partkey, split_part(p_name, ' ', 1) AS first, substr(p_name, length(split_part(p_name, ' ', 1)) + 2) AS last FROM part",
     "r02_weighted_fulltext": "WITH s AS (SELECT p_partkey, " + " + ".join(f"greatest(CASE WHEN regexp_matches(p_name, '(?i)(^|[^\\p{{L}}\\p{{N}}]){t}(s|es|ing|ed)?($|[^\\p{{L}}\\p{{N}}])') THEN 1.0 ELSE 0 END, CASE WHEN regexp_matches(p_type, '(?i)(^|[^\\p{{L}}\\p{{N}}]){t}(s|es|ing|ed)?($|[^\\p{{L}}\\p{{N}}])') THEN 0.5 ELSE 0 END)" for t in ("widget", "promo", "red")) + " AS score FROM part) SELECT p_partkey, score::DOUBLE AS score FROM s WHERE score > 0",
     "r06_all_arms": f"WITH k AS ({Q.SQL['r01_bm25_search']}), v AS ({_R05}), a AS (SELECT item_id, doc_id, 'keyword' AS arm, rank FROM k UNION ALL SELECT query_id // 20, vec_id, 'semantic', row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) FROM v) SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS fused, string_agg(arm, '+' ORDER BY arm) AS arms FROM a GROUP BY 1, 2",
-    "s18_record_tables": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in ("documents", "pages", "benchmark", "labels", "conversations")),
+    "s18_record_tables": _S18,
     "t02_by_popularity": "SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1 ORDER BY clicks DESC, user_id LIMIT 30",
     "t03_graph_score": "SELECT user_id, round(log10(count(*) FILTER (event_type = 'click') + 1) * 0.3::DOUBLE + count(DISTINCT event_type) * 0.05::DOUBLE, 9) AS score FROM events GROUP BY 1",
     "t04_keyword_graph_rank": "WITH h AS (SELECT p_partkey, contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT + contains(p_name, 'promo')::INT AS a, contains(lower(p_type), 'red')::INT + contains(lower(p_type), 'ring')::INT + contains(lower(p_type), 'promo')::INT AS b FROM part), u AS (SELECT l_partkey AS p_partkey, count(*) AS clicks, count(DISTINCT l_suppkey) AS degree FROM lineitem GROUP BY 1) SELECT p_partkey, round(a * 2 + b + log10(coalesce(clicks, 0) + 1) * 0.2::DOUBLE + coalesce(degree, 0) * 0.05::DOUBLE, 9) AS score FROM h LEFT JOIN u USING (p_partkey) WHERE a + b > 0",

@@ -9,6 +9,7 @@ from loamgrid.functions import text as X
 from loamgrid.operators import lookups as U
 from loamgrid.operators import retrieval as R
 from loamgrid.operators import tables as T
+from loamgrid.operators.fingerprints import corpus_fingerprint
 from loamgrid.plans.views import read
 
 
@@ -118,9 +119,7 @@ def a31(spark, d):
 
 
 def a32(spark, d):
-    """A digest of a corpus: hashes of rows are summed as numbers, so that nothing is gathered in one place."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("p_partkey").cast("string"), "p_name", "p_type"), 256), 1, 8), 16, 10).cast("bigint")
-    return read(spark, d, "part").agg(F.count("*").alias("n"), F.sum(h).alias("digest"))
+    return corpus_fingerprint(read(spark, d, "documents"), "doc_id", ["text", "lang", "source"])
 
 
 def f14(spark, d):
@@ -254,6 +253,10 @@ def _sum_hits(*words: str) -> str:
 
 _COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 
+_A32 = "WITH r AS (SELECT doc_id, sha256(concat_ws(chr(31), doc_id::VARCHAR, coalesce(text, chr(26)), coalesce(lang, chr(26)), coalesce(source, chr(26)))) AS h, substr(sha256(doc_id::VARCHAR), 1, 4) AS node FROM documents), n4 AS (SELECT node, sha256(string_agg(h, '' ORDER BY doc_id, h)) AS h FROM r GROUP BY 1)"
+_A32 += "".join(f", n{k} AS (SELECT substr(node, 1, {k}) AS up, sha256(string_agg(node || ':' || h, ',' ORDER BY node)) AS h FROM (SELECT {'node' if k == 3 else 'up AS node'}, h FROM n{k + 1}) GROUP BY 1)" for k in (3, 2, 1, 0))
+_A32 += " SELECT (SELECT count(*) FROM documents) AS n, h AS digest FROM n0"
+
 SQL = {
     "r01_bm25_search": _BM25 + " SELECT * FROM hits",
     "a26_retrieval_eval": _EVAL + " SELECT * FROM ev",
@@ -277,7 +280,7 @@ SELECT case_id, item, CASE WHEN c IS NOT NULL AND v IS NOT NULL THEN 'keyword+se
     "w13_runner_up_margin": "WITH c AS (SELECT user_id AS case_id, event_type AS arm, round(sum(value), 6) AS total FROM events GROUP BY 1, 2), w AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY total DESC, arm) AS n, lead(total) OVER (PARTITION BY case_id ORDER BY total DESC, arm) AS second FROM c) SELECT case_id, arm, total FROM w WHERE n = 1 AND coalesce(second <= total * 0.8::DOUBLE, true)",
     "a30_evidence_summary": f"WITH {_LISTS} SELECT case_id, arm, count(*) AS n, max(score) AS top FROM l GROUP BY 1, 2",
     "a31_term_coverage": "SELECT source, round(avg((contains(lower(substr(coalesce(text, ''), 1, 600)), 'ning') OR contains(lower(substr(coalesce(text, ''), 1, 600)), 'ción'))::INT), 2) AS coverage, count(*) AS n FROM documents GROUP BY 1",
-    "a32_corpus_fingerprint": "SELECT count(*) AS n, sum(('0x' || substr(sha256(concat_ws('|', p_partkey, p_name, p_type)), 1, 8))::BIGINT)::BIGINT AS digest FROM part",
+    "a32_corpus_fingerprint": _A32,
     "f14_relevance_gate": "SELECT p_partkey, p_name FROM part WHERE (SELECT count(*) FROM (VALUES ('red'), ('ring'), ('small')) t(t) WHERE regexp_matches(p_type, '(?i)(^|[^\\p{L}\\p{N}])' || t || '(s|es|ing|ed)?($|[^\\p{L}\\p{N}])')) >= 1 OR (SELECT count(*) FROM (VALUES ('red'), ('ring'), ('small')) t(t) WHERE regexp_matches(p_name, '(?i)(^|[^\\p{L}\\p{N}])' || t || '(s|es|ing|ed)?($|[^\\p{L}\\p{N}])')) >= 2",
     "f15_hit_filter": f"WITH {_LISTS}, e AS (SELECT *, max((score > 90)::INT) OVER (PARTITION BY case_id, arm) AS hit FROM l) SELECT case_id, arm, pos FROM e WHERE hit = 0 OR score > 90",
     "f16_domain_relevance": f"WITH s AS (SELECT doc_id, length(text) AS n, ({_sum_hits('ningthe', 'ciónque')}) * 3 + {_sum_hits('tion', 'ment', 'heit')} - ({_sum_hits('$$$', '!!')}) * 2 AS score FROM documents) SELECT doc_id, score, score >= 3 OR n < 120 AS admitted FROM s",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -121,6 +123,39 @@ def j25_difference(spark, d):
     return left.join(cut, "area_id", "left").select("area_id", F.round(own - F.coalesce("cut", F.lit(0.0)), 9).alias("left_over"))
 
 
+def _mixed_boxes(spark, d):
+    """Boxes, lines and points that lie to the areas in all ways: moved, shrunk, grown, equal, edges, crossing lines, corners and middles."""
+    a = V.area_boxes(spark, d)
+    w = F.lit(0.05)
+    x, y = (F.col("xmin") + F.col("xmax")) / 2, (F.col("ymin") + F.col("ymax")) / 2
+    forms = [
+        (F.col("xmin") + w, F.col("ymin") + w, F.col("xmax") + w, F.col("ymax") + w), (F.col("xmin") + w, F.col("ymin") + w, F.col("xmax") - w, F.col("ymax") - w), tuple(F.col(c) for c in S.CORNERS),
+        (F.col("xmin"), F.col("ymin"), F.col("xmin"), F.col("ymax")), (F.col("xmin") - w, y, F.col("xmin") + w, y), (F.col("xmin"), F.col("ymin"), F.col("xmin"), F.col("ymin")), (x, y, x, y), (F.col("xmin") + w, F.col("ymin"), F.col("xmax") - w, F.col("ymax")),
+    ]
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), *[v.alias(n) for v, n in zip(f, S.CORNERS, strict=True)]) for k, f in enumerate(forms)])).alias("f")
+    return a.select("area_id", each).select((F.col("area_id") * 10 + F.col("f.form")).alias("shape_id"), *[f"f.{n}" for n in S.CORNERS])
+
+
+def j02_predicates(spark, d):
+    """Every pair of shapes and areas under each predicate."""
+    left, right = _mixed_boxes(spark, d), V.area_boxes(spark, d)
+    each = [S.spatial_join(left, right, "shape_id", "area_id", CELL, p).select(F.lit(p).alias("predicate"), "shape_id", "area_id") for p in S.PREDICATES]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
+def j02_right(spark, d):
+    return S.spatial_join(_mixed_boxes(spark, d).where("shape_id % 10 = 1"), V.area_boxes(spark, d).withColumn("xmin", F.col("xmin") + F.when(F.col("area_id") % 3 == 0, 0.1).otherwise(0.0)), "shape_id", "area_id", CELL, "within", "right")
+
+
+def j25_modes(spark, d):
+    """Area of each pair's common piece and of what is left of each box, in all modes."""
+    left = V.area_boxes(spark, d)
+    right = left.where("area_id % 3 <> 0").select(F.col("area_id").alias("moved_id"), *[(F.col(c) + 0.07).alias(c) for c in S.CORNERS])
+    wide = left.where("area_id % 4 = 1").select((F.col("area_id") + 100).alias("moved_id"), F.col("xmin"), (F.col("ymin") + 0.1).alias("ymin"), (F.col("xmax") + 0.3).alias("xmax"), F.col("ymax"))
+    each = [S.overlay(left, right.unionByName(wide), "area_id", "moved_id", CELL, m).groupBy("area_id", "moved_id").agg(F.round(F.sum("area"), 9).alias("area")).where("area > 0").withColumn("mode", F.lit(m)) for m in S.OVERLAYS]
+    return reduce(lambda a, b: a.unionByName(b), each).select("mode", "area_id", "moved_id", "area")
+
+
 def j26(spark, d, keep=True):
     mask = V.area_boxes(spark, d).where("region = 1")
     return S.clip_points(V.event_points(spark, d), mask, CELL, keep).select("event_id", "event_type")
@@ -175,19 +210,14 @@ def a37(spark, d):
 
 
 def j22(spark, d):
-    """Every demand with every one of eight open sites: the site side is bounded by the filter."""
-    sites = V.site_points(spark, d).where("site_id < 8")
-    m = geo.haversine_m(F.col("d.lon"), F.col("d.lat"), F.col("s.lon"), F.col("s.lat"))
-    return V.demand_points(spark, d).alias("d").crossJoin(F.broadcast(sites.alias("s"))).select("demand_id", "site_id", F.round(m, 3).alias("distance_m"))
+    out = S.distance_matrix(V.demand_points(spark, d), V.site_points(spark, d), "demand_id", "site_id")
+    return out.withColumn("distance_m", F.round("distance_m", 3))
 
 
 def a38(spark, d):
-    """The pair of the first eight sites that serves all demand at the least weighted distance."""
-    m = j22(spark, d).join(V.demand_points(spark, d).select("demand_id", "weight"), "demand_id")
-    by_demand = m.groupBy("demand_id", "weight").agg(F.array_sort(F.collect_list(F.struct("site_id", "distance_m"))).alias("s"))
-    pairs = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b["site_id"] > a["site_id"]), lambda b: F.struct(a["site_id"].alias("site_a"), b["site_id"].alias("site_b"), F.least(a["distance_m"], b["distance_m"]).alias("m")))))
-    total = by_demand.select("weight", F.explode(pairs).alias("p")).groupBy("p.site_a", "p.site_b").agg(F.round(F.sum(F.col("weight") * F.col("p.m")), 0).alias("cost"))
-    return total.orderBy("cost", "site_a", "site_b").limit(1)
+    """The pair of all sites that serves all demand at the least weighted distance."""
+    total = S.site_pair_costs(V.demand_points(spark, d), V.site_points(spark, d), "weight", "site_id")
+    return total.withColumn("cost", F.round("cost", 0)).orderBy("cost", "site_a", "site_b").limit(1)
 
 
 def f13(spark, d):
@@ -222,8 +252,8 @@ def m19(spark, d):
 QUERIES = {
     "a01_count_points_in_areas": a01, "a02_area_statistics": a02, "a03_grid_square": a03, "a04_grid_hex": a04, "a13_compare_periods": a13, "a14_temporal_hotspots": a14, "a20_rate_per_population": a20,
     "a36_idw": a36, "a37_site_load": a37, "a38_p_median_pairs": a38, "f13_extent_relations": f13, "g01_projections": g01, "g03_ring_measures": g03, "j01_points_in_polygons": j01,
-    "j02_spatial_join_left": j02, "j04_nearest_join": j04, "j04_nearest_join_capped": j04_capped, "j05_within_distance": j05, "j06_space_time_join": j06, "j11_contiguity_queen": j11,
-    "j11_contiguity_rook": lambda s, d: j11(s, d, True), "j12_distance_band": j12, "j12_least_band": j12_least, "j13_knn_weights": j13, "j22_distance_matrix": j22, "j25_box_intersection": j25, "j25_box_difference": j25_difference,
+    "j02_spatial_join_left": j02, "j02_predicates": j02_predicates, "j02_spatial_join_right": j02_right, "j04_nearest_join": j04, "j04_nearest_join_capped": j04_capped, "j05_within_distance": j05, "j06_space_time_join": j06, "j11_contiguity_queen": j11,
+    "j11_contiguity_rook": lambda s, d: j11(s, d, True), "j12_distance_band": j12, "j12_least_band": j12_least, "j13_knn_weights": j13, "j22_distance_matrix": j22, "j25_box_intersection": j25, "j25_box_difference": j25_difference, "j25_overlay_modes": j25_modes,
     "j26_clip": j26, "j27_erase": lambda s, d: j26(s, d, False), "m19_dms_to_degrees": m19, "w18_emerging_and_cooling": w18,
 }
 
@@ -244,7 +274,34 @@ u4 AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS
 utm AS (SELECT 500000 + 0.9996::DOUBLE * big * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS east,
 0.9996::DOUBLE * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS north FROM u4)"""
 
+_MIXED = """, f AS (SELECT area_id, k, xmin, ymin, xmax, ymax, 0.05::DOUBLE AS w FROM area_boxes, range(8) t(k)),
+shapes AS (SELECT area_id * 10 + k AS shape_id,
+CASE WHEN k IN (0, 1, 7) THEN xmin + w WHEN k = 4 THEN xmin - w WHEN k = 6 THEN (xmin + xmax) / 2 ELSE xmin END AS x0,
+CASE WHEN k IN (0, 1) THEN ymin + w WHEN k IN (4, 6) THEN (ymin + ymax) / 2 ELSE ymin END AS y0,
+CASE WHEN k = 0 THEN xmax + w WHEN k IN (1, 7) THEN xmax - w WHEN k = 4 THEN xmin + w WHEN k = 6 THEN (xmin + xmax) / 2 WHEN k IN (3, 5) THEN xmin ELSE xmax END AS x1,
+CASE WHEN k = 0 THEN ymax + w WHEN k = 1 THEN ymax - w WHEN k IN (4, 6) THEN (ymin + ymax) / 2 WHEN k = 5 THEN ymin ELSE ymax END AS y1 FROM f)"""
+# nine numbers of the usual model are not needed for boxes: interiors meet, boundaries and containment decide
+_PREDICATES = _MIXED + """, m AS (SELECT shape_id, area_id, x0, y0, x1, y1, xmin, ymin, xmax, ymax, (x0 < x1)::INT + (y0 < y1)::INT AS dim,
+(CASE WHEN x0 = x1 THEN xmin < x0 AND x0 < xmax ELSE greatest(x0, xmin) < least(x1, xmax) END) AND (CASE WHEN y0 = y1 THEN ymin < y0 AND y0 < ymax ELSE greatest(y0, ymin) < least(y1, ymax) END) AS inner_meet,
+xmin <= x0 AND x1 <= xmax AND ymin <= y0 AND y1 <= ymax AS inside, x0 <= xmin AND xmax <= x1 AND y0 <= ymin AND ymax <= y1 AS outside,
+x0 < xmin AND xmax < x1 AND y0 < ymin AND ymax < y1 AS around FROM shapes, area_boxes WHERE greatest(x0, xmin) <= least(x1, xmax) AND greatest(y0, ymin) <= least(y1, ymax))
+SELECT predicate, shape_id, area_id FROM m, (VALUES ('intersects'), ('within'), ('contains'), ('covers'), ('covered_by'), ('touches'), ('crosses'), ('overlaps'), ('equals'), ('contains_properly')) p(predicate)
+WHERE CASE predicate WHEN 'intersects' THEN true WHEN 'within' THEN inside AND inner_meet WHEN 'contains' THEN outside AND inner_meet WHEN 'covers' THEN outside WHEN 'covered_by' THEN inside WHEN 'equals' THEN inside AND outside
+WHEN 'touches' THEN NOT inner_meet WHEN 'crosses' THEN dim = 1 AND inner_meet AND NOT inside WHEN 'overlaps' THEN dim = 2 AND inner_meet AND NOT inside AND NOT outside ELSE around END"""
+_RIGHTS = "r AS (SELECT area_id AS moved_id, xmin + 0.07::DOUBLE AS x0, ymin + 0.07::DOUBLE AS y0, xmax + 0.07::DOUBLE AS x1, ymax + 0.07::DOUBLE AS y1 FROM area_boxes WHERE area_id % 3 <> 0 UNION ALL SELECT area_id + 100, xmin, ymin + 0.1::DOUBLE, xmax + 0.3::DOUBLE, ymax FROM area_boxes WHERE area_id % 4 = 1)"
+# every side of every box cuts the plane; a cell belongs to the boxes that hold its middle
+_MODES = f""", {_RIGHTS}, l AS (SELECT area_id, xmin AS x0, ymin AS y0, xmax AS x1, ymax AS y1 FROM area_boxes),
+px AS (SELECT v, lead(v) OVER (ORDER BY v) AS v2 FROM (SELECT x0 AS v FROM l UNION SELECT x1 FROM l UNION SELECT x0 FROM r UNION SELECT x1 FROM r)), py AS (SELECT v, lead(v) OVER (ORDER BY v) AS v2 FROM (SELECT y0 AS v FROM l UNION SELECT y1 FROM l UNION SELECT y0 FROM r UNION SELECT y1 FROM r)),
+g AS MATERIALIZED (SELECT (px.v + px.v2) / 2 AS mx, (py.v + py.v2) / 2 AS my, (px.v2 - px.v) * (py.v2 - py.v) AS area FROM px, py WHERE px.v2 IS NOT NULL AND py.v2 IS NOT NULL),
+gl AS MATERIALIZED (SELECT g.*, area_id FROM g JOIN l ON mx > x0 AND mx < x1 AND my > y0 AND my < y1), gr AS MATERIALIZED (SELECT g.*, moved_id FROM g JOIN r ON mx > x0 AND mx < x1 AND my > y0 AND my < y1),
+pieces AS (SELECT area_id, moved_id, sum(gl.area) AS area FROM gl JOIN gr USING (mx, my) GROUP BY 1, 2 UNION ALL SELECT area_id, NULL, sum(area) FROM gl ANTI JOIN gr USING (mx, my) GROUP BY 1 UNION ALL SELECT NULL, moved_id, sum(area) FROM gr ANTI JOIN gl USING (mx, my) GROUP BY 2)
+SELECT mode, area_id, moved_id, round(area, 9) AS area FROM pieces, (VALUES ('intersection'), ('union'), ('identity'), ('symmetric_difference'), ('difference')) m(mode)
+WHERE round(area, 9) > 0 AND CASE WHEN area_id IS NOT NULL AND moved_id IS NOT NULL THEN mode IN ('intersection', 'union', 'identity') WHEN moved_id IS NULL THEN mode <> 'intersection' ELSE mode IN ('union', 'symmetric_difference') END"""
+
 SQL = {
+    "j02_predicates": V.sql_with("area_boxes", body=_PREDICATES),
+    "j02_spatial_join_right": V.sql_with("area_boxes", body=_MIXED + ", a AS (SELECT *, CASE WHEN area_id % 3 = 0 THEN xmin + 0.1::DOUBLE ELSE xmin END AS xm FROM area_boxes) SELECT shape_id, area_id FROM a LEFT JOIN shapes ON shape_id % 10 = 1 AND xm <= x0 AND x1 <= xmax AND ymin <= y0 AND y1 <= ymax"),
+    "j25_overlay_modes": V.sql_with("area_boxes", body=_MODES),
     "a01_count_points_in_areas": V.sql_with("event_points", "area_boxes", body=f" SELECT a.area_id, a.area, count(p.event_id) AS point_count FROM area_boxes a LEFT JOIN event_points p ON {INSIDE} GROUP BY 1, 2"),
     "a02_area_statistics": V.sql_with("event_points", "area_boxes", body=f" SELECT a.area_id, round(coalesce(sum(value), 0), 6) AS value_sum, round(avg(value), 6) AS value_mean, round(median(value), 6) AS value_median, round(min(value), 6) AS value_min, round(max(value), 6) AS value_max, round(stddev_samp(value), 6) AS value_std FROM area_boxes a LEFT JOIN event_points p ON {INSIDE} GROUP BY 1"),
     "a03_grid_square": V.sql_with("event_points", body=_UTM + " SELECT floor(north / 5000.0)::BIGINT AS cell_y, floor(east / 5000.0)::BIGINT AS cell_x, count(*) AS n, round(count(*) / 25.0::DOUBLE, 4) AS per_km2 FROM utm GROUP BY 1, 2 HAVING count(*) >= 2"),
@@ -259,7 +316,7 @@ SELECT (CASE WHEN d1 < d0 THEN r0 + 1 ELSE r0 END)::BIGINT AS hex_row, (CASE WHE
     "a20_rate_per_population": V.sql_with("event_points", "area_boxes", body=f" SELECT a.area_id, ((a.area_id + 1) * 1000)::BIGINT AS population, round(count(p.event_id) * 1000 / ((a.area_id + 1) * 1000)::DOUBLE, 6) AS per_thousand FROM area_boxes a LEFT JOIN event_points p ON {INSIDE} GROUP BY 1"),
     "a36_idw": V.sql_with("demand_points", "site_points", body=f", m AS (SELECT p.demand_id, s.balance, {metres_sql('p', 's')} AS m FROM demand_points p, site_points s) SELECT demand_id, round(sum(balance / (m * m)) / sum(1 / (m * m)), 3) AS estimate FROM m WHERE m <= 8000 GROUP BY 1"),
     "a37_site_load": V.sql_with("demand_points", "site_points", body=f", n AS ({_NEAREST.format(a='demand_id', b='site_id', metres=metres_sql('p', 's'), left='demand_points')}) SELECT site_id, count(*) AS served, round(avg(m), 3) AS mean_m, round(avg((m > 2000)::INT), 6) AS share_over_2km FROM n GROUP BY 1"),
-    "a38_p_median_pairs": V.sql_with("demand_points", "site_points", body=f", m AS (SELECT p.demand_id, p.weight, s.site_id, round({metres_sql('p', 's')}, 3) AS m FROM demand_points p, site_points s WHERE site_id < 8) SELECT a.site_id AS site_a, b.site_id AS site_b, round(sum(a.weight * least(a.m, b.m)), 0) AS cost FROM m a JOIN m b ON a.demand_id = b.demand_id AND a.site_id < b.site_id GROUP BY 1, 2 ORDER BY cost, 1, 2 LIMIT 1"),
+    "a38_p_median_pairs": V.sql_with("demand_points", "site_points", body=f", m AS (SELECT p.demand_id, p.weight, s.site_id, round({metres_sql('p', 's')}, 3) AS m FROM demand_points p, site_points s) SELECT a.site_id AS site_a, b.site_id AS site_b, round(sum(a.weight * least(a.m, b.m)), 0) AS cost FROM m a JOIN m b ON a.demand_id = b.demand_id AND a.site_id < b.site_id GROUP BY 1, 2 ORDER BY cost, 1, 2 LIMIT 1"),
     "f13_extent_relations": V.sql_with("area_boxes", body=", i AS (SELECT *, greatest(0, least(xmax, -87.2) - greatest(xmin, -87.5)) * greatest(0, least(ymax, 41.7) - greatest(ymin, 41.3)) AS inter FROM area_boxes) SELECT area_id, CASE WHEN area_id % 6 = 0 THEN false ELSE xmax < -87.5 OR xmin > -87.2 OR ymax < 41.3 OR ymin > 41.7 END AS conflict, round(inter / ((xmax - xmin) * (ymax - ymin) + (-87.2::DOUBLE + 87.5) * (41.7::DOUBLE - 41.3) - inter), 9) AS iou, xmin <= -87.5 AND xmax >= -87.2 AND ymin <= 41.3 AND ymax >= 41.7 AS covers, xmin >= -180 AND xmax <= 180 AND ymin >= -90 AND ymax <= 90 AND xmin <= xmax AND ymin <= ymax AS plausible FROM i"),
     "g01_projections": V.sql_with("site_points", body=""", k AS (SELECT site_id, lon, lat, 1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE) AS n, radians(lat) AS phi, radians(lon - (-87.0)) AS lam FROM site_points),
 l AS (SELECT *, 2 * sqrt(n) / (1 + n) AS e, 6378137.0::DOUBLE / (1 + n) * (1 + n**2 / 4 + n**4 / 64) AS big FROM k), t AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM l),
@@ -278,7 +335,7 @@ round(0.9996::DOUBLE * big * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4
     "j12_distance_band": V.sql_with("site_points", body=f", n AS (SELECT p.site_id AS i, s.site_id AS j, {metres_sql('p', 's')} AS m FROM site_points p JOIN site_points s ON p.site_id <> s.site_id) SELECT i, j, round(m, 3) AS distance_m FROM n WHERE m <= 9000"),
     "j12_least_band": V.sql_with("site_points", body=f", n AS (SELECT p.site_id AS i, min({metres_sql('p', 's')}) AS m FROM site_points p JOIN site_points s ON p.site_id <> s.site_id GROUP BY 1) SELECT round(max(m) * (1 + 1e-9), 2) AS threshold_m FROM n"),
     "j13_knn_weights": V.sql_with("site_points", body=f", n AS (SELECT p.site_id AS i, s.site_id AS j, {metres_sql('p', 's')} AS m FROM site_points p JOIN site_points s ON p.site_id <> s.site_id), r AS (SELECT *, (row_number() OVER (PARTITION BY i ORDER BY m, j))::INT AS rank FROM n) SELECT i, j, rank, round(m, 3) AS distance_m FROM r WHERE rank <= 6"),
-    "j22_distance_matrix": V.sql_with("demand_points", "site_points", body=f" SELECT p.demand_id, s.site_id, round({metres_sql('p', 's')}, 3) AS distance_m FROM demand_points p, site_points s WHERE site_id < 8"),
+    "j22_distance_matrix": V.sql_with("demand_points", "site_points", body=f" SELECT p.demand_id, s.site_id, round({metres_sql('p', 's')}, 3) AS distance_m FROM demand_points p, site_points s"),
     "j25_box_intersection": V.sql_with("area_boxes", body=f", o AS (SELECT a.area_id, b.area_id AS moved_id, {_OVERLAY.format(s='0.07::DOUBLE')} FROM area_boxes a, area_boxes b) SELECT area_id, moved_id, round(xmin, 9) AS xmin, round(ymin, 9) AS ymin, round(xmax, 9) AS xmax, round(ymax, 9) AS ymax, round((xmax - xmin) * (ymax - ymin), 9) AS area FROM o WHERE xmin < xmax AND ymin < ymax"),
     "j25_box_difference": V.sql_with("area_boxes", body=f", o AS (SELECT a.area_id, {_OVERLAY.format(s='0.05::DOUBLE')} FROM area_boxes a, area_boxes b WHERE b.area_id % 2 = 0), c AS (SELECT area_id, sum((xmax - xmin) * (ymax - ymin)) AS cut FROM o WHERE xmin < xmax AND ymin < ymax GROUP BY 1) SELECT a.area_id, round((xmax - xmin) * (ymax - ymin) - coalesce(cut, 0), 9) AS left_over FROM area_boxes a LEFT JOIN c USING (area_id)"),
     "j26_clip": V.sql_with("event_points", "area_boxes", body=f" SELECT event_id, event_type FROM event_points p WHERE EXISTS (SELECT 1 FROM area_boxes a WHERE region = 1 AND {INSIDE})"),

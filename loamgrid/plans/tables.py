@@ -13,7 +13,12 @@ def f01(spark, d):
     """Counts of rows under each comparison, over a column with nulls."""
     c = read(spark, d, "customer").withColumn("v", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")))
     tests = {"eq": ("==", 2547.4), "ne": ("!=", 2547.4), "gt": (">", 5000), "ge": (">=", 5000), "lt": ("<", 0), "le": ("<=", 0), "between": ("between", (900, 100)), "isnull": ("isnull", None), "notnull": ("notnull", None)}
-    return c.agg(*[F.count_if(T.predicate(F.col("v"), op, x)).alias(k) for k, (op, x) in tests.items()])
+    found = c.agg(*[F.count_if(T.predicate(F.col("v"), op, x)).alias(k) for k, (op, x) in tests.items()])
+    # a column with some numbers compares as numbers, one without as text, whatever the single cell is
+    mixed = c.withColumn("m", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey").cast("string")).otherwise(F.col("c_mktsegment")))
+    for k, column in (("mixed_gt", "m"), ("text_gt", "c_mktsegment")):
+        found = found.crossJoin(T.select(mixed, column, ">", 50).agg(F.count("*").alias(k)))
+    return found.crossJoin(T.select(mixed, "m", "!=", 50).agg(F.count("*").alias("mixed_ne")))
 
 
 def f02(spark, d):
@@ -203,7 +208,7 @@ _SPAN = "SELECT '{t}' AS \"table\", CASE WHEN bool_or(second({c}) <> 0) THEN 'se
 _LABEL = "strftime({c}, '%Y-%m')"
 
 SQL = {
-    "f01_compare": "WITH c AS (SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS v FROM customer) SELECT count(*) FILTER (v = 2547.4) AS eq, count(*) FILTER (v IS DISTINCT FROM 2547.4) AS ne, count(*) FILTER (v > 5000) AS gt, count(*) FILTER (v >= 5000) AS ge, count(*) FILTER (v < 0) AS lt, count(*) FILTER (v <= 0) AS le, count(*) FILTER (v BETWEEN 100 AND 900) AS between, count(*) FILTER (v IS NULL) AS isnull, count(v) AS notnull FROM c",
+    "f01_compare": "WITH c AS (SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS v FROM customer) SELECT count(*) FILTER (v = 2547.4) AS eq, count(*) FILTER (v IS DISTINCT FROM 2547.4) AS ne, count(*) FILTER (v > 5000) AS gt, count(*) FILTER (v >= 5000) AS ge, count(*) FILTER (v < 0) AS lt, count(*) FILTER (v <= 0) AS le, count(*) FILTER (v BETWEEN 100 AND 900) AS between, count(*) FILTER (v IS NULL) AS isnull, count(v) AS notnull, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0 AND c_custkey > 50) AS mixed_gt, (SELECT count(*) FROM customer WHERE c_mktsegment > '50') AS text_gt, (SELECT count(*) FROM customer WHERE c_custkey <> 51 - 1 OR c_custkey % 3 <> 0) AS mixed_ne FROM c",
     "f02_in_and_contains": "WITH c AS (SELECT CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS s FROM customer) SELECT count(*) FILTER (s IN ('HOUSEHOLD', 'BUILDING')) AS n_in, count(*) FILTER (s IS NULL OR s NOT IN ('HOUSEHOLD', 'BUILDING')) AS n_not_in, count(*) FILTER (regexp_matches(s, '(?i)^(mach|auto).*y|e$')) AS n_contains, count(*) FILTER (s = 'MACHINERY') AS n_text FROM c",
     "f06_filter_by_time": "WITH e AS (SELECT CASE WHEN event_id % 50 <> 0 THEN ts END AS w FROM events) SELECT count(*) FILTER (w >= '2024-01-03' AND w < '2024-01-06') AS inside, count(*) FILTER (w IS NULL) AS unparsed, min(w) FILTER (w >= '2024-01-03' AND w < '2024-01-06') AS first FROM e",
     "f07_coerce_numeric": "SELECT count(*) FILTER (o_orderkey % 9 <> 0) AS parsed, count(*) FILTER (o_orderkey % 9 = 0) AS unparseable, sum(floor(o_totalprice)) FILTER (o_orderkey % 9 <> 0) AS total FROM orders",

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from loamgrid.sources.headers import SCHEMA, header_of
 
 #: Names that coordinate columns go by, best first.
 LAT_NAMES, LON_NAMES = ("latitude", "lat", "y"), ("longitude", "lon", "lng", "long", "x")
@@ -92,31 +96,35 @@ def sniff(content: Column) -> tuple[Column, Column]:
     return kind.otherwise("unknown"), family.otherwise("unknown")
 
 
+#: Bytes that are read of a file's beginning, and from a TIFF's directory on.
+HEAD, DIRECTORY = 65_536, 65_536
+
+
 def header_catalog(files: DataFrame) -> DataFrame:
-    """(path, kind, n, xmin, ymin, xmax, ymax) of binaryFile rows (path, content), from LAS, SHP and CSV headers; other files give nulls."""
-    import struct
+    """path and the header (``headers.SCHEMA``) of binaryFile rows (path, content): LAS, SHP, DBF, TIFF and CSV; other files give nulls.
 
-    csv = F.lower("path").endswith(".csv")
+    Python gets the first HEAD bytes and, where a TIFF's directory lies elsewhere, DIRECTORY bytes from there on.
+    """
+    lower = F.lower("path")
+    csv = lower.endswith(".csv") | lower.endswith(".tsv")
     lines = F.when(csv, F.length("content") - F.length(F.translate(F.decode("content", "ISO-8859-1"), "\n", "")))
-    heads = files.select("path", F.substring("content", 1, 227).alias("head"), lines.cast("long").alias("lines"))
+    byte = lambda k: F.hex(F.substring("content", k, 1))
+    mark = F.hex(F.substring("content", 1, 4))
+    number = lambda *ks: F.conv(F.concat(*map(byte, ks)), 16, 10).cast("long")
+    at = F.when(mark == "49492A00", number(8, 7, 6, 5)).when(mark == "4D4D002A", number(5, 6, 7, 8)).when(mark == "49492B00", number(16, 15, 14, 13, 12, 11, 10, 9)).when(mark == "4D4D002B", number(9, 10, 11, 12, 13, 14, 15, 16))
+    far = F.when((at + 8 > HEAD) & (at < 2**31 - DIRECTORY), at)
+    heads = files.select("path", F.substring("content", 1, HEAD).alias("head"), lines.cast("long").alias("lines"), far.alias("at"), F.when(far.isNotNull(), F.substring(F.col("content"), (far + 1).cast("int"), F.lit(DIRECTORY))).alias("part"))
+
+    fields = list(to_arrow_schema(T.StructType.fromDDL(SCHEMA)))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for path, head, count in zip(b["path"], b["head"], b["lines"], strict=True):
-                c, row = bytes(head), (path, None, None, None, None, None, None)
-                if c[:4] == b"LASF" and len(c) >= 227:
-                    n = struct.unpack_from("<I", c, 107)[0]
-                    xmax, xmin, ymax, ymin = struct.unpack_from("<4d", c, 179)
-                    row = (path, "las", n, xmin, ymin, xmax, ymax)
-                elif c[:4] == b"\0\0\x27\x0a" and len(c) >= 100:
-                    row = (path, "shp", None, *struct.unpack_from("<4d", c, 36))
-                elif path.lower().endswith(".csv"):
-                    row = (path, "csv", int(count), None, None, None, None)
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=["path", "kind", "n", "xmin", "ymin", "xmax", "ymax"]).astype({"n": "Int64"})
-
-    return heads.mapInPandas(read, "path string, kind string, n long, xmin double, ymin double, xmax double, ymax double")
+            cells = zip(*(b.column(c).to_pylist() for c in ("path", "head", "lines", "at", "part")), strict=True)
+            rows = [header_of(path, head, n, (where, part) if where is not None else None) for path, head, n, where, part in cells]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([b.column("path"), *(pa.array(c, f.type) for c, f in zip(columns, fields, strict=True))], ["path", *(f.name for f in fields)])
+
+    return heads.mapInArrow(read, f"path string, {SCHEMA}")
 
 
 def notebook_cells(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:

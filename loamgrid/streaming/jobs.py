@@ -5,14 +5,20 @@ from __future__ import annotations
 import posixpath
 import uuid
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from loamgrid.plans.durable import checkpoint_dir
+from loamgrid.plans.durable import checkpoint_dir, durable
+from loamgrid.sources.store import RecordStore, changed, fingerprints
+
+
+#: The store of keyed state that keeps its data on disk.
+PROVIDER, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_of(spark: SparkSession, path: str, files_a_batch: int | None = None) -> DataFrame:
@@ -38,7 +44,12 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(posixpath.join(out, f"batch={number}"))
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", posixpath.join(base, "state")).trigger(availableNow=True).start()
+    provider = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)  # state with timers and lists needs it; a query keeps what it was started with
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", posixpath.join(base, "state")).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(PROVIDER, provider)
     query.awaitTermination()
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("__batch", T.IntegerType())])).option("recursiveFileLookup", "true").parquet(out)
 
@@ -59,42 +70,87 @@ def dedupe_calls(events: DataFrame, key: str, ts: str) -> DataFrame:
     return events.withWatermark(ts, "2 days").dropDuplicatesWithinWatermark([key])
 
 
-def session_ring(turns: DataFrame, thread: str, order: str, keep: int) -> DataFrame:
-    """(thread, turn list, seen): the last ``keep`` turns of each thread in order, without repeats; state is that ring and a count."""
-    kind = turns.schema[thread].dataType.simpleString()
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring, seen = state.get if state.exists else ([], 0)
-        ring = set(ring)
-        for b in batches:
-            seen += len(b)
-            ring |= set(b[order].tolist())
-            ring = set(sorted(ring)[-keep:])
-        state.update((sorted(ring), seen))
-        yield pd.DataFrame({thread: [key[0]], "turns": [sorted(ring)], "seen": [seen]})
-
-    out, held = f"`{thread}` {kind}, turns array<long>, seen long", "ring array<long>, seen long"
-    return turns.groupBy(thread).applyInPandasWithState(update, out, held, "update", GroupStateTimeout.NoTimeout)
-
+def session_ring(turns: DataFrame, thread: str, order: str, keep: int, idle: timedelta | None = None) -> DataFrame:
+    """(thread, turn list, seen): the last ``keep`` turns of each thread in order, without repeats, after each batch.
 
-def repeat_detector(calls: DataFrame, thread: str, order: str, digest: str, change: str) -> DataFrame:
-    """(thread, order, repeated): whether an equal call was made since the last change. State is the digests since then."""
+    State is a list of at most ``keep`` turns and a count. Rows come in pieces and in any order; a piece is all that a
+    task holds. A thread that is quiet for ``idle`` is forgotten.
+    """
+    kind, ttl = turns.schema[thread].dataType.simpleString(), None if idle is None else int(idle.total_seconds() * 1000)
+
+    class Ring(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.ring = handle.getListState("ring", "turn long", ttl)
+            self.seen = handle.getValueState("seen", "n long", ttl)
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+            ring = {r[0] for r in self.ring.get()}
+            seen = self.seen.get()[0] if self.seen.exists() else 0
+            for part in rows:
+                seen += len(part)
+                ring = set(sorted(ring | set(part[order].dropna().astype("int64").tolist()))[-keep:])
+            last = sorted(ring)
+            self.ring.put([(t,) for t in last])
+            self.seen.update((seen,))
+            yield pd.DataFrame({thread: [key[0]], "turns": [last], "seen": [seen]})
+
+    return turns.select(thread, order).groupBy(thread).transformWithStateInPandas(Ring(), f"`{thread}` {kind}, turns array<long>, seen long", "Update", "ProcessingTime" if ttl else "None")
+
+
+def repeat_detector(calls: DataFrame, thread: str, ts: str, order: str, digest: str, change: str, delay: str = "2 days") -> DataFrame:
+    """(thread, order, repeated): whether an equal call was made since the thread's last change.
+
+    Calls count in the order of their time, then ``order``, whatever the batch that brings them: each waits in the state
+    until the watermark has passed its time, when a timer takes the waiting ones up to there, one after the other. State is
+    those and the digests since the last change, so it is bounded by ``delay`` and by a thread's own
+    calls between changes; calls that come later than ``delay`` are dropped. Calls after the last watermark still wait.
+    """
     kind = calls.schema[thread].dataType.simpleString()
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (seen,) = state.get if state.exists else ([],)
-        seen = set(seen)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(order)
-        out = []
-        for n, d, c in zip(rows[order], rows[digest], rows[change], strict=True):
-            if c:
-                seen = set()
-            out.append((key[0], n, d in seen))
-            seen.add(d)
-        state.update((sorted(seen),))
-        yield pd.DataFrame(out, columns=[thread, order, "repeated"])
-
-    return calls.groupBy(thread).applyInPandasWithState(update, f"`{thread}` {kind}, `{order}` long, repeated boolean", "seen array<string>", "append", GroupStateTimeout.NoTimeout)
+    class Repeats(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.waiting = handle.getListState("waiting", "ms long, place long, digest string, change boolean")
+            self.seen = handle.getListState("seen", "digest string")
+            self.due = handle.getValueState("due", "ms long")
+
+        def _wake(self, waiting: list[tuple]) -> None:
+            """One timer a thread, at the earliest waiting call."""
+            first, due = min(w[0] for w in waiting), self.due.get()[0] if self.due.exists() else None
+            if due is None or first < due:
+                if due is not None:
+                    self.handle.deleteTimer(due)
+                self.handle.registerTimer(first)
+                self.due.update((first,))
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+            new = []
+            for part in rows:
+                new += list(zip(part["ms"].tolist(), part[order].tolist(), part[digest].tolist(), [bool(c) for c in part[change]], strict=True))
+            if new:
+                self.waiting.appendList(new)
+                self._wake(new)
+            return iter(())
+
+        def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+            until = timerValues.getCurrentWatermarkInMs()
+            waiting = sorted(tuple(w) for w in self.waiting.get())
+            ready, rest = [w for w in waiting if w[0] <= until], [w for w in waiting if w[0] > until]
+            seen, out = {r[0] for r in self.seen.get()}, []
+            for _, place, what, changed in ready:
+                if changed:
+                    seen = set()
+                out.append((key[0], place, what in seen))
+                seen.add(what)
+            for state, kept in ((self.seen, [(s,) for s in sorted(seen, key=str)]), (self.waiting, rest)):
+                state.put(kept) if kept else state.clear()
+            self.due.clear()
+            if rest:
+                self._wake(rest)
+            yield pd.DataFrame(out, columns=[thread, order, "repeated"])
+
+    timed = calls.select(thread, ts, order, digest, change, F.unix_millis(F.col(ts)).alias("ms")).withWatermark(ts, delay)
+    return timed.groupBy(thread).transformWithStateInPandas(Repeats(), f"`{thread}` {kind}, `{order}` long, repeated boolean", "Append", "EventTime")
 
 
 def trace_summary(events: DataFrame, thread: str, kind: str) -> DataFrame:
@@ -103,34 +159,23 @@ def trace_summary(events: DataFrame, thread: str, kind: str) -> DataFrame:
     return events.groupBy(thread).agg(*[F.sum((F.col(kind) == k).cast("long")).alias(f"n_{k}") for k in kinds])
 
 
-def ingest_changed(records: DataFrame, store: str, key: str, parent: str, digest: str) -> DataFrame:
-    """A file stream into a record table: parents whose fingerprint is known are skipped; others replace all their rows.
+def ingest_changed(records: DataFrame, folder: str, parent: str, table: str = "records", alive: DataFrame | None = None, most_layers: int = 8) -> DataFrame:
+    """A file stream into a table of a ``RecordStore``: parents whose rows are unchanged are skipped, others replace all their rows.
 
-    The store is a log: a batch writes the rows of its changed parents into a folder of its own, and of each
-    parent the rows of its last batch count. So nothing unchanged is written again, a batch done twice leaves
-    one result, and as the stream's progress lies in the store too, a later call goes on after a restart.
-    The fingerprint is a count, a sum and an exclusive or of row hashes, so a parent's rows needn't meet.
+    A batch has all rows of the parents it brings. It becomes one layer, noted under its number, so a batch that is
+    done twice changes nothing; the stream's progress lies in the store too, so a later call goes on after a restart.
+    With ``alive``, a listing of the parents that still exist, the others are removed at the end. Rows without a
+    parent aren't stored. Layers are merged past ``most_layers``, and what no recent version names is deleted.
     """
-    spark = records.sparkSession
-    log = posixpath.join(store, "rows")
-    plain = T.StructType([*records.schema.fields, T.StructField("fingerprint", T.StringType())])
-    schema = T.StructType([*plain.fields, T.StructField("ingest_batch", T.LongType())])
-    spark.createDataFrame([], plain).write.mode("overwrite").parquet(posixpath.join(log, "ingest_batch=-1"))
-
-    def current(before: int | None = None) -> DataFrame:
-        rows = spark.read.schema(schema).parquet(log)
-        rows = rows if before is None else rows.where(F.col("ingest_batch") < before)
-        last = rows.groupBy(parent).agg(F.max("ingest_batch").alias("ingest_batch"))
-        return rows.join(last, [parent, "ingest_batch"]).select(plain.names)
+    store = RecordStore(records.sparkSession, folder, parent, most_layers)
 
     def step(batch: DataFrame, number: int) -> None:
-        one = batch.select(parent, F.xxhash64(key, digest).alias("a"), F.xxhash64(digest, key, F.lit("b")).alias("b")).distinct()
-        print_ = F.concat_ws(":", F.count("*").cast("string"), F.sum(F.col("a").cast("decimal(20,0)")).cast("string"), F.bit_xor("b").cast("string"))
-        marks = one.groupBy(parent).agg(print_.alias("fingerprint"))
-        known = current(number).select(parent, "fingerprint").distinct()
-        new = marks.join(known, [parent, "fingerprint"], "left_anti")
-        batch.join(new, parent).select(plain.names).write.mode("overwrite").parquet(posixpath.join(log, f"ingest_batch={number}"))
-
-    query = records.writeStream.foreachBatch(step).option("checkpointLocation", posixpath.join(store, "progress")).trigger(availableNow=True).start()
+        rows = durable(batch)
+        store.replace({table: rows}, changed(store, fingerprints({table: rows}, parent)), ("stream", number))
+
+    query = records.writeStream.foreachBatch(step).option("checkpointLocation", posixpath.join(folder, "progress")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return current()
+    if alive is not None:
+        store.remove_orphans(alive)
+    store.vacuum()
+    return store.read(table)
