@@ -53,6 +53,20 @@ def stem_crude(word: Column) -> Column:
     )
 
 
+#: Endings that the longest of the stemmers takes off, tried in this order.
+LONG_ENDINGS = ("ings", "ing", "edly", "ed", "ies", "ied", "es", "s", "tions", "tion", "ally", "ment")
+
+
+def stem_long(word: Column) -> Column:
+    """The first fitting ending of LONG_ENDINGS off where three letters stay, then one of a doubled last consonant of words over three."""
+    cut = F.when(F.lit(False), word)
+    for end in LONG_ENDINGS:
+        cut = cut.when(word.endswith(end) & (F.length(word) >= len(end) + 3), F.substring(word, F.lit(1), F.length(word) - len(end)))
+    cut = cut.otherwise(word)
+    doubled = (F.length(cut) > 3) & cut.rlike(r"([^aeiou])\1$")
+    return F.when(doubled, F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut)
+
+
 def meaningful_terms(text: Column, least: int = 3) -> Column:
     return F.array_distinct(F.filter(words(text), lambda w: (F.length(w) >= least) & ~w.isin(*STOP_WORDS)))
 
@@ -85,8 +99,14 @@ def dois(text: Column) -> Column:
 
 
 def author_key(name: Column) -> Column:
-    """Letters and digits of a name in lower case, a leading "and" taken off."""
-    return F.regexp_replace(F.lower(F.regexp_replace(F.trim(name), r"(?i)^and\s+", "")), r"[^\p{L}\p{N}]+", "")
+    """A name that two records spell alike: without a leading "and" or "&", other punctuation than dots and dashes, case and repeated blanks."""
+    told = F.regexp_replace(F.btrim(F.coalesce(name, F.lit("")), F.lit(" \t\n\r")), r"(?i)^(?:and|&)\s+", "")
+    return F.regexp_replace(F.lower(F.trim(F.regexp_replace(told, r"[^\p{L}\p{N}_\s.-]", ""))), r"\s+", " ")
+
+
+def sanitize_tag(text: Column, most: int = 128) -> Column:
+    """A text as the value of a storage tag: every character but ASCII letters, digits, blanks and + - = . _ : / becomes _, cut at ``most``."""
+    return F.substring(F.regexp_replace(text, "[^A-Za-z0-9+=._:/ -]", "_"), 1, most)
 
 
 def slug(text: Column, most: int = 64) -> Column:
@@ -100,9 +120,15 @@ def error_class(text: Column) -> Column:
     return F.when(got == "", "error").otherwise(F.element_at(F.split(got, r"\."), -1))
 
 
+#: Parts of a page that hold what it is about, the better first.
+MAIN_PARTS = ("main", "article")
+
+
 def html_to_text(html: Column) -> Column:
-    """Visible text: comments, scripts, styles and the like dropped, blocks on lines of their own, entities of the basic set."""
+    """Visible text, of the main part or else the article where a page has one: comments, scripts, styles and the like dropped, blocks on lines of their own, entities of the basic set."""
     t = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    inner = F.coalesce(*[F.nullif(F.regexp_extract(t, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1), F.lit("")) for tag in MAIN_PARTS])
+    t = F.coalesce(inner, t)
     t = F.regexp_replace(t, r"(?is)<(script|style|noscript|svg|nav|header|footer|form|head)\b.*?</\1\s*>", " ")
     t = F.regexp_replace(t, r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|main|blockquote|pre)\b[^>]*>", "\n")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", "")

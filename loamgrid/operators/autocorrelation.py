@@ -60,9 +60,9 @@ def lisa(values: DataFrame, weights: DataFrame, key: str, x: str) -> DataFrame:
     return out.select(key, local.alias("local_i"), F.when(F.col("neighbours").isNull(), "island").otherwise(quadrant(F.col("z"), F.col("lag_z"))).alias("quadrant"))
 
 
-def numbered(values: DataFrame, key: str, name: str = "at") -> DataFrame:
+def numbered(values: DataFrame, key: str | list[str], name: str = "at") -> DataFrame:
     """``values`` with a number from 0 without gaps in the order of ``key``: a sort by ranges, and one count a partition on the driver."""
-    placed = durable(values.orderBy(key).withColumn("__row", F.monotonically_increasing_id()))
+    placed = durable(values.orderBy(*([key] if isinstance(key, str) else key)).withColumn("__row", F.monotonically_increasing_id()))
     part = F.shiftright("__row", 33)
     before, total = {}, 0
     for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
@@ -148,15 +148,16 @@ def getis_star(values: DataFrame, pairs: DataFrame, key: str, x: str) -> DataFra
 def permutation_p(values: DataFrame, weights: DataFrame, key: str, x: str, permutations: int = 99) -> DataFrame:
     """One row: Moran's I and its pseudo p from shuffles of the values.
 
-    A shuffle is a rank by a hash of replicate and key, matched with the rank by key, which all replicates
-    share; replicates are rows that Spark spreads over tasks, and a window holds one copy of the areas.
+    A shuffle is the order of a hash of replicate and key, matched with the order of keys, which all replicates share. All
+    replicates are sorted together by ranges and numbered there, so no task holds a replicate or all areas.
     """
     permutations = min(max(permutations, 99), 99_999)
-    z = z_scores(values, key, x).select(key, "z")
+    z = durable(z_scores(values, key, x).select(key, "z"))
+    n = z.count()
     reps = z.sparkSession.range(permutations).select(F.col("id").alias("rep"))
-    each = z.crossJoin(F.broadcast(reps))
-    by_hash = each.withColumn("n", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64("rep", key), key))).select("rep", "n", "z")
-    by_key = z.select(key, F.row_number().over(Window.orderBy(key)).alias("n"))
+    each = z.crossJoin(F.broadcast(reps)).withColumn("__hash", F.xxhash64("rep", key))
+    by_hash = numbered(each, ["rep", "__hash", key]).select("rep", (F.col("at") % max(n, 1)).alias("n"), "z")
+    by_key = numbered(z, key, "n").select(key, "n")
     moved = by_hash.join(by_key, "n").select("rep", key, "z")
     a, b = moved.select("rep", F.col(key).alias("i"), F.col("z").alias("zi")), moved.select("rep", F.col(key).alias("j"), F.col("z").alias("zj"))
     draws = weights.join(a, "i").join(b, ["rep", "j"]).groupBy("rep").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("m"))

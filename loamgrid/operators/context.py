@@ -79,15 +79,33 @@ def platform_citations(text: Column, relations: dict[str, str]) -> Column:
     return F.filter(hits, lambda h, i: F.array_position(keys, F.concat_ws("|", h["element_id"], h["rel"])) == i + 1)
 
 
+#: Words at which a sentence turns, signs that may stand before them, and words that make a clause hypothetical.
+TURN_WORDS, TURN_SIGNS = ("but", "however", "whereas"), ",;:\u2013\u2014"
+HYPOTHETICAL_WORDS, HYPOTHETICAL_PHRASES = ("would", "could", "might"), ("for reference",)
+#: Stands between clauses while they are apart; no text keeps one of its own.
+_CUT = "\x01"
+
+
 def strip_asides(text: Column) -> Column:
-    """A text with its hypothetical clauses blanked to spaces of the same length.
+    """A text with its hypothetical clauses blanked to spaces of the same length, so that places in it stay what they were.
 
-    Sentences end after a terminator and white space or at a line break; clauses begin at "but", "however"
-    and "whereas". A clause with "would", "could", "might" or "for reference" is blanked; white space stays.
+    A clause ends with a full stop, question or exclamation mark before white space, with a line, or before a word of
+    TURN_WORDS and the sign ahead of it. It is hypothetical if it holds a word or phrase of those lists.
     """
-    parts = F.split(text, r"(?<=\n)|(?<=[.!?]\s)|(?=[,;:—–]?\s*\b(?i:but|however|whereas)\b)")
-    blank = lambda p: F.when(p.rlike(r"(?i)\b(?:would|could|might)\b|\bfor reference\b"), F.regexp_replace(p, r"\S", " ")).otherwise(p)
-    return F.array_join(F.transform(parts, blank), "")
+    plain = F.translate(text, _CUT, " ")
+    ended = F.regexp_replace(plain, r"[.!?]\s|\n", f"$0{_CUT}")
+    turned = F.regexp_replace(ended, rf"(?i)[{TURN_SIGNS}]?\s*\b(?:{'|'.join(TURN_WORDS)})\b", f"{_CUT}$0")
+    wanted = F.array(*[F.lit(w) for w in HYPOTHETICAL_WORDS])
+
+    def shown(clause: Column) -> Column:
+        said = X.words(clause)
+        line = F.concat(F.lit(" "), F.array_join(said, " "), F.lit(" "))
+        phrase = F.lit(False)
+        for p in HYPOTHETICAL_PHRASES:
+            phrase = phrase | F.contains(line, F.lit(f" {p} "))
+        return F.when(F.arrays_overlap(said, wanted) | phrase, F.regexp_replace(clause, r"\S", " ")).otherwise(clause)
+
+    return F.array_join(F.transform(F.split(turned, _CUT), shown), "")
 
 
 def detect_lookup(query: Column, least: int = 2) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import geo
-from loamgrid.plans.durable import durable
+from loamgrid.plans.durable import durable, evenly
 
 #: A reach with which any two points meet in neighbouring cells: once round the globe.
 ROUND_M = 40_000_000.0
@@ -315,6 +315,13 @@ def least_band_without_islands(points: DataFrame, key: str, start_m: float) -> f
     return knn_weights(points, key, 1, start_m).agg(F.max("distance_m")).first()[0] * (1 + 1e-9)
 
 
+def cluster_summary(points: DataFrame, cluster: str) -> DataFrame:
+    """(cluster, n, lon, lat, radius_m): each cluster's size, the mean of its places, and the distance of the farthest of them from it."""
+    middle = points.groupBy(F.col(cluster).alias("__of")).agg(F.count("*").alias("n"), F.avg("lon").alias("__lon"), F.avg("lat").alias("__lat"))
+    far = points.join(evenly(middle, "__of"), F.col(cluster) == F.col("__of")).withColumn("__m", geo.haversine_m(F.col("lon"), F.col("lat"), F.col("__lon"), F.col("__lat")))
+    return far.groupBy(cluster).agg(F.max("n").alias("n"), F.max("__lon").alias("lon"), F.max("__lat").alias("lat"), F.max("__m").alias("radius_m"))
+
+
 def idw(targets: DataFrame, samples: DataFrame, target_id: str, sample_id: str, value: str, metres: float) -> DataFrame:
     """Inverse squared distance mean of the samples within ``metres`` of each target; a sample at the target decides alone."""
     near = within_distance(targets, samples, metres, target_id, sample_id).join(samples.select(sample_id, value), sample_id)

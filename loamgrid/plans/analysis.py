@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from loamgrid.operators import autocorrelation as A
@@ -11,6 +13,7 @@ from loamgrid.operators import spatial as S
 from loamgrid.operators.components import connected_components
 from loamgrid.plans import spatial as Q
 from loamgrid.plans import views as V
+from loamgrid.plans.durable import durable
 from loamgrid.plans.views import read
 
 
@@ -88,6 +91,11 @@ def p05(spark, d):
     return pts.select("demand_id").join(labelled, "demand_id", "left").select("demand_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 
 
+def p05_summary(spark, d):
+    """Size, centre and radius of each density cluster; noise is -1."""
+    return S.cluster_summary(V.demand_points(spark, d).join(p05(spark, d), "demand_id"), "cluster").select("cluster", "n", *[F.round(c, 6).alias(c) for c in ("lon", "lat")], F.round("radius_m", 2).alias("radius_m"))
+
+
 def a15(spark, d):
     p = V.pixels(spark, d).withColumn("value", F.when(F.col("prow") % 9 != 0, F.col("value")))
     zone = F.floor(F.col("prow") / 20) * 5 + F.floor(F.col("pcol") / 20)
@@ -146,6 +154,21 @@ def c01(spark, d):
     return nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def c01_all(spark, d):
+    """Parts of the graph of all suppliers and parts that met in a line of an odd order, whatever the number of lines."""
+    l = read(spark, d, "lineitem").where("l_orderkey % 2 = 1 and l_suppkey % 3 = l_partkey % 3")  # noqa: E741
+    edges = l.select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
+    return connected_components(edges)
+
+
+def c05_modularity(spark, d):
+    """Weighted modularity of groupings of the suppliers: each alone, by nation, and all together."""
+    e, s = _edges(spark, d), read(spark, d, "supplier")
+    groupings = {"alone": F.col("s_suppkey"), "nation": F.col("s_nationkey"), "together": F.lit(0)}
+    each = [G.modularity(e, "weight", s.select(F.col("s_suppkey").alias("node"), g.alias("community"))).select(F.lit(k).alias("grouping"), (F.round("modularity", 9) + 0).alias("modularity")) for k, g in groupings.items()]
+    return reduce(lambda a, b: a.unionByName(b), each)
+
+
 def c02(spark, d):
     starts = read(spark, d, "supplier").where("s_suppkey % 25 = 0").select(F.col("s_suppkey").alias("node"))
     return G.within_hops(G.both_ways(_edges(spark, d).select("src", "dst")), starts, 2)
@@ -164,8 +187,10 @@ def c04(spark, d):
 
 
 def c05(spark, d):
+    """Communities by labels, and how well they part the graph."""
     e = _edges(spark, d)
-    return G.label_communities(e, "weight")
+    found = durable(G.label_communities(e, "weight"))
+    return found.crossJoin(G.modularity(e, "weight", found).select(F.round("modularity", 9).alias("modularity")))
 
 
 def j14(spark, d):
@@ -225,8 +250,8 @@ def c09(spark, d):
 
 QUERIES = {
     "a15_zonal_stats": a15, "a16_weights_diagnostics": a16, "a17_global_statistics": a17, "a18_permutation_p": a18, "a33_community_profiles": a33, "a39_ndvi_change": a39, "a40_suitability": a40, "a41_inundation": a41, "a43_segment_share": a43,
-    "c01_connected_parts": c01, "c02_within_hops": c02, "c03_upstream": c03, "c04_cheapest_paths": c04, "c05_label_communities": c05, "c09_region_check": c09, "g08_slope_aspect_shade": g08, "j14_knn_graph": j14, "j15_collection_pairs": j15,
-    "j16_curated_pairs": j16, "p01_lisa": p01, "p01_lisa_classes": p01_classes, "p02_getis_star": p02, "p03_moran_scatter": p03, "p04_spatial_diagnostics": p04, "p04_residual_table": p04_residuals, "p04_ols": p04_ols, "p05_dbscan": p05, "p09_zone_pooling": p09, "u02_fuse_layers": u02, "u05_jaccard_match": u05,
+    "c01_connected_parts": c01, "c01_unfiltered_parts": c01_all, "c05_modularity": c05_modularity, "c02_within_hops": c02, "c03_upstream": c03, "c04_cheapest_paths": c04, "c05_label_communities": c05, "c09_region_check": c09, "g08_slope_aspect_shade": g08, "j14_knn_graph": j14, "j15_collection_pairs": j15,
+    "j16_curated_pairs": j16, "p01_lisa": p01, "p01_lisa_classes": p01_classes, "p02_getis_star": p02, "p03_moran_scatter": p03, "p04_spatial_diagnostics": p04, "p04_residual_table": p04_residuals, "p04_ols": p04_ols, "p05_dbscan": p05, "p05_cluster_summary": p05_summary, "p09_zone_pooling": p09, "u02_fuse_layers": u02, "u05_jaccard_match": u05,
 }
 
 _AREAS = f"v AS (SELECT a.area_id AS k, count(p.event_id)::DOUBLE AS x FROM area_boxes a LEFT JOIN event_points p ON {Q.INSIDE} GROUP BY 1), z AS (SELECT k, x, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS z FROM v)"
@@ -277,6 +302,8 @@ pieces AS (SELECT name, r, count(DISTINCT first) AS k FROM (SELECT name, r, star
 s AS (SELECT name, count(*) AS areas, count(*) FILTER (r IS NULL) AS without, count(DISTINCT r) AS regions FROM l GROUP BY 1)
 SELECT s.name AS label, areas, without, regions, (SELECT count(*) FROM pieces p WHERE p.name = s.name AND k > 1) AS split, areas = 25 AND without = 0 AND regions = 5 AND NOT EXISTS (SELECT 1 FROM pieces p WHERE p.name = s.name AND k > 1) AS matched FROM s"""
 
+_P05 = V.sql_with("demand_points", body=f", n AS (SELECT p.demand_id AS i, s.demand_id AS j FROM demand_points p, demand_points s WHERE {Q.metres_sql('p', 's')} <= 1500), core AS (SELECT i FROM n GROUP BY 1 HAVING count(*) >= 5), l AS (SELECT i, j FROM n WHERE i IN (FROM core) AND j IN (FROM core)), r(node, c) AS (SELECT i, i FROM core UNION SELECT r.node, l.j FROM r JOIN l ON l.i = r.c), comp AS (SELECT node, min(c) AS c FROM r GROUP BY 1), edge AS (SELECT n.i, min(comp.c) AS c FROM n JOIN comp ON comp.node = n.j WHERE n.i NOT IN (FROM core) GROUP BY 1) SELECT demand_id, coalesce(comp.c, edge.c, -1) AS cluster FROM demand_points LEFT JOIN comp ON comp.node = demand_id LEFT JOIN edge ON edge.i = demand_id").replace("WITH ", "WITH RECURSIVE ", 1)
+
 SQL = {
     "a15_zonal_stats": V.sql_with("pixels", body=", p AS (SELECT prow // 20 * 5 + pcol // 20 AS zone, CASE WHEN prow % 9 <> 0 THEN value END AS v FROM pixels) SELECT zone, count(*) AS pixels, round(count(v) / count(*), 4) AS coverage, round(avg(v), 4) AS mean, round(min(v), 4) AS min, round(max(v), 4) AS max, round(max(v) - min(v), 4) AS relief, round(stddev_pop(v), 4) AS std FROM p GROUP BY 1"),
     "a16_weights_diagnostics": V.sql_with("site_points", body=f", m AS (SELECT p.site_id AS i, {Q.metres_sql('p', 's')} AS m FROM site_points p JOIN site_points s ON p.site_id <> s.site_id), k AS (SELECT i, count(*) FILTER (m <= 6000) AS k FROM m GROUP BY 1) SELECT count(*) AS n, count(*) FILTER (k = 0) AS islands, min(k) AS least, max(k) AS most, round(avg(k), 6) AS mean, median(k) AS median, round(sum(k) * 100 / (count(*) * count(*))::DOUBLE, 6) AS percent_nonzero FROM k"),
@@ -287,6 +314,9 @@ SQL = {
     "a41_inundation": V.sql_with("pixels", body=", p AS (SELECT CASE WHEN pcol % 10 <> 0 THEN value END AS v FROM pixels) SELECT count(*) FILTER (v <= 24) AS wet, round(avg(24 - v) FILTER (v <= 24), 6) AS mean_depth, round(max(24 - v) FILTER (v <= 24), 6) AS max_depth, round(count(*) FILTER (v <= 24) * 100 / count(v)::DOUBLE, 6) AS percent FROM p"),
     "a43_segment_share": V.sql_with("pixels", body=" SELECT floor(value / 10)::BIGINT AS band, count(*) AS n, round(count(*) / (SELECT count(*) FROM pixels)::DOUBLE, 6) AS share FROM pixels GROUP BY 1"),
     "c01_connected_parts": f"WITH RECURSIVE {_EDGES}, r(node, c) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.node, b.dst FROM r JOIN b ON b.src = r.c) SELECT node, min(c) AS component FROM r GROUP BY 1",
+    "c01_unfiltered_parts": "WITH RECURSIVE e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_orderkey % 2 = 1 AND l_suppkey % 3 = l_partkey % 3), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, c) AS (SELECT a, a FROM b UNION SELECT r.node, b.b FROM r JOIN b ON b.a = r.c) SELECT node, min(c) AS component FROM r GROUP BY 1",
+    "c05_modularity": f"WITH {_EDGES}, t AS (SELECT sum(weight) AS m FROM e), k AS (SELECT s_suppkey AS node, 'alone' AS grouping, s_suppkey AS c FROM supplier UNION ALL SELECT s_suppkey, 'nation', s_nationkey FROM supplier UNION ALL SELECT s_suppkey, 'together', 0 FROM supplier), i AS (SELECT a.grouping, coalesce(sum(weight) FILTER (a.c = b.c), 0) AS inside FROM e JOIN k a ON a.node = src JOIN k b ON b.node = dst AND b.grouping = a.grouping GROUP BY 1), g AS (SELECT grouping, c, sum(weight) AS d FROM b JOIN k ON k.node = src GROUP BY 1, 2), dd AS (SELECT grouping, sum(d * d) AS dd FROM g GROUP BY 1) SELECT grouping, round(inside / m - dd / (4 * m * m), 9) + 0 AS modularity FROM i JOIN dd USING (grouping), t",
+    "p05_cluster_summary": _P05.replace("SELECT demand_id, coalesce(comp.c, edge.c, -1) AS cluster FROM", ", k AS (SELECT demand_points.*, coalesce(comp.c, edge.c, -1) AS cluster FROM", 1) + f"), o AS (SELECT cluster, count(*) AS n, avg(lon) AS lon, avg(lat) AS lat FROM k GROUP BY 1) SELECT o.cluster, any_value(n) AS n, round(any_value(o.lon), 6) AS lon, round(any_value(o.lat), 6) AS lat, round(max({Q.metres_sql('k', 'o')}), 2) AS radius_m FROM k JOIN o ON o.cluster = k.cluster GROUP BY 1",
     "c02_within_hops": f"WITH RECURSIVE {_EDGES}, r(start, node, depth) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey % 25 = 0 UNION SELECT r.start, b.dst, r.depth + 1 FROM r JOIN b ON b.src = r.node WHERE r.depth < 2) SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2",
     "c03_upstream": "WITH RECURSIVE r(start, node, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey % 3000 = 1 UNION SELECT start, node // 2, depth + 1 FROM r WHERE node > 0) SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2",
     "c04_cheapest_paths": f"WITH RECURSIVE {_EDGES}, r(start, node, cost) AS (SELECT s_suppkey, s_suppkey, 0.0::DOUBLE FROM supplier WHERE s_suppkey % 50 = 0 UNION SELECT r.start, b.dst, round(r.cost + 3.0::DOUBLE / b.weight, 9) FROM r JOIN b ON b.src = r.node WHERE r.cost + 3.0::DOUBLE / b.weight <= 4.5) SELECT start, node, round(min(cost), 6) AS cost FROM r GROUP BY 1, 2",
@@ -301,7 +331,7 @@ SQL = {
     "p04_residual_table": _stats(_P04 + " SELECT c.k AS area_id, round(f, 6) AS fitted, round(e, 6) AS residual, round(e / sqrt(s2), 6) AS standardised, round(le, 6) AS lag_residual FROM c, t"),
     "p02_getis_star": _stats(", s AS (SELECT i, j FROM n UNION ALL SELECT k, k FROM v), t AS (SELECT s.i, sum(v.x) AS wx, count(*)::DOUBLE AS w FROM s JOIN v ON v.k = s.j GROUP BY 1), m AS (SELECT count(*)::DOUBLE AS n, avg(x) AS mean, stddev_pop(x) AS sd FROM v), q AS (SELECT i AS area_id, (wx - mean * w) / (sd * sqrt((n * w - w * w) / (n - 1))) AS z FROM t, m) SELECT area_id, round(z, 9) AS z, CASE WHEN z >= 2.576 THEN 'hot 99' WHEN z >= 1.96 THEN 'hot 95' WHEN z <= -2.576 THEN 'cold 99' WHEN z <= -1.96 THEN 'cold 95' ELSE 'none' END AS band FROM q"),
     "p03_moran_scatter": _stats("SELECT round(regr_slope(lag, z), 9) AS slope, count(*) FILTER (z >= 0 AND lag >= 0) AS hh, count(*) FILTER (z < 0 AND lag >= 0) AS lh, count(*) FILTER (z < 0 AND lag < 0) AS ll, count(*) FILTER (z >= 0 AND lag < 0) AS hl FROM g"),
-    "p05_dbscan": V.sql_with("demand_points", body=f", n AS (SELECT p.demand_id AS i, s.demand_id AS j FROM demand_points p, demand_points s WHERE {Q.metres_sql('p', 's')} <= 1500), core AS (SELECT i FROM n GROUP BY 1 HAVING count(*) >= 5), l AS (SELECT i, j FROM n WHERE i IN (FROM core) AND j IN (FROM core)), r(node, c) AS (SELECT i, i FROM core UNION SELECT r.node, l.j FROM r JOIN l ON l.i = r.c), comp AS (SELECT node, min(c) AS c FROM r GROUP BY 1), edge AS (SELECT n.i, min(comp.c) AS c FROM n JOIN comp ON comp.node = n.j WHERE n.i NOT IN (FROM core) GROUP BY 1) SELECT demand_id, coalesce(comp.c, edge.c, -1) AS cluster FROM demand_points LEFT JOIN comp ON comp.node = demand_id LEFT JOIN edge ON edge.i = demand_id").replace("WITH ", "WITH RECURSIVE ", 1),
+    "p05_dbscan": _P05,
     "p09_zone_pooling": "WITH x AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings) SELECT label, count(*) AS n, k::INT AS k, round(avg(v::DOUBLE), 6) + 0 AS v FROM x GROUP BY label, k",
     "u02_fuse_layers": f"WITH {_EDGES}, {_J15}, {_J16}, a AS (SELECT src, dst, weight, 'parts' AS rel FROM e UNION ALL SELECT src, dst, weight, 'nation' FROM clique UNION ALL SELECT src, dst, 1.0, 'curated' FROM cur) SELECT src, dst, round(sum(weight), 6) AS weight, string_agg(rel, '+' ORDER BY rel) AS rels, count(*) AS support FROM a GROUP BY 1, 2",
     "u05_jaccard_match": "WITH c AS (SELECT c_custkey, c_nationkey AS o, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey + 100 ELSE c_nationkey END AS n FROM customer), i AS (SELECT o, n, count(*) AS i FROM c GROUP BY 1, 2), j AS (SELECT i.o AS old_c, i.n AS new_c, i / (a.k + b.k - i)::DOUBLE AS jaccard FROM i JOIN (SELECT o, count(*) AS k FROM c GROUP BY 1) a USING (o) JOIN (SELECT n, count(*) AS k FROM c GROUP BY 1) b USING (n)), m AS (SELECT *, row_number() OVER (PARTITION BY old_c ORDER BY jaccard DESC, new_c) AS x, row_number() OVER (PARTITION BY new_c ORDER BY jaccard DESC, old_c) AS y FROM j WHERE jaccard >= 0.5) SELECT old_c, new_c, round(jaccard, 6) AS jaccard FROM m WHERE x = 1 AND y = 1",

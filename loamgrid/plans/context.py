@@ -94,7 +94,9 @@ SQL = {
     "f12_spatial_search": V.sql_with("event_points", body=f", s AS (SELECT event_id, CASE WHEN regexp_matches(props, '(^|[^0-9])7($|[^0-9])') THEN 2.0::DOUBLE ELSE 0 END AS score FROM event_points WHERE {_IN_BOX} AND event_type IN ('error', 'click')) SELECT * FROM s WHERE score > 0"),
     "m06_rewrite_with_context": "WITH q AS (SELECT p_partkey, 'me ' || p_name || ' ; ' || replace(lower(p_brand), '#', ' ') AS focus FROM part), r AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 'where is it sold' ELSE 'cheapest in stock' END WHEN p_partkey % 2 = 0 THEN 'where is ' || focus || ' sold' ELSE focus || ' cheapest in stock' END AS query FROM q) SELECT p_partkey, array_to_string(string_split(query, ' ')[1:12], ' ') AS query FROM r",
     "m10_platform_citations": "WITH h AS (SELECT p_partkey, md5(p_partkey::VARCHAR) AS h FROM part), u AS (SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS element_id FROM h) SELECT p_partkey, k, element_id, rel, hint FROM u, (VALUES (0, 'CITES', 'notebooks'), (1, 'USES', 'files')) t(k, rel, hint)",
-    "m17_strip_asides": "SELECT p_partkey, 'The size is ' || p_size || ' m. ' || repeat(' ', length('It would be ' || p_partkey || ' ft')) || ', but the form gives ' || p_size || '.' || chr(10) || repeat(' ', length('For reference ' || p_brand || '!')) || chr(10) || 'Done' AS text FROM part",
+    "m17_strip_asides": r"""WITH t AS (SELECT p_partkey, 'The size is ' || p_size || ' m. It would be ' || p_partkey || ' ft, but the form gives ' || p_size || '.' || chr(10) || 'For reference ' || p_brand || '!' || chr(10) || 'Done' AS t FROM part),
+c AS (SELECT p_partkey, string_split(regexp_replace(regexp_replace(t, '[.!?]\s|\n', '\0' || chr(1), 'g'), '(?i)[,;:–—]?\s*\b(but|however|whereas)\b', chr(1) || '\0', 'g'), chr(1)) AS c FROM t)
+SELECT p_partkey, array_to_string(list_transform(c, lambda x: CASE WHEN regexp_matches(x, '(?i)\b(would|could|might|for reference)\b') THEN regexp_replace(x, '\S', ' ', 'g') ELSE x END), '') AS text FROM c""",
     "m21_detect_lookup": "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'by_author' WHEN 1 THEN 'in_collection' WHEN 2 THEN 'related_to' WHEN 3 THEN 'by_tag' WHEN 4 THEN 'by_resource_type' END AS name, CASE p_partkey % 6 WHEN 0 THEN 'John ' || upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] WHEN 4 THEN 'datasets' WHEN 5 THEN NULL ELSE p_name END AS value FROM part",
     "r07_relevant_context": f"""WITH u AS (SELECT conv_id, turn, {Q._WORDS.format(c='text')} AS ws FROM conversations WHERE role = 'user'), x AS (SELECT conv_id, turn, unnest(ws) AS term FROM u), f AS (SELECT conv_id, turn, term, count(*) AS tf FROM x GROUP BY ALL),
 g AS (SELECT term, ln(((SELECT count(*) FROM u) + 1) / (count(*) + 1)::DOUBLE) + 1 AS idf FROM f GROUP BY 1), w AS (SELECT conv_id, turn, term, tf * idf AS w FROM f JOIN g USING (term)), s AS (SELECT conv_id, turn, sqrt(sum(w * w)) AS size FROM w GROUP BY 1, 2), l AS (SELECT conv_id, max(turn) AS asked FROM u GROUP BY 1),

@@ -62,13 +62,13 @@ def s03(spark, d):
 
 
 def s03_collections(spark, d):
-    """Features gathered in collections by nation, landed as files, and taken apart again."""
+    """Features gathered in collections of 64, landed as lines, and taken apart again."""
     path = _folder(spark, "collections")
     geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct("site_id", "balance").alias("properties"))
     sites = V.site_points(spark, d)
-    made = sites.groupBy((F.col("site_id") % 25).alias("k")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
-    made.repartition(25, "k").select("value").write.option("lineSep", "\n").text(path)
+    made = sites.groupBy(F.floor(F.col("site_id") / 64).alias("k")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
+    made.repartition("k").select("value").write.option("lineSep", "\n").text(path)
     back = S.explode_geojson(spark, path, one_a_line=True)
     return back.select(F.col("site_id").cast("long").alias("site_id"), "geometry_type", F.round(F.get_json_object("geometry", "$.coordinates[1]").cast("double"), 6).alias("lat"))
 
@@ -178,11 +178,28 @@ def f_registered(spark, d):
 
 
 def s09(spark, d):
-    p = read(spark, d, "part")
-    stac = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("id"), F.struct(F.col("p_name").alias("title"), F.lit("x").alias("description"), F.array("p_type").alias("keywords"), F.lit("2020-01-01").alias("datetime")).alias("properties"), F.array(F.lit(-88.0), F.lit(41.0), F.lit(-87.0), F.lit(42.0)).alias("bbox")))
-    ckan = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("name"), F.col("p_name").alias("title"), F.array(F.struct(F.col("p_type").alias("name"))).alias("tags"), F.lit("2020-01-01").alias("metadata_created")))
-    landed = p.select(F.when(F.col("p_partkey") % 2 == 0, "stac").otherwise("ckan").alias("provider"), F.when(F.col("p_partkey") % 2 == 0, stac).otherwise(ckan).alias("payload"))
-    return S.normalise_catalog(landed).select("id", "source", "title", F.array_join("keywords", ",").alias("keywords"), F.element_at("bbox", 3).alias("xmax"), "start")
+    """Parts as payloads of six kinds of catalogue, with the fields of each that may be missing."""
+    p = read(spark, d, "part").withColumn("k", F.col("p_partkey") % 6)
+    key, even = F.col("p_partkey").cast("string"), F.floor(F.col("p_partkey") / 6) % 2 == 0
+    lon = (F.col("p_partkey") % 90).cast("double")
+    name = lambda c, n: c.alias(n)
+    payloads = {
+        "stac": F.struct(name(key, "id"), F.struct(name(F.col("p_name"), "title"), F.lit("x").alias("description"), F.array("p_type").alias("keywords"), F.lit("2020-01-01").alias("datetime")).alias("properties"), F.array(F.lit(-88.0), F.lit(41.0), F.lit(-87.0), F.lit(42.0)).alias("bbox")),
+        "ckan": F.struct(name(key, "name"), name(F.col("p_name"), "title"), F.array(F.struct(name(F.col("p_type"), "name"))).alias("tags"), F.lit("2020-01-01").alias("metadata_created")),
+        "ogc-records": F.struct(name(F.when(even, key), "id"), F.struct(name(key, "identifier"), name(F.when(even, F.col("p_name")), "title"), name(F.col("p_brand"), "name"), F.array("p_type", "p_brand").alias("keywords"), F.array(lon, lon, lon + 1, lon + 2).alias("bbox"), F.lit("2019-05-06").alias("datetime"), F.lit("2021-05-06").alias("end_datetime")).alias("properties")),
+        "socrata": F.struct(F.struct(name(F.when(even, key), "id"), name(F.col("p_name"), "name"), F.lit("2018-01-01").alias("createdAt"), F.lit("2018-02-02").alias("updatedAt"), F.lit("CC0").alias("license")).alias("resource"), F.struct(F.array("p_type").alias("tags"), F.array("p_brand").alias("domain_tags"), F.when(even, F.lit("Crime")).alias("domain_category")).alias("classification"), F.concat(F.lit("https://x.example/"), key).alias("permalink")),
+        "datagov": F.struct(name(F.when(even, F.col("p_name")), "title"), F.struct(name(key, "identifier"), name(F.col("p_brand"), "title"), F.array("p_type").alias("keyword"), F.when(even, F.lit("2001-01-01/2002-02-02")).otherwise("2003-03-03").alias("temporal"), F.lit("public").alias("license")).alias("dcat"), F.struct(F.lit("Polygon").alias("type"), F.array(F.array(F.array(lon, lon - 1), F.array(lon + 3, lon), F.array(lon, lon + 2))).alias("coordinates")).alias("spatial_shape")),
+        "datacite": F.struct(F.struct(name(key, "doi"), F.array(F.struct(name(F.col("p_name"), "title"))).alias("titles"), F.array(F.struct(name(F.col("p_type"), "subject"))).alias("subjects"),
+            F.array(F.struct(F.lit("short").alias("description"), F.lit("Abstract").alias("descriptionType")), F.struct(F.lit("longer than it").alias("description"), F.lit("Abstract").alias("descriptionType")), F.struct(F.lit("the longest of them all").alias("description"), F.lit("Other").alias("descriptionType"))).alias("descriptions"),
+            F.when(even, F.array(F.struct(F.lit("2010").alias("date"), F.lit("Issued").alias("dateType")), F.struct(F.lit("2001-01-01/2010-12-31").alias("date"), F.lit("Collected").alias("dateType")))).alias("dates"), F.lit(1999).alias("publicationYear"),
+            F.array(F.struct(F.when(even, F.struct(name((lon + 5).cast("string"), "westBoundLongitude"), name(lon.cast("string"), "eastBoundLongitude"), F.lit("1").alias("southBoundLatitude"), F.lit("2").alias("northBoundLatitude"))).alias("geoLocationBox"), F.struct(name(lon.cast("string"), "pointLongitude"), F.lit("7.5").alias("pointLatitude")).alias("geoLocationPoint"))).alias("geoLocations"),
+            F.array(F.struct(F.lit("some rights").alias("rights")), F.struct(F.lit("CC-BY-4.0").alias("rights"))).alias("rightsList")).alias("attributes")),
+    }
+    provider, payload = F.when(F.lit(False), ""), F.when(F.lit(False), "")
+    for n, (k, v) in enumerate(payloads.items()):
+        provider, payload = provider.when(F.col("k") == n, k), payload.when(F.col("k") == n, F.to_json(v))
+    found = S.normalise_catalog(p.select(provider.alias("provider"), payload.alias("payload")))
+    return found.select("id", "source", "title", "abstract", F.array_join("keywords", ",").alias("keywords"), *[F.element_at("bbox", k + 1).alias(n) for k, n in enumerate(("xmin", "ymin", "xmax", "ymax"))], "start", "end", "license")
 
 
 def s10(spark, d):
@@ -278,6 +295,15 @@ QUERIES = {
     "x05_stream_repeats": x05, "x06_stream_ingest": x06, "x07_stream_trace_summary": x07,
 }
 
+# the rules of each catalogue on its fields: what goes first, what stands in, what is left empty
+_S09 = """WITH p AS (SELECT *, p_partkey % 6 AS k, p_partkey // 6 % 2 = 0 AS even, (p_partkey % 90)::DOUBLE AS lon, p_partkey::VARCHAR AS key FROM part)
+SELECT CASE WHEN k = 3 AND NOT even THEN 'https://x.example/' || key ELSE key END AS id, ['stac', 'ckan', 'ogc-records', 'socrata', 'datagov', 'datacite'][k + 1] AS source, CASE WHEN k IN (2, 4) AND NOT even THEN p_brand ELSE p_name END AS title,
+CASE k WHEN 0 THEN 'x' WHEN 5 THEN 'longer than it' END AS abstract, p_type || CASE WHEN k = 2 THEN ',' || p_brand WHEN k = 3 THEN ',' || p_brand || CASE WHEN even THEN ',Crime' ELSE '' END ELSE '' END AS keywords,
+CASE k WHEN 0 THEN -88.0::DOUBLE WHEN 2 THEN lon WHEN 4 THEN lon WHEN 5 THEN lon END AS xmin, CASE k WHEN 0 THEN 41.0::DOUBLE WHEN 2 THEN lon WHEN 4 THEN lon - 1 WHEN 5 THEN CASE WHEN even THEN 1.0 ELSE 7.5 END END AS ymin,
+CASE k WHEN 0 THEN -87.0::DOUBLE WHEN 2 THEN lon + 1 WHEN 4 THEN lon + 3 WHEN 5 THEN CASE WHEN even THEN lon + 5 ELSE lon END END AS xmax, CASE k WHEN 0 THEN 42.0::DOUBLE WHEN 2 THEN lon + 2 WHEN 4 THEN lon + 2 WHEN 5 THEN CASE WHEN even THEN 2.0 ELSE 7.5 END END AS ymax,
+CASE k WHEN 2 THEN '2019-05-06' WHEN 3 THEN '2018-01-01' WHEN 4 THEN CASE WHEN even THEN '2001-01-01' ELSE '2003-03-03' END WHEN 5 THEN CASE WHEN even THEN '2001-01-01' ELSE '1999-01-01' END ELSE '2020-01-01' END AS start,
+CASE k WHEN 2 THEN '2021-05-06' WHEN 3 THEN '2018-02-02' WHEN 4 THEN CASE WHEN even THEN '2002-02-02' ELSE '2003-03-03' END WHEN 5 THEN CASE WHEN even THEN '2010-12-31' END END AS "end",
+CASE k WHEN 3 THEN 'CC0' WHEN 4 THEN 'public' WHEN 5 THEN 'some rights' END AS license FROM p"""
 _S07 = """, z AS (SELECT site_id % 8 AS zone, count(*) AS n, min(lon) AS x0, min(lat) AS y0, max(lon) AS x1, max(lat) AS y1 FROM site_points GROUP BY 1)
 SELECT kind, zone, CASE WHEN kind IN ('csv', 'las', 'dbf') THEN n END::BIGINT AS n, round(CASE WHEN kind IN ('las', 'shp', 'tiff') THEN x0 END, 6) AS xmin,
 round(CASE WHEN kind IN ('las', 'shp') THEN y0 WHEN kind = 'tiff' THEN y1 - (zone + 1) * 0.01::DOUBLE END, 6) AS ymin, round(CASE WHEN kind IN ('las', 'shp') THEN x1 WHEN kind = 'tiff' THEN x0 + n * 0.01::DOUBLE END, 6) AS xmax,
@@ -299,7 +325,7 @@ SQL = {
 w AS (SELECT *, sum(abs(balance)) OVER (PARTITION BY kind ORDER BY balance ROWS UNBOUNDED PRECEDING) AS reached, sum(abs(balance)) OVER (PARTITION BY kind) AS total FROM s)
 SELECT kind, count(*) AS n, sum(CASE WHEN kind = 'Point' THEN 1 ELSE 4 END)::BIGINT AS points, round(sum(m), 1) AS metres, round(min(balance) FILTER (reached >= total / 2), 2) AS middle,
 count(*) FILTER (lon >= -88 AND lon < -87.5 AND lat >= 41 AND lat < 41.5) AS inside, round(sum(1000 + site_id % 1000))::DOUBLE AS numbers FROM w GROUP BY kind"""),
-    "s09_normalise_catalog": "SELECT p_partkey::VARCHAR AS id, CASE WHEN p_partkey % 2 = 0 THEN 'stac' ELSE 'ckan' END AS source, p_name AS title, p_type AS keywords, CASE WHEN p_partkey % 2 = 0 THEN -87.0::DOUBLE END AS xmax, '2020-01-01' AS start FROM part",
+    "s09_normalise_catalog": _S09,
     "s10_osm_features": "SELECT CASE s_suppkey % 4 WHEN 0 THEN 'Point' WHEN 1 THEN 'Polygon' ELSE 'LineString' END AS kind, count(*) AS n, sum(CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 4 END)::BIGINT AS points FROM supplier WHERE s_suppkey % 4 <> 3 GROUP BY 1",
     "s11_wkt_to_shape": """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '{"type":"point","coordinates":[' || s_suppkey || '.0,4.5]}' WHEN 1 THEN '{"type":"envelope","coordinates":[[1.0,2.0],[' || s_suppkey || '.0,7.0]]}' END AS shape FROM supplier""",
     "s24_export_and_import": "SELECT c_custkey, c_name, c_nationkey FROM customer",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loamgrid.operators import links as K
 from loamgrid.operators import logs as L
 from loamgrid.operators import lookups as U
 from loamgrid.operators import tables as T
@@ -145,14 +146,16 @@ def j08(spark, d):
 
 
 def j10(spark, d):
-    """Best supplier of each customer by lines, dropped where the runner-up comes near."""
-    from pyspark.sql import Window
-
+    """Customers and suppliers that share an author, spelt in several ways; the score is the share of a customer's lines."""
     o = read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     pairs = read(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(o, "l_orderkey").groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("shared"))
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("shared"), "l_suppkey")
-    led = pairs.withColumn("n", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("shared").over(w), F.lit(0))).where("n = 1")
-    return led.where("second <= 0.8 * shared").select("o_custkey", "l_suppkey", "shared")
+    total = pairs.groupBy("o_custkey").agg(F.sum("shared").alias("lines"))
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("author"))
+    spelt = F.when(F.col("l_suppkey") % 3 == 0, F.concat(F.lit(" and  "), F.upper("author"))).when(F.col("l_suppkey") % 3 == 1, F.concat(F.lit("& "), F.replace("author", F.lit("#"), F.lit("!#")))).otherwise(F.concat("author", F.lit(" , ")))
+    specs = pairs.join(s, "l_suppkey").select("o_custkey", spelt.alias("author"))
+    scores = pairs.join(total, "o_custkey").select("o_custkey", "l_suppkey", (F.col("shared") / F.col("lines")).alias("score"))
+    out = K.shared_author_links(specs, s, scores, "o_custkey", "l_suppkey")
+    return out.select("o_custkey", "l_suppkey", F.round("score", 9).alias("score"), F.round("runner_up", 9).alias("runner_up"), "candidates", F.array_join("authors", ",").alias("authors"))
 
 
 def j18(spark, d):
@@ -292,14 +295,14 @@ SQL = {
     "f29_tag_filter": "SELECT p_partkey FROM part WHERE p_type = 'ECONOMY' AND contains(p_brand, '#1') AND p_brand <> 'Brand#11'",
     "j07_join_report": "WITH a AS (SELECT lpad(c_custkey::VARCHAR, 6, '0') AS key, 1 AS a FROM customer), b AS (SELECT DISTINCT lpad((o_custkey + 200)::VARCHAR, 6, '0') AS key, 1 AS b FROM orders WHERE o_orderkey % 3 = 0) SELECT count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS joined, count(*) FILTER (b IS NULL) AS only_left, count(*) FILTER (a IS NULL) AS only_right, min(key) FILTER (a IS NULL) AS example FROM a FULL JOIN b USING (key)",
     "j08_prefix_join": "SELECT substr(md5(p_partkey::VARCHAR), 1, 3) AS prefix, min(md5(p_partkey::VARCHAR)) AS id FROM part GROUP BY 1 HAVING count(*) = 1",
-    "j10_margin_links": "WITH p AS (SELECT o_custkey, l_suppkey, count(*) AS shared FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY shared DESC, l_suppkey) AS n, coalesce(lead(shared) OVER (PARTITION BY o_custkey ORDER BY shared DESC, l_suppkey), 0) AS second FROM p) SELECT o_custkey, l_suppkey, shared FROM r WHERE n = 1 AND second <= 0.8 * shared",
+    "j10_margin_links": "WITH p AS (SELECT o_custkey, l_suppkey, count(*) AS shared FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2), q AS (SELECT *, shared / sum(shared) OVER (PARTITION BY o_custkey) AS score FROM p), r AS (SELECT *, row_number() OVER w AS n, coalesce(lead(score) OVER w, 0) AS second, count(*) OVER (PARTITION BY o_custkey) AS candidates FROM q WINDOW w AS (PARTITION BY o_custkey ORDER BY score DESC, l_suppkey DESC)) SELECT o_custkey, l_suppkey, round(score, 9) AS score, round(second, 9) AS runner_up, candidates, replace(lower(s_name), '#', '') AS authors FROM r JOIN supplier ON s_suppkey = l_suppkey WHERE n = 1 AND score >= 0.05 AND second <= score * 0.8::DOUBLE",
     "j18_parent_resolve": "SELECT l_orderkey, p_name, p_type FROM lineitem LEFT JOIN part ON p_partkey = l_partkey",
     "j20_orphans": "WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) SELECT l_orderkey % 100 AS bucket, count(*) AS orphans FROM s WHERE (l_orderkey + l_linenumber) % 5 = 0 GROUP BY 1",
     "j28_pair_calls": f"WITH {_CALLS} SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS call, CASE WHEN event_id % 7 <> 0 THEN k END AS result FROM c WHERE event_id % 5 <> 0 OR event_id % 7 <> 0",
     "j31_browser": "SELECT c_custkey, c_name, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2",
     "s16_find_files": "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_type IN ('ECONOMY', 'PROMO') AND contains(p_name, 'ring') ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 20",
     "s19_rule_breaks": "SELECT count(*) FILTER (NOT (l_returnflag = 'A' OR l_tax < 0.08)) AS tax_rule, count(*) FILTER (l_suppkey = l_partkey) AS self_link, count(*) FILTER (l_linestatus NOT IN ('O', 'F')) AS status_rule FROM lineitem",
-    "s23_schema_drift": "SELECT * FROM (VALUES ('o_totalprice', 'decimal(12,2)', 'double'), ('o_clerk', 'string', NULL), ('o_orderdate', 'timestamp', 'timestamp_ntz')) t(field, expected, live)",
+    "s23_schema_drift": "WITH live AS (SELECT column_name AS field, CASE column_type WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END AS live FROM (DESCRIBE orders)), x AS (SELECT * FROM (VALUES ('o_orderkey', 'bigint'), ('o_totalprice', 'decimal(12,2)'), ('o_clerk', 'string'), ('o_orderdate', 'timestamp')) t(field, expected)) SELECT field, expected, live FROM x LEFT JOIN live USING (field) WHERE live IS DISTINCT FROM expected",
     "t07_list_memories": "SELECT conv_id, max(turn) AS turns, count(*) FILTER (role = 'user') AS asked FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1 ORDER BY turns DESC, conv_id LIMIT 50",
     "u01_union_arms": "WITH u AS (SELECT user_id % 20 AS case_id, user_id AS item, CASE event_type WHEN 'click' THEN 1 ELSE 2 END AS arm, event_id AS pos FROM events WHERE event_type IN ('click', 'view')) SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY case_id, item ORDER BY arm, pos) = 1",
     "u03_known_minus_made": "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)",

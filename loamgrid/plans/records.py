@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import geo
 from loamgrid.functions import text as X
+from loamgrid.operators import links as L
 from loamgrid.operators import lookups as U
 from loamgrid.operators import records as K
+from loamgrid.operators import retrieval as R
 from loamgrid.operators import spatial as S
 from loamgrid.plans import retrieval as Q
 from loamgrid.plans import views as V
@@ -70,14 +72,20 @@ def g10(spark, d):
 
 
 def r02(spark, d):
-    p = read(spark, d, "part")
-    return K.weighted_fulltext(p, "p_partkey", {"p_name": 1.0, "p_type": 0.5, "p_brand": 0.25}, ["widget", "promo", "red"])
+    """Units have four fields of falling weight, blocks three; a stem counts in the best field that holds it."""
+    p = read(spark, d, "part").withColumn("price", F.concat(F.lit("price "), F.floor("p_retailprice"), F.lit(" red promo")))
+    units = K.weighted_fulltext(p, "p_partkey", {"p_name": 1.0, "p_type": 0.5, "p_brand": 0.25, "price": 0.125}, ["widget", "promo", "red"])
+    blocks = K.weighted_fulltext(p, "p_partkey", {"p_type": 1.0, "p_name": 0.4, "price": 0.2}, ["ring", "economy", "price"])
+    return units.withColumn("kind", F.lit("unit")).unionByName(blocks.withColumn("kind", F.lit("block")))
 
 
 def r06(spark, d):
-    """Keyword and vector arms fused: rows of the embeddings whose id is a document's."""
+    """Keyword and vector arms of the same items, fused: an item's vector is the one with its id, as a document's is."""
     hits = Q.r01(spark, d).select("item_id", "doc_id", F.lit("keyword").alias("arm"), "rank")
-    near = Q.r05(spark, d).select((F.col("query_id") / 20).cast("long").alias("item_id"), F.col("vec_id").alias("doc_id"), F.lit("semantic").alias("arm"), "cosine")
+    v = read(spark, d, "embeddings").select("vec_id", "embedding")
+    items = read(spark, d, "benchmark").select("item_id").join(v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q")), "item_id")
+    found = R.knn(items, v.join(read(spark, d, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi"), "item_id", "q", "vec_id", "embedding", 10)
+    near = found.select("item_id", F.col("vec_id").alias("doc_id"), F.lit("semantic").alias("arm"), F.round("cosine", 6).alias("cosine"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("cosine"), "doc_id"))).drop("cosine")
     both = hits.unionByName(ranked)
     return both.groupBy("item_id", "doc_id").agg(F.round(F.sum(1 / (F.lit(60) + F.col("rank"))), 9).alias("fused"), F.array_join(F.array_sort(F.collect_set("arm")), "+").alias("arms"))
@@ -207,9 +215,11 @@ def a50(spark, d):
 
 
 def a51(spark, d):
-    """Distinct brands behind the parts of some orders."""
-    used = read(spark, d, "lineitem").where("l_orderkey % 500 = 3").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    return read(spark, d, "part").join(used, "p_partkey", "left_semi").select("p_brand").distinct()
+    """Brands behind each customer's orders: an order was derived from the one of half its number, returned lines are failed calls."""
+    o = read(spark, d, "orders")
+    derived = o.where("o_orderkey > 0").select(F.col("o_orderkey").alias("src"), F.floor(F.col("o_orderkey") / 2).alias("dst"))
+    brands = read(spark, d, "lineitem").join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("o_orderkey"), "p_brand", "l_returnflag")
+    return L.sources_used(o.select("o_custkey", "o_orderkey"), derived, brands, "o_custkey", "o_orderkey", "p_brand", F.col("l_returnflag") == "R")
 
 
 def a52(spark, d):
@@ -260,13 +270,25 @@ _S18 = " UNION ALL ".join(
     for t, body in _S18_TABLES.items()
 )
 
+def _held(column: str, stem: str) -> str:
+    return f"regexp_matches({column}, '(?i)(^|[^\\p{{L}}\\p{{N}}]){stem}(s|es|ing|ed)?($|[^\\p{{L}}\\p{{N}}])')"
+
+
+def _best_fields(kind: str, fields: dict[str, float], stems: tuple[str, ...]) -> str:
+    score = " + ".join("greatest(" + ", ".join(f"CASE WHEN {_held(c, t)} THEN {w} ELSE 0 END" for c, w in fields.items()) + ")" for t in stems)
+    return f"SELECT p_partkey, ({score})::DOUBLE AS score, '{kind}' AS kind FROM p"
+
+
+_R02 = "WITH p AS (SELECT *, 'price ' || floor(p_retailprice)::BIGINT || ' red promo' AS price FROM part), s AS (" + _best_fields("unit", {"p_name": 1.0, "p_type": 0.5, "p_brand": 0.25, "price": 0.125}, ("widget", "promo", "red"))
+_R02 += " UNION ALL " + _best_fields("block", {"p_type": 1.0, "p_name": 0.4, "price": 0.2}, ("ring", "economy", "price")) + ") SELECT * FROM s WHERE score > 0"
+
 SQL = {
     "a45_method_spec_merge": "WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Load  ' || upper(role) ELSE 'load ' || role END AS step FROM conversations), f AS (SELECT conv_id, lower(regexp_replace(step, '\\s+', ' ', 'g')) AS key, min(turn) AS turn, arg_min(step, turn) AS step FROM s GROUP BY 1, 2) SELECT conv_id, string_agg(step, '|' ORDER BY turn) AS steps FROM f GROUP BY 1",
     "a50_answer_diagnostics": "SELECT p_type, count(*) AS n, count(*) FILTER (p_partkey % 6 = 0) AS unnamed, count(*) FILTER (p_partkey % 6 <> 0) - count(DISTINCT p_name) FILTER (p_partkey % 6 <> 0) AS repeated FROM part GROUP BY 1",
-    "a51_sources_used": "SELECT DISTINCT p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 500 = 3)",
+    "a51_sources_used": "WITH RECURSIVE r(o_custkey, node) AS (SELECT o_custkey, o_orderkey FROM orders UNION SELECT r.o_custkey, r.node // 2 FROM r JOIN orders o ON o.o_orderkey = r.node WHERE r.node > 0) SELECT DISTINCT o_custkey, p_brand FROM r JOIN lineitem ON l_orderkey = node JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'R'",
     "a52_zone_support": "WITH n AS (SELECT label, count(*) AS pixels FROM embeddings GROUP BY 1) SELECT min(pixels) AS least, median(pixels) AS median, max(pixels) AS most FROM n",
     "c06_themes_grounded": "WITH s AS (SELECT source, (max(contains(lower(text), 'ofthe')::INT) + max(contains(lower(text), 'tion')::INT) + max(contains(lower(text), 'ning')::INT) + max(contains(lower(text), 'zzz')::INT)) / 4.0::DOUBLE AS share FROM documents GROUP BY 1) SELECT source, round(share, 6) AS share, share >= 0.7 AS grounded FROM s",
-    "c11_printed_vs_measured": "SELECT s_suppkey AS site_id, CASE s_suppkey % 3 WHEN 0 THEN 'measured' WHEN 1 THEN 'degrees as metres' ELSE 'unmatched' END AS verdict FROM supplier",
+    "c11_printed_vs_measured": "WITH s AS (SELECT s_suppkey AS site_id, s_acctbal AS b, CASE s_suppkey % 3 WHEN 0 THEN s_acctbal WHEN 1 THEN s_acctbal * 111320 ELSE s_acctbal + 77 END AS printed FROM supplier) SELECT site_id, CASE WHEN abs(printed - b) <= abs(b) * 1e-6 THEN 'measured' WHEN abs(printed / 111320 - b) <= abs(b) * 1e-6 THEN 'degrees as metres' ELSE 'unmatched' END AS verdict FROM s",
     "d04_period_range": "WITH p AS (SELECT o_orderkey, date_trunc('year', o_orderdate)::TIMESTAMP AS y, date_trunc('month', o_orderdate)::TIMESTAMP AS m FROM orders) SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN y WHEN 1 THEN y ELSE least(m, '2003-01-01'::TIMESTAMP) END AS low, CASE o_orderkey % 3 WHEN 2 THEN greatest(m + INTERVAL 1 MONTH, '2004-01-01'::TIMESTAMP) ELSE y + INTERVAL 1 YEAR END - INTERVAL 1 MICROSECOND AS high FROM p",
     "d07_iso_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
     "f10_visibility": "SELECT p_partkey FROM part WHERE p_partkey % 5 NOT IN (1, 2)",
@@ -284,8 +306,8 @@ SQL = {
     "j29_spec_to_unit": "WITH u AS (SELECT p_name, min(p_partkey) AS unit FROM part WHERE p_name IN ('red widget', 'small ring') GROUP BY 1) SELECT s_suppkey, unit FROM supplier, u",
     "m03_term_hit": "SELECT p_partkey, regexp_matches(p_name, '(?i)(^|[^\\p{L}\\p{N}])widget(s|es|ing|ed)?($|[^\\p{L}\\p{N}])') AS hit, regexp_matches(p_name, '(?i)(^|[^\\p{L}\\p{N}])wid(s|es|ing|ed)?($|[^\\p{L}\\p{N}])') AS part_hit FROM part",
     "m20_split_name": "SELECT p_partkey, split_part(p_name, ' ', 1) AS first, substr(p_name, length(split_part(p_name, ' ', 1)) + 2) AS last FROM part",
-    "r02_weighted_fulltext": "WITH s AS (SELECT p_partkey, " + " + ".join(f"greatest(CASE WHEN regexp_matches(p_name, '(?i)(^|[^\\p{{L}}\\p{{N}}]){t}(s|es|ing|ed)?($|[^\\p{{L}}\\p{{N}}])') THEN 1.0 ELSE 0 END, CASE WHEN regexp_matches(p_type, '(?i)(^|[^\\p{{L}}\\p{{N}}]){t}(s|es|ing|ed)?($|[^\\p{{L}}\\p{{N}}])') THEN 0.5 ELSE 0 END)" for t in ("widget", "promo", "red")) + " AS score FROM part) SELECT p_partkey, score::DOUBLE AS score FROM s WHERE score > 0",
-    "r06_all_arms": f"WITH k AS ({Q.SQL['r01_bm25_search']}), v AS ({_R05}), a AS (SELECT item_id, doc_id, 'keyword' AS arm, rank FROM k UNION ALL SELECT query_id // 20, vec_id, 'semantic', row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) FROM v) SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS fused, string_agg(arm, '+' ORDER BY arm) AS arms FROM a GROUP BY 1, 2",
+    "r02_weighted_fulltext": _R02,
+    "r06_all_arms": f"WITH k AS ({Q.SQL['r01_bm25_search']}), e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT item_id, b.vec_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS c FROM benchmark JOIN e a ON a.vec_id = item_id JOIN e b ON b.vec_id <> a.vec_id AND b.vec_id IN (SELECT doc_id FROM documents)), v AS (SELECT item_id, vec_id, round(c, 6) AS cosine FROM p QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY c DESC, vec_id) <= 10), a AS (SELECT item_id, doc_id, 'keyword' AS arm, rank FROM k UNION ALL SELECT item_id, vec_id, 'semantic', row_number() OVER (PARTITION BY item_id ORDER BY cosine DESC, vec_id) FROM v) SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS fused, string_agg(arm, '+' ORDER BY arm) AS arms FROM a GROUP BY 1, 2",
     "s18_record_tables": _S18,
     "t02_by_popularity": "SELECT user_id, count(*) AS clicks FROM events WHERE event_type = 'click' GROUP BY 1 ORDER BY clicks DESC, user_id LIMIT 30",
     "t03_graph_score": "SELECT user_id, round(log10(count(*) FILTER (event_type = 'click') + 1) * 0.3::DOUBLE + count(DISTINCT event_type) * 0.05::DOUBLE, 9) AS score FROM events GROUP BY 1",

@@ -174,7 +174,7 @@ def m01(spark, d):
 def m02(spark, d):
     w = F.element_at(F.split("p_name", " "), -1)
     words = [F.concat(w, F.lit(s)) for s in ("", "s", "es", "ing", "ies")]
-    return read(spark, d, "part").select("p_partkey", F.array_join(F.array(*[X.stem_plural(x) for x in words]), ",").alias("plural"), F.array_join(F.array(*[X.stem_crude(x) for x in words]), ",").alias("crude"))
+    return read(spark, d, "part").select("p_partkey", F.array_join(F.array(*[X.stem_plural(x) for x in words]), ",").alias("plural"), F.array_join(F.array(*[X.stem_crude(x) for x in words]), ",").alias("crude"), F.array_join(F.array(*[X.stem_long(x) for x in words]), ",").alias("long"))
 
 
 def m05(spark, d):
@@ -186,7 +186,7 @@ def m07(spark, d):
 
 
 def m08(spark, d):
-    url = F.concat(F.lit("https://github.com/o"), F.col("p_partkey"), F.lit("/r/blob/main/"), F.replace("p_name", F.lit(" "), F.lit("/")))
+    url = F.concat(F.lit("https://github.com/o"), F.col("p_partkey"), F.when(F.col("p_partkey") % 3 == 0, "/r/blob/main/").when(F.col("p_partkey") % 3 == 1, "/r/tree/main/").otherwise("/r/raw/main/"), F.replace("p_name", F.lit(" "), F.lit("/")))
     return read(spark, d, "part").select("p_partkey", X.blob_to_raw(url).alias("raw"))
 
 
@@ -196,7 +196,10 @@ def m09(spark, d):
 
 
 def m11(spark, d):
-    return read(spark, d, "part").select("p_partkey", X.author_key(F.concat(F.lit("and Dr. "), F.col("p_name"))).alias("author"), X.slug(F.concat_ws(" -- ", "p_brand", "p_name")).alias("slug"), X.error_class(F.concat(F.lit("io."), F.replace(F.initcap("p_type"), F.lit(" "), F.lit("")), F.lit("Error: x"))).alias("error"))
+    name = F.concat(F.when(F.col("p_partkey") % 4 == 0, " and ").when(F.col("p_partkey") % 4 == 1, "& ").when(F.col("p_partkey") % 4 == 2, "AND  ").otherwise("Andy "), F.lit("Dr. "), F.initcap("p_name"), F.lit(", J.-P. (éd.)"))
+    error = F.concat(F.lit("io."), F.replace(F.initcap("p_type"), F.lit(" "), F.lit("")), F.lit("Error: x"))
+    tag = F.concat(name, F.lit("/ü"), F.repeat("p_brand", 20))
+    return read(spark, d, "part").select("p_partkey", X.author_key(name).alias("author"), X.slug(F.concat_ws(" -- ", "p_brand", "p_name")).alias("slug"), X.error_class(error).alias("error"), X.sanitize_tag(tag).alias("tag"))
 
 
 def m13(spark, d):
@@ -243,6 +246,11 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _TRACK = ", ".join(f"'{w}'" for w in X.TRACKING)
 
 
+_CUT = "CASE " + " ".join(f"WHEN ends_with({{w}}, '{e}') AND length({{w}}) >= {len(e) + 3} THEN left({{w}}, length({{w}}) - {len(e)})" for e in X.LONG_ENDINGS) + " ELSE {w} END"
+_LONG = f"list_transform([{_CUT}], lambda c: CASE WHEN length(c) > 3 AND substr(c, -1, 1) = substr(c, -2, 1) AND NOT contains('aeiou', substr(c, -1, 1)) THEN left(c, length(c) - 1) ELSE c END)[1]"
+_M11_NAME = "CASE p_partkey % 4 WHEN 0 THEN ' and ' WHEN 1 THEN '& ' WHEN 2 THEN 'AND  ' ELSE 'Andy ' END || 'Dr. ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') || ', J.-P. (éd.)'"
+
+
 def _endings(rule: str) -> str:
     return "concat_ws(',', " + ", ".join(rule.format(w=f"(w || '{s}')") for s in ("", "s", "es", "ing", "ies")) + ")"
 
@@ -269,7 +277,7 @@ SELECT item_id, page_id, round(sum(weight * idf), 6) AS score FROM h JOIN g USIN
     "r04_overlap_search": "WITH o AS (SELECT p_partkey, contains(p_name, 'small')::INT + contains(p_name, 'red')::INT + contains(p_name, 'widget')::INT + contains(p_name, 'ring')::INT + contains(p_name, 'bolts')::INT AS overlap FROM part) SELECT * FROM o WHERE overlap > 0",
     "r05_knn_search": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, round({_COS.format(a='q.e', b='v.e')}, 9) AS c FROM v q, v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS k FROM p) SELECT query_id, vec_id, round(c, 6) AS cosine FROM r WHERE k <= 10",
     "r08_change_curve": f"WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, first_value(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) SELECT vec_id, label, round(1 - {_COS.format(a='e', b='b')}, 6) + 0 AS change FROM v",
-    "f25_vector_refusal": "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'width' WHEN vec_id % 11 = 0 THEN 'all zero' WHEN vec_id % 13 = 0 THEN 'missing' END AS refusal FROM embeddings",
+    "f25_vector_refusal": "WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN embedding[1:10] WHEN vec_id % 11 = 0 THEN list_transform(embedding, lambda x: x * 0) WHEN vec_id % 13 <> 0 THEN embedding END AS v FROM embeddings) SELECT vec_id, CASE WHEN v IS NULL THEN 'missing' WHEN len(v) <> 64 THEN 'width' WHEN len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not finite' WHEN len(list_filter(v, lambda x: x <> 0)) = 0 THEN 'all zero' END AS refusal FROM v",
     "w01_rrf_fuse": f"WITH {_LISTS}, r AS (SELECT *, row_number() OVER (PARTITION BY case_id, arm ORDER BY score DESC, pos) AS r FROM l) SELECT case_id, item, round(sum(1 / (60 + r)), 9) AS fused FROM r GROUP BY 1, 2",
     "w02_dedupe_keep_first": f"WITH {_LISTS} SELECT case_id, item, pos, arm FROM l QUALIFY row_number() OVER (PARTITION BY case_id, item ORDER BY pos) = 1",
     "w03_dedupe_prefer_linkable": f"WITH {_LISTS} SELECT case_id, item, pos, arm FROM l QUALIFY row_number() OVER (PARTITION BY case_id, item ORDER BY (arm = 'click')::INT DESC, pos) = 1",
@@ -288,12 +296,12 @@ SELECT case_id, item, CASE WHEN c IS NOT NULL AND v IS NOT NULL THEN 'keyword+se
     "f22_reach_bucket": "SELECT CASE WHEN length(html) < 1500 THEN 'thin' WHEN contains(html, '<article') THEN 'article' WHEN contains(html, '<main') THEN 'main' ELSE 'other' END AS bucket, count(*) AS n, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1",
     "f23_needs_context": f"SELECT conv_id, turn, conv_id % 3 = 0 OR regexp_matches(text, '{X.FOLLOW_UPS}') AS needs_context FROM conversations WHERE role = 'user'",
     "f27_link_kind": "WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?]+)', 1) AS h FROM pages) SELECT page_id, CASE WHEN regexp_matches(h, '(^|\\.)example\\.com$') THEN 'portal' WHEN regexp_matches(h, '(^|\\.)example\\.net$') THEN 'opaque' WHEN regexp_matches(h, '(^|\\.)example\\.org$') THEN 'deposit' ELSE 'direct' END AS kind FROM h",
-    "m02_stems": f"WITH p AS (SELECT p_partkey, split_part(p_name, ' ', -1) AS w FROM part) SELECT p_partkey, {_endings(_PLURAL)} AS plural, {_endings(_CRUDE)} AS crude FROM p",
+    "m02_stems": f"WITH p AS (SELECT p_partkey, split_part(p_name, ' ', -1) AS w FROM part) SELECT p_partkey, {_endings(_PLURAL)} AS plural, {_endings(_CRUDE)} AS crude, {_endings(_LONG)} AS long FROM p",
     "m07_canonical_url": f"""WITH b AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages), c AS (SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS head, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*([^?]*)', 1) AS path, list_filter(string_split(regexp_extract(u, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({_TRACK}) AND NOT regexp_matches(lower(split_part(p, '=', 1)), '^({'|'.join(X.TRACKING_BEGINNINGS)})')) AS kept FROM b)
 SELECT page_id, regexp_replace(regexp_replace(head, '^(http://[^:]*):80$', '\\1'), '^(https://[^:]*):443$', '\\1') || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM c""",
-    "m08_blob_to_raw": "SELECT p_partkey, 'https://raw.githubusercontent.com/o' || p_partkey || '/r/main/' || replace(p_name, ' ', '/') AS raw FROM part",
-    "m09_dois": "SELECT p_partkey, '10.1234/ab.' || p_partkey || ' 10.5555/' || lower(replace(p_brand, '#', '-')) AS dois FROM part",
-    "m11_keys": "SELECT p_partkey, 'dr' || replace(p_name, ' ', '') AS author, 'brand-' || split_part(p_brand, '#', 2) || '-' || replace(p_name, ' ', '-') AS slug, upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || 'Error' AS error FROM part",
+    "m08_blob_to_raw": "WITH u AS (SELECT p_partkey, 'https://github.com/o' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '/r/blob/main/' WHEN 1 THEN '/r/tree/main/' ELSE '/r/raw/main/' END || replace(p_name, ' ', '/') AS u FROM part) SELECT p_partkey, regexp_replace(u, '^https?://github\\.com/([^/]+)/([^/]+)/blob/(.+)$', 'https://raw.githubusercontent.com/\\1/\\2/\\3') AS raw FROM u",
+    "m09_dois": "WITH t AS (SELECT p_partkey, 'See https://doi.org/10.1234/AB.' || p_partkey || ') and doi:10.5555/' || replace(p_brand, '#', '-') || ', twice 10.5555/' || replace(p_brand, '#', '-') || '.' AS t FROM part), f AS (SELECT p_partkey, list_transform(regexp_extract_all(lower(t), '10\\.[0-9]{4,9}/[^\\s<>]+'), lambda d: regexp_replace(d, '[.,;:)\\]}]+$', '')) AS ds FROM t) SELECT p_partkey, array_to_string(list_filter(ds, lambda d, i: list_position(ds, d) = i), ' ') AS dois FROM f",
+    "m11_keys": f"WITH n AS (SELECT *, {_M11_NAME} AS name FROM part) SELECT p_partkey, regexp_replace(lower(trim(regexp_replace(regexp_replace(trim(name), '^(and|&)\\s+', '', 'i'), '[^\\p{{L}}\\p{{N}}_\\s.-]', '', 'g'))), '\\s+', ' ', 'g') AS author, rtrim(substr(trim(regexp_replace(lower(p_brand || ' -- ' || p_name), '[^a-z0-9]+', '-', 'g'), '-'), 1, 64), '-') AS slug, split_part(regexp_extract('io.' || upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) || 'Error: x', '^\\s*([A-Za-z_.]*(?:Error|Exception))\\b', 1), '.', -1) AS error, substr(regexp_replace(name || '/ü' || repeat(p_brand, 20), '[^A-Za-z0-9+=._:/ -]', '_', 'g'), 1, 128) AS tag FROM n",
     "m01_tokens": "WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS w, split_part(p_brand, '#', 2) AS n FROM part), t AS (SELECT p_partkey, unnest(list_distinct(list_concat(['get', 'get' || w[1], 'brand', n], w))) AS t FROM p) SELECT p_partkey, string_agg(t, ' ' ORDER BY t) AS tokens FROM t GROUP BY 1",
     "m05_keyword_summary": f"""WITH w AS (SELECT conv_id, turn, list_filter({_WORDS.format(c='text')}, lambda w: length(w) >= 3 AND w NOT IN ({_STOP})) AS ws FROM conversations), x AS (SELECT conv_id, turn, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM w), f AS (SELECT conv_id, turn, w, min(k) AS k FROM x GROUP BY 1, 2, 3), g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) AS n FROM f)
 SELECT c.conv_id, c.turn, coalesce(string_agg(g.w, ' ' ORDER BY g.n), '') AS keywords FROM conversations c LEFT JOIN g ON g.conv_id = c.conv_id AND g.turn = c.turn AND g.n <= 6 GROUP BY 1, 2""",

@@ -167,8 +167,55 @@ def osm_features(elements: DataFrame) -> DataFrame:
 ASSET = "id string, source string, title string, abstract string, keywords array<string>, bbox array<double>, start string, end string, license string"
 
 
+def bounds_of(shape: Column) -> Column:
+    """[xmin, ymin, xmax, ymax] of all coordinate pairs in the JSON text of a shape; null if it has none."""
+    number = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
+    part = lambda k: F.transform(F.regexp_extract_all(shape, F.lit(rf"\[\s*{number}\s*,\s*{number}"), F.lit(k)), lambda x: x.try_cast("double"))
+    return F.when(F.size(part(1)) > 0, F.array(F.array_min(part(1)), F.array_min(part(2)), F.array_max(part(1)), F.array_max(part(2))))
+
+
+def interval(text: Column) -> tuple[Column, Column]:
+    """(start, end) of "a/b", either of which may be empty; a single time is both."""
+    parts = F.split(text, "/")
+    side = lambda k: F.when(F.size(parts) == 2, F.nullif(F.trim(F.get(parts, F.lit(k))), F.lit(""))).otherwise(text)
+    return side(0), side(1)
+
+
+def _datacite(j, words) -> tuple[Column, ...]:  # noqa: ANN001
+    """A DataCite record: the first usable box, else point; a collected, created or coverage range, else any date, else the year; the longest abstract."""
+    a = "$.attributes"
+    places = F.from_json(j(f"{a}.geoLocations"), "array<struct<geoLocationBox:struct<westBoundLongitude:string,eastBoundLongitude:string,southBoundLatitude:string,northBoundLatitude:string>,geoLocationPoint:struct<pointLongitude:string,pointLatitude:string>>>")
+    number = lambda x: x.try_cast("double")
+
+    def extent(p: Column) -> Column:
+        b, q = p["geoLocationBox"], p["geoLocationPoint"]
+        w, e, s, n = (number(b[k]) for k in ("westBoundLongitude", "eastBoundLongitude", "southBoundLatitude", "northBoundLatitude"))
+        x, y = number(q["pointLongitude"]), number(q["pointLatitude"])
+        box = F.array(F.least(w, e), F.least(s, n), F.greatest(w, e), F.greatest(s, n))
+        inside = lambda lon, lat: lon.between(-180, 180) & lat.between(-90, 90)
+        return F.when(inside(w, s) & inside(e, n), box).when(inside(x, y), F.array(x, y, x, y))
+
+    dates = F.filter(F.from_json(j(f"{a}.dates"), "array<struct<date:string,dateType:string>>"), lambda d: F.trim(d["date"]) != "")
+    main = F.filter(dates, lambda d: F.lower(d["dateType"]).isin("collected", "created", "coverage"))
+    start, end = interval(F.trim(F.get(F.coalesce(F.when(F.size(main) > 0, main), dates), F.lit(0))["date"]))
+    ranged = F.contains(F.get(main, F.lit(0))["date"], F.lit("/"))
+    year = F.concat(j(f"{a}.publicationYear"), F.lit("-01-01"))
+    told = F.filter(F.from_json(j(f"{a}.descriptions"), "array<struct<description:string,descriptionType:string>>"), lambda d: F.trim(d["description"]) != "")
+    abstracts = F.filter(told, lambda d: d["descriptionType"] == "Abstract")
+    longest = F.aggregate(F.transform(F.when(F.size(abstracts) > 0, abstracts).otherwise(told), lambda d: F.trim(d["description"])), F.lit(None).cast("string"), lambda m, d: F.when(m.isNull() | (F.length(d) > F.length(m)), d).otherwise(m))
+    rights = F.from_json(j(f"{a}.rightsList"), "array<struct<rightsIdentifier:string,rights:string,rightsUri:string>>")
+    licence = F.get(F.filter(F.transform(rights, lambda r: F.coalesce(r["rightsIdentifier"], r["rights"], r["rightsUri"])), lambda r: r.isNotNull()), F.lit(0))
+    subjects = F.transform(F.from_json(j(f"{a}.subjects"), "array<struct<subject:string>>"), lambda s: s["subject"])
+    title = F.trim(F.get(F.from_json(j(f"{a}.titles"), "array<struct<title:string>>"), F.lit(0))["title"])
+    box = F.get(F.filter(F.transform(places, extent), lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(j(f"{a}.doi"), j("$.id")), title, longest, F.filter(subjects, lambda s: s.isNotNull()), box, F.coalesce(start, year), F.when(ranged, end), licence
+
+
 def normalise_catalog(landed: DataFrame) -> DataFrame:
-    """Landed payloads (provider, payload JSON text) of STAC, CKAN and CMR to one asset schema; unknown providers are left out."""
+    """Landed payloads (provider, payload JSON text) of STAC, CKAN, CMR, OGC Records, Socrata, data.gov and DataCite to one asset schema.
+
+    Unknown providers are left out.
+    """
     j = lambda path: F.get_json_object("payload", path)
     words = lambda path: F.from_json(j(path), "array<string>")
     numbers = lambda path: F.from_json(j(path), "array<double>")
@@ -177,6 +224,20 @@ def normalise_catalog(landed: DataFrame) -> DataFrame:
         "stac": (j("$.id"), j("$.properties.title"), j("$.properties.description"), words("$.properties.keywords"), numbers("$.bbox"), F.coalesce(j("$.properties.start_datetime"), j("$.properties.datetime")), j("$.properties.end_datetime"), j("$.properties.license")),
         "ckan": (j("$.name"), j("$.title"), j("$.notes"), F.transform(F.from_json(j("$.tags"), "array<struct<name:string>>"), lambda t: t["name"]), F.lit(None).cast("array<double>"), j("$.metadata_created"), none, j("$.license_id")),
         "cmr": (j("$.id"), j("$.dataset_id"), j("$.summary"), F.lit(None).cast("array<string>"), F.transform(F.split(j("$.boxes[0]"), " "), lambda x: x.try_cast("double")), j("$.time_start"), j("$.time_end"), none),
+        "ogc-records": (
+            F.coalesce(j("$.id"), j("$.properties.identifier"), j("$.properties.id")), F.coalesce(j("$.properties.title"), j("$.properties.name"), j("$.id")), j("$.properties.description"), words("$.properties.keywords"),
+            F.coalesce(numbers("$.bbox"), numbers("$.properties.bbox")), j("$.properties.datetime"), j("$.properties.end_datetime"), j("$.properties.license"),
+        ),
+        "socrata": (
+            F.coalesce(j("$.resource.id"), j("$.permalink"), j("$.link")), F.coalesce(j("$.resource.name"), F.lit("Untitled Socrata dataset")), j("$.resource.description"),
+            F.filter(F.concat(*[F.coalesce(words(p), F.array().cast("array<string>")) for p in ("$.classification.tags", "$.classification.domain_tags")], F.array(j("$.classification.domain_category"))), lambda t: t.isNotNull() & (t != "")),
+            F.lit(None).cast("array<double>"), j("$.resource.createdAt"), j("$.resource.updatedAt"), j("$.resource.license"),
+        ),
+        "datagov": (
+            F.coalesce(j("$.identifier"), j("$.dcat.identifier"), j("$.dcat.landingPage")), F.coalesce(j("$.title"), j("$.dcat.title"), F.lit("Untitled dataset")), F.coalesce(j("$.description"), j("$.dcat.description")),
+            F.coalesce(words("$.keyword"), words("$.dcat.keyword")), bounds_of(j("$.spatial_shape")), *interval(F.nullif(j("$.dcat.temporal"), F.lit(""))), F.coalesce(j("$.dcat.license"), j("$.publisher.license")),
+        ),
+        "datacite": _datacite(j, words),
     }
     names = [p.split()[0] for p in ASSET.split(", ") if not p.startswith("source")]
     out = None
