@@ -148,21 +148,21 @@ def getis_star(values: DataFrame, pairs: DataFrame, key: str, x: str) -> DataFra
 def permutation_p(values: DataFrame, weights: DataFrame, key: str, x: str, permutations: int = 99) -> DataFrame:
     """One row: Moran's I and its pseudo p from shuffles of the values.
 
-    A shuffle is the order of a hash of replicate and key, matched with the order of keys, which all replicates share. All
+    A shuffle is the order of the MD5 of "replicate:key", matched with the order of keys, which all replicates share. All
     replicates are sorted together by ranges and numbered there, so no task holds a replicate or all areas.
     """
     permutations = min(max(permutations, 99), 99_999)
     z = durable(z_scores(values, key, x).select(key, "z"))
     n = z.count()
     reps = z.sparkSession.range(permutations).select(F.col("id").alias("rep"))
-    each = z.crossJoin(F.broadcast(reps)).withColumn("__hash", F.xxhash64("rep", key))
+    each = z.crossJoin(F.broadcast(reps)).withColumn("__hash", F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col(key).cast("string")).cast("binary")))
     by_hash = numbered(each, ["rep", "__hash", key]).select("rep", (F.col("at") % max(n, 1)).alias("n"), "z")
     by_key = numbered(z, key, "n").select(key, "n")
     moved = by_hash.join(by_key, "n").select("rep", key, "z")
     a, b = moved.select("rep", F.col(key).alias("i"), F.col("z").alias("zi")), moved.select("rep", F.col(key).alias("j"), F.col("z").alias("zj"))
     draws = weights.join(a, "i").join(b, ["rep", "j"]).groupBy("rep").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("m"))
     seen = weights.join(z.select(F.col(key).alias("i"), F.col("z").alias("zi")), "i").join(z.select(F.col(key).alias("j"), F.col("z").alias("zj")), "j").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("seen"))
-    larger = draws.crossJoin(F.broadcast(seen)).agg(F.count_if(F.col("m") >= F.col("seen")).alias("larger"), F.count("*").alias("draws"), F.first("seen").alias("seen"))
+    larger = draws.crossJoin(F.broadcast(seen)).agg(F.count_if(F.col("m") >= F.col("seen") - 1e-9).alias("larger"), F.count("*").alias("draws"), F.first("seen").alias("seen"))
     extreme = F.least(F.col("larger"), F.col("draws") - F.col("larger"))
     return larger.select("seen", "draws", ((extreme + 1) / (F.col("draws") + 1)).alias("p_sim"))
 

@@ -6,6 +6,63 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What is served in place of a document, and phrases that tell it, the first kind that fits counts.
+SERVED_INSTEAD = {
+    "a bot-check page": ["confirm you are a human", "are you a robot", "verify you are human", "enable javascript and cookies", "checking your browser", "ticking the box below", "cf-browser-verification"],
+    "a paywall or login page": ["purchase access", "institutional login", "sign in to continue", "subscribe to view", "get access to this article", "you do not have access"],
+    "an error page": ["404 not found", "page not found", "403 forbidden", "service unavailable", "we apologize for the inconvenience"],
+    "a cookie consent page": ["we use cookies", "accept all cookies", "cookie preferences"],
+}
+#: Outcomes of reading a file and phrases of the reader's reason that tell them, in the order in which they are tried.
+REACH = {
+    "wall": ["bot-check", "paywall", "cookie consent", "error page"], "empty": ["empty (0 bytes)"], "no text": ["no text layer"],
+    "wrong type": ["zip archive", "no reader for extension", "carried no extractable text"], "broken": ["could not parse", "not installed", "could not be opened"],
+}
+#: Causes of findings by the check that found them and an expression for its message, in the order in which they are tried.
+CAUSES = (
+    ("gate:count_population", "exceeds every frame", "a count that isn't of rows"), ("gate:count_population", "", "count check: other"),
+    ("gate:declared_units", "fractional", "a mean read as a count"), ("gate:declared_units", "unrecognised unit", "a unit not in the vocabulary"), ("gate:declared_units", "", "declared unit missing or unparseable"),
+    ("gate:projected_crs", r"\.(?:area|length)\s*>\s*0\b", "a test for non-zero size"), ("gate:projected_crs", r"print\(", "a printed size"), ("gate:projected_crs", "", "a metric operation on a geographic CRS"),
+    ("gate:", "", "another gate"), ("audit", "", "a claim outside the record"), ("number_scan", "", "a number that isn't resolved"), ("agreement", "", "runs disagree"),
+)
+
+
+def reach_bucket(reason: Column, chars: Column) -> Column:
+    """What became of reading a document, from the reader's reason and how many characters it got; a reason that is only a note beside a text is readable."""
+    low, some = F.lower(F.coalesce(reason, F.lit(""))), F.coalesce(chars, F.lit(0)) > 0
+    out = F.when((low == "") & some, "readable")
+    for bucket, phrases in REACH.items():
+        out = out.when(held(low, phrases) > 0, bucket)
+    return out.when(some, "readable").otherwise("wrong type")
+
+
+def finding_cause(check: Column, message: Column, rules: tuple[tuple[str, str, str], ...] = CAUSES, other: str = "unattributed") -> Column:
+    """The cause of the first rule (check, message expression, cause) that fits; a check that ends with a colon stands for all that begin so."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, pattern, cause in rules:
+        fits = check.startswith(name) if name.endswith(":") else check == name
+        out = out.when(fits & F.coalesce(message, F.lit("")).rlike(pattern) if pattern else fits, cause)
+    return out.otherwise(other)
+
+
+class NoSuchCategory(ValueError):
+    """A category or kind that no row has; the message names kinds that there are."""
+
+
+def category_filter(df: DataFrame, column: str, name: str, categories: dict[str, list[str]], named: int = 40) -> DataFrame:
+    """Rows of the kinds that a category stands for, or of the kind of that name, letter case and blanks at the ends aside.
+
+    Nothing found is an error that names up to ``named`` of the kinds that there are.
+    """
+    key = name.strip().upper()
+    kinds = {k.upper(): [x.upper() for x in v] for k, v in categories.items()}.get(key, [key])
+    out = df.where(F.upper(F.col(column).cast("string")).isin(*kinds))
+    if not out.limit(1).count():
+        there = [r[0] for r in df.select(F.upper(F.col(column).cast("string")).alias("k")).where("k is not null").distinct().orderBy("k").limit(named).collect()]
+        raise NoSuchCategory(f"{name!r} matches no row; categories: {sorted(categories)}; kinds: {there}")
+    return out
+
+
 def held(text: Column, terms: list[str]) -> Column:
     """How many of ``terms`` a text holds, letter case aside; 0 for a null text."""
     low = F.lower(F.coalesce(text, F.lit("")))
@@ -34,14 +91,18 @@ def author_lookup(works: DataFrame, people: DataFrame, on: str, name: str, part:
     return works.join(found, on).withColumn("score", F.log10(clicks + 1) * weight)
 
 
-def lookups(items: DataFrame, finds: dict[str, Column], bonus: dict[str, float]) -> DataFrame:
-    """Items that any of the named lookups finds, in one pass, with ``score``: the sum of the bonuses of those that do."""
+def lookups(items: DataFrame, finds: dict[str, Column], bonus: dict[str, float], names: str | None = None) -> DataFrame:
+    """Items that any of the named lookups finds, in one pass, with ``score``: the sum of the bonuses of those that do.
+
+    With ``names`` a column of that name lists the lookups that found an item.
+    """
     hit = {k: F.coalesce(c, F.lit(False)) for k, c in finds.items()}
     anywhere = F.lit(False)
     for c in hit.values():
         anywhere = anywhere | c
     score = sum((F.when(hit[k], float(b)).otherwise(0.0) for k, b in bonus.items()), F.lit(0.0))
-    return items.where(anywhere).withColumn("score", score)
+    out = items.where(anywhere).withColumn("score", score)
+    return out.withColumn(names, F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in hit.items()]))) if names else out
 
 
 def link_kind(url: Column, suffixes: dict[str, list[str]]) -> Column:
@@ -79,3 +140,41 @@ def themes_grounded(docs: DataFrame, group: str, text: str, words: list[str], le
 def census(elements: DataFrame, kind: Column, private: Column) -> DataFrame:
     """(kind, n) of the elements that aren't private; a null mark isn't private."""
     return elements.where(~F.coalesce(private, F.lit(False))).groupBy(kind).agg(F.count("*").alias("n"))
+
+
+#: Names too general to tell a unit by.
+GENERIC_NAMES = ("analyze", "build", "compute", "data", "get", "load", "main", "make", "map", "model", "plot", "process", "read", "run", "set", "test", "train")
+
+
+def tool_names(tool: Column) -> Column:
+    """Names that a tool in a text may go by: what follows its last dot up to a bracket, what stands in brackets (also joined by underscores), and all of it so joined.
+
+    Names under four characters and general ones are left out.
+    """
+    text = F.trim(F.coalesce(tool, F.lit("")))
+    inner = F.transform(F.regexp_extract_all(text, F.lit(r"\(([^)]{2,40})\)"), F.lit(1)), lambda x: F.lower(F.trim(x)))
+    joined = F.transform(inner, lambda x: F.replace(F.replace(x, F.lit("-"), F.lit("")), F.lit(" "), F.lit("_")))
+    last = F.lower(F.trim(F.regexp_replace(F.element_at(F.split(text, r"\."), -1), r"\([^(]*$", "")))
+    names = F.concat(F.array(last), inner, joined, F.array(F.replace(F.lower(text), F.lit(" "), F.lit("_"))))
+    return F.array_distinct(F.filter(names, lambda x: (F.length(x) >= 4) & ~x.isin(*GENERIC_NAMES)))
+
+
+def spec_unit_links(specs: DataFrame, units: DataFrame, spec: str, tools: str, unit: str, symbol: str, ambiguous: Column, alias: Column) -> DataFrame:
+    """(spec, unit, matched, confidence): units whose whole symbol is a name of a tool that a spec refers to, once for each unit, with confidence low.
+
+    Units that are marked ambiguous or as an alias take no part. Where several names find a unit, the smallest counts.
+    """
+    good = units.where(~F.coalesce(ambiguous, F.lit(False)) & ~F.coalesce(alias, F.lit(False))).select(unit, F.lower(F.trim(symbol)).alias("matched")).where("matched <> ''")
+    asked = specs.select(spec, F.explode(tools).alias("tool")).select(spec, F.explode(tool_names(F.col("tool"))).alias("matched")).distinct()
+    return asked.join(good, "matched").groupBy(spec, unit).agg(F.min("matched").alias("matched")).withColumn("confidence", F.lit("low"))
+
+
+def cited_doi_links(elements: DataFrame, specs: DataFrame, element: str, text: str, spec: str, doi: str, found: Column) -> DataFrame:
+    """(spec, element, doi, confidence): elements whose text names a spec's DOI, with confidence high; a spec's own element is left out.
+
+    ``found`` is the column of DOIs in ``text``.
+    """
+    cited = elements.select(element, F.explode(found).alias("__doi")).distinct()
+    known = specs.select(spec, F.lower(doi).alias("__doi"))
+    pairs = cited.join(known, "__doi").where(F.col(spec) != F.col(element))
+    return pairs.select(spec, element, F.col("__doi").alias("doi"), F.lit("high").alias("confidence"))

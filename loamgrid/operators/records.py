@@ -59,10 +59,17 @@ def collapse_shared(units: DataFrame, keys: list[str], item: str, score: str) ->
 def merge_specs(steps: DataFrame, doc: str, order: str, step: str) -> DataFrame:
     """Distinct steps of a document in order, white space and case aside."""
     key = F.lower(F.trim(F.regexp_replace(step, r"\s+", " ")))
-    first = steps.withColumn("key", key).groupBy(doc, "key").agg(F.min(F.struct(order, step)).alias("f"))
+    first = steps.withColumn("key", key).where("key <> ''").groupBy(doc, "key").agg(F.min(F.struct(order, step)).alias("f"))
     return first.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list("f")), lambda f: f[step]).alias("steps"))
 
 
+def merge_params(parts: DataFrame, doc: str, order: str, params: str) -> DataFrame:
+    """(doc, params): for each parameter of a document's parts the value of the first part that names it."""
+    each = parts.select(doc, order, F.explode(params).alias("name", "value"))
+    first = each.groupBy(doc, "name").agg(F.min_by("value", order).alias("value"))
+    return first.groupBy(doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias(params))
+
+
 def graph_score(clicks: Column, degree: Column) -> Column:
     return F.log10(clicks + 1) * 0.3 + F.coalesce(degree, F.lit(0)) * 0.05
 

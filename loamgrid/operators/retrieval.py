@@ -71,6 +71,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(size, F.lit(0.0)), F.lit(0.0))
 
 
+def pooled(vectors: DataFrame, by: str, vector: str) -> DataFrame:
+    """(by, pooled): the mean vector of each group, component by component; partial sums are what is shuffled."""
+    each = vectors.select(by, F.posexplode(vector).alias("__k", "__v"))
+    mean = each.groupBy(by, "__k").agg(F.avg(F.col("__v").cast("double")).alias("__v"))
+    return mean.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__v"))), lambda x: x["__v"]).alias("pooled"))
+
+
+def pair_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with the cosine and the distance of two vectors of equal width; null where either has no length."""
+    difference = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    return pairs.withColumns({"cosine": cosine(F.col(a), F.col(b)), "distance": F.sqrt(F.aggregate(difference, F.lit(0.0), lambda s, x: s + x))})
+
+
 def unit_vector(v: Column) -> Column:
     size = F.sqrt(dot(v, v))
     return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size)).otherwise(F.transform(v, lambda x: x.cast("double")))

@@ -241,3 +241,10 @@ def weighted_median(df: DataFrame, by: str, value: str, weight: str, buckets: in
     at = sums.where((F.col("upto") * 2 >= F.col("whole")) & ((F.col("upto") - F.col("w")) * 2 < F.col("whole"))).select(F.col("g").alias("h"), F.col("b").alias("c"), (F.col("upto") - F.col("w")).alias("before"))
     inside = placed.join(at, F.col("g").eqNullSafe(F.col("h")) & (F.col("b") == F.col("c"))).withColumn("upto", upto("v") + F.col("before"))
     return inside.where(F.col("upto") * 2 >= F.col("whole")).groupBy(F.col("g").alias(by)).agg(F.min("v").alias("weighted_median"))
+
+
+def shrink_guard(before: DataFrame, now: DataFrame, key: str, n: str, least: int, most_lost: float = 0.1) -> DataFrame:
+    """(key, before, now, fails): groups of an earlier state whose rows fell by more than ``most_lost``, or are under ``least``; a group that is gone has 0."""
+    old = before.select(key, F.col(n).alias("before"))
+    out = old.join(now.select(key, F.col(n).alias("now")), key, "left").na.fill(0, ["now"])
+    return out.withColumn("fails", (F.col("now") < F.col("before") * (1 - most_lost)) | (F.col("now") < least))

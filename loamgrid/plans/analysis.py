@@ -38,7 +38,8 @@ def a17(spark, d):
 
 
 def a18(spark, d):
-    return A.permutation_p(_areas(spark, d), _weights(spark, d), "area_id", "x", 199)
+    out = A.permutation_p(_areas(spark, d), _weights(spark, d), "area_id", "x", 199)
+    return out.select(F.round("seen", 6).alias("seen"), "draws", F.round("p_sim", 9).alias("p_sim"))
 
 
 def p01(spark, d):
@@ -326,6 +327,10 @@ SQL = {
     "j15_collection_pairs": f"WITH {_J15} SELECT * FROM clique",
     "j16_curated_pairs": f"WITH {_J16} SELECT * FROM cur",
     "p01_lisa": _stats("SELECT k AS area_id, round(z * lag, 9) AS local_i, CASE WHEN z >= 0 AND lag >= 0 THEN 'HH' WHEN z < 0 AND lag >= 0 THEN 'LH' WHEN z < 0 THEN 'LL' ELSE 'HL' END AS quadrant FROM g"),
+    "a18_permutation_p": _stats(""", o AS (SELECT k, z, row_number() OVER (ORDER BY k) AS n FROM z), s AS MATERIALIZED (SELECT rep, z, row_number() OVER (PARTITION BY rep ORDER BY md5(rep || ':' || k), k) AS n FROM z, range(199) t(rep)),
+h AS MATERIALIZED (SELECT s.rep, o.k, s.z FROM s JOIN o USING (n)), m AS (SELECT a.rep, sum(w.w * a.z * b.z) AS m FROM w JOIN h a ON a.k = w.i JOIN h b ON b.k = w.j AND b.rep = a.rep GROUP BY 1),
+x AS (SELECT sum(w.w * a.z * b.z) AS seen FROM w JOIN z a ON a.k = w.i JOIN z b ON b.k = w.j), c AS (SELECT any_value(seen) AS seen, count(*) AS draws, count(*) FILTER (m >= seen - 1e-9) AS larger FROM m, x)
+SELECT round(seen, 6) AS seen, draws, round((least(larger, draws - larger) + 1) / (draws + 1)::DOUBLE, 9) AS p_sim FROM c"""),
     "p01_lisa_classes": _stats(_P01_CLASSES),
     "p04_spatial_diagnostics": _stats(_P04 + _P04_TESTS),
     "p04_residual_table": _stats(_P04 + " SELECT c.k AS area_id, round(f, 6) AS fitted, round(e, 6) AS residual, round(e / sqrt(s2), 6) AS standardised, round(le, 6) AS lag_residual FROM c, t"),

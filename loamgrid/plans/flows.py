@@ -6,6 +6,7 @@ import posixpath
 import struct
 import uuid
 from datetime import timedelta
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -37,7 +38,9 @@ def p07(spark, d):
 
 
 def p08(spark, d):
-    return L.shared_pca(read(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id", F.size("colours").alias("n"), F.forall("colours", lambda c: c.between(0, 1)).alias("in_range"))
+    """Colours of all vectors in one basis: three components, each from 0 to 1."""
+    out = L.shared_pca(read(spark, d, "embeddings"), "vec_id", "embedding")
+    return out.select("vec_id", *[F.round(F.get("colours", F.lit(k)), 6).alias(c) for k, c in enumerate(("red", "green", "blue"))])
 
 
 def g11(spark, d):
@@ -53,6 +56,26 @@ def s01(spark, d):
     return back.select(F.col("site_id").cast("long").alias("site_id"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.col("balance").cast("double").alias("balance"))
 
 
+def s01_kinds(spark, d):
+    """One layer written as Parquet, GeoJSON, JSON lines, CSV and TSV, and each read by its suffix."""
+    sites = V.site_points(spark, d)
+    base = _folder(spark, "kinds")
+    sites.write.parquet(f"{base}.parquet")
+    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct("site_id", "balance", "lon", "lat").alias("properties"))
+    features = sites.groupBy(F.floor(F.col("site_id") / 64).alias("k")).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
+    features.repartition("k").select("value").write.text(f"{base}.geojson")
+    sites.write.json(f"{base}.jsonl")
+    S.write_table(sites, f"{base}.csv", "balance")
+    sites.withColumnsRenamed({"lon": "Longitude", "lat": "LAT"}).write.csv(f"{base}.tsv", header=True, sep="\t")
+    out = []
+    for kind in ("parquet", "geojson", "jsonl", "csv", "tsv"):
+        layer = S.explode_geojson(spark, f"{base}.geojson", one_a_line=True) if kind == "geojson" else S.read_layer(spark, f"{base}.{kind}")
+        at = S.points_from_table(layer)
+        out.append(at.select(F.lit(kind).alias("kind"), F.col("site_id").cast("long").alias("site_id"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.col("balance").cast("double").alias("balance")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def s03(spark, d):
     """Features written as GeoJSON, one a line, read again."""
     path = _folder(spark, "layer")
@@ -98,8 +121,11 @@ def s04(spark, d):
 
 
 def s05(spark, d):
-    out = S.profile(V.event_points(spark, d))
-    return out.select("features", *[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    """Points of events and rings of areas, described."""
+    events = S.profile(V.event_points(spark, d).select("event_id", "ts", "value", "lon", "lat"))
+    areas = S.profile(V.area_diamonds(spark, d).select("area_id", "area", "ring"), ring="ring")
+    both = events.unionByName(areas)
+    return both.select("features", "geometry", F.array_join("types", ", ").alias("types"), "vertices", *[F.round(c, 6).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
 def s06(spark, d):
@@ -290,7 +316,7 @@ def x07(spark, d):
 
 
 QUERIES = {
-    "g11_convex_hull": g11, "p06_look_alike_groups": p06, "p07_ridge_block_cv": p07, "p08_shared_pca": p08, "s01_csv_round_trip": s01, "s03_geojson_round_trip": s03, "s03_feature_collections": s03_collections, "s08_notebook_cells": s08, "s14_parquet_layer": s14, "s04_load_elements": s04, "s05_profile_layer": s05, "s06_sniff": s06, "s07_header_catalog": s07, "s07_header_table_function": s07_sql, "u_registered_functions": f_registered,
+    "g11_convex_hull": g11, "p06_look_alike_groups": p06, "p07_ridge_block_cv": p07, "p08_shared_pca": p08, "s01_csv_round_trip": s01, "s01_layer_kinds": s01_kinds, "s03_geojson_round_trip": s03, "s03_feature_collections": s03_collections, "s08_notebook_cells": s08, "s14_parquet_layer": s14, "s04_load_elements": s04, "s05_profile_layer": s05, "s06_sniff": s06, "s07_header_catalog": s07, "s07_header_table_function": s07_sql, "u_registered_functions": f_registered,
     "s09_normalise_catalog": s09, "s10_osm_features": s10, "s11_wkt_to_shape": s11, "s24_export_and_import": s24, "x01_stream_period_counts": x01, "x02_stream_usage": x02, "x03_stream_dedupe": x03, "x04_stream_session_ring": x04,
     "x05_stream_repeats": x05, "x06_stream_ingest": x06, "x07_stream_trace_summary": x07,
 }
@@ -311,13 +337,14 @@ round(CASE WHEN kind IN ('las', 'shp', 'tiff') THEN y1 END, 6) AS ymax, CASE WHE
 FROM z, (VALUES ('las'), ('shp'), ('dbf'), ('tiff'), ('csv')) k(kind)"""
 
 SQL = {
+    "s01_layer_kinds": V.sql_with("site_points", body=" SELECT kind, site_id, round(lon, 6) AS lon, round(lat, 6) AS lat, balance FROM site_points, (VALUES ('parquet'), ('geojson'), ('jsonl'), ('csv'), ('tsv')) k(kind)"),
     "s01_csv_round_trip": V.sql_with("site_points", body=" SELECT site_id, round(lon, 6) AS lon, round(lat, 6) AS lat, balance FROM site_points"),
     "s03_geojson_round_trip": V.sql_with("site_points", body=" SELECT site_id, 'Point' AS kind, round(lon, 6) AS lon FROM site_points"),
     "s03_feature_collections": V.sql_with("site_points", body=" SELECT site_id, 'Point' AS geometry_type, round(lat, 6) AS lat FROM site_points"),
     "s08_notebook_cells": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS cell, CASE WHEN role = 'assistant' THEN 'code' ELSE 'markdown' END AS kind, role || chr(10) || md5(text) AS source FROM conversations",
     "s14_parquet_layer": V.sql_with("site_points", body=" SELECT site_id % 4 AS zone, count(*) AS n, round(sum(balance), 2) AS balance FROM site_points GROUP BY 1"),
     "s04_load_elements": "SELECT DISTINCT (p_partkey % 1500)::VARCHAR AS id FROM part WHERE p_partkey % 17 <> 0 AND (p_partkey % 1500) % 7 <> 0",
-    "s05_profile_layer": V.sql_with("event_points", body=" SELECT count(*) AS features, round(min(lon), 6) AS xmin, round(min(lat), 6) AS ymin, round(max(lon), 6) AS xmax, round(max(lat), 6) AS ymax FROM event_points"),
+    "s05_profile_layer": V.sql_with("event_points", "area_boxes", body=", d AS (SELECT column_name AS c, CASE column_type WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS t FROM (DESCRIBE events) UNION ALL SELECT 'area_id', CASE column_type WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END FROM (DESCRIBE nation) WHERE column_name = 'n_nationkey') SELECT count(*) AS features, 'Point' AS geometry, (SELECT string_agg(c || ': ' || t, ', ' ORDER BY c) FROM d WHERE c IN ('event_id', 'ts', 'value')) AS types, count(*) AS vertices, round(min(lon), 6) AS xmin, round(min(lat), 6) AS ymin, round(max(lon), 6) AS xmax, round(max(lat), 6) AS ymax FROM event_points UNION ALL SELECT count(*), 'Polygon', (SELECT 'area_id: ' || t || ', area: string' FROM d WHERE c = 'area_id'), 5 * count(*), round(min(xmin), 6), round(min(ymin), 6), round(max(xmax), 6), round(max(ymax), 6) FROM area_boxes"),
     "s06_sniff": "SELECT 'html' AS kind, 'metadata' AS family, count(*) AS n FROM pages UNION ALL SELECT 'csv', 'tabular', count(*) FROM part UNION ALL SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'png' ELSE 'tiff' END, 'raster', count(*) FROM nation GROUP BY 1",
     "s07_header_catalog": V.sql_with("site_points", body=_S07),
     "s07_header_table_function": V.sql_with("site_points", body=_S07),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -98,14 +99,17 @@ def f10(spark, d):
 
 def f11(spark, d):
     """A category stands for several kinds; a kind stands for itself."""
-    kinds = {"cheap": ["ECONOMY", "STANDARD"]}
-    return read(spark, d, "part").where(F.col("p_type").isin(*kinds.get("cheap", ["cheap"]))).groupBy("p_type").agg(F.count("*").alias("n"))
+    p, kinds = read(spark, d, "part"), {"cheap": ["ECONOMY", "STANDARD"], "dear": ["PROMO"]}
+    each = [U.category_filter(p, "p_type", k, kinds).groupBy(F.lit(k).alias("asked"), "p_type").agg(F.count("*").alias("n")) for k in ("cheap", "Dear", " economy ")]
+    return reduce(lambda a, b: a.unionByName(b), each)
 
 
 def f26(spark, d):
+    """Causes of findings that events stand for: the check by kind of event, the message by its number."""
     k = F.get_json_object("props", "$.k").cast("int")
-    cause = F.when((F.col("event_type") == "error") & (k < 20), "input").when(F.col("event_type") == "error", "service").when(F.contains("props", F.lit("7")), "noise").otherwise("none")
-    return read(spark, d, "events").groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
+    check = F.when(F.col("event_type") == "error", "gate:count_population").when(F.col("event_type") == "click", "gate:declared_units").when(F.col("event_type") == "view", "gate:projected_crs").when(F.col("event_type") == "signup", "gate:coverage").otherwise("peer")
+    message = F.when(k % 4 == 0, "it exceeds every frame").when(k % 4 == 1, "a fractional count").when(k % 4 == 2, "if g.area > 0: print(g)").otherwise("print(x) of an unrecognised unit")
+    return read(spark, d, "events").groupBy(U.finding_cause(check, message).alias("cause")).agg(F.count("*").alias("n"))
 
 
 def w07(spark, d):
@@ -162,9 +166,8 @@ def s18(spark, d):
 
 def j09(spark, d):
     """Rows whose text names another row's DOI."""
-    p = read(spark, d, "part").select("p_partkey", F.concat(F.lit("10.1234/p"), F.col("p_partkey")).alias("doi"), F.concat(F.lit("cites https://doi.org/10.1234/P"), (F.col("p_partkey") * 7) % 2500, F.lit(", and 10.1234/p"), F.col("p_partkey"), F.lit(".")).alias("body"))
-    cited = p.select(F.col("p_partkey").alias("source"), F.explode(X.dois(F.col("body"))).alias("doi"))
-    return cited.join(p.select(F.col("p_partkey").alias("target"), "doi"), "doi").where("source <> target").select("source", "target", "doi")
+    p = read(spark, d, "part").select("p_partkey", F.concat(F.lit("10.1234/P"), F.col("p_partkey")).alias("doi"), F.concat(F.lit("cites https://doi.org/10.1234/P"), (F.col("p_partkey") * 7) % 2500, F.lit(", and 10.1234/p"), F.col("p_partkey"), F.lit(".")).alias("body"))
+    return U.cited_doi_links(p.withColumnRenamed("p_partkey", "element"), p.withColumnRenamed("p_partkey", "spec"), "element", "body", "spec", "doi", X.dois(F.col("body")))
 
 
 def j17(spark, d):
@@ -189,23 +192,30 @@ def j23(spark, d):
 
 
 def j24(spark, d):
-    """Lookups by tag and collection in one pass; a tag adds 1.5."""
-    n = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return U.lookups(n, {"tag": F.contains("n_name", F.lit("1")), "collection": F.col("r_regionkey") == 2}, {"tag": 1.5}).select("n_nationkey", "r_name", "score")
+    """Five lookups in one pass over parts: by organisation (the brand), tag, type, relation (parts of one order with part 7) and collection; a tag adds 1.5."""
+    p = read(spark, d, "part")
+    l = read(spark, d, "lineitem").select("l_orderkey", "l_partkey")  # noqa: E741
+    with_it = l.where("l_partkey = 7").select("l_orderkey").distinct()
+    near = l.join(with_it, "l_orderkey", "left_semi").where("l_partkey <> 7").select(F.col("l_partkey").alias("p_partkey"), F.lit(True).alias("near")).distinct()
+    finds = {"organization": F.col("p_brand") == "Brand#3", "tag": F.exists(F.split("p_name", " "), lambda t: t == "small"), "type": F.col("p_type") == "PROMO", "related": F.col("near"), "collection": F.col("p_partkey") % 100 < 10}
+    found = U.lookups(p.join(near, "p_partkey", "left"), finds, {"tag": 1.5}, names="found_by")
+    return found.select("p_partkey", "score", F.array_join("found_by", ",").alias("found_by"))
 
 
 def j29(spark, d):
-    """Names in brackets and before them to whole names of units, short and generic ones skipped."""
-    units = read(spark, d, "part").select(F.lower("p_name").alias("symbol"), "p_partkey").groupBy("symbol").agg(F.min("p_partkey").alias("unit"))
-    specs = read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("Red Widget (small ring); abc; tool "), F.col("s_suppkey")).alias("tools"))
-    names = F.flatten(F.transform(F.split("tools", r"\s*;\s*"), lambda t: F.array(F.trim(F.regexp_replace(t, r"\(.*\)", "")), F.regexp_extract(t, r"\(([^)]*)\)", 1))))
-    wanted = specs.select("s_suppkey", F.explode(F.array_distinct(F.transform(names, F.lower))).alias("symbol")).where((F.length("symbol") >= 4) & ~F.col("symbol").isin("tool", "method"))
-    return wanted.join(units, "symbol").select("s_suppkey", "unit").distinct()
+    """Tools that suppliers name, whole or in brackets, as units: the parts' names joined by underscores, of which some are ambiguous or aliases."""
+    units = read(spark, d, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("_")).alias("symbol"), (F.col("p_partkey") % 5 == 0).alias("ambiguous"), (F.col("p_partkey") % 7 == 0).alias("alias"))
+    s = read(spark, d, "supplier")
+    tools = F.array(F.lit("Red Widget (small ring)"), F.lit("abc"), F.lit("lib.module.Small Bolt(x)"), F.concat(F.lit("tool "), F.col("s_suppkey")), F.lit("data"))
+    return U.spec_unit_links(s.withColumn("tools", tools), units, "s_suppkey", "tools", "p_partkey", "symbol", F.col("ambiguous"), F.col("alias"))
 
 
 def a45(spark, d):
-    c = read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Load  "), F.upper(F.col("role")))).otherwise(F.concat(F.lit("load "), F.col("role"))).alias("step"))
-    return K.merge_specs(c, "conv_id", "turn", "step").select("conv_id", F.array_join("steps", "|").alias("steps"))
+    """Steps and parameters of conversations: a step said again counts once, a parameter has its first value."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Load  "), F.upper(F.col("role")))).otherwise(F.concat(F.lit("load "), F.col("role"))).alias("step"), F.create_map(F.col("role"), F.col("turn").cast("string"), F.concat(F.lit("p"), F.col("turn") % 3), F.length("text").cast("string")).alias("params"))
+    steps = K.merge_specs(c, "conv_id", "turn", "step").join(K.merge_params(c, "conv_id", "turn", "params"), "conv_id")
+    shown = F.array_join(F.transform(F.map_entries("params"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return steps.select("conv_id", F.array_join("steps", "|").alias("steps"), shown.alias("params"))
 
 
 def a50(spark, d):
@@ -283,7 +293,7 @@ _R02 = "WITH p AS (SELECT *, 'price ' || floor(p_retailprice)::BIGINT || ' red p
 _R02 += " UNION ALL " + _best_fields("block", {"p_type": 1.0, "p_name": 0.4, "price": 0.2}, ("ring", "economy", "price")) + ") SELECT * FROM s WHERE score > 0"
 
 SQL = {
-    "a45_method_spec_merge": "WITH s AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Load  ' || upper(role) ELSE 'load ' || role END AS step FROM conversations), f AS (SELECT conv_id, lower(regexp_replace(step, '\\s+', ' ', 'g')) AS key, min(turn) AS turn, arg_min(step, turn) AS step FROM s GROUP BY 1, 2) SELECT conv_id, string_agg(step, '|' ORDER BY turn) AS steps FROM f GROUP BY 1",
+    "a45_method_spec_merge": "WITH s AS (SELECT conv_id, turn, role, length(text) AS chars, CASE WHEN turn % 2 = 0 THEN 'Load  ' || upper(role) ELSE 'load ' || role END AS step FROM conversations), f AS (SELECT conv_id, lower(regexp_replace(step, '\\s+', ' ', 'g')) AS key, min(turn) AS turn, arg_min(step, turn) AS step FROM s GROUP BY 1, 2), n AS (SELECT conv_id, turn, role AS name, turn::VARCHAR AS v FROM s UNION ALL SELECT conv_id, turn, 'p' || turn % 3, chars::VARCHAR FROM s), p AS (SELECT conv_id, name, arg_min(v, turn) AS v FROM n GROUP BY 1, 2), q AS (SELECT conv_id, string_agg(name || '=' || v, ',' ORDER BY name) AS params FROM p GROUP BY 1), t AS (SELECT conv_id, string_agg(step, '|' ORDER BY turn) AS steps FROM f GROUP BY 1) SELECT * FROM t JOIN q USING (conv_id)",
     "a50_answer_diagnostics": "SELECT p_type, count(*) AS n, count(*) FILTER (p_partkey % 6 = 0) AS unnamed, count(*) FILTER (p_partkey % 6 <> 0) - count(DISTINCT p_name) FILTER (p_partkey % 6 <> 0) AS repeated FROM part GROUP BY 1",
     "a51_sources_used": "WITH RECURSIVE r(o_custkey, node) AS (SELECT o_custkey, o_orderkey FROM orders UNION SELECT r.o_custkey, r.node // 2 FROM r JOIN orders o ON o.o_orderkey = r.node WHERE r.node > 0) SELECT DISTINCT o_custkey, p_brand FROM r JOIN lineitem ON l_orderkey = node JOIN part ON p_partkey = l_partkey WHERE l_returnflag <> 'R'",
     "a52_zone_support": "WITH n AS (SELECT label, count(*) AS pixels FROM embeddings GROUP BY 1) SELECT min(pixels) AS least, median(pixels) AS median, max(pixels) AS most FROM n",
@@ -292,18 +302,18 @@ SQL = {
     "d04_period_range": "WITH p AS (SELECT o_orderkey, date_trunc('year', o_orderdate)::TIMESTAMP AS y, date_trunc('month', o_orderdate)::TIMESTAMP AS m FROM orders) SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN y WHEN 1 THEN y ELSE least(m, '2003-01-01'::TIMESTAMP) END AS low, CASE o_orderkey % 3 WHEN 2 THEN greatest(m + INTERVAL 1 MONTH, '2004-01-01'::TIMESTAMP) ELSE y + INTERVAL 1 YEAR END - INTERVAL 1 MICROSECOND AS high FROM p",
     "d07_iso_date": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
     "f10_visibility": "SELECT p_partkey FROM part WHERE p_partkey % 5 NOT IN (1, 2)",
-    "f11_category": "SELECT p_type, count(*) AS n FROM part WHERE p_type IN ('ECONOMY', 'STANDARD') GROUP BY 1",
-    "f26_finding_cause": "SELECT CASE WHEN event_type = 'error' AND json_extract_string(props, '$.k')::INT < 20 THEN 'input' WHEN event_type = 'error' THEN 'service' WHEN contains(props, '7') THEN 'noise' ELSE 'none' END AS cause, count(*) AS n FROM events GROUP BY 1",
+    "f11_category": "SELECT asked, p_type, count(*) AS n FROM part, (VALUES ('cheap', 'ECONOMY'), ('cheap', 'STANDARD'), ('Dear', 'PROMO'), (' economy ', 'ECONOMY')) t(asked, kind) WHERE upper(p_type) = kind GROUP BY 1, 2",
+    "f26_finding_cause": "WITH e AS (SELECT event_type AS t, json_extract_string(props, '$.k')::INT % 4 AS k FROM events) SELECT CASE WHEN t = 'error' THEN CASE WHEN k = 0 THEN 'a count that isn''t of rows' ELSE 'count check: other' END WHEN t = 'click' THEN CASE k WHEN 1 THEN 'a mean read as a count' WHEN 3 THEN 'a unit not in the vocabulary' ELSE 'declared unit missing or unparseable' END WHEN t = 'view' THEN CASE k WHEN 2 THEN 'a test for non-zero size' WHEN 3 THEN 'a printed size' ELSE 'a metric operation on a geographic CRS' END WHEN t = 'signup' THEN 'another gate' ELSE 'unattributed' END AS cause, count(*) AS n FROM e GROUP BY 1",
     "g05_mercator_square": V.sql_with("site_points", body=f", m AS (SELECT site_id, 6378137.0::DOUBLE * radians(lon) AS x, {_MERC} AS y FROM site_points) SELECT site_id, round(degrees((x - 1000) / 6378137.0::DOUBLE), 7) AS west, {_BACK.format(y='y - 1000')} AS south, round(degrees((x + 1000) / 6378137.0::DOUBLE), 7) AS east, {_BACK.format(y='y + 1000')} AS north FROM m"),
     "g06_catalogue_score": V.sql_with("area_boxes", body=", i AS (SELECT *, greatest(0, least(xmax, -87.2) - greatest(xmin, -87.5)) * greatest(0, least(ymax, 41.7) - greatest(ymin, 41.3)) AS n FROM area_boxes), j AS (SELECT *, n / ((xmax - xmin) * (ymax - ymin) + (-87.2::DOUBLE + 87.5) * (41.7::DOUBLE - 41.3) - n) AS iou FROM i) SELECT area_id, round(2.0::DOUBLE + CASE WHEN region = 1 THEN 1 ELSE 0 END + CASE WHEN iou > 0 THEN 0.75 ELSE 0 END + iou + CASE WHEN area_id % 2 = 0 THEN 0.2 ELSE 0 END, 9) AS score FROM j"),
     "g09_unit_convert": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN round(p_size * 1000.0::DOUBLE / 1609.344::DOUBLE, 9) WHEN 1 THEN round(p_size * 0.3048::DOUBLE / 1609.344::DOUBLE, 9) END AS miles FROM part",
     "g10_agrees_within": "SELECT p_partkey, abs(p_retailprice - round(p_retailprice, -1)) <= 0.004::DOUBLE * greatest(p_retailprice, round(p_retailprice, -1)) AS agrees FROM part",
-    "j09_cited_dois": "SELECT p_partkey AS source, p_partkey * 7 % 2500 AS target, '10.1234/p' || (p_partkey * 7 % 2500) AS doi FROM part WHERE p_partkey * 7 % 2500 <> p_partkey AND p_partkey * 7 % 2500 IN (SELECT p_partkey FROM part)",
+    "j09_cited_dois": "WITH p AS (SELECT p_partkey, lower('10.1234/P' || p_partkey) AS doi, 'cites https://doi.org/10.1234/P' || (p_partkey * 7) % 2500 || ', and 10.1234/p' || p_partkey || '.' AS body FROM part), c AS (SELECT DISTINCT p_partkey AS element, unnest(list_transform(regexp_extract_all(lower(body), '10\\.[0-9]{4,9}/[^\\s<>]+'), lambda d: regexp_replace(d, '[.,;:)\\]}]+$', ''))) AS doi FROM p) SELECT p.p_partkey AS spec, element, doi, 'high' AS confidence FROM c JOIN p USING (doi) WHERE p.p_partkey <> element",
     "j17_zonal_join": V.sql_with("pixels", "area_boxes", body=", p AS (SELECT *, -88 + (pcol + 0.5::DOUBLE) / 100 AS lon, 41 + (prow + 0.5::DOUBLE) / 100 AS lat FROM pixels) SELECT area_id, count(*) AS cells, round(avg(value), 6) AS mean FROM p JOIN area_boxes a ON p.lon >= a.xmin AND p.lon < a.xmax AND p.lat >= a.ymin AND p.lat < a.ymax GROUP BY 1"),
     "j19_attach_record": "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)",
     "j23_author_lookup": "SELECT o_orderkey, c_name, round(log10(o_totalprice + 1) * 0.3::DOUBLE, 9) AS score FROM orders JOIN customer ON c_custkey = o_custkey WHERE contains(c_name, '007') AND c_custkey % 3 <> 0",
-    "j24_lookups": "SELECT n_nationkey, r_name, CASE WHEN contains(n_name, '1') THEN 1.5 ELSE 0 END::DOUBLE AS score FROM nation JOIN region ON r_regionkey = n_regionkey WHERE contains(n_name, '1') OR r_regionkey = 2",
-    "j29_spec_to_unit": "WITH u AS (SELECT p_name, min(p_partkey) AS unit FROM part WHERE p_name IN ('red widget', 'small ring') GROUP BY 1) SELECT s_suppkey, unit FROM supplier, u",
+    "j24_lookups": "WITH r AS (SELECT DISTINCT b.l_partkey FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey = 7 AND b.l_partkey <> 7), x AS (SELECT p_partkey, list_filter([CASE WHEN p_brand = 'Brand#3' THEN 'organization' END, CASE WHEN list_contains(string_split(p_name, ' '), 'small') THEN 'tag' END, CASE WHEN p_type = 'PROMO' THEN 'type' END, CASE WHEN p_partkey IN (FROM r) THEN 'related' END, CASE WHEN p_partkey % 100 < 10 THEN 'collection' END], lambda f: f IS NOT NULL) AS f FROM part) SELECT p_partkey, CASE WHEN list_contains(f, 'tag') THEN 1.5 ELSE 0 END::DOUBLE AS score, array_to_string(f, ',') AS found_by FROM x WHERE len(f) > 0",
+    "j29_spec_to_unit": "SELECT s_suppkey, p_partkey, replace(p_name, ' ', '_') AS matched, 'low' AS confidence FROM supplier, part WHERE p_partkey % 5 <> 0 AND p_partkey % 7 <> 0 AND replace(p_name, ' ', '_') IN ('small_ring', 'red_widget_(small_ring)', 'lib.module.small_bolt(x)', 'tool_' || s_suppkey)",
     "m03_term_hit": "SELECT p_partkey, regexp_matches(p_name, '(?i)(^|[^\\p{L}\\p{N}])widget(s|es|ing|ed)?($|[^\\p{L}\\p{N}])') AS hit, regexp_matches(p_name, '(?i)(^|[^\\p{L}\\p{N}])wid(s|es|ing|ed)?($|[^\\p{L}\\p{N}])') AS part_hit FROM part",
     "m20_split_name": "SELECT p_partkey, split_part(p_name, ' ', 1) AS first, substr(p_name, length(split_part(p_name, ' ', 1)) + 2) AS last FROM part",
     "r02_weighted_fulltext": _R02,

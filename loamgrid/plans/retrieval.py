@@ -47,6 +47,13 @@ def r08(spark, d):
     return v.join(first, "label").select("vec_id", "label", (F.round(1 - R.cosine(F.col("embedding"), F.col("base")), 6) + 0.0).alias("change"))
 
 
+def r08_pairs(spark, d):
+    """How alike the pooled vectors of each two labels are: cosine and distance."""
+    pooled = R.pooled(read(spark, d, "embeddings"), "label", "embedding")
+    a, b = pooled.select(F.col("label").alias("label_a"), F.col("pooled").alias("a")), pooled.select(F.col("label").alias("label_b"), F.col("pooled").alias("b"))
+    return R.pair_similarity(a.join(b, F.col("label_a") < F.col("label_b")), "a", "b").select("label_a", "label_b", F.round("cosine", 6).alias("cosine"), F.round("distance", 6).alias("distance"))
+
+
 def f25(spark, d):
     v = read(spark, d, "embeddings").withColumn("v", F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 10)).when(F.col("vec_id") % 11 == 0, F.transform("embedding", lambda x: x * 0)).when(F.col("vec_id") % 13 != 0, F.col("embedding")))
     return v.select("vec_id", R.vector_refusal(F.col("v"), 64).alias("refusal"))
@@ -145,14 +152,19 @@ def f16(spark, d):
 
 
 def f21(spark, d):
-    phrases = {"licence page": ["license"], "menu page": [" | "], "garbled page": ["$$$"]}
-    return read(spark, d, "documents").groupBy(U.page_kind(F.col("text"), phrases).alias("kind")).agg(F.count("*").alias("n"))
+    """What is served in place of a document: four in seven texts are short ones with such a phrase, one a long one that only holds it."""
+    k = F.col("doc_id") % 7
+    said = F.when(k == 0, "Please CONFIRM you are a human").when(k == 1, "Subscribe to view this").when(k == 2, "404 Not Found").when(k == 3, "We use cookies").when(k == 4, F.concat(F.repeat(F.lit("word "), F.lit(900)), F.lit("we use cookies")))
+    text = F.when(k <= 3, F.concat(said, F.lit(" "), F.substring("text", 1, 500))).when(k == 4, said).otherwise(F.col("text"))
+    return read(spark, d, "documents").groupBy(U.page_kind(text, U.SERVED_INSTEAD).alias("kind")).agg(F.count("*").alias("n"))
 
 
 def f22(spark, d):
-    n = F.length("html")
-    bucket = F.when(n < 1500, "thin").when(F.contains("html", F.lit("<article")), "article").when(F.contains("html", F.lit("<main")), "main").otherwise("other")
-    return read(spark, d, "pages").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(n).alias("chars"))
+    """Outcomes of reading documents, by reasons that their ids stand for, and how many characters each outcome has."""
+    reasons = ["", "looks like a paywall or login page", "file is EMPTY (0 bytes)", "pdf has no text layer", "is a zip archive", "could not parse: bad xref", "content is HTML although named .pdf"]
+    reason = F.element_at(F.array(*map(F.lit, reasons)), (F.col("doc_id") % 7 + 1).cast("int"))
+    chars = F.when(F.col("doc_id") % 3 == 0, 0).otherwise(F.length(F.coalesce("text", F.lit(""))))
+    return read(spark, d, "documents").groupBy(U.reach_bucket(reason, chars).alias("bucket")).agg(F.count("*").alias("n"), F.sum(chars).alias("chars"))
 
 
 def f23(spark, d):
@@ -223,7 +235,7 @@ def m16(spark, d):
 
 
 QUERIES = {
-    "r01_bm25_search": r01, "r03_method_search": r03, "r04_overlap_search": r04, "r05_knn_search": r05, "r08_change_curve": r08, "f25_vector_refusal": f25, "w01_rrf_fuse": w01, "w02_dedupe_keep_first": w02, "w03_dedupe_prefer_linkable": w03,
+    "r01_bm25_search": r01, "r03_method_search": r03, "r04_overlap_search": r04, "r05_knn_search": r05, "r08_change_curve": r08, "r08_pair_similarity": r08_pairs, "f25_vector_refusal": f25, "w01_rrf_fuse": w01, "w02_dedupe_keep_first": w02, "w03_dedupe_prefer_linkable": w03,
     "w04_hybrid_merge": w04, "w10_cumulative_budget": w10, "w13_runner_up_margin": w13, "a26_retrieval_eval": a26, "a27_recall_mrr": a27, "a30_evidence_summary": a30, "a31_term_coverage": a31, "a32_corpus_fingerprint": a32,
     "f14_relevance_gate": f14, "f15_hit_filter": f15, "f16_domain_relevance": f16, "f21_classify_document": f21, "f22_reach_bucket": f22, "f23_needs_context": f23, "f27_link_kind": f27, "m01_tokens": m01, "m02_stems": m02, "m05_keyword_summary": m05,
     "m07_canonical_url": m07, "m08_blob_to_raw": m08, "m09_dois": m09, "m11_keys": m11, "m13_html_to_text": m13, "m14_select_passages": m14, "m15_paragraph_chunks": m15, "m16_extract_numbers": m16,
@@ -265,7 +277,30 @@ _A32 = "WITH r AS (SELECT doc_id, sha256(concat_ws(chr(31), doc_id::VARCHAR, coa
 _A32 += "".join(f", n{k} AS (SELECT substr(node, 1, {k}) AS up, sha256(string_agg(node || ':' || h, ',' ORDER BY node)) AS h FROM (SELECT {'node' if k == 3 else 'up AS node'}, h FROM n{k + 1}) GROUP BY 1)" for k in (3, 2, 1, 0))
 _A32 += " SELECT (SELECT count(*) FROM documents) AS n, h AS digest FROM n0"
 
+def _text_of_page(html: str) -> str:
+    """What a page shows, step by step as expressions that stand inside one another."""
+    t = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
+    inner = [f"nullif(regexp_extract({t}, '(?is)<{tag}\\b[^>]*>(.*)</{tag}\\s*>', 1), '')" for tag in ("main", "article")]
+    t = f"coalesce({', '.join(inner)}, {t})"
+    for tag in ("script", "style", "noscript", "svg", "nav", "header", "footer", "form", "head"):
+        t = f"regexp_replace({t}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
+    t = f"regexp_replace({t}, '(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|main|blockquote|pre)\\b[^>]*>', chr(10), 'g')"
+    t = f"regexp_replace({t}, '(?s)<[^>]*>', '', 'g')"
+    for name, sign in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        t = f"replace({t}, '{name}', {sign})"
+    t = f"regexp_replace(regexp_replace({t}, '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"trim({t}, ' ' || chr(10))"
+
+
+_M13 = f"WITH t AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, {_text_of_page('html')} AS t FROM pages) SELECT page_id, title, md5(t) AS text_md5, contains(t, '<') AS angle FROM t"
+_M15 = r"""WITH c AS (SELECT doc_id, list_reduce(list_transform(list_filter(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda p: trim(p) <> ''), lambda p: [p]),
+lambda a, p: CASE WHEN length(a[-1]) + 2 + length(p[1]) <= 1500 THEN list_concat(a[:-2], [a[-1] || chr(10) || chr(10) || p[1]]) ELSE list_concat(a, p) END) AS cs FROM documents
+WHERE text IS NOT NULL AND len(list_filter(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda p: trim(p) <> '')) > 0),
+u AS (SELECT doc_id, unnest(cs) AS t FROM c) SELECT doc_id, count(*) AS chunks, max(length(t)) AS longest, sum(length(t))::BIGINT AS chars FROM u GROUP BY 1"""
+
 SQL = {
+    "m13_html_to_text": _M13,
+    "m15_paragraph_chunks": _M15,
     "r01_bm25_search": _BM25 + " SELECT * FROM hits",
     "a26_retrieval_eval": _EVAL + " SELECT * FROM ev",
     "a27_recall_mrr": _EVAL + " SELECT count(*) AS cases, count(*) FILTER (reciprocal_rank = 1) AS r1, count(*) FILTER (reciprocal_rank >= 0.333) AS r3, count(*) FILTER (reciprocal_rank > 0) AS r10, round(avg(reciprocal_rank), 6) AS mrr FROM ev",
@@ -276,6 +311,7 @@ h AS (SELECT page_id, term, sum(weight) AS weight FROM v WHERE term IN (SELECT t
 SELECT item_id, page_id, round(sum(weight * idf), 6) AS score FROM h JOIN g USING (term) JOIN t USING (term) GROUP BY 1, 2""",
     "r04_overlap_search": "WITH o AS (SELECT p_partkey, contains(p_name, 'small')::INT + contains(p_name, 'red')::INT + contains(p_name, 'widget')::INT + contains(p_name, 'ring')::INT + contains(p_name, 'bolts')::INT AS overlap FROM part) SELECT * FROM o WHERE overlap > 0",
     "r05_knn_search": f"WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, round({_COS.format(a='q.e', b='v.e')}, 9) AS c FROM v q, v WHERE q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS k FROM p) SELECT query_id, vec_id, round(c, 6) AS cosine FROM r WHERE k <= 10",
+    "r08_pair_similarity": f"WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT label, k, avg(v) AS v FROM x GROUP BY 1, 2), p AS (SELECT label, list(v ORDER BY k) AS e FROM m GROUP BY 1) SELECT a.label AS label_a, b.label AS label_b, round({_COS.format(a='a.e', b='b.e')}, 6) AS cosine, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 6) AS distance FROM p a JOIN p b ON a.label < b.label",
     "r08_change_curve": f"WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, first_value(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) SELECT vec_id, label, round(1 - {_COS.format(a='e', b='b')}, 6) + 0 AS change FROM v",
     "f25_vector_refusal": "WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN embedding[1:10] WHEN vec_id % 11 = 0 THEN list_transform(embedding, lambda x: x * 0) WHEN vec_id % 13 <> 0 THEN embedding END AS v FROM embeddings) SELECT vec_id, CASE WHEN v IS NULL THEN 'missing' WHEN len(v) <> 64 THEN 'width' WHEN len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) > 0 THEN 'not finite' WHEN len(list_filter(v, lambda x: x <> 0)) = 0 THEN 'all zero' END AS refusal FROM v",
     "w01_rrf_fuse": f"WITH {_LISTS}, r AS (SELECT *, row_number() OVER (PARTITION BY case_id, arm ORDER BY score DESC, pos) AS r FROM l) SELECT case_id, item, round(sum(1 / (60 + r)), 9) AS fused FROM r GROUP BY 1, 2",
@@ -292,8 +328,8 @@ SELECT case_id, item, CASE WHEN c IS NOT NULL AND v IS NOT NULL THEN 'keyword+se
     "f14_relevance_gate": "SELECT p_partkey, p_name FROM part WHERE (SELECT count(*) FROM (VALUES ('red'), ('ring'), ('small')) t(t) WHERE regexp_matches(p_type, '(?i)(^|[^\\p{L}\\p{N}])' || t || '(s|es|ing|ed)?($|[^\\p{L}\\p{N}])')) >= 1 OR (SELECT count(*) FROM (VALUES ('red'), ('ring'), ('small')) t(t) WHERE regexp_matches(p_name, '(?i)(^|[^\\p{L}\\p{N}])' || t || '(s|es|ing|ed)?($|[^\\p{L}\\p{N}])')) >= 2",
     "f15_hit_filter": f"WITH {_LISTS}, e AS (SELECT *, max((score > 90)::INT) OVER (PARTITION BY case_id, arm) AS hit FROM l) SELECT case_id, arm, pos FROM e WHERE hit = 0 OR score > 90",
     "f16_domain_relevance": f"WITH s AS (SELECT doc_id, length(text) AS n, ({_sum_hits('ningthe', 'ciónque')}) * 3 + {_sum_hits('tion', 'ment', 'heit')} - ({_sum_hits('$$$', '!!')}) * 2 AS score FROM documents) SELECT doc_id, score, score >= 3 OR n < 120 AS admitted FROM s",
-    "f21_classify_document": "SELECT CASE WHEN length(text) > 4000 THEN 'document' WHEN contains(lower(text), 'license') THEN 'licence page' WHEN contains(text, ' | ') THEN 'menu page' WHEN contains(text, '$$$') THEN 'garbled page' ELSE 'document' END AS kind, count(*) AS n FROM documents GROUP BY 1",
-    "f22_reach_bucket": "SELECT CASE WHEN length(html) < 1500 THEN 'thin' WHEN contains(html, '<article') THEN 'article' WHEN contains(html, '<main') THEN 'main' ELSE 'other' END AS bucket, count(*) AS n, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1",
+    "f21_classify_document": "WITH t AS (SELECT doc_id % 7 AS k, text FROM documents), p AS (SELECT k, CASE k WHEN 0 THEN 'Please CONFIRM you are a human ' || substr(text, 1, 500) WHEN 1 THEN 'Subscribe to view this ' || substr(text, 1, 500) WHEN 2 THEN '404 Not Found ' || substr(text, 1, 500) WHEN 3 THEN 'We use cookies ' || substr(text, 1, 500) WHEN 4 THEN repeat('word ', 900) || 'we use cookies' ELSE text END AS t FROM t) SELECT CASE WHEN length(t) > 4000 OR t IS NULL THEN 'document' WHEN contains(lower(t), 'confirm you are a human') THEN 'a bot-check page' WHEN contains(lower(t), 'subscribe to view') THEN 'a paywall or login page' WHEN contains(lower(t), '404 not found') THEN 'an error page' WHEN contains(lower(t), 'we use cookies') THEN 'a cookie consent page' ELSE 'document' END AS kind, count(*) AS n FROM p GROUP BY 1",
+    "f22_reach_bucket": "WITH r AS (SELECT ['', 'looks like a paywall or login page', 'file is empty (0 bytes)', 'pdf has no text layer', 'is a zip archive', 'could not parse: bad xref', 'content is html although named .pdf'][doc_id % 7 + 1] AS reason, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE length(coalesce(text, '')) END AS chars FROM documents) SELECT CASE WHEN reason = '' AND chars > 0 THEN 'readable' WHEN contains(reason, 'paywall') THEN 'wall' WHEN contains(reason, 'empty (0 bytes)') THEN 'empty' WHEN contains(reason, 'no text layer') THEN 'no text' WHEN contains(reason, 'zip archive') THEN 'wrong type' WHEN contains(reason, 'could not parse') THEN 'broken' WHEN chars > 0 THEN 'readable' ELSE 'wrong type' END AS bucket, count(*) AS n, sum(chars)::BIGINT AS chars FROM r GROUP BY 1",
     "f23_needs_context": f"SELECT conv_id, turn, conv_id % 3 = 0 OR regexp_matches(text, '{X.FOLLOW_UPS}') AS needs_context FROM conversations WHERE role = 'user'",
     "f27_link_kind": "WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?]+)', 1) AS h FROM pages) SELECT page_id, CASE WHEN regexp_matches(h, '(^|\\.)example\\.com$') THEN 'portal' WHEN regexp_matches(h, '(^|\\.)example\\.net$') THEN 'opaque' WHEN regexp_matches(h, '(^|\\.)example\\.org$') THEN 'deposit' ELSE 'direct' END AS kind FROM h",
     "m02_stems": f"WITH p AS (SELECT p_partkey, split_part(p_name, ' ', -1) AS w FROM part) SELECT p_partkey, {_endings(_PLURAL)} AS plural, {_endings(_CRUDE)} AS crude, {_endings(_LONG)} AS long FROM p",

@@ -75,9 +75,19 @@ def load_elements(df: DataFrame, require_public: bool = True) -> DataFrame:
     return out.where(F.coalesce(F.lower("visibility"), F.lit("public")) == "public") if require_public else out
 
 
-def profile(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """One row: features, columns, bounds."""
-    return df.agg(F.count("*").alias("features"), F.lit(len(df.columns)).alias("columns"), F.min(lon).alias("xmin"), F.min(lat).alias("ymin"), F.max(lon).alias("xmax"), F.max(lat).alias("ymax"))
+def profile(df: DataFrame, lon: str = "lon", lat: str = "lat", ring: str | None = None) -> DataFrame:
+    """One row: features, columns and their types, geometry kind, bounds, and how many vertices there are in all.
+
+    The geometry is a point (``lon``, ``lat``), or with ``ring`` a closed ring of structs x and y whose first vertex isn't repeated.
+    """
+    shape = (ring,) if ring else (lon, lat)
+    types = F.array(*[F.lit(f"{c}: {t}") for c, t in df.dtypes if c not in shape])
+    x, y = (F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])) if ring else (F.array(lon), F.array(lat))
+    vertices = F.sum(F.when(F.col(ring).isNotNull(), F.size(ring) + 1)) if ring else F.count(F.when(F.col(lon).isNotNull() & F.col(lat).isNotNull(), 1))
+    return df.agg(
+        F.count("*").alias("features"), F.lit(len(df.columns)).alias("columns"), types.alias("types"), F.lit("Polygon" if ring else "Point").alias("geometry"),
+        F.min(F.array_min(x)).alias("xmin"), F.min(F.array_min(y)).alias("ymin"), F.max(F.array_max(x)).alias("xmax"), F.max(F.array_max(y)).alias("ymax"), vertices.alias("vertices"),
+    )
 
 
 def sniff(content: Column) -> tuple[Column, Column]:
