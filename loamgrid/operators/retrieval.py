@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions import text as X
+from loamgrid.plans.durable import durable
+
+#: Up to so many different words of queries, which are counted, go to every task.
+BROADCAST_TERMS = 100_000
 
 
 def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -27,13 +31,15 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, id, score) of every document that shares a word with a query.
 
-    Only words of the queries are kept before the counts are joined; corpus totals are one broadcast row.
+    Only words of the queries are kept before anything is shuffled, where these are few enough (counted) to go to
+    every task; the counts of the rest are stored, as two joins read them. Corpus totals are one broadcast row.
     """
     wanted = queries.select(query_id, F.explode(F.array_distinct(X.words(F.col(query_text)))).alias("term"))
     ws = X.words(F.col(text_col))
     totals = docs.agg(F.count("*").alias("n"), F.avg(F.size(ws)).alias("avgdl"))
-    terms = wanted.select("term").distinct()
-    tf = _exploded(docs, id_col, text_col).join(terms, "term", "left_semi").groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
+    terms = durable(wanted.select("term").distinct())
+    kept = F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+    tf = durable(_exploded(docs, id_col, text_col).join(kept, "term", "left_semi").groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf")))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
