@@ -696,8 +696,8 @@ def _runs_of(raw: np.ndarray, least: int = 6) -> Iterator[tuple[int, int]]:
 def encode_payload(payload: bytes) -> bytes:
     """A file whose green samples, row by row, are the payload and then bytes 0xFF, which UTF-8 never has.
 
-    Rows have 64 samples; payloads over 64 * 16384 bytes get wider rows. With up to 16 different bytes the
-    palette transform bundles samples, else the text code and copies of runs are used.
+    Rows have 64 samples; payloads over 64 * 16384 bytes get wider rows. Payloads of up to 4,096 bytes with up to 16
+    different ones use the palette transform, which bundles samples; all others the text code and copies of runs.
     """
     width = 64 * max(1, -(-len(payload) // (64 * MAX_SIDE)))
     if width > MAX_SIDE:
