@@ -272,27 +272,29 @@ def x03(spark, d):
 
 
 def x04(spark, d):
-    """Turns land in three files, the second with turns of all conversations that the first left out, the third with repeats."""
+    """Turns land in three waves, the second with turns of all conversations that the first left out, the third with repeats."""
     landing, turns = _folder(spark, "turns"), read(spark, d, "conversations").select("conv_id", "turn")
     late = (F.col("conv_id") + F.col("turn")) % 3 == 0
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for wave in (turns.where(~late), turns.where(late), turns.where("conv_id % 4 = 0")):
-        wave.coalesce(1).write.mode("append").parquet(landing)
-    out = J.drain(J.session_ring(J.stream_of(spark, f"{landing}/*.parquet", 1), "conv_id", "turn", 3), "update")
+        wave.repartition(files).write.mode("append").parquet(landing)
+    out = J.drain(J.session_ring(J.stream_of(spark, f"{landing}/*.parquet", files), "conv_id", "turn", 3), "update")
     last = out.groupBy("conv_id").agg(F.max_by(F.struct("turns", "seen"), "__batch").alias("v"))
     return last.select("conv_id", F.array_join(F.transform("v.turns", lambda t: t.cast("string")), ",").alias("turns"), "v.seen")
 
 
 def x05(spark, d):
-    """Events land in order of time, but a tenth of them a file later than they should; a last file tells that no more will come."""
+    """Events land in three waves in order of time, but a tenth of them a wave later than they should; a last file tells that no more will come."""
     landing = _folder(spark, "calls")
     e = read(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.concat_ws("|", "event_type", "props").alias("digest"), (F.col("event_type") == "purchase").alias("change"))
     first, last = e.agg(F.min("ts"), F.max("ts")).first()
     wave = F.least(F.floor((F.unix_seconds("ts") - F.unix_seconds(F.lit(first))) * 3 / (F.unix_seconds(F.lit(last)) - F.unix_seconds(F.lit(first)) + 1)) + (F.col("event_id") % 10 == 0).cast("int"), F.lit(2))
     end = e.limit(1).select("user_id", F.lit(last + timedelta(days=60)).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit("").alias("digest"), F.lit(False).alias("change"))
-    for part in (*(e.where(wave == k) for k in range(3)), end):
-        part.coalesce(1).write.mode("append").parquet(landing)
-    days = (last - first).days // 3 + 2  # a call that comes a file late is still ahead of the watermark
-    out = J.drain(J.repeat_detector(J.stream_of(spark, f"{landing}/*.parquet", 1), "user_id", "ts", "event_id", "digest", "change", f"{days} days"), "append")
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for part in (*(e.where(wave == k).repartition(files) for k in range(3)), end):
+        part.write.mode("append").parquet(landing)
+    days = (last - first).days * 2 // 3 + 2  # a call that comes a wave late is ahead of the watermark, wherever batches end
+    out = J.drain(J.repeat_detector(J.stream_of(spark, f"{landing}/*.parquet", files), "user_id", "ts", "event_id", "digest", "change", f"{days} days"), "append")
     return out.where("event_id >= 0").select("user_id", "event_id", "repeated")
 
 
