@@ -82,14 +82,7 @@ def p04_ols(spark, d):
 
 def p05(spark, d):
     """Density clusters: core points by neighbours within a distance, joined where core points meet, borders to the smallest."""
-    pts = V.demand_points(spark, d).select("demand_id", "lon", "lat")
-    near = S.within_distance(pts, pts.withColumnRenamed("demand_id", "j"), 1500.0, "demand_id", "j")
-    core = near.groupBy("demand_id").agg(F.count("*").alias("n")).where("n >= 5").select("demand_id")
-    links = near.join(core, "demand_id", "left_semi").join(core.select(F.col("demand_id").alias("j")), "j", "left_semi")
-    comp = connected_components(links, "demand_id", "j")
-    edge = near.join(core, "demand_id", "left_anti").join(comp, F.col("j") == F.col("node")).groupBy("demand_id").agg(F.min("component").alias("cluster"))
-    labelled = comp.select(F.col("node").alias("demand_id"), F.col("component").alias("cluster")).unionByName(edge)
-    return pts.select("demand_id").join(labelled, "demand_id", "left").select("demand_id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    return S.density_clusters(V.demand_points(spark, d), "demand_id", 1500.0, 5)
 
 
 def p05_summary(spark, d):
