@@ -16,11 +16,10 @@ from loamgrid.plans.durable import durable
 BROADCAST_TERMS = 100_000
 
 
-def _exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, dl, term) a word. The length is computed below the explode, where a document is still one row."""
-    ws = X.words(F.col(text_col))
-    sized = docs.select(id_col, F.size(ws).alias("dl"), ws.alias("ws"))
-    return sized.select(id_col, "dl", F.explode("ws").alias("term"))
+def _exploded(docs: DataFrame, id_col: str, text_col: str, ended: bool = False) -> DataFrame:
+    """(id, dl, term) a word. The length is computed below the explode, where a document is still one row. ``ended``: an empty term more, so that each document has a row."""
+    sized = docs.select(id_col, X.words(F.col(text_col)).alias("ws"))
+    return sized.select(id_col, F.size("ws").alias("dl"), F.explode(F.concat("ws", F.array(F.lit(""))) if ended else "ws").alias("term"))
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -32,14 +31,15 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_
     """(query_id, id, score) of every document that shares a word with a query.
 
     Only words of the queries are kept before anything is shuffled, where these are few enough (counted) to go to
-    every task; the counts of the rest are stored, as two joins read them. Corpus totals are one broadcast row.
+    every task; the counts of the rest are stored, as two joins read them. An empty term that each document gets gives the
+    corpus totals, one broadcast row, so texts are taken apart once.
     """
     wanted = queries.select(query_id, F.explode(F.array_distinct(X.words(F.col(query_text)))).alias("term"))
-    ws = X.words(F.col(text_col))
-    totals = docs.agg(F.count("*").alias("n"), F.avg(F.size(ws)).alias("avgdl"))
-    terms = durable(wanted.select("term").distinct())
+    terms = durable(wanted.select("term").union(docs.sparkSession.range(1).select(F.lit(""))).distinct())
     kept = F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
-    tf = durable(_exploded(docs, id_col, text_col).join(kept, "term", "left_semi").groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf")))
+    read = durable(_exploded(docs, id_col, text_col, ended=True).join(kept, "term", "left_semi").groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf")))
+    totals = read.where("term = ''").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    tf = read.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -165,6 +165,25 @@ def cumulative_budget(df: DataFrame, key: str, order: list[Column | str], size:
     return run.where(((F.col("upto") <= budget) | (F.col("n") == 1)) & (F.col("n") <= most))
 
 
+def holders(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str, key: str, passage: str) -> DataFrame:
+    """(key, id), each once: documents whose text holds a whole passage, letter by letter.
+
+    They are found through the passage's longest word that white space bounds on both sides: its first and last may be parts
+    of longer words in the document. A passage without such a word is held against every text.
+    """
+    ws = F.split("passage", r"\s+")
+    inner = F.filter(F.slice(ws, 2, F.greatest(F.size(ws) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))))["word"]
+    keyed = durable(passages.select(F.col(key), F.col(passage).alias("passage")).where("passage is not null").withColumn("word", longest))
+    by_word = keyed.where("word is not null")
+    by_word = F.broadcast(by_word) if by_word.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else by_word
+    words = docs.select(id_col, F.explode(F.array_distinct(F.split(text_col, r"\s+"))).alias("word"))
+    texts = docs.select(id_col, F.col(text_col).alias("__text"))
+    likely = words.join(by_word, "word").select(key, id_col, "passage").join(texts, id_col)
+    any_text = texts.join(keyed.where("word is null").select(key, "passage"), F.contains("__text", F.col("passage")))
+    return likely.where(F.contains("__text", F.col("passage"))).select(key, id_col).unionByName(any_text.select(key, id_col)).distinct()
+
+
 def retrieval_scores(hits: DataFrame, expected: DataFrame, key: str, item: str, k: int) -> DataFrame:
     """(key, found, expected, recall, precision, reciprocal_rank) of ranked hits against expected items."""
     right = hits.where(F.col("rank") <= k).join(expected, [key, item])

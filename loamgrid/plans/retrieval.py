@@ -101,12 +101,7 @@ def w13(spark, d):
 
 def a26(spark, d):
     hits = r01(spark, d)
-    # documents that hold a whole passage are found through its longest word, not all by all
-    longest = F.max_by("word", F.struct(F.length("word"), "word"))
-    keyed = read(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.explode(F.split("text", r"\s+")).alias("word")).groupBy("item_id", "passage").agg(longest.alias("word"))
-    docs = read(spark, d, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    held = docs.select("doc_id", "word").join(keyed.select("item_id", "passage", "word"), "word").select("item_id", "doc_id", "passage")
-    expected = held.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage"))).select("item_id", "doc_id").distinct()
+    expected = R.holders(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
     out = R.retrieval_scores(hits, expected, "item_id", "doc_id", 10)
     return out.select("item_id", "found", "expected", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "reciprocal_rank")])
 
