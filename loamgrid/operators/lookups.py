@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgrid.operators.pairs import paired
+
 
 #: What is served in place of a document, and phrases that tell it, the first kind that fits counts.
 SERVED_INSTEAD = {
@@ -162,11 +164,17 @@ def tool_names(tool: Column) -> Column:
 def spec_unit_links(specs: DataFrame, units: DataFrame, spec: str, tools: str, unit: str, symbol: str, ambiguous: Column, alias: Column) -> DataFrame:
     """(spec, unit, matched, confidence): units whose whole symbol is a name of a tool that a spec refers to, once for each unit, with confidence low.
 
-    Units that are marked ambiguous or as an alias take no part. Where several names find a unit, the smallest counts.
+    Units that are marked ambiguous or as an alias take no part. Where several names find a unit, the smallest counts;
+    pairs are grouped for that only of units that have several symbols.
     """
     good = units.where(~F.coalesce(ambiguous, F.lit(False)) & ~F.coalesce(alias, F.lit(False))).select(unit, F.lower(F.trim(symbol)).alias("matched")).where("matched <> ''")
     asked = specs.select(spec, F.explode(tools).alias("tool")).select(spec, F.explode(tool_names(F.col("tool"))).alias("matched")).distinct()
-    return asked.join(good, "matched").groupBy(spec, unit).agg(F.min("matched").alias("matched")).withColumn("confidence", F.lit("low"))
+    asked_for = good.join(asked.select("matched").distinct(), "matched", "left_semi")
+    symbols = asked_for.groupBy(unit).agg(F.min("matched").alias("least"), F.max("matched").alias("most"))
+    one = paired(asked, symbols.where("least = most").select(unit, F.col("least").alias("matched")), "matched", spec, unit)
+    several = asked_for.join(symbols.where("least <> most").select(unit), unit, "left_semi").distinct()
+    least = paired(asked, several, "matched", spec, unit).groupBy(spec, unit).agg(F.min("matched").alias("matched"))
+    return one.select(spec, unit, "matched").unionByName(least).withColumn("confidence", F.lit("low"))
 
 
 def cited_doi_links(elements: DataFrame, specs: DataFrame, element: str, text: str, spec: str, doi: str, found: Column) -> DataFrame:
