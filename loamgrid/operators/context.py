@@ -72,11 +72,13 @@ def platform_citations(text: Column, relations: dict[str, str]) -> Column:
     """
     hosts = "|".join(h.replace(".", r"\.") for h in relations)
     pattern = rf"(?i)https?://({hosts})/([a-z_-]+)/(?:[^\s\"'<>]*?/)?([0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}})"
-    part = lambda k: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(k)), F.lower)
+    part = lambda m, k: F.lower(F.regexp_extract(m, pattern, k))
     rels = F.create_map(*[F.lit(x) for pair in relations.items() for x in pair])
-    hits = F.transform(F.arrays_zip(part(1).alias("host"), part(2).alias("hint"), part(3).alias("id")), lambda z: F.struct(z["id"].alias("element_id"), F.element_at(rels, z["host"]).alias("rel"), z["hint"].alias("hint"), z["host"].alias("host")))
-    keys = F.transform(hits, lambda h: F.concat_ws("|", h["element_id"], h["rel"]))
-    return F.filter(hits, lambda h, i: F.array_position(keys, F.concat_ws("|", h["element_id"], h["rel"])) == i + 1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(part(m, 3).alias("element_id"), part(m, 2).alias("hint"), part(m, 1).alias("host")))
+    hits = F.transform(found, lambda z: F.struct(z["element_id"].alias("element_id"), F.element_at(rels, z["host"]).alias("rel"), z["hint"].alias("hint"), z["host"].alias("host")))
+    same = lambda a, h: (a["element_id"] == h["element_id"]) & (a["rel"] == h["rel"])
+    # a fold takes the links once; a filter would look for them again for each
+    return F.aggregate(hits, F.filter(hits, lambda h: F.lit(False)), lambda kept, h: F.when(F.exists(kept, lambda a: same(a, h)), kept).otherwise(F.array_append(kept, h)))
 
 
 #: Words at which a sentence turns, signs that may stand before them, and words that make a clause hypothetical.

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.operators import context as C
 from loamgrid.operators import tables as T
+from loamgrid.operators.pairs import dealt
 from loamgrid.plans import retrieval as Q
 from loamgrid.plans import views as V
 from loamgrid.plans.views import read
@@ -31,7 +32,7 @@ def m10(spark, d):
     uuid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     text = F.concat(F.lit("see https://portal.example.org/Notebooks/"), F.upper(uuid), F.lit(") and https://store.example.org/files/x/"), uuid, F.lit("/a.zip</td, again http://portal.example.org/maps/"), uuid, F.lit(". Not https://other.example.org/maps/"), uuid)
     cited = C.platform_citations(text, {"portal.example.org": "CITES", "store.example.org": "USES"})
-    return read(spark, d, "part").select("p_partkey", F.posexplode(cited).alias("k", "c")).select("p_partkey", "k", "c.element_id", "c.rel", "c.hint")
+    return dealt(read(spark, d, "part").select("p_partkey")).select("p_partkey", F.posexplode(cited).alias("k", "c")).select("p_partkey", "k", "c.element_id", "c.rel", "c.hint")
 
 
 def m17(spark, d):

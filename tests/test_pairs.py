@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from loamgrid.operators import context as C
 from loamgrid.operators import lookups as U
 from loamgrid.operators import pairs as P
 
@@ -26,3 +27,11 @@ def test_units_with_several_symbols(spark):
     assert got == sorted([(s, u, m) for s in range(40) for u, m in ((1, "bolt"), (2, "ring"), (3, "bolt"))] + [(40, 1, "bolt"), (40, 3, "bolt")])
 
 
+def test_links_are_looked_for_once(spark):
+    one, two = "0a1b2c3d-0000-1111-2222-333344445555", "ffffffff-0000-1111-2222-333344445555"
+    text = f"https://a.org/Maps/{one} HTTP://A.org/x/y/{one.upper()} https://b.org/files/{one} https://a.org/m/{two} https://c.org/m/{two}"
+    df = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "k long, t string")
+    out = df.select("k", C.platform_citations(F.col("t"), {"a.org": "CITES", "b.org": "USES"}).alias("c"))
+    got = {r["k"]: None if r["c"] is None else [tuple(c) for c in r["c"]] for r in out.collect()}
+    assert got == {1: [(one, "CITES", "maps", "a.org"), (one, "USES", "files", "b.org"), (two, "CITES", "m", "a.org")], 2: [], 3: None}
+    assert "array_position" not in out._jdf.queryExecution().optimizedPlan().toString()
