@@ -11,6 +11,7 @@ from loamgrid.operators import graphs as G
 from loamgrid.operators import raster as R
 from loamgrid.operators import spatial as S
 from loamgrid.operators.components import connected_components
+from loamgrid.operators.pairs import paired
 from loamgrid.plans import spatial as Q
 from loamgrid.plans import views as V
 from loamgrid.plans.durable import durable
@@ -202,7 +203,7 @@ def j15(spark, d):
     """Pairs of suppliers in one nation; each clique shares out its weight."""
     s = read(spark, d, "supplier").select("s_nationkey", F.col("s_suppkey").alias("src"))
     n = s.groupBy("s_nationkey").agg(F.count("*").alias("n")).where("n > 1")
-    pairs = s.join(s.select("s_nationkey", F.col("src").alias("dst")), "s_nationkey").where("src < dst").join(n, "s_nationkey")
+    pairs = paired(s, s.withColumnRenamed("src", "dst"), "s_nationkey", "src", "dst").where("src < dst").join(F.broadcast(n), "s_nationkey")
     return pairs.select("src", "dst", F.round(F.lit(0.5) * 2 / (F.col("n") - 1), 9).alias("weight"))
 
 
