@@ -101,12 +101,19 @@ def modularity(edges: DataFrame, weight: str, labels: DataFrame) -> DataFrame:
 
 
 def fuse_layers(layers: dict[str, DataFrame]) -> DataFrame:
-    """Pairs of all layers (src, dst, weight): weights summed, names joined by +, and how many layers have the pair."""
+    """Pairs of all layers (src, dst, weight): weights summed, names joined by +, and how many layers have the pair.
+
+    All layers go through one grouping, whose sums are of fixed width.
+    """
     parts = None
     for name, layer in layers.items():
-        one = undirected(layer, "weight").withColumn("rel", F.lit(name))
+        one = layer.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight", F.lit(name).alias("rel"))
         parts = one if parts is None else parts.unionByName(one)
-    return parts.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), F.array_join(F.array_sort(F.collect_set("rel")), "+").alias("rels"), F.count("*").alias("support"))
+    names = sorted(layers)
+    has = {name: F.max(F.col("rel") == name).alias(f"__{k}") for k, name in enumerate(names)}
+    fused = parts.groupBy("src", "dst").agg(F.sum("weight").alias("weight"), *has.values())
+    rels = F.array_compact(F.array(*[F.when(F.col(f"__{k}"), F.lit(name)) for k, name in enumerate(names)]))
+    return fused.select("src", "dst", "weight", F.array_join(rels, "+").alias("rels"), F.size(rels).cast("long").alias("support"))
 
 
 def membership_overlap(old: DataFrame, new: DataFrame) -> DataFrame:

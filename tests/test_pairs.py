@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from loamgrid.operators import context as C
+from loamgrid.operators import graphs as G
 from loamgrid.operators import lookups as U
 from loamgrid.operators import pairs as P
 
@@ -19,6 +20,14 @@ def test_lists_and_pairs(spark):
     assert got == sorted((k, x, y) for x, k in rows for y, j in rows if k is not None and k == j and y % 3 == 0)
 
 
+def test_layers_are_fused_in_one_grouping(spark):
+    a = spark.createDataFrame([(1, 2, 0.5), (2, 1, 0.25), (3, 3, 9.0), (4, 5, 1.0)], "src long, dst long, weight double")
+    b = spark.createDataFrame([(2, 1, 1.0), (6, 5, 2.0)], "src long, dst long, weight double")
+    out = G.fuse_layers({"late": a, "early": b})
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 1.75, "early+late", 2), (4, 5, 1.0, "late", 1), (5, 6, 2.0, "early", 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
 def test_units_with_several_symbols(spark):
     specs = spark.createDataFrame([(s, ["ring", "bolt (x)", "none"]) for s in range(40)] + [(40, ["bolt"])], "s long, tools array<string>")
     units = spark.createDataFrame([(1, "ring"), (1, "bolt"), (2, "Ring"), (3, "bolt"), (3, "bolt"), (4, "other")], "u long, symbol string")
