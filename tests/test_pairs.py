@@ -8,6 +8,7 @@ from loamgrid.operators import context as C
 from loamgrid.operators import graphs as G
 from loamgrid.operators import lookups as U
 from loamgrid.operators import pairs as P
+from loamgrid.plans import analysis
 
 
 def test_lists_and_pairs(spark):
@@ -36,6 +37,10 @@ def test_units_with_several_symbols(spark):
     assert got == sorted([(s, u, m) for s in range(40) for u, m in ((1, "bolt"), (2, "ring"), (3, "bolt"))] + [(40, 1, "bolt"), (40, 3, "bolt")])
 
 
+def test_edges_are_stored(spark, sf_dir):
+    assert "lineitem" not in analysis._edges(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_links_are_looked_for_once(spark):
     one, two = "0a1b2c3d-0000-1111-2222-333344445555", "ffffffff-0000-1111-2222-333344445555"
     text = f"https://a.org/Maps/{one} HTTP://A.org/x/y/{one.upper()} https://b.org/files/{one} https://a.org/m/{two} https://c.org/m/{two}"
