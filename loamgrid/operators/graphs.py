@@ -1,4 +1,4 @@
-"""Graph loops over edge tables: reach, cheapest paths, communities, fused layers."""
+"""Graph loops over edge tables: reach, what is gathered along it, cheapest paths, communities, fused layers."""
 
 from __future__ import annotations
 
@@ -47,6 +47,34 @@ def upstream(edges: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFra
     return seen
 
 
+def gathered(edges: DataFrame, held: DataFrame, most: int = 10_000) -> DataFrame:
+    """(node, word, bits): the bits of a node and of all that it leads to along src to dst edges; ``held`` (node, word, bits) has their own.
+
+    Rows are of fixed width, and no pairs of nodes are made. Where each src has one dst, links are walks of 1, 2, 4 ... edges, so the rounds
+    are the logarithm of the longest way; else each round hands on over one edge what the last one added. Ends when nothing is added, so a
+    cycle is no harm; an error if that takes over ``most`` rounds.
+    """
+    edges = edges.select("src", "dst").where("src <> dst")
+    first = durable(edges.groupBy("src").agg(F.min("dst").alias("dst"), F.max("dst").alias("__far")))
+    single = first.where("dst <> __far").limit(1).count() == 0
+    links = first.select("src", "dst") if single else durable(edges.distinct())
+    state = durable(held.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")).withColumn("fresh", F.col("bits")))
+    for _ in range(most):
+        lead = (state if single else state.where("fresh <> 0")).select(F.col("node").alias("dst"), "word", "bits")
+        gain = links.join(lead, "dst").select(F.col("src").alias("node"), "word", "bits", F.lit(0).cast("long").alias("had"))
+        grown = state.select("node", "word", "bits", F.col("bits").alias("had")).unionByName(gain).groupBy("node", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("had").alias("had"))
+        state = durable(grown.select("node", "word", "bits", F.col("bits").bitwiseXOR(F.col("had")).alias("fresh")))
+        if state.where("fresh <> 0").limit(1).count() == 0:
+            break
+        if single:
+            links = durable(links.join(links.select(F.col("src").alias("dst"), F.col("dst").alias("__next")), "dst").select("src", F.col("__next").alias("dst")))
+            if links.limit(1).count() == 0:
+                break
+    else:
+        raise RuntimeError(f"nothing settled in {most} rounds")
+    return state.select("node", "word", "bits")
+
+
 def cheapest(edges: DataFrame, starts: DataFrame, cost: str, budget: float | None = None, most: int = 10_000) -> DataFrame:
     """(start, node, cost): least cost over src to dst edges by relaxation; costs are positive. Nodes over ``budget`` are left out.
 

@@ -1,5 +1,6 @@
 """Rules over texts, links, headers and registered functions on small inputs."""
 
+import random
 import struct
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions import registered
 from loamgrid.functions import text as X
-from loamgrid.operators import context, fingerprints, links, lookups, records, tables
+from loamgrid.operators import context, fingerprints, graphs, links, lookups, records, tables
 from loamgrid.sources import headers
 from loamgrid.sources.files import bounds_of, interval, normalise_catalog
 
@@ -50,6 +51,48 @@ def test_sources_behind_answers(spark):
     assert sorted(map(tuple, got)) == [("a", "x"), ("a", "y"), ("b", "y")]
 
 
+def _sources_by_search(used, derived, sources):
+    found = set()
+    for answer, call in used:
+        seen, todo = {call}, [call]
+        while todo:
+            at = todo.pop()
+            found |= {(answer, s) for c, s in sources if c == at}
+            more = {d for s, d in derived if s == at} - seen
+            seen |= more
+            todo += more
+    return found
+
+
+@pytest.mark.parametrize("fan", [1, 2])
+def test_sources_behind_answers_as_a_plain_search_finds_them(spark, fan):
+    rnd = random.Random(fan)
+    for _ in range(3):
+        derived = [(k, rnd.randrange(40)) for k in range(40) for _ in range(fan) if rnd.random() < 0.8]  # cycles and loops are among them
+        sources = [(rnd.randrange(45), rnd.choice([None, *range(150)])) for _ in range(200)]
+        used = [(rnd.choice([None, *range(8)]), rnd.randrange(45)) for _ in range(12)]
+        frames = spark.createDataFrame(used, "answer long, call long"), spark.createDataFrame(derived, "src long, dst long"), spark.createDataFrame(sources, "call long, source long")
+        got = [tuple(r) for r in links.sources_used(*frames, "answer", "call", "source").collect()]
+        assert len(got) == len(set(got)) and set(got) == _sources_by_search(used, derived, sources)
+
+
+def test_values_share_no_bit(spark):
+    places, few = links.places_in_words(spark.range(500).selectExpr("cast(id % 400 as string) as v"), "v", 90)
+    rows = places.collect()
+    assert few and len(rows) == len({r["v"] for r in rows}) == len({(r["word"], r["bit"]) for r in rows}) == 400
+    assert all(bin(r["bit"] & (2**64 - 1)).count("1") == 1 for r in rows) and len({r["word"] for r in rows}) <= 15
+
+
+def test_sources_of_a_long_chain_make_no_pairs_of_calls(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(graphs, "durable", lambda df: stored.append(df.localCheckpoint()) or stored[-1])
+    calls = spark.range(60).select(F.col("id").alias("call"))
+    derived = calls.select(F.col("call").alias("src"), (F.col("call") - 1).alias("dst"))
+    got = links.sources_used(calls.select(F.col("call").alias("answer"), "call"), derived, calls.select("call", (F.col("call") % 3).alias("source")), "answer", "call", "source").collect()
+    assert len(got) == 1 + 2 + 58 * 3
+    assert len(stored) < 20 and max(df.count() for df in stored) <= 60
+
+
 def test_kinds_buckets_and_causes(spark):
     assert each(spark, lambda v: lookups.page_kind(v, lookups.SERVED_INSTEAD), ["Checking your BROWSER", "x" * 4001 + "we use cookies", "we use cookies", "fine"]) == ["a bot-check page", "document", "a cookie consent page", "document"]
     df = spark.createDataFrame([(None, 5), ("", 0), ("a note", 3), ("a note", 0), ("No TEXT layer", 9), ("could not be opened", 0), ("bot-check and zip archive", 0)], "r string, n int")
