@@ -14,7 +14,7 @@ import posixpath
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.plans.durable import durable, evenly
@@ -22,15 +22,23 @@ from loamgrid.plans.durable import durable, evenly
 LAYER, MARK, GONE = "__layer", "__fingerprint", "__gone"
 
 
+def _number() -> Column:
+    """The number with which a layer's name begins; a version holds one layer of a number."""
+    return F.substring(LAYER, 1, 10).cast("int")
+
+
 class VersionConflict(RuntimeError):
     """Another writer put the next version in place first; take its state and try again."""
 
 
 class RecordStore:
-    """Tables in ``folder`` whose rows have a ``parent`` column. Past ``most_layers`` layers are merged into one."""
+    """Tables in ``folder`` whose rows have a ``parent`` column. Past ``most_layers`` layers are merged into one.
 
-    def __init__(self, spark: SparkSession, folder: str, parent: str, most_layers: int = 8):
-        self.spark, self.folder, self.parent, self.most_layers = spark, folder, parent, most_layers
+    Up to ``few`` counted ids of parents that later layers replaced are broadcast when rows are read.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, parent: str, most_layers: int = 8, few: int = 1_000_000):
+        self.spark, self.folder, self.parent, self.most_layers, self.few = spark, folder, parent, most_layers, few
 
     # --- versions -------------------------------------------------------------------------------------------------
 
@@ -97,21 +105,31 @@ class RecordStore:
     def read(self, table: str, version: int | None = None) -> DataFrame:
         """The rows of a table at a version: those whose parent no later layer replaced or removed."""
         manifest = self.manifest(version)
+        return self._current(manifest, table, self._superseded(manifest))
+
+    def _superseded(self, manifest: dict) -> DataFrame | None:
+        """(parent, number of a layer) of what a later layer replaced or removed, stored, and broadcast where it is counted to be few; None for a single layer."""
+        if len(manifest["layers"]) < 2:
+            return None
+        marks = self._stored(manifest, "__marks").select(F.col(self.parent).alias("__of"), _number().alias("__in"))
+        newest = marks.groupBy("__of").agg(F.max("__in").alias("__newest"), F.count("*").alias("__n")).where("__n > 1")
+        old = durable(marks.join(newest, "__of").where("__in < __newest").select("__of", "__in"))
+        return F.broadcast(old) if old.count() <= self.few else evenly(old, "__of", "__in")
+
+    def _current(self, manifest: dict, table: str, old: DataFrame | None) -> DataFrame:
         rows = self._stored(manifest, table)
         if rows is None:
             raise KeyError(f"no version of {table}")
-        if len(manifest["layers"]) > 1:
-            marks = self._stored(manifest, "__marks").select(F.col(self.parent).alias("__of"), F.col(LAYER).alias("__in"))
-            newest = marks.groupBy("__of").agg(F.max("__in").alias("__newest"), F.count("*").alias("__n")).where("__n > 1")
-            old = marks.join(newest, "__of").where("__in < __newest").select("__of", "__in")
-            rows = rows.join(evenly(old, "__of", "__in"), (F.col(self.parent) == F.col("__of")) & (F.col(LAYER) == F.col("__in")), "left_anti")
+        if old is not None:
+            rows = rows.withColumn(LAYER, _number()).join(old, (F.col(self.parent) == F.col("__of")) & (F.col(LAYER) == F.col("__in")), "left_anti")
         return rows.drop(LAYER)
 
     # --- writing --------------------------------------------------------------------------------------------------
 
     def commit(self, tables: dict[str, DataFrame], marks: DataFrame, batch: tuple[str, int] | None = None) -> dict:
-        """One layer: ``marks`` (parent, fingerprint, gone) and, for the parents that stay, all their rows in ``tables``.
+        """One layer: ``marks`` (parent, fingerprint, gone) and, for the parents that stay, all their rows in ``tables``; rows of others aren't written.
 
+        ``marks`` are found once; tables that are dealt by parent stay where they are.
         ``batch`` names a stream's batch; one that a version holds already is left alone, so it can be done twice.
         Nothing is written where no parent changes, except that the batch is noted.
         """
@@ -121,7 +139,8 @@ class RecordStore:
         marks = durable(marks.select(self.parent, F.col(MARK).cast("string").alias(MARK), F.col(GONE).cast("boolean").alias(GONE)).where(F.col(self.parent).isNotNull()))
         after = {"version": before["version"] + 1, "layers": list(before["layers"]), "batches": {**before["batches"], **({batch[0]: batch[1]} if batch else {})}}
         if marks.limit(1).count():
-            after["layers"].append(self._write_layer(after["version"], tables, marks))
+            stay = marks.where(f"not {GONE}").select(self.parent)
+            after["layers"].append(self._write_layer(after["version"], {t: rows.join(stay, self.parent, "left_semi") for t, rows in tables.items()}, marks))
         elif not batch:
             return before
         self._publish(after)
@@ -135,8 +154,7 @@ class RecordStore:
 
     def replace(self, tables: dict[str, DataFrame], fingerprints: DataFrame, batch: tuple[str, int] | None = None) -> dict:
         """Replaces parents as units: those in ``fingerprints`` (parent, fingerprint) have the given rows from now on, and no others."""
-        keep = fingerprints.select(self.parent, MARK, F.lit(False).alias(GONE))
-        return self.commit({t: rows.join(keep.select(self.parent), self.parent, "left_semi") for t, rows in tables.items()}, keep, batch)
+        return self.commit(tables, fingerprints.select(self.parent, MARK, F.lit(False).alias(GONE)), batch)
 
     def remove(self, parents: DataFrame, batch: tuple[str, int] | None = None) -> dict:
         """Removes parents with all their rows; ids that the store doesn't hold are ignored."""
@@ -160,7 +178,8 @@ class RecordStore:
             return before
         names = sorted({t for x in before["layers"] for t in x["tables"]} - {"__marks"})
         marks = self.marks(before).withColumn(GONE, F.lit(False))
-        layer = self._write_layer(before["version"] + 1, {t: self.read(t, before["version"]) for t in names}, marks)
+        old = self._superseded(before)
+        layer = self._write_layer(before["version"] + 1, {t: self._current(before, t, old) for t in names}, marks)
         after = {**before, "version": before["version"] + 1, "layers": [layer]}
         self._publish(after)
         return after
@@ -187,20 +206,25 @@ class RecordStore:
         """(table, n_rows, n_parents) of every table at a version."""
         manifest = self.manifest(version)
         names = sorted({t for x in manifest["layers"] for t in x["tables"]} - {"__marks"})
-        each = [self.read(t, manifest["version"]).agg(F.lit(t).alias("table_name"), F.count("*").alias("n_rows"), F.count_distinct(self.parent).alias("n_parents")) for t in names]
+        old = self._superseded(manifest)
+        each = [self._current(manifest, t, old).agg(F.lit(t).alias("table_name"), F.count("*").alias("n_rows"), F.count_distinct(self.parent).alias("n_parents")) for t in names]
         return reduce(DataFrame.unionByName, each)
 
 
 def fingerprints(tables: dict[str, DataFrame], parent: str) -> DataFrame:
-    """(parent, fingerprint) over all rows of all tables: a count, a sum and an exclusive or of row hashes, so a parent's rows needn't meet."""
+    """(parent, fingerprint) over all rows of all tables: a count, a sum and an exclusive or of row hashes, so a parent's rows needn't meet.
+
+    They are combined in each table first, which moves nothing where a table is dealt by parent, and then over the tables.
+    """
     each = []
     for name, rows in sorted(tables.items()):
         columns = sorted(c for c in rows.columns if c != parent)
         row = F.to_json(F.struct(*[F.col(c) for c in columns])) if columns else F.lit("")
         one = rows.select(parent, F.sha2(F.concat(F.lit(f"{name}:"), row), 256).alias("h"))
-        each.append(one.select(parent, F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(20,0)").alias("a"), F.conv(F.substring("h", 17, 15), 16, 10).cast("long").alias("b")))
-    print_ = F.concat_ws(":", F.count("*").cast("string"), F.sum("a").cast("string"), F.bit_xor("b").cast("string"))
-    return reduce(DataFrame.unionByName, each).where(F.col(parent).isNotNull()).groupBy(parent).agg(print_.alias(MARK))
+        parts = one.where(F.col(parent).isNotNull()).select(parent, F.conv(F.substring("h", 1, 15), 16, 10).cast("decimal(20,0)").alias("a"), F.conv(F.substring("h", 17, 15), 16, 10).cast("long").alias("b"))
+        each.append(parts.groupBy(parent).agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.bit_xor("b").alias("b")))
+    print_ = F.concat_ws(":", F.sum("n").cast("string"), F.sum("a").cast("string"), F.bit_xor("b").cast("string"))
+    return reduce(DataFrame.unionByName, each).groupBy(parent).agg(print_.alias(MARK))
 
 
 def changed(store: RecordStore, prints: DataFrame) -> DataFrame:

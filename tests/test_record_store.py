@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from loamgrid.plans import records
 from loamgrid.sources.store import GONE, MARK, RecordStore, VersionConflict, changed, fingerprints
 
 A, B = "doc long, v string", "doc long, n long"
@@ -112,3 +113,46 @@ def test_columns_that_come_later(spark, store):
     with pytest.raises(KeyError):
         store.read("c")
     assert fingerprints({"a": store.read("a").where(F.lit(False))}, "doc").count() == 0
+
+
+def test_fingerprints_are_found_once(spark, store):
+    t = tables(spark, [(k, f"{k}") for k in range(20)], [(k, k) for k in range(20)])
+    looked = spark.sparkContext.accumulator(0)
+    seen = F.udf(lambda k: looked.add(1) or True, "boolean")
+    store.replace(t, fingerprints(t, "doc").where(seen("doc")))
+    assert 20 <= looked.value <= 40  # a checkpoint may go over its rows twice; a look for each table would be over that
+    assert store.marks().count() == 20 and len(state(store)["a"]) == 20
+
+
+def test_fingerprints_of_tables_and_of_their_parts_are_the_same(spark):
+    a, b = [(1, "x"), (1, "x"), (1, None), (2, "y"), (None, "z")], [(2, 1), (3, 2)]
+    prints = lambda n: {r["doc"]: r[MARK] for r in fingerprints({k: v.repartition(n, F.rand(1)) for k, v in tables(spark, a, b).items()}, "doc").collect()}
+    assert prints(1) == prints(5) and set(prints(1)) == {1, 2, 3}
+    assert prints(1)[1].startswith("3:") and prints(1)[2].startswith("2:")
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_few_replaced_parents_move_no_rows(spark, tmp_path, few):
+    store = RecordStore(spark, str(tmp_path / "store"), "doc", few=few)
+    put(store, tables(spark, [(k, "old") for k in range(30)], [(k, k) for k in range(30)]))
+    put(store, tables(spark, [(k, "new") for k in range(0, 30, 10)], []))
+    put(store, tables(spark, [(0, "newest")], []))
+    store.remove(spark.createDataFrame([(7,)], "doc long"))
+    want = [(k, "newest" if k == 0 else "new" if k % 10 == 0 else "old") for k in range(30) if k != 7]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = store.read("a")
+        assert sorted(map(tuple, rows.collect())) == want
+        assert ("Exchange hashpartitioning" in rows._jdf.queryExecution().executedPlan().toString()) == (few == 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    store.compact()
+    assert state(store)["a"] == want
+
+
+def test_orders_and_lines_of_the_record_tables_meet_once(spark, sf_dir):
+    customers, stored = records.read(spark, sf_dir, "customer"), records._dealt_records(spark, sf_dir)
+    for first_year in (None, 1995):
+        made = records._record_tables(customers, *stored, first_year)
+        assert len(made) == 8 and all(t == "element" or rows.inputFiles() == [] for t, rows in made.items())
