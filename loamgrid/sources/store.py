@@ -126,10 +126,11 @@ class RecordStore:
 
     # --- writing --------------------------------------------------------------------------------------------------
 
-    def commit(self, tables: dict[str, DataFrame], marks: DataFrame, batch: tuple[str, int] | None = None) -> dict:
+    def commit(self, tables: dict[str, DataFrame], marks: DataFrame, batch: tuple[str, int] | None = None, whole: bool = False) -> dict:
         """One layer: ``marks`` (parent, fingerprint, gone) and, for the parents that stay, all their rows in ``tables``; rows of others aren't written.
 
-        ``marks`` are found once; tables that are dealt by parent stay where they are.
+        ``marks`` are found once. With ``whole``, they hold every parent of the tables, so rows needn't meet them; they are sorted in their tasks,
+        as a join would leave them, which keeps files small.
         ``batch`` names a stream's batch; one that a version holds already is left alone, so it can be done twice.
         Nothing is written where no parent changes, except that the batch is noted.
         """
@@ -140,7 +141,8 @@ class RecordStore:
         after = {"version": before["version"] + 1, "layers": list(before["layers"]), "batches": {**before["batches"], **({batch[0]: batch[1]} if batch else {})}}
         if marks.limit(1).count():
             stay = marks.where(f"not {GONE}").select(self.parent)
-            after["layers"].append(self._write_layer(after["version"], {t: rows.join(stay, self.parent, "left_semi") for t, rows in tables.items()}, marks))
+            own = {t: rows.where(F.col(self.parent).isNotNull()).sortWithinPartitions(self.parent) if whole else rows.join(stay, self.parent, "left_semi") for t, rows in tables.items()}
+            after["layers"].append(self._write_layer(after["version"], own, marks))
         elif not batch:
             return before
         self._publish(after)
@@ -156,6 +158,10 @@ class RecordStore:
         """Replaces parents as units: those in ``fingerprints`` (parent, fingerprint) have the given rows from now on, and no others."""
         return self.commit(tables, fingerprints.select(self.parent, MARK, F.lit(False).alias(GONE)), batch)
 
+    def replace_all(self, tables: dict[str, DataFrame], batch: tuple[str, int] | None = None) -> dict:
+        """Replaces every parent that ``tables`` hold, changed or not; others stay as they are."""
+        return self.commit(tables, fingerprints(tables, self.parent).withColumn(GONE, F.lit(False)), batch, whole=True)
+
     def remove(self, parents: DataFrame, batch: tuple[str, int] | None = None) -> dict:
         """Removes parents with all their rows; ids that the store doesn't hold are ignored."""
         held = self.marks()

@@ -156,3 +156,20 @@ def test_orders_and_lines_of_the_record_tables_meet_once(spark, sf_dir):
     for first_year in (None, 1995):
         made = records._record_tables(customers, *stored, first_year)
         assert len(made) == 8 and all(t == "element" or rows.inputFiles() == [] for t, rows in made.items())
+
+
+def test_replacing_all_is_replacing_by_fingerprints_and_moves_no_rows(spark, store, monkeypatch):
+    put(store, tables(spark, [(1, "x"), (5, "stays")], [(1, 10)]))
+    write, plans = RecordStore._write_layer, {}
+
+    def spy(self, number, given, marks):
+        plans.update({t: rows._jdf.queryExecution().executedPlan().toString() for t, rows in given.items()})
+        return write(self, number, given, marks)
+
+    monkeypatch.setattr(RecordStore, "_write_layer", spy)
+    t = tables(spark, [(1, "new"), (2, "y"), (None, "nobody")], [(3, 30), (None, 1)])
+    store.replace_all(t)
+    assert state(store) == {"a": [(1, "new"), (2, "y"), (5, "stays")], "b": [(3, 30)]}
+    assert len(plans) == 2 and not any("Join" in p or "Exchange" in p for p in plans.values())
+    assert changed(store, fingerprints(t, "doc")).count() == 0
+    assert store.replace_all(t, ("s", 1))["batches"] == {"s": 1} and store.replace_all(t, ("s", 1))["version"] == 3
